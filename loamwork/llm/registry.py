@@ -12,9 +12,12 @@ from loamwork.llm.common import read
 from loamwork.llm.decontamination import decontaminate
 from loamwork.llm.language_id import language_id
 from loamwork.llm.mixing import mix
+from loamwork.llm.ngram_join import ngram_components
+from loamwork.llm.pii import find_pii
 from loamwork.llm.quality_classifier import quality_scores
 from loamwork.llm.quality_rules import quality_rules
 from loamwork.llm.revisits import resolve_revisits
+from loamwork.llm.secrets import find_secrets
 from loamwork.llm.token_counts import load_vocabulary, token_counts
 
 #: Where the public tokenizers' files are; never copied.
@@ -37,6 +40,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
 def page_records(pages: DataFrame) -> DataFrame:
     """Archive records of the raw pages: page_id is the time of capture, its language edition the etag.
 
@@ -65,7 +80,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_quality_rules, op2_language_id, op3_token_counts, op4_quality_classifier, op8_mixing, op9_revisits, op10_decontamination]
+    own = [op1_quality_rules, op2_language_id, op3_token_counts, op4_quality_classifier, op5_secrets, op6_ngram_join, op7_pii, op8_mixing, op9_revisits, op10_decontamination]
     return {f.__name__: f for f in own}
 
 
