@@ -1,3 +1,61 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+QUALITY_RULES = rf"""
+with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text, {WORDS} as w from documents),
+tri as (select r, i, w[i:i + 2] as g from d, unnest(range(1, len(w) - 1)) t(i)),
+rep as (select r, g from tri group by r, g having count(*) > 1),
+cov as (select r, count(distinct p) as n from (select tri.r, unnest([i, i + 1, i + 2]) as p from tri join rep using (r, g)) group by r),
+dup as (select r, count(*) - count(distinct line) as n from (select r, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
+c as (select doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+  coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words from d left join dup using (r) left join cov using (r)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
+h as (select source, count(*) as n, count(*) filter (base_failed) as k from b group by 1),
+m as (select avg(k / n) as m, coalesce(var_samp(k / n), 0) as v from h),
+s as (select m, case when v > 0 then greatest(1.0, least(10000.0, m * (1 - m) / v - 1)) else 1.0 end as s from m),
+v as (select source as host, (k + m * s) / (n + s) as rate from h, s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 as kept, round(rate, 6) as host_rate
+from b join v on source is not distinct from host"""
+
+DECONTAMINATION = rf"""
+with it as (select item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null),
+iw as (select distinct item_id, least(len(w), 10) as l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as s from it, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) where len(w) > 0),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+dw as (select r, l, i, array_to_string(w[i:i + l - 1], ' ') as s from d, (select distinct l from iw), unnest(range(1, len(w) - l + 2)) t(i)),
+h as (select r, i, l, item_id from dw join iw using (l, s)),
+p as (select r, count(distinct q)::bigint as n from (select r, unnest(range(i, i + l)) as q from h) group by r),
+n as (select r, count(distinct item_id)::bigint as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(p.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, p.n is not null as contaminated from d left join p using (r) left join n using (r)"""
+
+MIXING = rf"""
+with d as (select row_number() over () as r, doc_id, source, len({WORDS})::bigint as size from documents),
+k as (select *, md5('mix-1:' || coalesce(doc_id::varchar, 'null:' || size)) as seeded from d),
+s as (select source, sum(size)::bigint as source_size, count(*) as n_docs from k group by 1),
+w as (select *, 1 + (row_number() over (order by source asc nulls last) - 1) % 3 as weight from s),
+l as (select *, sum(source_size) over () - coalesce(sum(3 * source_size) over o, 0) as ls, sum(weight) over () - coalesce(sum(weight) over o, 0) as lw from w
+  window o as (order by source_size / weight, source asc nulls last rows between unbounded preceding and 1 preceding)),
+t as (select source as ts, source_size, greatest(1, ceil(n_docs / 500))::bigint as shards, coalesce(least(3.0 * source_size, weight * (select ls from l where ls * weight <= 3 * source_size * lw order by source_size / weight, ls, lw limit 1)::double
+  / (select lw from l where ls * weight <= 3 * source_size * lw order by source_size / weight, ls, lw limit 1)), 3.0 * source_size)::double as target from w),
+p as (select r, doc_id, source, size, seeded, source_size, target, ('0x' || substr(seeded, 1, 8))::bigint % shards as shard from k join t on source is not distinct from ts),
+g as (select source, shard, any_value(target) as target, sum(size)::bigint as votes, round(any_value(target) / 8)::bigint as seats from p group by 1, 2),
+b as (select *, greatest(0, floor(case when sum(votes) over q > 0 then votes * seats / sum(votes) over q else 0 end)::bigint - 2) as base from g window q as (partition by source)),
+o as (select *, seats - sum(base) over (partition by source) as open from b),
+c as (select *, row_number() over (partition by source order by votes / (2 * seat - 1) desc, shard, seat) as rank from o, unnest(range(base + 1, base + 7)) u(seat)),
+won as (select source as ws, shard as wsh, votes, (any_value(base) + count(*) filter (rank <= open and votes > 0)) * 8 as quota from c group by 1, 2, 3),
+x as (select p.*, sum(size) over (partition by source, shard order by seeded, size rows unbounded preceding) - size as before from p),
+y as (select x.*, votes, quota, least(3, case when votes > 0 then quota // votes else 0 end) as passes from x join won on source is not distinct from ws and shard = wsh)
+select doc_id, size, source_size, round(target, 6) as target, (passes * size + greatest(0, least(size, (case when passes >= 3 then 0 else quota - passes * votes end) - before)))::bigint as taken from y"""
+
+REVISITS = r"""
+with p as (select page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') as canonical, case when page_id % 2 = 0 then e end as etag, length(html)::varchar as lm, e, kind
+  from (select *, md5(regexp_extract(url, '//[^/]+/([a-z]+)/', 1)) as e, case when page_id % 3 = 1 then 'revisit' else 'response' end as kind from pages)),
+q as (select *, last_value(case when kind = 'response' then page_id end ignore nulls) over o as b_id from p window o as (partition by canonical order by page_id rows between unbounded preceding and 1 preceding)),
+j as (select q.*, b.etag as b_etag, b.lm as b_lm from q left join p b on b.page_id = b_id),
+s as (select *, case when kind = 'response' then 'full' when b_id is null then 'unresolved' when etag is not null and b_etag is not null then case when etag = b_etag then 'validated' else 'mismatch' end
+  when lm = b_lm then 'validated' else 'mismatch' end as status from j)
+select page_id, canonical, kind, case when kind = 'revisit' then b_id end as refers_to, status,
+  'content-length=' || case when status = 'validated' then b_lm else lm end || '&date=' || page_id || '&etag=' || e as headers from s"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op10_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_revisits": REVISITS}
