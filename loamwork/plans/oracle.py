@@ -50,7 +50,7 @@ SQL: dict[str, str] = {
       round(quantile_cont(value, 0.05), 4) as q05, round(quantile_cont(value, 0.5), 4) as q50, round(quantile_cont(value, 0.95), 4) as q95 from dr group by 1""",
     "crps_by_query": f"""with {DRAWS}, r as (select query_id, value, observed, row_number() over (partition by query_id order by value) as i, count(*) over (partition by query_id) as s from dr join tr using (query_id))
       select query_id, round(avg(abs(value - observed)) - sum((2 * i - s - 1) * value) / (any_value(s) * any_value(s)), 4) as crps from r group by 1""",
-    "picp_mpiw": PICP.format(last="round(avg(hi - lo), 4) as mpiw"),
+    "picp_mpiw": PICP.format(last="round(avg(hi - lo), 1) as mpiw"),
     "interval_reliability": PICP.format(last="round(avg(case when observed between lo and hi then 1.0 else 0.0 end) - level, 4) as gap"),
     "minmax_constant_rules": """with s as (select p_partkey, p_retailprice as v, min(p_retailprice) over w as lo, max(p_retailprice) over w as hi from part where p_partkey % 7 > 0 or p_size > 25 window w as (partition by p_size))
       select p_partkey, round(case when hi > lo then (v - lo) / (hi - lo) else 1.0 end, 6) as scaled_one, round(case when hi > lo then (v - lo) / (hi - lo) else 0.0 end, 6) as scaled_zero,

@@ -59,7 +59,7 @@ def crps_by_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def picp_mpiw(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(posterior.interval_coverage(supplier_draws(spark, d), supplier_truth(spark, d)))
+    return rounded(posterior.interval_coverage(supplier_draws(spark, d), supplier_truth(spark, d)).withColumn("mpiw", F.round("mpiw", 1)))
 
 
 def interval_reliability(spark: SparkSession, d: str) -> DataFrame:
