@@ -5,13 +5,16 @@ bands whose ends are 1/t apart, so a similar pair lies in one band or in two nei
 tag of its own band and, where near enough, of the next. Under a tag with at most H differences
 
 - H <= 2: the whole set is one segment, indexed with all sets that H deletions leave;
-- else the universe of shingles is hashed into m = H + 1 + slack segments, so slack + 1 segments at least are equal in
-  both sets. A segment's key is the hash of its part of the set.
+- H <= 7: the universe of shingles is hashed into (H + 1) / 2 segments. One of them differs in at most one shingle: each
+  is indexed with its one-deletion neighbourhood;
+- else into m = H + 1 + slack segments, of which slack + 1 at least are equal in both sets. A segment's key is the hash
+  of its part of the set. One-deletion neighbourhoods cost a key for every shingle, plain segments a key for every four
+  or so, but are selective only in larger sets.
 
 Allocation by cost: a segment that is empty, or whose key turns out to join many sets that aren't similar, is not
-compared, as long as the set has at most `slack` of these: then one equal segment is left. Sets with more of them are
-few; they are indexed with the one-deletion neighbourhoods of their segments, and those of which most segments are
-unused are compared under their tag alone. So nothing is dropped.
+compared, as long as the set has at most `slack` of these: then one equal segment is left. Sets with more of them (most
+of them made of passages that many documents share) are compared among one another in an exact other way: by the first
+(1 - t) * size + 1 of their shingles, rarest first, of which similar sets share one. So nothing is dropped.
 
 Candidates are verified exactly on whole texts. A key's sets are joined to the smallest of them, first in each map task
 and then over all, so that a group of near copies, however large, gives a number of candidates in proportion; only sets
@@ -39,6 +42,8 @@ PERCENT = 80
 HELD_KEYS = 1_500_000
 BUCKET_CHARS = 8_000_000
 MIN_BUCKETS = 64
+#: Differences up to which one-deletion neighbourhoods are indexed.
+HALVED = 7
 #: Sets outside the largest component under a key that are compared with all its sets; with more, the key is unused.
 OUTSIDERS = 16
 #: Ids that may be broadcast (8 MB).
@@ -57,27 +62,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it holds too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingles(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's n-word shingles; of all its words if they are fewer."""
     words = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(n, len(w))
     out = np.full(len(w) - size + 1, size, np.uint64)
     for i in range(size):
         out = out * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - size + 1 + i]
-    return np.unique(mixed(out))
+    out = np.sort(mixed(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 class Scheme:
@@ -96,24 +92,19 @@ class Scheme:
     def differences(self, tag: int) -> int:
         return (100 - self.percent) * 2 * (self.low[tag + 1] - 1) // (100 + self.percent)
 
+    def halved(self, tag: int) -> bool:
+        """Whether one-deletion neighbourhoods are indexed, of the whole set or of its segments."""
+        return self.differences(tag) <= HALVED
+
     def slack(self, tag: int) -> int:
-        h = self.differences(tag)
-        return 0 if h <= 2 else math.ceil(0.15 * (h + 1)) + 1
+        return 0 if self.halved(tag) else math.ceil(0.15 * (self.differences(tag) + 1)) + 1
 
     def segments(self, tag: int) -> int:
         h = self.differences(tag)
-        return 1 if h <= 2 else h + 1 + self.slack(tag)
-
-    def parts(self, x: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Shingles by segment: sorted shingles, their segments, begin of each segment that isn't empty, their sums."""
-        seg = (mixed(x ^ np.uint64(tag + 1)) >> S32) % np.uint64(self.segments(tag))
-        order = np.argsort(seg, kind="stable")
-        y, seg = x[order], seg[order]
-        begin = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        return y, seg, begin, np.add.reduceat(y, begin)
+        return 1 if h <= 2 else (h + 2) // 2 if self.halved(tag) else h + 1 + self.slack(tag)
 
     def keys(self, x: np.ndarray, tag: int) -> tuple[np.ndarray, int]:
-        """Keys of a set under a tag, and how many of its segments are empty."""
+        """Keys of a set under a tag, and how many of its segments are unused because they are empty."""
         h = self.differences(tag)
         if h <= 2:
             total = np.add.reduce(x, keepdims=True)
@@ -124,16 +115,19 @@ class Scheme:
                 a, b = np.triu_indices(len(x), 1)
                 sums.append(total - x[a] - x[b])
             return self.named(np.concatenate(sums), tag, np.uint64(0)), 0
-        _, seg, begin, sums = self.parts(x, tag)
-        return self.named(sums, tag, seg[begin]), self.segments(tag) - len(begin)
-
-    def neighbourhoods(self, x: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the segments as they are, and of what one deletion leaves of them unless nothing."""
-        y, seg, begin, sums = self.parts(x, tag)
-        size = np.diff(np.r_[begin, len(y)])
-        whole = np.repeat(sums, size)
-        some = np.repeat(size, size) > 1
-        return self.named(sums, tag, seg[begin]), self.named((whole - y)[some], tag, seg[some])
+        m = self.segments(tag)
+        seg = (mixed(x ^ np.uint64(tag + 1)) >> S32) % np.uint64(m)
+        seg = seg.astype(np.uint16) if m < 1 << 16 else seg
+        order = np.argsort(seg, kind="stable")
+        y, seg = x[order], seg[order].astype(np.uint64)
+        begin = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1))
+        sums = np.add.reduceat(y, begin)
+        if not self.halved(tag):
+            return self.named(sums, tag, seg[begin]), m - len(begin)
+        size = np.diff(np.concatenate((begin, [len(y)])))
+        none = np.setdiff1d(np.arange(m, dtype=np.uint64), seg[begin])
+        every = np.concatenate((sums, np.repeat(sums, size) - y, np.zeros(len(none), np.uint64)))
+        return self.named(every, tag, np.concatenate((seg[begin], seg, none))), 0
 
     @staticmethod
     def named(sums: np.ndarray, tag: int, seg: np.ndarray) -> np.ndarray:
@@ -181,7 +175,6 @@ def _index(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
         yield rows(len(blobs), what=np.full(len(blobs), 1, np.int32), bucket=bucket[begin].astype(np.int32), blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         keys: list[np.ndarray] = []
         ids: list[int] = []
         tags: list[int] = []
@@ -191,7 +184,7 @@ def _index(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
             twins: list[tuple[int, int]] = []
             out: dict[str, list] = {f: [] for f in ("doc_id", "n", "fp1", "fp2", "sketch", "tag", "empty", "tag2", "empty2")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = shingles(text, hashes)
+                x = shingles(text)
                 mine = scheme.tags(len(x)) if len(x) and doc_id is not None else []
                 empties = []
                 prints = _sum(x), _sum(mixed(x + M1))
@@ -339,7 +332,6 @@ class NgramJoin:
         left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             memory: dict[int, tuple[str, np.ndarray]] = {}
 
             def of_doc(doc_id: int, text: str) -> np.ndarray:
@@ -347,7 +339,7 @@ class NgramJoin:
                 if known is None or known[0] != text:
                     if len(memory) > 100:
                         memory.clear()
-                    known = memory[doc_id] = (text, shingles(text, hashes))
+                    known = memory[doc_id] = (text, shingles(text))
                 return known[1]
 
             for batch in slices(batches):
@@ -369,34 +361,50 @@ class NgramJoin:
         """rows with each document's component so far."""
         return rows.join(found, rows["doc_id"] == found["node"], "left").select(*rows.columns, F.coalesce("component", "doc_id").alias("component"))
 
-    def neighbourhood_pairs(self, few: DataFrame, found: DataFrame) -> DataFrame:
-        """Candidates among the sets (doc_id, tag, alone) with too many unused segments."""
-        scheme = self.scheme
+    def rarest(self, few: DataFrame) -> DataFrame:
+        """(key, doc_id, n, place): of each set (doc_id) its first shingles in order of how many of these sets have them, as
+        many as similar sets must share one of. Shingles of one set only are left out."""
+        percent = self.scheme.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in slices(batches, 64):
-                out: list[list] = [[], [], []]
-                for doc_id, text, tag, alone in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    x = shingles(text, hashes)
-                    if not len(x):
-                        continue
-                    if alone:
-                        whole = rest = np.array([tag], np.uint64)
-                    else:
-                        whole, rest = scheme.neighbourhoods(x, tag)
-                    for kind, keys in ((0, whole), (1, rest)):
-                        out[0] += keys.view(np.int64).tolist()
-                        out[1] += [doc_id] * len(keys)
-                        out[2] += [kind] * len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["key", "doc_id", "kind"])
-
-        ids = materialize(few.select("doc_id").distinct())
-        asked = self.texts(ids).join(few, "doc_id").select("doc_id", "text", "tag", "alone")
-        keys = materialize(self.labelled(asked.mapInArrow(run, "key long, doc_id long, kind int").distinct(), found))
-        a, b = keys.filter("kind = 0").alias("p"), keys.filter("kind = 1").alias("q")
-        met = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")))
-        return self.ordered(met.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")), "a", "b")
+                sets = [shingles(t) for t in batch.column(1).to_pylist()]
+                counts = [len(x) for x in sets]
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(np.array(counts, np.int64), counts))], ["key", "doc_id", "n"])
+
+        all_rows = materialize(self.texts(few).mapInArrow(run, "key long, doc_id long, n long"))
+        common = all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+        placed = all_rows.join(common, "key").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "key")))
+        first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+        return materialize(placed.filter((F.col("place") <= first) & (F.col("df") > 1)).select("key", "doc_id", "n", "place"))
+
+    def compare_rest(self, few: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and components with those among the sets `few`: first each key's sets against its smallest, of which
+        the others are the likeliest to be similar, then those that aren't in one component yet."""
+        keys = self.rarest(few)
+        heads = keys.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("head"))
+        near = 100 * F.col("head.n") >= self.scheme.percent * F.col("n")
+        stars = self.ordered(keys.join(heads, "key").filter(near).select(F.col("head.doc_id").alias("x"), F.col("doc_id").alias("y")), "x", "y")
+        links, found = self.with_links(links, found, stars)
+        held = materialize(self.labelled(keys, found))
+        parts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("n > top.n").select("key", F.col("top.component").alias("main"))
+        rows = materialize(held.join(main, "key"))
+        outside = rows.filter("component <> main").alias("p")
+        like = (100 * F.col("p.n") >= self.scheme.percent * F.col("q.n")) & (100 * F.col("q.n") >= self.scheme.percent * F.col("p.n"))
+        # if this is the first shingle that both have, they can have no more than this and what stands behind it
+        most = 1 + F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place"))
+        like = like & ((100 + self.scheme.percent) * most >= self.scheme.percent * (F.col("p.n") + F.col("q.n")))
+        met = outside.join(rows.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & like)
+        return self.with_links(links, found, self.ordered(met.select(F.col("p.doc_id").alias("x"), F.col("q.doc_id").alias("y")), "x", "y"))
+
+    def with_links(self, links: DataFrame, found: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = self.verified(materialize(pairs.join(links, ["a", "b"], "left_anti")))
+        if more.isEmpty():
+            return links, found
+        links = materialize(links.unionByName(more).distinct())
+        return links, materialize(components(links))
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Verified links (a, b) that connect all that is connected, and (node, component)."""
@@ -409,8 +417,8 @@ class NgramJoin:
         largest = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("n > top.n")
         open_keys = materialize(largest.select("key", F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")))
         used = held.join(open_keys, "key")
-        # keys of bands without segments have no slack: they are always used
-        whole = [t for t in range(len(self.scheme.low) - 1) if self.scheme.differences(t) <= 2]
+        # keys of neighbourhoods have no slack: they are always used
+        whole = [t for t in range(len(self.scheme.low) - 1) if self.scheme.halved(t)]
         always = F.col("tag").isin(whole)
         rows = used.filter((F.col("outside") <= OUTSIDERS) | always)
         outside = rows.filter("component <> main").alias("p")
@@ -418,21 +426,15 @@ class NgramJoin:
         pairs = self.ordered(met.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")), "a", "b")
 
         # sets with more unused segments than the slack
-        unused = used.filter((F.col("outside") > OUTSIDERS) & ~always).groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("unused"))
-        entries = self.sizes.filter("doc_id is not null").select("doc_id", F.explode(F.array(F.struct("tag", "empty"), F.struct(F.col("tag2").alias("tag"), F.col("empty2").alias("empty")))).alias("e")).select("doc_id", "e.tag", "e.empty").filter("tag is not null")
+        unused = used.filter((F.col("outside") > OUTSIDERS) & ~always).groupBy("doc_id", "tag").agg(F.count_distinct("key").alias("unused"))
+        entries = self.sizes.filter("doc_id is not null").select("doc_id", F.explode(F.array(F.struct("tag", "empty"), F.struct(F.col("tag2").alias("tag"), F.col("empty2").alias("empty")))).alias("e")).select("doc_id", "e.tag", "e.empty").filter(F.col("tag").isNotNull() & ~F.col("tag").isin(whole))
         top = 1 + (entries.agg(F.max("tag").alias("t")).first().t or 0)
         slack = F.array(*[F.lit(self.scheme.slack(t)) for t in range(top)])
-        segments = F.array(*[F.lit(self.scheme.segments(t)) for t in range(top)])
-        counted = entries.join(unused, ["doc_id", "tag"], "left").withColumn("bad", F.col("empty") + F.coalesce("unused", F.lit(0)))
-        few = counted.filter(F.col("bad") > slack[F.col("tag")]).filter(~F.col("tag").isin(whole))
-        few = materialize(few.select("doc_id", "tag", (2 * F.col("bad") >= segments[F.col("tag")] + slack[F.col("tag")] + 1).alias("alone")).distinct())
-        pairs = pairs.unionByName(self.neighbourhood_pairs(few, found)).distinct()
+        counted = entries.join(unused, ["doc_id", "tag"], "left").filter(F.col("empty") + F.coalesce("unused", F.lit(0)) > slack[F.col("tag")])
+        few = materialize(counted.select("doc_id").distinct())
 
-        more = self.verified(materialize(pairs.join(links, ["a", "b"], "left_anti")))
-        if not more.isEmpty():
-            links = materialize(links.unionByName(more).distinct())
-            found = materialize(components(links))
-        return links, found
+        links, found = self.with_links(links, found, pairs)
+        return (links, found) if few.isEmpty() else self.compare_rest(few, links, found)
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
