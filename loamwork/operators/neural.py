@@ -83,8 +83,11 @@ class Diffusion:
         x = self.rng.normal(size=(n, self.x.shape[1]))
         for t in range(len(self.schedule["alphabar"]) - 1, -1, -1):
             a, bar, beta = (self.schedule[k][t] for k in ("alpha", "alphabar", "beta"))
+            before = self.schedule["alphabar"][t - 1] if t else 1.0
             noise = apply_head(self.features(x, np.full(n, t)), self.w)
-            x = (x - beta / math.sqrt(1 - bar) * noise) / math.sqrt(a)
+            # the clean patch that this noise implies, held to the range of z-scores, keeps early steps from running off
+            clean = np.clip((x - math.sqrt(1 - bar) * noise) / math.sqrt(bar), -3, 3)
+            x = (math.sqrt(before) * beta * clean + math.sqrt(a) * (1 - before) * x) / (1 - bar)
             if t:
                 x = x + math.sqrt(beta) * self.rng.normal(size=x.shape)
         return (x * self.sd + self.mean).reshape(n, *self.shape)

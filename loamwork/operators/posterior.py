@@ -18,7 +18,7 @@ def from_arrays(df: DataFrame, query_id: str, draws: str) -> DataFrame:
 
 def from_gaussian(df: DataFrame, query_id: str, mean: str, sd: str, draws: int = 500, seed: int = 1) -> DataFrame:
     """Seeded normal draws; the seed and the query alone fix a draw, not the partitioning."""
-    u = lambda k: (F.pmod(F.xxhash64(query_id, "draw_id", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = lambda k: (F.pmod(F.xxhash64("query_id", "draw_id", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     long = df.select(F.col(query_id).alias("query_id"), F.col(mean).alias("m_"), F.col(sd).alias("s_"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw_id"))
     z = F.sqrt(-2 * F.log(u(0))) * F.cos(2 * F.pi() * u(1))
     return long.withColumn("value", F.col("m_") + F.col("s_") * z).drop("m_", "s_")

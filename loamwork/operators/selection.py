@@ -114,8 +114,11 @@ def latin_design(df: DataFrame, key: str, names: list[str], n: int, seed: int =
     """n rows that cover the strata of each column: by stratum of the sum of ranks, the row of lowest seeded hash."""
     whole = complete(df, names)
     cuts = whole.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias(c) for c in names]).first()
-    stratum = [F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda q, c=c: q < F.col(c))) if n > 1 else F.lit(0) for c in names]
-    placed = whole.withColumn("s_", (sum(stratum, F.lit(0)) + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n))) % n)
+
+    def stratum(c: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda q: q < F.col(c))) if n > 1 else F.lit(0)
+
+    placed = whole.withColumn("s_", (sum(map(stratum, names), F.lit(0)) + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n))) % n)
     w = Window.partitionBy("s_").orderBy(F.xxhash64(key, F.lit(seed)), key)
     return placed.withColumn("r_", F.row_number().over(w)).filter("r_ = 1").drop("r_", "s_")
 
