@@ -107,3 +107,22 @@ def squared_distance(a: Column | str, b: Column | str) -> Column:
 def record_hash(record_id: Column | str, text: Column | str) -> Column:
     """Identity of an extraction: the id and how the text begins."""
     return F.md5(F.concat_ws(" ", col(record_id).cast("string"), F.substring(col(text), 1, 200)))
+
+
+def in_polygon(x: Column | str, y: Column | str, corners: list[tuple[float, float]]) -> Column:
+    """Whether a point lies in a polygon: an odd number of sides crossed on the way to the right. The bounding box is a
+    plain predicate before it, which a scan can push down."""
+    px, py = col(x), col(y)
+    xs, ys = [a for a, _ in corners], [b for _, b in corners]
+    box = px.between(min(xs), max(xs)) & py.between(min(ys), max(ys))
+    crossed = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        if y1 != y2:
+            side = ((F.lit(y1) > py) != (F.lit(y2) > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+            crossed = crossed + side.cast("int")
+    return box & (crossed % 2 == 1)
+
+
+def in_range(c: Column | str, low: float, high: float) -> Column:
+    """Text or number as a double inside the range; what is no number isn't."""
+    return F.coalesce(col(c).cast("string").try_cast("double").between(low, high), F.lit(False))

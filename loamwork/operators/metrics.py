@@ -58,3 +58,22 @@ def calibration_error(df: DataFrame, obs: str, quantiles: str, levels: list[floa
     below = [F.avg((F.col(obs) <= F.col(quantiles)[i]).cast("double")) for i in range(len(levels))]
     one = whole.agg(F.array(*[F.struct(F.lit(level).alias("level"), b.alias("share")) for level, b in zip(levels, below, strict=True)]).alias("l"))
     return one.select(F.inline("l")).withColumn("gap", F.abs(F.col("share") - F.col("level")))
+
+
+def median_deviation(df: DataFrame, by: list[str], value: str, floor: float = 1e-6) -> DataFrame:
+    """Median of each group and the median distance to it, at least `floor`: two aggregates, the first joined back."""
+    middle = df.groupBy(*by).agg(F.median(value).alias("median"))
+    met = df.join(middle, by)
+    return met.groupBy(*by, "median").agg(F.greatest(F.lit(floor), F.median(F.abs(F.col(value) - F.col("median")))).alias("deviation"))
+
+
+def frequencies(df: DataFrame, value: str, top: int | None = None) -> DataFrame:
+    """Values by how often they occur, ties by value."""
+    out = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), value)
+    return out.limit(top) if top else out
+
+
+def varying_columns(df: DataFrame, names: list[str], least: float = 1e-12) -> list[str]:
+    """The columns whose variance is above `least`, by one aggregate."""
+    row = df.agg(*[F.var_samp(c).alias(c) for c in names]).first()
+    return [c for c in names if row[c] is not None and row[c] > least]

@@ -142,4 +142,20 @@ SQL: dict[str, str] = {
       round(quantile_cont(confidence, 0.75), 4) as confidence_75, round(quantile_cont(confidence, 1.0), 4) as confidence_100 from t, n group by n_nodes""",
     "window_event_counts": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*)::bigint as n, round(sum(value), 3) as total from events group by 1, 2",
     "resumable_ingest": "select doc_id from documents where doc_id not in (select doc_id from labels)",
+    "record_hashes": "select doc_id, md5(doc_id || ' ' || substr(coalesce(text, ''), 1, 200)) as hash from documents",
+    "dag_lines": f"with {TRANS} select distinct cause || ' -> ' || effect as line from tr where cause <> effect and confidence >= 0.99",
+    "curie_names": """select p_partkey, case when regexp_matches(p_name, '^[A-Za-z]') then regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g') else 'n_' || regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g') end as curie,
+      '"' || p_name || '"' as literal from part""",
+    "median_scale": """with m as (select p_brand, median(p_retailprice) as m from part group by 1) select p_brand, round(m, 3) as median, round(greatest(1e-6, median(abs(p_retailprice - m))), 3) as deviation from part join m using (p_brand) group by p_brand, m""",
+    "monthly_means": "select o_orderstatus, strftime(o_orderdate, '%Y-%m') as month, round(avg(o_totalprice), 3) as mean from orders group by 1, 2",
+    "points_in_polygon": f"""with {PTS} select k as vec_id from pt where x between -1 and 1 and y between -1 and 1 and
+      (case when (-1.0 > y) <> (1.0 > y) and x < 1.0 then 1 else 0 end + case when (1.0 > y) <> (0.1 > y) and x < (0.0 - 1.0) * (y - 1.0) / (0.1::double - 1.0) + 1.0 then 1 else 0 end
+      + case when (0.1::double > y) <> (1.0 > y) and x < (-1.0 - 0.0) * (y - 0.1::double) / (1.0 - 0.1::double) + 0.0 then 1 else 0 end + case when (1.0 > y) <> (-1.0 > y) and x < -1.0 then 1 else 0 end) % 2 = 1""",
+    "quality_range": "select event_id from events where event_id % 5 <> 0 and value between 10 and 50",
+    "top_values": "select p_type, count(*)::bigint as n from part group by 1 order by 2 desc, 1 limit 5",
+    "physics_gate": """select p_partkey from part where p_retailprice between 900 + p_size * 2.0::double - 0.25 * greatest(abs((950 + p_size * 4.0::double) - (900 + p_size * 2.0::double)), 1e-9)
+      and 950 + p_size * 4.0::double + 0.25 * greatest(abs((950 + p_size * 4.0::double) - (900 + p_size * 2.0::double)), 1e-9)""",
+    "annotation_checks": "select doc_id::varchar as abstract_id, (case when toxic = 0 then 0 else 1 end + case when quality = 1 then 0 else 1 end + case when doc_id % 4 / 2.0 between 0 and 1 then 0 else 1 end)::bigint as n_errors from labels",
+    "dag_adjustment": """with m as (select covar_pop(l_extendedprice, l_quantity) as yx, covar_pop(l_extendedprice, l_discount) as yw, covar_pop(l_quantity, l_discount) as xw, var_pop(l_quantity) as xx, var_pop(l_discount) as ww from lineitem)
+      select 'l_discount' as adjusted_for, round((yx * ww - yw * xw) / (xx * ww - xw * xw), 2) as effect from m""",
 }

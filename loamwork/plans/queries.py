@@ -430,11 +430,91 @@ def greedy_selection(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, int(k)) for i, k in enumerate(picked)], "pick long, s_suppkey long")
 
 
+# small operators of the pillars
+
+
+def record_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", C.record_hash("doc_id", F.coalesce("text", F.lit(""))).alias("hash"))
+
+
+def dag_lines(spark: SparkSession, d: str) -> DataFrame:
+    return graph.dag_text(transitions(spark, d).filter("cause <> effect"), 0.99).withColumnRenamed("value", "line")
+
+
+def curie_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", C.curie("p_name").alias("curie"), C.turtle_text("p_name").alias("literal"))
+
+
+def median_scale(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.median_deviation(table(spark, d, "part").select("p_brand", "p_retailprice"), ["p_brand"], "p_retailprice"), 3)
+
+
+def monthly_means(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
+    return rounded(o.groupBy("o_orderstatus", "month").agg(F.avg("o_totalprice").alias("mean")), 3)
+
+
+#: A concave polygon around a part of the points.
+CORNERS = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (0.0, 0.1), (-1.0, 1.0)]
+
+
+def points_in_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return points(spark, d).filter(C.in_polygon("x", "y", CORNERS)).select("vec_id")
+
+
+def quality_range(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("v"))
+    return ev.filter(C.in_range("v", 10, 50)).select("event_id")
+
+
+def top_values(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.frequencies(table(spark, d, "part"), "p_type", 5)
+
+
+def physics_gate(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
+    ok = selection.range_gate(F.col("p_retailprice"), 900 + F.col("p_size") * 2.0, 950 + F.col("p_size") * 4.0, 1.25)
+    return part.filter(ok).select("p_partkey")
+
+
+def annotation_checks(spark: SparkSession, d: str) -> DataFrame:
+    lb = table(spark, d, "labels")
+    claim = F.struct(F.lit("a").alias("cause"), F.lit("b").alias("effect"), F.when(F.col("quality") == 1, "+").otherwise("?").alias("polarity"), (F.col("doc_id") % 4 / 2.0).alias("confidence"))
+    rows = lb.select(F.col("doc_id").cast("string").alias("abstract_id"), F.when(F.col("toxic") == 0, "text").alias("abstract_text"), F.array(claim).alias("claims"))
+    return docs.validate_annotations(rows).select("abstract_id", F.size("errors").cast("long").alias("n_errors"))
+
+
+def dag_adjustment(spark: SparkSession, d: str) -> DataFrame:
+    g = causal.Dag([("l_discount", "l_quantity"), ("l_discount", "l_extendedprice"), ("l_quantity", "l_extendedprice"), ("l_tax", "l_quantity")])
+    chosen = g.adjustment_set("l_quantity", "l_extendedprice")
+    fit = moments.adjusted_effect(table(spark, d, "lineitem").select("l_discount", "l_quantity", "l_extendedprice", "l_tax"), "l_extendedprice", "l_quantity", chosen)
+    return rounded(spark.createDataFrame([(",".join(chosen), float(fit["adjusted"]))], "adjusted_for string, effect double"), 2)
+
+
+def prototype_kernel(spark: SparkSession, d: str) -> DataFrame:
+    import numpy as np
+
+    rows = points(spark, d).groupBy("label").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).orderBy("label").collect()  # one row a class
+    k = kernels.quantum_gram(kernels.encode(np.array([[r.x, r.y] for r in rows])))
+    return rounded(spark.createDataFrame([(int(rows[i].label), int(rows[j].label), float(k[i, j])) for i in range(len(rows)) for j in range(i)], "i long, j long, k double"), 5)
+
+
+def covering_design(spark: SparkSession, d: str) -> DataFrame:
+    sup = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("n"))
+    return selection.latin_design(sup, "s_suppkey", ["s_acctbal", "n"], 8).select("s_suppkey")
+
+
+def synthetic_cube(spark: SparkSession, d: str) -> DataFrame:
+    cube, _ = grids.scaled(grids.synthetic_cube(spark, 6, 6, 12), ["precip", "soc"])
+    return rounded(cube, 5)
+
+
 ALL = [
     metrics_by_flag, ece_levels, posterior_summary, crps_by_query, picp_mpiw, interval_reliability, minmax_constant_rules, ols_slope_adjusted, ols_by_group, iv_2sls, iv_first_stage_f, iv_sargan,
     sensitivity_grid, rolling_effect, mann_kendall, leverage_topk, corpus_dedupe, label_normalise, edge_merge, edge_rank, edge_rename, align_cascade, align_edit_distance, vote_majority, vote_weighted,
     vote_intersection, claim_match_exact, claim_match_greedy, prf1, kappa, token_cost, json_claims, inverted_index_roundtrip, shd_edges, knn_graph, knn_weights, attention_softmax, min_distance_select,
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
     taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, resumable_ingest, turtle_lines, assimilated_cells, profile_fits, forest_quantiles, bootstrap_slope, greedy_selection,
+    record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,
 ]
 
