@@ -109,7 +109,10 @@ def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
 
 
 def keep_accepted(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is told by a wide enough margin."""
+    """The rows of docs, with all their columns, whose language is told by a wide enough margin; all rows where no
+    language was learned."""
+    if not model:
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     at = docs.columns.index("text")

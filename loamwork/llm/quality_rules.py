@@ -75,11 +75,11 @@ def host_verdicts(counts: DataFrame, max_rate: float = 0.5) -> DataFrame:
         F.count_if("base_failed").alias("host_failed"),
     )
     raw = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("v"))
-    strength = F.when(F.col("v") > 0, F.greatest(F.lit(1.0), F.least(F.lit(10_000.0), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(1.0))
-    prior = prior.select((F.col("m") * strength).alias("a"), strength.alias("ab"))
-    rated = hosts.join(F.broadcast(prior)).withColumn("host_rate", (F.col("host_failed") + F.col("a")) / (F.col("host_docs") + F.col("ab")))
-    return rated.withColumn("host_kept", F.col("host_rate") <= max_rate).drop("a", "ab")
+    seen = hosts.agg(F.avg(raw).alias("m"), F.coalesce(F.var_samp(raw), F.lit(0.0)).alias("v")).first()  # one row
+    mean = seen.m or 0.0
+    strength = max(1.0, min(10_000.0, mean * (1 - mean) / seen.v - 1)) if seen.v and seen.v > 0 else 1.0
+    rate = (F.col("host_failed") + F.lit(mean) * F.lit(strength)) / (F.col("host_docs") + F.lit(strength))
+    return hosts.withColumn("host_rate", rate).withColumn("host_kept", F.col("host_rate") <= max_rate)
 
 
 def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = 0.5, max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
