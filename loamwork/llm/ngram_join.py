@@ -374,10 +374,13 @@ class NgramJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(np.array(counts, np.int64), counts))], ["key", "doc_id", "n"])
 
         all_rows = materialize(self.texts(few).mapInArrow(run, "key long, doc_id long, n long"))
-        common = all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-        placed = all_rows.join(common, "key").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "key")))
+        common = all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        # shingles that one set only has come first: their number is what the others leave of the set's size
+        shared = all_rows.join(common, "key")
+        in_set = Window.partitionBy("doc_id")
+        place = F.col("n") - F.count(F.lit(1)).over(in_set) + F.row_number().over(in_set.orderBy("df", "key"))
         first = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-        return materialize(placed.filter((F.col("place") <= first) & (F.col("df") > 1)).select("key", "doc_id", "n", "place"))
+        return materialize(shared.withColumn("place", place).filter(F.col("place") <= first).select("key", "doc_id", "n", "place"))
 
     def compare_rest(self, few: DataFrame, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links and components with those among the sets `few`: first each key's sets against its smallest, of which
@@ -411,12 +414,12 @@ class NgramJoin:
         links = self.verified(materialize(self.ordered(self.stars, "a", "b")))
         found = materialize(components(links))
 
-        # keys whose documents aren't in one component yet
+        # keys whose documents aren't in one component yet; two documents alone have been compared already
         held = materialize(self.labelled(self.shares, found))
-        parts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("n > top.n")
-        open_keys = materialize(largest.select("key", F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("outside")))
-        used = held.join(open_keys, "key")
+        parts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("several"))
+        largest = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"), F.bool_or("several").alias("several"))
+        open_keys = largest.filter("components > 2 or components = 2 and several").select("key", F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("outside"))
+        used = materialize(held.join(open_keys, "key"))
         # keys of neighbourhoods have no slack: they are always used
         whole = [t for t in range(len(self.scheme.low) - 1) if self.scheme.halved(t)]
         always = F.col("tag").isin(whole)
