@@ -65,6 +65,8 @@ def assimilate(ensemble: DataFrame, observations: DataFrame, radius: float | Non
     at = ensemble.join(F.broadcast(observations.select("row", "col")), ["row", "col"], "left_semi").toPandas()
     wide = at.pivot_table(index="member", columns=["col", "row"], values="value").sort_index()
     hx = wide.reindex(columns=pd.MultiIndex.from_arrays([obs.col, obs.row])).to_numpy()
+    if np.isnan(hx).any():
+        raise ValueError("[assimilate] a member lacks a value at an observed cell")
     n = len(hx)
     ha = hx - hx.mean(axis=0)
     inverse = np.linalg.inv(ha.T @ ha / (n - 1) + np.diag(obs.sd.to_numpy() ** 2))

@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
     "curie_names": """select p_partkey, case when regexp_matches(p_name, '^[A-Za-z]') then regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g') else 'n_' || regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g') end as curie,
       '"' || p_name || '"' as literal from part""",
     "median_scale": """with m as (select p_brand, median(p_retailprice) as m from part group by 1) select p_brand, round(m, 3) as median, round(greatest(1e-6, median(abs(p_retailprice - m))), 3) as deviation from part join m using (p_brand) group by p_brand, m""",
-    "monthly_means": "select o_orderstatus, strftime(o_orderdate, '%Y-%m') as month, round(avg(o_totalprice), 3) as mean from orders group by 1, 2",
+    "monthly_means": "select o_orderstatus, strftime(o_orderdate, '%Y-%m') as month, round(avg(o_totalprice), 7) as mean from orders group by 1, 2",
     "points_in_polygon": f"""with {PTS} select k as vec_id from pt where x between -1 and 1 and y between -1 and 1 and
       (case when (-1.0 > y) <> (1.0 > y) and x < 1.0 then 1 else 0 end + case when (1.0 > y) <> (0.1 > y) and x < (0.0 - 1.0) * (y - 1.0) / (0.1::double - 1.0) + 1.0 then 1 else 0 end
       + case when (0.1::double > y) <> (1.0 > y) and x < (-1.0 - 0.0) * (y - 0.1::double) / (1.0 - 0.1::double) + 0.0 then 1 else 0 end + case when (1.0 > y) <> (-1.0 > y) and x < -1.0 then 1 else 0 end) % 2 = 1""",

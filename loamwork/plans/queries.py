@@ -394,9 +394,9 @@ def turtle_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assimilated_cells(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 30).cast("int").alias("member"), F.pmod("l_partkey", F.lit(8)).cast("int").alias("row"), F.pmod("l_suppkey", F.lit(8)).cast("int").alias("col"), "l_quantity")
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 12).cast("int").alias("member"), F.pmod("l_partkey", F.lit(4)).cast("int").alias("row"), F.pmod("l_suppkey", F.lit(4)).cast("int").alias("col"), "l_quantity")
     ens = li.groupBy("member", "row", "col").agg(F.avg("l_quantity").alias("value"))
-    obs = spark.createDataFrame([(2, 3, 30.0, 0.5), (6, 6, 20.0, 0.5)], "row int, col int, observed double, sd double")
+    obs = spark.createDataFrame([(2, 3, 30.0, 0.5), (0, 1, 20.0, 0.5)], "row int, col int, observed double, sd double")
     analysis, _ = grids.assimilate(ens, obs, 2.0)
     return rounded(analysis.groupBy("row", "col").agg(F.avg("value").alias("mean")), 4)
 
@@ -451,7 +451,7 @@ def median_scale(spark: SparkSession, d: str) -> DataFrame:
 
 def monthly_means(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
-    return rounded(o.groupBy("o_orderstatus", "month").agg(F.avg("o_totalprice").alias("mean")), 3)
+    return rounded(o.groupBy("o_orderstatus", "month").agg(F.avg("o_totalprice").alias("mean")), 7)
 
 
 #: A concave polygon around a part of the points.
