@@ -15,7 +15,7 @@ SPACE = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Words whose count a task remembers; beyond that it forgets them all and goes on.
-MEMORY = 300_000
+MEMORY = 600_000
 #: Only words up to so many characters are remembered.
 MEMORY_CHARS = 64
 
@@ -49,58 +49,43 @@ class CountViterbi:
         self.memory: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
-        """Pieces and score of a word that begins with the space mark."""
-        known = self.memory.get(word)
-        if known is None:
-            known = self.count(word)
-            if len(word) <= MEMORY_CHARS:
-                if len(self.memory) >= MEMORY:
-                    self.memory.clear()
-                self.memory[word] = known
+        """Pieces and score of a word, the space mark before it not counted in."""
+        known = self.count(SPACE + word)
+        if len(word) <= MEMORY_CHARS:
+            if len(self.memory) >= MEMORY:
+                self.memory.clear()
+            self.memory[word] = known
         return known
 
     def count(self, word: str) -> tuple[int, float]:
         size = len(word)
-        best = [0.0] * (size + 1)
+        best: list[float | None] = [0.0, *[None] * size]
         pieces = [0] * (size + 1)
         unknown = [False] * (size + 1)  # the best path ends with an unknown
-        at = 0
-
-        def close(end: int, found: list[tuple[int, float]]) -> None:
-            """found: pieces ending here, longest and so earliest start first."""
-            top, n, odd = None, 0, False
-            single = False
-            for length, score in found:
-                start = end - length
-                x = best[start] + score
-                single |= length == 1
-                if top is None or x > top:
-                    top, n, odd = x, pieces[start] + 1, False
-            if not single:
-                x = best[end - 1] + self.unknown
-                if top is None or x > top:
-                    more = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.bytes else 0 if unknown[end - 1] else 1
-                    top, n, odd = x, pieces[end - 1] + more, True
-            best[end], pieces[end], unknown[end] = top, n, odd
-
-        found: list[tuple[int, float]] = []
-        here = -1
-        for end, match in self.automaton.iter(word):
-            if end != here:
-                if here >= 0:
-                    close(here + 1, sorted(found, key=lambda m: -m[0]))
-                    at = here + 1
-                found, here = [], end
-                while at < end:
-                    at += 1
-                    close(at, [])
-            found.append(match)
-        if here >= 0:
-            close(here + 1, sorted(found, key=lambda m: -m[0]))
-            at = here + 1
-        while at < size:
-            at += 1
-            close(at, [])
+        single = [False] * (size + 1)  # a piece covers the last character alone
+        done = 0
+
+        def close(upto: int) -> None:
+            """No more matches end here: characters without a piece of their own may be unknown."""
+            for end in range(done + 1, upto + 1):
+                if not single[end]:
+                    x = best[end - 1] + self.unknown
+                    if best[end] is None or x > best[end]:
+                        more = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.bytes else 0 if unknown[end - 1] else 1
+                        best[end], pieces[end], unknown[end] = x, pieces[end - 1] + more, True
+
+        # matches come by their end, of one end the longest, which starts first, first
+        for last, (length, score) in self.automaton.iter(word):
+            if done < last:
+                close(last)
+                done = last
+            end = last + 1
+            x, old = best[end - length] + score, best[end]
+            if old is None or x > old:
+                best[end], pieces[end] = x, pieces[end - length] + 1
+            if length == 1:
+                single[end] = True
+        close(size)
         return pieces[size], best[size]
 
     def text(self, text: str | None) -> tuple[int, float]:
@@ -109,8 +94,9 @@ class CountViterbi:
         marked = text.replace(" ", SPACE)
         words = (marked[1:] if marked[0] == SPACE else marked).split(SPACE)
         n, total = 0, 0.0
+        known = self.memory.get
         for w in words:
-            a, b = self.word(SPACE + w)
+            a, b = known(w) or self.word(w)
             n += a
             total += b
         return n, total
