@@ -27,8 +27,6 @@ WEAK_SECRET = f"(?<![A-Za-z0-9_])({_either('pass')}|{_either('pwd')}|{_either('p
 ENDPOINT = f"(?:[a-z][a-z0-9+]{{1,15}}://[A-Za-z0-9.-]+(?::[0-9]{{1,5}})?|(?<![A-Za-z0-9_])(?:{_either('host')}|{_either('endpoint')}|{_either('server')})[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9.-]{{4,}})"
 BLANK = "\\n[\\x20\\t\\r]*\\n"
 
-KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint", "blank")
-
 
 def base_spans(text: Column) -> list[Column]:
     value = lambda s: F.regexp_extract(s["hit"], ASSIGN, 2)

@@ -38,8 +38,8 @@ class CountViterbi:
     unknowns count as one piece.
     """
 
-    def __init__(self, vocabulary: list[tuple[str, float]], unknown: int = 0, special: frozenset[str] = frozenset({"<unk>", "<s>", "</s>"})):
-        self.bytes = all(f"<0x{b:02X}>" in {p for p, _ in vocabulary} for b in (0, 255))
+    def __init__(self, vocabulary: list[tuple[str, float]]):
+        self.bytes = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in vocabulary}
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
