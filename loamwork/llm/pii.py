@@ -15,8 +15,13 @@ IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = "[0-9](?:[\\x20-]?[0-9]){11,}+"
 PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 
-#: A label before a value, the context from which patterns are induced.
-LABELLED = "(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]{1,23}\\x20?[:=#]\\x20?[\"']?[A-Za-z0-9+][A-Za-z0-9@._+()/-]{4,63}"
+#: A blank between groups of digits, and what stands for it while words are told apart: as long, but not a blank.
+BETWEEN, JOINED = "(?<=[0-9)])\\x20(?=[0-9(])", "\u00a0"
+#: A label before a value: one of the contexts from which patterns are induced. The other is two words beside a value.
+LABELLED = "(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]{1,23}\\x20?[:=#]\\x20?[\"']?[A-Za-z0-9+(][A-Za-z0-9@._+()/\u00a0-]{4,}+"
+#: What a word has around it that is not of its value; a bracket that opens a group of digits is.
+BEFORE, AFTER = "^(?:[\\[{<\"']|\\((?![0-9]))++", "[.,;:!?)\\]}>\"']++$"
+WORD = "\\S++"
 LABEL, VALUE = "^([A-Za-z_]+)", "[:=#]\\x20?[\"']?(.*)$"
 
 #: A pattern is trusted from this confidence and this many different instances on.
@@ -53,6 +58,72 @@ def base_spans(text: Column) -> list[Column]:
     ]
 
 
+def _joined(text: Column) -> Column:
+    return F.regexp_replace(text, BETWEEN, JOINED)
+
+
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(word, BEFORE, ""), AFTER, "")
+
+
+def _threes(array: Column) -> Column:
+    """Each three neighbours of an array as (a, b, c)."""
+    n = F.size(array) - 2
+    of = lambda i: F.slice(array, i, F.greatest(n, F.lit(0)))
+    return F.when(n > 0, F.arrays_zip(of(1).alias("a"), of(2).alias("b"), of(3).alias("c")))
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(_joined(text), "\\s++", " ")), " ")
+
+
+def _beside(a: Column, b: Column, c: Column) -> Column:
+    """The two patterns of three words: the last one after the first two, the first one before the last two."""
+    return F.array(F.struct(F.lower(F.concat(a, F.lit(" "), b, F.lit(" *"))).alias("label"), F.lit(True).alias("last")), F.struct(F.lower(F.concat(F.lit("* "), b, F.lit(" "), c)).alias("label"), F.lit(False).alias("last")))
+
+
+def beside_base(text: Column, base: Column) -> Column:
+    """(label, value_hash) of the words beside the base spans of a text."""
+    values = F.transform(base, lambda s: _joined(s["hit"]))
+    threes = F.coalesce(_threes(_words(text)), F.array().cast("array<struct<a:string,b:string,c:string>>"))
+    of = lambda k, i: F.transform(F.filter(threes, lambda t: F.array_contains(values, _bare(t[k]))), lambda t: F.struct(_beside(t["a"], t["b"], t["c"])[i]["label"].alias("label"), F.xxhash64(_bare(t[k])).alias("value_hash")))
+    return F.when(F.size(base) > 0, F.array_distinct(F.concat(of("c", 0), of("a", 1))))
+
+
+def _small(labels: DataFrame) -> DataFrame:
+    return F.broadcast(labels) if labels.count() <= MAX_LABELS else labels
+
+
+def word_instances(rows: DataFrame, found: DataFrame, support: int) -> DataFrame | None:
+    """(label, value_hash, seed) of all words that stand where `support` different base values do, or None.
+
+    Labels are the two words before or after. Counted from the base spans first, so that the words of the corpus are
+    gone through only for labels that can be trusted.
+    """
+    seeds = materialize(found.filter("beside is not null").select(F.inline("beside")).distinct())
+    labels = materialize(seeds.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("label"))
+    if labels.isEmpty():
+        return None
+    threes = rows.select(F.inline(_threes(_words(F.col("text"))))).select("a", "c", F.inline(_beside(F.col("a"), F.col("b"), F.col("c"))))
+    said = threes.join(_small(labels), "label", "left_semi").select("label", F.xxhash64(_bare(F.when(F.col("last"), F.col("c")).otherwise(F.col("a")))).alias("value_hash")).distinct()
+    known = seeds.select("value_hash").distinct().withColumn("seed", F.lit(True))
+    return said.join(known, "value_hash", "left").select("label", "value_hash", F.coalesce("seed", F.lit(False)).alias("seed"))
+
+
+def word_values(rows: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, text_hash, value, start, end of the words beside trusted labels."""
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    near = rows.select("doc_id", "text_hash", F.inline(_threes(_words(F.col("text"))))).select("doc_id", "text_hash", F.inline(_beside(F.col("a"), F.col("b"), F.col("c"))))
+    texts = near.join(trusted, "label", "left_semi").select(F.col("doc_id").alias("n_id"), F.col("text_hash").alias("n_hash")).distinct()
+    some = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("text_hash") == F.col("n_hash")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    words = some.select("doc_id", "text_hash", F.inline(_threes(matches(_joined(F.col("text")), WORD, "word", 5))))
+    both = words.select("doc_id", "text_hash", "a", "c", F.inline(_beside(F.col("a.hit"), F.col("b.hit"), F.col("c.hit")))).join(trusted, "label", "left_semi")
+    word = both.select("doc_id", "text_hash", F.when(F.col("last"), F.col("c")).otherwise(F.col("a")).alias("w"))
+    start = F.col("w.start") + F.length("w.hit") - F.length(F.regexp_replace("w.hit", BEFORE, ""))
+    value = word.select("doc_id", "text_hash", _bare(F.col("w.hit")).alias("value"), start.alias("start")).filter("value <> ''")
+    return value.withColumn("end", F.col("start") + F.length("value"))
+
+
 def trusted_labels(instances: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """Labels whose values are personal data, from rows (label, value_hash, seed).
 
@@ -77,8 +148,8 @@ def pii_spans(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
     label = F.lower(F.regexp_extract(F.col("c.hit"), LABEL, 1))
-    searched = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_sort(F.concat(*base_spans(F.col("text")))).alias("base"), matches(F.col("text"), LABELLED, "context", 4).alias("labelled"))
-    found = materialize(searched)
+    searched = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.array_sort(F.concat(*base_spans(F.col("text")))).alias("base"))
+    found = materialize(searched.select("doc_id", "text_hash", "base", matches(_joined(F.col("text")), LABELLED, "context", 4).alias("labelled"), beside_base(F.col("text"), F.col("base")).alias("beside")))
     keyed = found.filter(F.size("labelled") > 0).dropDuplicates(["doc_id", "text_hash"])
     said = keyed.select("doc_id", "text_hash", "base", F.explode("labelled").alias("c")).select(
         "doc_id", "text_hash", label.alias("label"), F.regexp_extract("c.hit", VALUE, 1).alias("value"), F.col("c.end").alias("end"), "base"
@@ -86,10 +157,18 @@ def pii_spans(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
     start = F.col("end") - F.length("value")
     seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     values = materialize(said.filter("value <> ''").withColumn("start", start).withColumn("seed", seed).select("doc_id", "text_hash", "label", F.xxhash64("value").alias("value_hash"), "value", "start", "end", "seed"))
-    trusted = trusted_labels(values.select("label", "value_hash", "seed"), rounds, confidence, support)
-    trusted = F.broadcast(trusted) if trusted.count() <= MAX_LABELS else trusted
+    instances = values.select("label", "value_hash", "seed")
+    beside = word_instances(rows, found, support)
+    trusted = trusted_labels(instances if beside is None else instances.unionByName(beside), rounds, confidence, support)
+    trusted = _small(trusted)
+    at = ["doc_id", "text_hash", "value", "start", "end"]
+    added = values.filter("not seed").join(trusted, "label", "left_semi").select(*at)
+    if beside is not None and not trusted.filter("label like '% %'").isEmpty():
+        own = found.filter(F.size("base") > 0).select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), "base").dropDuplicates(["b_id", "b_hash"])
+        worded = word_values(rows, trusted).join(own, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")), "left")
+        added = added.unionByName(worded.filter(~F.coalesce(seed, F.lit(False))).select(*at)).dropDuplicates(["doc_id", "text_hash", "start", "end"])
     span = F.struct("start", F.lit(4).alias("kind_no"), "end", F.lit("context").alias("kind"), F.col("value").alias("hit"))
-    fresh = values.filter("not seed").join(trusted, "label", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("added"))
+    fresh = added.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("added"))
     fresh = fresh.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), F.col("added").cast(f"array<{SPAN}>").alias("added"))
     joined = found.select("doc_id", "text_hash", "base").join(fresh, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")), "left")
     return joined.select("doc_id", "text_hash", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))
@@ -98,8 +177,10 @@ def pii_spans(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDE
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each document.
 
-    Base spans always stay. Values with a label before them (`label: value`) whose label is trusted, because most
-    values that it introduces in the corpus are base entities, are added as `context`. Offsets are code points, end
+    Base spans always stay. Values with a label before them (`label: value`), and words with two words before or after
+    them, whose label or two words are trusted, because most values beside them in the corpus are base entities, are
+    added as `context`. Two words count from `support` different base values on; blanks in a value stand between groups
+    of digits or brackets. Offsets are code points, end
     exclusive. A null text is empty; repeated rows and null ids keep their rows (equal texts of one id have equal
     spans); an empty table gives no rows; other columns are ignored.
     """

@@ -238,6 +238,16 @@ def test_contexts_are_learned(spark):
     assert alone[3].spans == ""
 
 
+def test_contexts_with_blanks_words_and_long_values(spark):
+    texts = [f"tel: +1 ({100 + i}) 555-77{10 + i} ok" for i in range(8)] + [f"x{i} call me at a{i}@b{i}.com, y{i}" for i in range(8)] + [f"email: c{i}@d.org" for i in range(8)]
+    new = ["tel: (555) 123-4567 ok", "tel: 4111 1111 1111 1112 ok", "you can call me at (bob_at_home), please", "email: " + "x" * 100 + " end", "you can call her at bob_elsewhere, please", "x call me at eve@b.com"]
+    docs = table(spark, texts + new)
+    got, out = by_id(pii.find_pii(docs)), by_id(pii.redact(docs))
+    assert [got[24 + i].spans for i in range(6)] == ["context:5:19", "context:5:24", "context:20:31", "context:7:107", "", "email:13:22"]
+    assert [out[24 + i].text for i in (0, 2, 3)] == ["tel: [context] ok", "you can call me at ([context]), please", "email: [context] end"]
+    assert got[0].spans == "phone:5:22"
+
+
 # op 6
 
 
