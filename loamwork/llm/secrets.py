@@ -21,10 +21,25 @@ ASSIGN = f"({_either('password')}|{_either('passwd')}|{_either('secret')}|{_eith
 ACCESS = "AKIA[A-Z0-9]{12,}"  # a run that is too short has no longer part
 HEX = "[0-9a-f]{32,}"
 
-#: Weak candidates: alone they say little.
-WEAK_ID = f"(?<![A-Za-z0-9_])({_either('username')}|{_either('user')}|{_either('login')}|{_either('client')}_?{_either('id')}|{_either('account')}(?:_?{_either('id')})?|{_either('access')}_?{_either('id')})[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9@._-]{{3,64}}"
-WEAK_SECRET = f"(?<![A-Za-z0-9_])({_either('pass')}|{_either('pwd')}|{_either('pw')}|{_either('auth')}|{_either('credential')}|{_either('private')}_?{_either('key')})[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=!@#-]{{6,}}"
-ENDPOINT = f"(?:[a-z][a-z0-9+]{{1,15}}://[A-Za-z0-9.-]+(?::[0-9]{{1,5}})?|(?<![A-Za-z0-9_])(?:{_either('host')}|{_either('endpoint')}|{_either('server')})[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9.-]{{4,}})"
+#: Weak candidates: alone they say little. A keyword may stand anywhere in its name; the first look is whether a sign
+#: follows the name at all, so that long runs are read once.
+SIGN = "[\"']?\\x20*[:=]\\x20*[\"']?"
+NAME = "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]++[\"']?\\x20*[:=])"
+NO_ID = f"(?![A-Za-z0-9_]*(?:{_either('id')}|{_either('name')})(?![A-Za-z0-9_]))"
+
+
+def _named(words: list[str], value: str, guard: str = "") -> str:
+    return f"{NAME}{guard}[A-Za-z0-9_]*?(?:{'|'.join(words)})[A-Za-z0-9_]*+{SIGN}{value}"
+
+
+WEAK_ID = _named([_either("user"), _either("login"), f"{_either('client')}_?{_either('id')}", _either("account"), f"{_either('access')}_?(?:{_either('key')}_?)?{_either('id')}"], "[A-Za-z0-9@._-]{3,}+")
+WEAK_SECRET = _named(
+    [_either("pass"), _either("pwd"), _either("pw"), f"{_either('auth')}(?!{_either('or')}{_either('s')}?(?![A-Za-z]))", _either("credential"), _either("secret"), _either("token"), f"(?:{_either('private')}|{_either('access')}|{_either('account')}|{_either('api')}|{_either('shared')})_?{_either('key')}"],
+    "[A-Za-z0-9+/_.=!@#-]{6,}+", NO_ID,
+)
+ENDPOINT = f"(?:[a-z][a-z0-9+]{{1,15}}://[A-Za-z0-9.-]+(?::[0-9]{{1,5}})?|{_named([_either('host'), _either('endpoint'), _either('server')], '[A-Za-z0-9.-]{4,}+')})"
+#: A run without a name, from so many bits a character on.
+RUN, BITS = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", 3.5
 BLANK = "\\n[\\x20\\t\\r]*\\n"
 
 
@@ -33,40 +48,66 @@ def base_spans(text: Column) -> list[Column]:
     return [F.filter(matches(text, ASSIGN, "assign", 0), lambda s: F.length(value(s)) >= 8), matches(text, ACCESS, "access", 1), matches(text, HEX, "hex", 2)]
 
 
+def _bits(hit: Column) -> Column:
+    """Shannon entropy of a text's characters."""
+    chars, n = F.filter(F.split(hit, ""), lambda c: c != ""), F.length(hit).cast("double")
+    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    return F.aggregate(each, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+
+def _outside(found: Column, taken: Column) -> Column:
+    """The spans whose end, that is their value, no other span has."""
+    return F.filter(found, lambda w: ~F.exists(taken, lambda t: (t["start"] < w["end"]) & (t["end"] >= w["end"])))
+
+
+def weak_spans(rows: DataFrame) -> DataFrame:
+    """rows with `weak`: weak secrets, identifiers, endpoints and high-entropy runs, none within another or a base span."""
+    text, taken = F.col("text"), F.col("base")
+    mixed = lambda h: h.rlike("[A-Za-z]") & (h.rlike("[0-9]") | h.rlike("[a-z][A-Z]"))
+    runs = F.filter(F.filter(matches(text, RUN, "weak_run", 6), lambda s: mixed(s["hit"])), lambda s: _bits(s["hit"]) >= BITS)
+    out = rows.withColumns({"w_secret": matches(text, WEAK_SECRET, "weak_secret", 4), "w_id": matches(text, WEAK_ID, "weak_id", 3), "w_end": matches(text, ENDPOINT, "endpoint", 5), "w_run": runs})
+    out = out.withColumn("w_secret", _outside(F.col("w_secret"), taken))
+    out = out.withColumn("w_id", _outside(F.col("w_id"), F.concat("base", "w_secret")))
+    out = out.withColumn("w_end", _outside(F.col("w_end"), F.concat("base", "w_secret", "w_id")))
+    named = F.concat("base", "w_secret", "w_id", "w_end")
+    out = out.withColumn("w_run", F.filter("w_run", lambda w: ~F.exists(named, lambda t: (t["start"] < w["end"]) & (t["end"] > w["start"]))))
+    return out.withColumn("weak", F.concat("w_id", "w_secret", "w_end", "w_run")).drop("w_id", "w_secret", "w_end", "w_run")
+
+
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """Of rows (key columns, start, kind_no, end, kind), the weak ones whose complements lie in reach and in scope.
 
     The interval join is a range frame over the parts of one scope (a stretch without a blank line) in order of their
     start: how many identifiers, secrets and endpoints begin at most `reach` code points before or after. A weak secret
-    needs an identifier or an endpoint, a weak identifier a secret, an endpoint both.
+    needs an identifier or an endpoint, a run without a name an identifier, a weak identifier a secret or a run, an
+    endpoint both.
     """
     text = ["doc_id", "text_hash"]
     in_text = Window.partitionBy(*text).orderBy("start", "kind_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scoped = parts.withColumn("scope", F.count_if(F.col("kind") == "blank").over(in_text)).filter("kind <> 'blank'")
     near = Window.partitionBy(*text, "scope").orderBy("start").rangeBetween(-reach, reach)
     here = lambda *kinds: F.count_if(F.col("kind").isin(*kinds)).over(near)
-    counted = scoped.withColumns({"ids": here("access", "weak_id"), "secrets": here("assign", "hex", "weak_secret"), "endpoints": here("endpoint")})
+    counted = scoped.withColumns({"ids": here("access", "weak_id"), "secrets": here("assign", "hex", "weak_secret", "weak_run"), "endpoints": here("endpoint")})
     kind = F.col("kind")
     return counted.filter(
-        (kind == "weak_secret") & ((F.col("ids") > 0) | (F.col("endpoints") > 0)) | (kind == "weak_id") & (F.col("secrets") > 0) | (kind == "endpoint") & (F.col("ids") > 0) & (F.col("secrets") > 0)
+        (kind == "weak_secret") & ((F.col("ids") > 0) | (F.col("endpoints") > 0)) | (kind == "weak_run") & (F.col("ids") > 0) | (kind == "weak_id") & (F.col("secrets") > 0) | (kind == "endpoint") & (F.col("ids") > 0) & (F.col("secrets") > 0)
     ).select(*text, "start", "kind_no", "end", "kind")
 
 
 def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document.
 
-    Base spans always stay; weak identifiers, weak secrets and endpoints are added where they complete one another.
+    Base spans always stay; weak identifiers, weak secrets, unnamed runs and endpoints are added where they complete one another.
     Offsets are code points, end exclusive. A null text is empty; repeated rows and null ids keep their rows (equal
     texts of one id have equal spans); an empty table gives no rows; other columns are ignored. The texts are searched
     once; only documents with weak candidates are shuffled, by text, as a row for each part.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    weak = [matches(F.col("text"), p, k, i) for p, k, i in ((WEAK_ID, "weak_id", 3), (WEAK_SECRET, "weak_secret", 4), (ENDPOINT, "endpoint", 5))]
-    searched = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_sort(F.concat(*base_spans(F.col("text")))).alias("base"), F.concat(*weak).alias("weak"), "text")
+    searched = weak_spans(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_sort(F.concat(*base_spans(F.col("text")))).alias("base"), "text"))
     some = F.size("weak") > 0
     slim = F.transform("base", lambda s: F.struct(s["start"], s["kind_no"], s["end"], s["kind"]))
-    parts = F.when(some, F.transform(F.concat("base", "weak", matches(F.col("text"), BLANK, "blank", 6)), lambda s: F.struct(s["start"], s["kind_no"], s["end"], s["kind"])))
+    parts = F.when(some, F.transform(F.concat("base", "weak", matches(F.col("text"), BLANK, "blank", 7)), lambda s: F.struct(s["start"], s["kind_no"], s["end"], s["kind"])))
     found = materialize(searched.select("doc_id", "text_hash", slim.alias("base"), parts.alias("parts")))
     added = linked(found.filter("parts is not null").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline("parts")), reach)
     added = added.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "kind_no", "end", "kind")).alias("added")).withColumnsRenamed({"doc_id": "a_id", "text_hash": "a_hash"})
