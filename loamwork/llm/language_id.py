@@ -17,6 +17,8 @@ from loamwork.llm.common import slices
 DICTIONARY_BYTES = 48 * 1024
 SAMPLE_DOCS = 240
 SAMPLE_CHARS = 400
+#: Texts from this length on are learned first, shorter ones only where a language has too few of them.
+LONG_CHARS = 100
 #: Texts are compressed in blocks of so many bytes: a long text must not become its own dictionary.
 BLOCK = 4_096
 LEVEL, MIN_MATCH = 6, 3
@@ -39,26 +41,32 @@ def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docs
     """Raw-content dictionaries by language.
 
     A bounded, seeded sample: of each language the `sample_docs` documents lowest by hash of their id (folds of
-    the held-out third never), of each the first `SAMPLE_CHARS` characters. Two passes: counts by language, then a
-    hash threshold that lets about three times as many through, so that no task sees a language's rows together.
+    the held-out third never), of each `SAMPLE_CHARS` characters from a place that its id's hash gives, so that common
+    headers don't make up a dictionary. Texts under `LONG_CHARS` characters fill up the sample of a language that has
+    fewer than `sample_docs` longer ones. Two passes: counts by language, then a hash threshold that lets about three
+    times as many through, so that no task sees a language's rows together.
     """
     pool = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).filter("lang is not null and text is not null and doc_id is not null")
     if holdout:
         pool = pool.filter(~in_fold(F.col("doc_id"), 3, 1))
-    pool = pool.filter(F.length("text") >= 100).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) / float(1 << 40))
-    counts = {r.lang: r.n for r in pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    pool = pool.filter(F.col("text").rlike("\\p{L}")).withColumns({"u": share(17), "short": F.length("text") < LONG_CHARS})
+    counts = {r.lang: (r.n_long, r.n_short) for r in pool.groupBy("lang").agg(F.count_if(~F.col("short")).alias("n_long"), F.count_if("short").alias("n_short")).collect()}
     if not counts:
         return {}
-    below = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 3.0 * sample_docs / n))])
-    few = pool.filter(F.col("u") < below[F.col("lang")]).select("lang", "u", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("head"))
+    through = lambda n: min(1.0, 3.0 * sample_docs / max(1, n))
+    by_lang = lambda of: F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, of(*n))])[F.col("lang")]
+    below = F.when(F.col("short"), by_lang(lambda n_long, n_short: through(n_short) if n_long < sample_docs else 0.0)).otherwise(by_lang(lambda n_long, n_short: through(n_long)))
+    place = F.floor(share(18) * F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    few = pool.filter(F.col("u") < below).select("lang", "short", "u", "doc_id", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("cut"))
     found: dict[str, list] = {lang: [] for lang in counts}
-    for r in few.collect():  # at most about three times the sample
-        found[r.lang].append((r.u, r.doc_id, r.head))
+    for r in few.collect():  # at most about three times the sample, of long texts and of short ones
+        found[r.lang].append((r.short, r.u, r.doc_id, r.cut))
     model = {}
     for lang, rows in sorted(found.items()):
-        heads = [letters_of(head) for _, _, head in sorted(rows)[:sample_docs]]
-        if any(heads):
-            model[lang] = b" ".join(heads)[:dictionary_bytes]
+        cuts = [letters_of(cut) for *_, cut in sorted(rows)[:sample_docs]]
+        if any(cuts):
+            model[lang] = b" ".join(cuts)[:dictionary_bytes]
     return model
 
 

@@ -107,6 +107,19 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_short_texts_and_headers(spark):
+    rng = random.Random(8)
+    short = lambda parts: " ".join("".join(rng.choices(parts, k=2)) for _ in range(8))
+    header = "copyright notice of the archive " * 20
+    rows = [(i, short(["sch", "ung", "ein"]), "de", "s", 0) for i in range(300)]
+    rows += [(300 + i, header + " ".join(short(["eau", "que", "ment"]) for _ in range(60)), "fr", "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.train(docs)
+    assert set(model) == {"de", "fr"} and model["fr"].count(b"copyright") < 0.01 * len(model["fr"]) and model["fr"].count(b"eau") > 100
+    got = language_id.language_id(docs).filter("held_out and doc_id < 300").collect()
+    assert sum(r.lang_pred == "de" and r.accepted for r in got) >= 0.95 * len(got)
+
+
 # op 3
 
 
