@@ -60,8 +60,7 @@ def vote(claims: DataFrame, rule: str, weights: dict[str, float] | None = None,
     confidences reach half of all weights; intersection: all voters.
     """
     key = key or []
-    names = sorted(weights) if weights else [r.voter for r in claims.select("voter").distinct().orderBy("voter").limit(1000).collect()]
-    n = voters or len(names)
+    n = voters or (len(weights) if weights else claims.select("voter").distinct().count())
     weight = F.lit(1.0) if not weights else F.coalesce(F.create_map(*[F.lit(x) for v, w in weights.items() for x in (v, w)])[F.col("voter")], F.lit(0.0))
     total = sum(weights.values()) if weights else float(n)
     firsts = first_rows(claims, [*map(F.col, key), F.col("voter"), F.col("cause"), F.col("effect")], [F.col("ord")])
@@ -128,20 +127,17 @@ def precision_recall(outcomes: DataFrame, by: str) -> DataFrame:
 
 def kappa(marks: DataFrame, key: list[str], rater: str = "rater") -> DataFrame:
     """Cohen's kappa of each pair of raters over the union of the keys that they mark; null if chance alone agrees."""
-    held = marks.select(*key, rater).distinct()
-    raters = [r[0] for r in held.select(rater).distinct().orderBy(rater).limit(100).collect()]
-    wide = held.groupBy(*key).agg(*[F.max((F.col(rater) == r).cast("int")).alias(f"r{i}") for i, r in enumerate(raters)])
-    pairs = [(i, j) for i in range(len(raters)) for j in range(i + 1, len(raters))]
-    n = F.count(F.lit(1))
-
-    def one(i: int, j: int) -> Column:
-        a, b = F.col(f"r{i}"), F.col(f"r{j}")
-        both = F.count_if((a + b) > 0)
-        same, pa, pb = F.count_if((a + b) == 2) / both, F.sum(a) / both, F.sum(b) / both
-        chance = pa * pb + (1 - pa) * (1 - pb)
-        return F.struct(F.lit(raters[i]).alias("rater_a"), F.lit(raters[j]).alias("rater_b"), F.when((both > 0) & (F.abs(1 - chance) >= 1e-10), (same - chance) / (1 - chance)).alias("kappa"))
-
-    return wide.agg(F.array(*[one(i, j) for i, j in pairs]).alias("k"), n.alias("n_keys")).select(F.inline("k"))
+    held = marks.select(*key, F.col(rater).alias("r")).filter("r is not null").distinct()
+    counts = held.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (counts.select(F.col("r").alias(f"rater_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    marked = held.groupBy(*key).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    after = F.transform("rs", lambda x, i: F.transform(F.slice("rs", i + 2, F.size("rs")), lambda y: F.struct(x.alias("rater_a"), y.alias("rater_b"))))
+    same = marked.select(F.inline(F.flatten(after))).groupBy("rater_a", "rater_b").agg(F.count(F.lit(1)).alias("n_both"))
+    pairs = a.join(b, F.col("rater_a") < F.col("rater_b")).join(same, ["rater_a", "rater_b"], "left").fillna(0, ["n_both"])
+    either = F.col("n_a") + F.col("n_b") - F.col("n_both")
+    agreed, pa, pb = F.col("n_both") / either, F.col("n_a") / either, F.col("n_b") / either
+    chance = pa * pb + (1 - pa) * (1 - pb)
+    return pairs.select("rater_a", "rater_b", F.when(F.abs(1 - chance) >= 1e-10, (agreed - chance) / (1 - chance)).alias("kappa"))
 
 
 def token_cost(df: DataFrame, n: str, price_in: str, price_out: str, tokens_in: int = 700, tokens_out: int = 110) -> DataFrame:

@@ -164,6 +164,23 @@ def test_claims_and_votes(spark):
     assert [r.cause for r in docs.vote(claims, "weighted", {"v1": 1.0, "v2": 1.0, "v3": 3.0}).collect()] == ["c"]
 
 
+def test_many_raters_and_voters(spark):
+    marks = spark.createDataFrame([(k, f"r{i:03}") for i in range(103) for k in range(4) if (i + k) % 3], "k long, rater string")
+    got = {(r.rater_a, r.rater_b): r.kappa for r in docs.kappa(marks, ["k"]).collect()}
+    keys = {f"r{i:03}": {k for k in range(4) if (i + k) % 3} for i in range(103)}
+    assert len(got) == 103 * 102 // 2
+    for (a, b), kappa in got.items():
+        n = len(keys[a] | keys[b])
+        pa, pb = len(keys[a]) / n, len(keys[b]) / n
+        chance = pa * pb + (1 - pa) * (1 - pb)
+        want = None if abs(1 - chance) < 1e-10 else (len(keys[a] & keys[b]) / n - chance) / (1 - chance)
+        assert kappa == want or abs(kappa - want) < 1e-9
+    claims = [(f"v{i:04}", c, "e", 0.5, i) for i in range(1100) for c in ("all", "some", "few") if c == "all" or c == "some" and i < 1000 or i < 520]
+    claims = spark.createDataFrame(claims, "voter string, cause string, effect string, confidence double, ord long")
+    assert {r.cause for r in docs.vote(claims, "intersection").collect()} == {"all"}
+    assert {r.cause for r in docs.vote(claims, "majority").collect()} == {"all", "some"}
+
+
 def test_matching(spark):
     p = spark.createDataFrame([(1, "precipitation", "soc", 1), (1, "temperature", "soc", 2), (1, "slope", "erosion", 3)], "abstract_id int, cause string, effect string, ord int")
     g = spark.createDataFrame([(1, "Precipitaton", "SOC", 1), (1, "slope", "erosion", 2)], "abstract_id int, cause string, effect string, ord int")
