@@ -23,15 +23,29 @@ FITTED = 0.75
 ROUNDS = 12
 
 
+class _Classes(dict):
+    """str.translate table of character classes: upper, lower and other letters, digits, the rest; blanks stay."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = c if c.isspace() else "A" if c.isupper() else "a" if c.islower() else "l" if c.isalpha() else "0" if c.isdigit() else "#"
+        return kind
+
+
+CLASSES = _Classes()
+
+
 def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """Sorted distinct buckets of a text's n-grams: words, pairs of words' endings, and shapes of its form.
+    """Sorted distinct buckets of a text's n-grams: words, pairs of neighbouring words, threes of character classes in
+    a word, words' endings, and shapes of its form.
 
-    Indicators only. The shapes are n-grams too: of character classes in a word, and coarse bins of the share of
-    distinct words, distinct lines, symbols, capitals and of the length, so that an empty text has some as well.
+    Indicators only. The shapes are coarse bins of the share of distinct words, distinct pairs, distinct lines, symbols,
+    capitals and of the length, one by one and in pairs, so that an empty text has some as well.
     """
     text = text or ""
     words = text.split()
     grams = {"w" + w.lower() for w in words} if len(words) < 4000 else {"w" + w.lower() for w in set(words)}
+    pairs = set(zip(words, words[1:], strict=False))
     n = max(1, len(words))
     lines = text.split("\n")
     symbols = sum(map(text.count, "#*$%&|<>!"))
@@ -41,7 +55,7 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     form = [
         f"length{int(math.log2(n))}",
         f"distinct{int(20 * len(set(words)) / n)}",
-        f"pairs{int(20 * len(set(zip(words, words[1:], strict=False))) / n)}",
+        f"pairs{int(20 * len(pairs) / n)}",
         f"lines{int(10 * len(set(lines)) / max(1, len(lines)))}",
         f"symbols{min(40, int(20 * symbols / n))}",
         f"capitals{int(20 * capitals / n)}",
@@ -51,6 +65,8 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     grams.update("f" + x for x in form)
     grams.update("g" + a + b for a, b in zip(form, form[1:], strict=False))
     grams.update("e" + x for x in stops)
+    grams.update(f"b{a} {b}".lower() for a, b in pairs)
+    grams.update("c" + s[i : i + 3] for s in {f"^{s}$" for s in text.translate(CLASSES).split()} for i in range(len(s) - 2))
     return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams), np.int64, len(grams)))
 
 

@@ -149,6 +149,14 @@ def test_viterbi_ties():
 # op 4
 
 
+def test_word_order_and_shapes_are_features():
+    a, b = (set(quality_classifier.features(t)) for t in ("red dogs eat old fish", "old fish eat red dogs"))
+    assert a - b and b - a
+    same = [set(quality_classifier.features(t)) for t in ("ab12ab x", "ab1a2b x")]
+    of = lambda gram: quality_classifier.zlib.crc32(gram.encode()) % quality_classifier.BUCKETS
+    assert of("ca0a") in same[1] - same[0] and of("ca00") in same[0] - same[1]
+
+
 def test_quality_classifier(spark):
     rng = random.Random(8)
     rows, marks = [], []
