@@ -2,105 +2,162 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import materialize
+from loamwork.llm.common import materialize, numbered_runs
 
 #: Words of a block, the unit that is apportioned. Small, so that a small source comes near its target too.
 BLOCK = 8
 #: A document is taken so many times at most.
 REPEATS = 3
-#: Documents of a shard, about: a source of any size is spread over as many shards as it needs.
+#: Documents of a shard, about. Sources compete in each shard; a source of any size is spread over all shards.
 SHARD_DOCS = 500
 SEED = "mix-1"
+#: Steps of the divisor's bisection, in logarithms: from there on only ties are left.
+STEPS = 80
+#: Equal rows that are written out by one task.
+CHUNK = 10_000
+MAX_BROADCAST_SOURCES = 100_000
+#: Fixed primes by which the blocks of a line are strewn; larger than any line's number of blocks.
+STREWN = (2147483647, 2147483629, 2147483587, 2147483579)
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text; null: 0) and a seeded order of each row."""
+    """doc_id, source, size (words of the whole text; null: 0) of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
-    key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("size").cast("string")))))
-    return rows.withColumn("seeded", key)
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+
+
+def seeded_rows(sizes: DataFrame) -> DataFrame:
+    """The rows of sizes with `seeded`, an order that reruns and other partitionings repeat.
+
+    Rows that are equal can change places: they are counted, numbered and written out again, those with very many
+    copies (a null id, say) by many tasks. So no id, and no lack of one, brings many rows into one shard.
+    """
+    counted = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies"))
+    few = counted.filter(F.col("copies") <= CHUNK).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    many = counted.filter(F.col("copies") > CHUNK).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / CHUNK))))
+    many = many.repartition(F.xxhash64("doc_id", "source", "size", "chunk")).withColumn("copy", F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least((F.col("chunk") + 1) * CHUNK, F.col("copies")))))
+    rows = few.unionByName(many.drop("chunk"))
+    name = F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), F.col("size").cast("string"))), F.col("copy").cast("string"))
+    return rows.select("doc_id", "source", "size", F.md5(name).alias("seeded"))
 
 
 def source_targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """source, source_size, n_docs, target: one row per source.
+    """source, source_size, target: one row per source.
 
     Sources by code point, null last, weigh 1, 2, 3 and again. The targets share the sum of all sizes by weight and
     stop at `repeats` times the source's size; what is over is shared again. That is the level L with
     sum(min(repeats * size, weight * L)) = total; sources sorted by size / weight are capped up to the first whose
-    cap the level of those after it doesn't reach. The windows below run over one row per source.
+    cap the level of those after it doesn't reach. Places and running sums go over runs of sources, of any number.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    all_rows = Window.partitionBy(F.lit(0))
-    ranked = by_source.withColumn("weight", 1 + (F.row_number().over(all_rows.orderBy(F.col("source").asc_nulls_last())) - 1) % 3)
+    by_source = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    placed = numbered_runs(by_source, [F.col("source").asc_nulls_last()], {"place": F.lit(1).cast("long")})
+    weighed = materialize(placed.select("source", "source_size", (1 + F.col("place") % 3).alias("weight")))
     cap = repeats * F.col("source_size")
-    capped_first = all_rows.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    levels = ranked.select(
-        "*",
-        F.sum("source_size").over(all_rows).alias("total"),
-        (F.sum("source_size").over(all_rows) - F.coalesce(F.sum(cap).over(capped_first), F.lit(0))).alias("left_size"),
-        (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(capped_first), F.lit(0))).alias("left_weight"),
-    )
+    order = [(F.col("source_size") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    levels = numbered_runs(weighed, order, {"capped_size": cap, "capped_weight": F.col("weight").cast("long")})
+    total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()  # one row
+    left_size, left_weight = F.lit(total.t) - F.col("capped_size"), F.lit(total.w) - F.col("capped_weight")
     # uncapped if the level over it and all later ones is within its cap
-    fits = F.col("left_size") * F.col("weight") <= cap * F.col("left_weight")
-    level = F.min(F.when(fits, F.struct((F.col("source_size") / F.col("weight")).alias("r"), F.col("left_size"), F.col("left_weight")))).over(all_rows)
-    leveled = levels.withColumn("fits", fits).withColumn("level", level)
-    share = F.col("weight") * F.col("level.left_size") / F.col("level.left_weight")
-    return leveled.select("source", "source_size", "n_docs", F.coalesce(F.least(cap.cast("double"), share.cast("double")), cap.cast("double")).alias("target"))
+    fits = left_size * F.col("weight") <= cap * left_weight
+    level = levels.filter(fits).agg(F.min(F.struct((F.col("source_size") / F.col("weight")).alias("r"), left_size.alias("s"), left_weight.alias("w"))).alias("l")).first().l  # one row
+    share = F.col("weight") * F.lit(level.s if level else 0) / F.lit(level.w if level else 1)
+    return weighed.select("source", "source_size", F.least(cap.cast("double"), share.cast("double")).alias("target"))
 
 
-def sainte_lague(parties: DataFrame, votes: Column, seats: Column, group: list[str], order: list[Column]) -> DataFrame:
-    """Adds `seats_won`: in each group the seats go one by one to the highest votes / (2 * won + 1).
+def sainte_lague(parties: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Adds `seats_won` to parties (group columns, votes, cap): in each group of `seats` the seats go one by one to the
+    highest quotient votes / (2 * won + 1) among the parties that have won less than their cap; ties go by `order`.
 
-    Without a loop over seats: a party's seats lie near its share, so all but a few are dealt at once (two fewer than
-    the share's floor) and only the quotients around the share are ranked for the rest. Ties go by `order`. The groups
-    hold one row per party, not the parties' rows.
+    Without a loop over seats. A party has won the seats whose quotient is at least a divisor, so the divisor is found
+    by bisection on one array a group; at the last one that gives no more than the seats, each party asks for its next
+    seat only, and these are dealt by rank. Votes up to 2^52 are exact. Seats beyond all caps stay empty. A group's
+    parties are one row each and make an array, so groups must be bounded (in a shard: its documents).
     """
     w = Window.partitionBy(*group)
-    share = F.when(F.sum("votes_").over(w) > 0, F.col("votes_") * F.col("seats_") / F.sum("votes_").over(w)).otherwise(F.lit(0.0))
-    dealt = parties.withColumn("votes_", votes.cast("double")).withColumn("seats_", seats.cast("long")).withColumn("share_", share)
-    dealt = dealt.withColumn("base_", F.greatest(F.lit(0), F.floor("share_") - 2).cast("long"))
-    dealt = dealt.withColumn("open_", F.col("seats_") - F.sum("base_").over(w))
-    asked = dealt.withColumn("seat_", F.explode(F.sequence(F.col("base_") + 1, F.col("base_") + 6)))
-    quotient = F.col("votes_") / (2 * F.col("seat_") - 1)
-    ranked = asked.withColumn("rank_", F.row_number().over(w.orderBy(quotient.desc(), *order, F.col("seat_"))))
-    won = ranked.groupBy(*[F.col(c) for c in parties.columns], "base_").agg(F.count_if((F.col("rank_") <= F.col("open_")) & (F.col("votes_") > 0)).alias("more_"))
-    return won.withColumn("seats_won", F.col("base_") + F.col("more_")).drop("base_", "more_")
+    rows = parties.withColumn("party_", F.struct(F.col("votes").cast("double").alias("v"), F.col("cap").cast("double").alias("c")))
+    held = rows.filter("votes > 0 and cap > 0").groupBy(*group).agg(F.collect_list("party_").alias("all_"), F.max("seats").cast("double").alias("seats_"))
+
+    def won(v: Column, c: Column, d: Column) -> Column:
+        """Seats with a quotient of at least d, told by the quotients themselves: rounding can't part equal ones."""
+        n = F.floor((v / d + 1) / 2).cast("double")
+        n = n + F.when(v / (2 * n + 1) >= d, F.lit(1.0)).otherwise(F.lit(0.0)) - F.when((n > 0) & (v / (2 * n - 1) < d), F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.least(n, c)
+
+    count = lambda d: F.aggregate("all_", F.lit(0.0), lambda a, p: a + won(p["v"], p["c"], d))
+    # below `lo` all caps are reached, from `hi` on nothing is won
+    lo = F.array_min(F.transform("all_", lambda p: p["v"] / (2 * p["c"] + 1))) / 2
+    hi = F.array_max(F.transform("all_", lambda p: p["v"])) * 2
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.sqrt(s["lo"]) * F.sqrt(s["hi"])
+        over = count(mid) > F.col("seats_")
+        return F.struct(F.when(over, mid).otherwise(s["lo"]).alias("lo"), F.when(over, s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(lo.alias("lo"), hi.alias("hi"))
+    divisor = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve)["hi"]
+    found = held.select(*[F.col(g).alias(f"{g}_") for g in group], divisor.alias("divisor_"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in group])
+    dealt = parties.join(found, same, "left").drop(*[f"{g}_" for g in group])
+    votes = F.col("votes").cast("double")
+    dealt = dealt.withColumn("base_", F.when((votes > 0) & (F.col("cap") > 0), won(votes, F.col("cap").cast("double"), F.col("divisor_"))).otherwise(F.lit(0.0)))
+    asks = (votes > 0) & (F.col("base_") < F.col("cap"))
+    quotient = F.when(asks, votes / (2 * F.col("base_") + 1))
+    rank = F.row_number().over(w.orderBy(quotient.desc_nulls_last(), *order))
+    more = F.when(asks & (rank <= F.col("seats") - F.sum("base_").over(w)), F.lit(1)).otherwise(F.lit(0))
+    return dealt.withColumn("seats_won", (F.col("base_") + more).cast("long")).drop("divisor_", "base_")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row of docs.
 
-    Blocks of `block` words are apportioned: first a source's target among its shards (by the shards' words), giving
-    each shard an integer quota of blocks. In a shard the documents stand in seeded order and the blocks are cut from
-    that line; the shard's blocks are chosen from its beginning, again from the beginning when all are used, up to
-    `repeats` times. taken counts the words of a document in chosen blocks. Reruns choose the same.
+    Documents are dealt to shards by a seeded hash, whatever their source. In a shard each source's documents stand in
+    seeded order and are cut into blocks of `block` words. A source's votes are the blocks that its target asks of the
+    shard; the sources compete for the shard's blocks by their quotients, none beyond `repeats` times what it has. The
+    quotas are filled by whole passes over the source's blocks, and then by blocks chosen by seed. taken counts the
+    words of a document in chosen blocks. Reruns choose the same.
 
     A null text has size 0 and nothing is taken of it; a null source is a source, the last; rows with the same id or
     none are mixed as rows; an empty table gives no rows; sources without words have target 0; other columns are
-    ignored. No task holds more than some shards of about `shard_docs` documents, however large a source is.
+    ignored. A very long text is some blocks of one shard. No task holds more than some shards of about `shard_docs`
+    documents, however many rows a source or an id has.
     """
     sizes = materialize(sizes_of(docs))
     targets = materialize(source_targets(sizes, repeats))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).cast("long")
-    number = F.conv(F.substring("seeded", 1, 8), 16, 10).cast("long")
+    shards = max(1, -(-sizes.count() // shard_docs))
     # one row a source: broadcast below a checked size, else AQE splits the hot side of the join
-    dim = targets.select(F.col("source").alias("t_source"), "source_size", "target", shards.alias("shards"))
-    dim = F.broadcast(dim) if targets.count() <= 100_000 else dim
-    placed = sizes.join(dim, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("shard", F.pmod(number, F.col("shards"))).drop("t_source", "shards")
-    placed = materialize(placed)
-    parties = placed.groupBy("source", "shard", "target").agg(F.sum("size").alias("shard_size"))
-    quotas = sainte_lague(parties, F.col("shard_size"), F.round(F.col("target") / block), ["source"], [F.col("shard")])
-    quotas = quotas.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "shard_size", (F.col("seats_won") * block).alias("quota_words"))
-    in_shard = Window.partitionBy("source", "shard").orderBy("seeded", "size")
-    lined = placed.withColumn("before", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+    dim = targets.select(F.col("source").alias("t_source"), "source_size", "target")
+    dim = F.broadcast(dim) if targets.count() <= MAX_BROADCAST_SOURCES else dim
+    shard = F.pmod(F.conv(F.substring("seeded", 1, 12), 16, 10).cast("long"), F.lit(shards))
+    placed = materialize(seeded_rows(sizes).join(dim, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("shard", shard))
+
+    blocks = F.ceil(F.col("line_size") / block)
+    parties = placed.groupBy("shard", "source", "source_size", "target").agg(F.sum("size").alias("line_size")).withColumn("blocks", blocks)
+    votes = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0))
+    asked = materialize(parties.withColumns({"votes": votes, "cap": repeats * F.col("blocks")}))
+    # summed in the sources' order: a rounded sum must not depend on the order in which rows arrive
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "votes")))
+    seats = asked.groupBy("shard").agg(F.round(F.aggregate(in_order, F.lit(0.0), lambda a, s: a + s["votes"])).cast("long").alias("seats"))
+    quotas = sainte_lague(asked.join(seats, "shard"), ["shard"], [F.col("source").asc_nulls_last()])
+    quotas = quotas.select(F.col("shard").alias("q_shard"), F.col("source").alias("q_source"), "blocks", F.col("seats_won").alias("quota"))
+
+    line = Window.partitionBy("shard", "source").orderBy("seeded", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = placed.withColumn("before", F.sum("size").over(line) - F.col("size"))
     joined = lined.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
-    passes = F.when(F.col("shard_size") > 0, F.floor(F.col("quota_words") / F.col("shard_size"))).otherwise(F.lit(0))
-    passes = F.least(F.lit(repeats), passes).cast("long")
-    rest = F.when(passes >= repeats, F.lit(0)).otherwise(F.col("quota_words") - passes * F.col("shard_size"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
+    n = F.greatest(F.col("blocks"), F.lit(1))
+    passes, rest = F.floor(F.col("quota") / n), F.col("quota") % n
+    # block b of the line is chosen if its seeded place among all n is one of the first `rest`: places don't repeat,
+    # since the factor is a prime larger than n
+    factor = F.element_at(F.array(*[F.lit(p) for p in STREWN]), (F.col("shard") % len(STREWN) + 1).cast("int")).cast("long")
+    place = lambda b: (b * (factor % n) + F.col("shard")) % n
+    begin, end = F.col("before"), F.col("before") + F.col("size")
+    own = F.sequence(F.floor(begin / block), F.floor((end - 1) / block))
+    part = F.aggregate(own, F.lit(0).cast("long"), lambda a, b: a + F.when(place(b) < rest, F.least((b + 1) * block, end) - F.greatest(b * block, begin)).otherwise(F.lit(0).cast("long")))
+    part = F.when((F.col("size") > 0) & (rest > 0), part).otherwise(F.lit(0).cast("long"))
     return joined.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (passes * F.col("size") + part).cast("long").alias("taken"))

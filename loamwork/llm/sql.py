@@ -30,23 +30,24 @@ n as (select r, count(distinct item_id)::bigint as n, string_agg(distinct item_i
 select doc_id, len(w)::bigint as n_words, coalesce(p.n, 0) as n_hit, coalesce(n.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, p.n is not null as contaminated from d left join p using (r) left join n using (r)"""
 
 MIXING = rf"""
-with d as (select row_number() over () as r, doc_id, source, len({WORDS})::bigint as size from documents),
-k as (select *, md5('mix-1:' || coalesce(doc_id::varchar, 'null:' || size)) as seeded from d),
-s as (select source, sum(size)::bigint as source_size, count(*) as n_docs from k group by 1),
-w as (select *, 1 + (row_number() over (order by source asc nulls last) - 1) % 3 as weight from s),
+with d as (select doc_id, source, len({WORDS})::bigint as size from documents),
+k as (select *, md5('mix-1:' || coalesce(doc_id::varchar, 'null-' || size) || ':' || row_number() over (partition by doc_id, source, size)) as seeded from d),
+w as (select *, 1 + (row_number() over (order by source asc nulls last) - 1) % 3 as weight from (select source, sum(size)::bigint as source_size from d group by 1)),
 l as (select *, sum(source_size) over () - coalesce(sum(3 * source_size) over o, 0) as ls, sum(weight) over () - coalesce(sum(weight) over o, 0) as lw from w
   window o as (order by source_size / weight, source asc nulls last rows between unbounded preceding and 1 preceding)),
-t as (select source as ts, source_size, greatest(1, ceil(n_docs / 500))::bigint as shards, coalesce(least(3.0 * source_size, weight * (select ls from l where ls * weight <= 3 * source_size * lw order by source_size / weight, ls, lw limit 1)::double
-  / (select lw from l where ls * weight <= 3 * source_size * lw order by source_size / weight, ls, lw limit 1)), 3.0 * source_size)::double as target from w),
-p as (select r, doc_id, source, size, seeded, source_size, target, ('0x' || substr(seeded, 1, 8))::bigint % shards as shard from k join t on source is not distinct from ts),
-g as (select source, shard, any_value(target) as target, sum(size)::bigint as votes, round(any_value(target) / 8)::bigint as seats from p group by 1, 2),
-b as (select *, greatest(0, floor(case when sum(votes) over q > 0 then votes * seats / sum(votes) over q else 0 end)::bigint - 2) as base from g window q as (partition by source)),
-o as (select *, seats - sum(base) over (partition by source) as open from b),
-c as (select *, row_number() over (partition by source order by votes / (2 * seat - 1) desc, shard, seat) as rank from o, unnest(range(base + 1, base + 7)) u(seat)),
-won as (select source as ws, shard as wsh, votes, (any_value(base) + count(*) filter (rank <= open and votes > 0)) * 8 as quota from c group by 1, 2, 3),
-x as (select p.*, sum(size) over (partition by source, shard order by seeded, size rows unbounded preceding) - size as before from p),
-y as (select x.*, votes, quota, least(3, case when votes > 0 then quota // votes else 0 end) as passes from x join won on source is not distinct from ws and shard = wsh)
-select doc_id, size, source_size, round(target, 6) as target, (passes * size + greatest(0, least(size, (case when passes >= 3 then 0 else quota - passes * votes end) - before)))::bigint as taken from y"""
+v as (select ls, lw from l where ls * weight <= 3 * source_size * lw order by source_size / weight, ls, lw limit 1),
+t as (select source as ts, source_size, least((3 * source_size)::double, weight * (select ls from v)::bigint / (select lw from v)::bigint) as target from w),
+p as (select doc_id, source, size, seeded, source_size, target, ('0x' || substr(seeded, 1, 12))::bigint % greatest(1, ceil((select count(*) from d) / 500))::bigint as shard from k join t on source is not distinct from ts),
+g as (select shard, source, any_value(source_size) as ss, any_value(target) as target, ceil(sum(size) / 8)::bigint as blocks from p group by 1, 2),
+q as (select *, case when ss > 0 then target * blocks / ss else 0.0::double end as votes from g),
+z as (select shard as zs, round(list_sum(list(votes order by source asc nulls last)))::bigint as seats from q group by 1),
+r as (select shard, source, row_number() over (partition by shard order by votes / (2 * seat - 1) desc, source asc nulls last, seat) as rank from q, unnest(range(1, 3 * blocks + 1)) u(seat) where votes > 0),
+won as (select shard as ws, source as wo, count(*)::bigint as quota from r join z on shard = zs where rank <= seats group by 1, 2),
+x as (select p.*, coalesce(quota, 0) as quota, greatest(blocks, 1) as n, sum(size) over (partition by p.shard, p.source order by seeded, size rows unbounded preceding)::bigint - size as b4
+  from p join q on p.shard = q.shard and p.source is not distinct from q.source left join won on p.shard = ws and p.source is not distinct from wo),
+c as (select doc_id, seeded, size, sum(greatest(0, least((b + 1) * 8, b4 + size) - greatest(b * 8, b4))) as part from x, unnest(range(b4 // 8, (b4 + size - 1) // 8 + 1)) u(b)
+  where size > 0 and (b * ([2147483647, 2147483629, 2147483587, 2147483579][shard % 4 + 1] % n) + shard) % n < quota % n group by 1, 2, 3)
+select x.doc_id, x.size, source_size, round(target, 6) as target, (quota // n * x.size + coalesce(part, 0))::bigint as taken from x left join c using (seeded)"""
 
 REVISITS = r"""
 with p as (select page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') as canonical, case when page_id % 2 = 0 then e end as etag, length(html)::varchar as lm, e, kind

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.llm import language_id, mixing, ngram_join, pii, quality_classifier, quality_rules, registry, revisits, secrets, spans, token_counts
+from loamwork.llm import common, language_id, mixing, ngram_join, pii, quality_classifier, quality_rules, registry, revisits, secrets, spans, token_counts
 from loamwork.llm.decontamination import decontaminate
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -365,19 +365,8 @@ def test_large_group_of_near_copies(spark):
 # op 8
 
 
-def test_mixing(spark):
-    rng = random.Random(11)
-    rows = [(i, words(rng.randrange(0, 120), i), "en", rng.choice(["a", "b", "c", "c", "c", "c", "c", None]), 0) for i in range(900)] + [(2000, None, None, "e", None), (2000, "x y", None, "d", 0), (2000, "x y", None, "d", 0), (None, words(9, 1), None, "d", 0), (2001, "a b", None, "Z", 0)]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    got = mixing.mix(docs.withColumn("size", F.lit("clash")), shard_docs=100).collect()
-    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
-    again = mixing.mix(docs.repartition(7), shard_docs=100).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
-
-    size = collections.Counter()
-    for r in rows:
-        size[r[3]] += len(re.findall(SPACES, r[1] or ""))
-    names = sorted((s for s in size if s is not None)) + [None]
+def plain_targets(size):
+    names = [*sorted(s for s in size if s is not None), *[s for s in size if s is None]]
     weight = {s: 1 + i % 3 for i, s in enumerate(names)}
     target, todo, left = {}, set(names), sum(size.values())
     while todo:
@@ -389,26 +378,80 @@ def test_mixing(spark):
         target |= {s: 3 * size[s] for s in over}
         left -= sum(3 * size[s] for s in over)
         todo -= over
-    by_size = {round(target[s], 4): s for s in names}
-    taken = collections.Counter()
+    return target
+
+
+def by_row(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_mixing(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng.randrange(0, 120), i), "en", rng.choice(["a", "b", "c", "c", "c", "c", "c", None]), 0) for i in range(900)] + [(2000, None, None, "e", None), (2000, "x y", None, "d", 0), (2000, "x y", None, "d", 0), (None, words(9, 1), None, "d", 0), (2001, words(20_000, 1), None, "b", 0), (2002, "z", None, "f", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    clash = docs.withColumns({c: F.lit("clash") for c in ("size", "shard", "target", "quota", "copies", "place")})
+    got = mixing.mix(clash, shard_docs=100).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert by_row(mixing.mix(docs.repartition(7), shard_docs=100)) == sorted(map(tuple, got), key=str)
+    size = collections.Counter()
+    for r in rows:
+        size[r[3]] += len(re.findall(SPACES, r[1] or ""))
+    target, taken, words_of = plain_targets(size), collections.Counter(), collections.Counter()
     for r in got:
-        assert round(r.target, 4) in by_size
-        taken[round(r.target, 4)] += r.taken
-    for t, s in by_size.items():
-        same = [x for x in names if round(target[x], 4) == t]
-        assert abs(taken[t] - t * len(same)) <= mixing.BLOCK * len(same), s
+        taken[r.source_size, round(r.target, 4)] += r.taken
+        words_of[r.source_size] += r.size
+    for s in size:
+        # a source is off by half a block a shard or so, by chance to either side
+        assert abs(taken[size[s], round(target[s], 4)] - target[s] * sum(size[x] == size[s] for x in size)) <= 5 * mixing.BLOCK, s
+        assert words_of[size[s]] == size[s] * sum(size[x] == size[s] for x in size)
     assert mixing.mix(docs.limit(0)).count() == 0
+    assert {(r["size"], r.target, r.taken) for r in mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).collect()} == {(0, 0.0, 0)}
 
 
-def test_sainte_lague(spark):
-    votes = [53, 24, 23, 0, 7, 1]
+def test_mixing_spreads_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    rows = [(None, "a b c", None, "x", 0)] * 700 + [(5, "a b c d", None, "x", 0)] * 300 + [(i, "q " * 30, None, "y", 0) for i in range(100, 200)]
+    sizes = mixing.sizes_of(spark.createDataFrame(rows, SCHEMA))
+    seeded = mixing.seeded_rows(sizes).collect()
+    assert len(seeded) == len(rows) and len({r.seeded for r in seeded}) == len(rows)
+    assert by_row(mixing.seeded_rows(sizes.repartition(5))) == sorted(map(tuple, seeded), key=str)
+
+
+def plain_seats(votes, caps, seats):
     won = [0] * len(votes)
-    for _ in range(17):
-        i = max(range(len(votes)), key=lambda k: (votes[k] / (2 * won[k] + 1), -k))
-        won[i] += 1
-    parties = spark.createDataFrame([("g", i, v) for i, v in enumerate(votes)], "g string, i int, v long")
-    got = mixing.sainte_lague(parties, F.col("v"), F.lit(17), ["g"], [F.col("i")])
-    assert [r.seats_won for r in got.orderBy("i").collect()] == won
+    for _ in range(seats):
+        open_ = [k for k in range(len(votes)) if votes[k] > 0 and won[k] < caps[k]]
+        if not open_:
+            break
+        won[max(open_, key=lambda k: (votes[k] / (2 * won[k] + 1), -k))] += 1
+    return won
+
+
+def test_sainte_lague(spark):
+    rng = random.Random(4)
+    many = 10**9
+    cases = [([53, 24, 23, 0, 7, 1], [many] * 6, 17), ([10_000] + [1_000] * 6, [many] * 7, 1_600), ([1] * 1_001, [many] * 1_001, 835), ([9, 3, 1, 3], [2, many, many, 0], 12), ([5.0, 5.0], [1, 2], 9), ([1e12, 1.0, 3.0], [many] * 3, 50), ([7, 7, 7], [many] * 3, 0)]
+    cases += [([rng.choice([0, rng.random(), rng.random() ** 9 * 1e6, 5, 15]) for _ in range(rng.randrange(1, 40))], None, rng.randrange(400)) for _ in range(40)]
+    cases = [(v, c or [rng.choice([0, 3, 40, many]) for _ in v], n) for v, c, n in cases]
+    assert plain_seats(*cases[1])[0] == 1_000 and sum(plain_seats(*cases[1])) == 1_600
+    rows = [(g, i, float(v), c, n) for g, (votes, caps, n) in enumerate(cases) for i, (v, c) in enumerate(zip(votes, caps, strict=True))]
+    parties = spark.createDataFrame(rows, "g int, i int, votes double, cap long, seats long")
+    got = collections.defaultdict(dict)
+    for r in mixing.sainte_lague(parties, ["g"], [F.col("i")]).collect():
+        got[r.g][r.i] = r.seats_won
+    for g, case in enumerate(cases):
+        assert [got[g][i] for i in range(len(case[0]))] == plain_seats(*case), case
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    values = [(rng.randrange(50), i, rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(values, "a int, b int, v long")
+    got = {r.b: r.s for r in common.numbered_runs(df, [F.col("a").desc(), F.col("b")], {"s": F.col("v")}, run_rows=60).collect()}
+    total = 0
+    for _, b, v in sorted(values, key=lambda x: (-x[0], x[1])):
+        assert got[b] == total
+        total += v
 
 
 # op 9
