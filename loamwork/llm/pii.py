@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import materialize
-from loamwork.llm.spans import SPAN, matches, told
+from loamwork.llm.spans import FOLD, SPAN, let, matches, running, told
 
 #: The base kinds, in their order. Possessive loops stand for the plain ones (nothing that follows could take a part
 #: back), so that matching is linear and never recursive, also on very long runs.
@@ -23,15 +26,22 @@ LABELLED = "(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]{1,23}\\x20?[:=#]\\x20?[\"']?[A-Za
 BEFORE, AFTER = "^(?:[\\[{<\"']|\\((?![0-9]))++", "[.,;:!?)\\]}>\"']++$"
 WORD = "\\S++"
 LABEL, VALUE = "^([A-Za-z_]+)", "[:=#]\\x20?[\"']?(.*)$"
+#: What a word that stands beside words must have to be an identifier; all other words there speak against the pattern.
+SHAPE = "[0-9@_]|[A-Za-z]\\.[A-Za-z]"
 
-#: A pattern is trusted from this confidence and this many different instances on.
+#: A pattern is trusted from this confidence on, and from so many different instances: at least SUPPORT, and SHARE of
+#: all different base values, so that the same contexts count in a corpus of any size.
 CONFIDENCE = 0.7
 SUPPORT = 5
-ROUNDS = 3
+SHARE = 0.001
+#: Scores have settled when no pattern's confidence moves by more than this; beyond so many rounds it is an error.
+SETTLED, ROUNDS = 0.001, 30
 #: What a pattern without evidence has: so many instances of score 0.
 DOUBT = 1.0
-#: Labels that may be broadcast.
-MAX_LABELS = 50_000
+#: Patterns that may be sent to all tasks as literals; more are joined.
+MAX_LABELS = 10_000
+
+CANDIDATE = "array<struct<label:string,start:bigint,end:bigint,value:string>>"
 
 
 def _digits(s: Column) -> Column:
@@ -66,146 +76,211 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(word, BEFORE, ""), AFTER, "")
 
 
+def _is_base(value: Column) -> Column:
+    """Whether a value holds an entity of the base kinds."""
+    return F.when(value.rlike("[0-9@]"), let(F.translate(value, JOINED, " "), lambda v: F.size(F.concat(*base_spans(v))) > 0)).otherwise(F.lit(False))
+
+
 def _threes(array: Column) -> Column:
-    """Each three neighbours of an array as (a, b, c)."""
-    n = F.size(array) - 2
-    of = lambda i: F.slice(array, i, F.greatest(n, F.lit(0)))
-    return F.when(n > 0, F.arrays_zip(of(1).alias("a"), of(2).alias("b"), of(3).alias("c")))
+    """Each three neighbours of an array as (a, b, c); none of fewer."""
+
+    def of(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 2, F.lit(0))
+        return F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, F.least(F.lit(2), n + 1), n).alias("b"), F.slice(words, F.least(F.lit(3), n + 1), n).alias("c"))
+
+    return let(array, of)
 
 
 def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(_joined(text), "\\s++", " ")), " ")
 
 
-def _beside(a: Column, b: Column, c: Column) -> Column:
-    """The two patterns of three words: the last one after the first two, the first one before the last two."""
-    return F.array(F.struct(F.lower(F.concat(a, F.lit(" "), b, F.lit(" *"))).alias("label"), F.lit(True).alias("last")), F.struct(F.lower(F.concat(F.lit("* "), b, F.lit(" "), c)).alias("label"), F.lit(False).alias("last")))
+def _after(t: Column) -> Column:
+    """The pattern of the third of three words: it stands after the first two."""
+    return F.concat(t["a"], F.lit(" "), t["b"], F.lit(" *"))
+
+
+def _ahead(t: Column) -> Column:
+    """The pattern of the first of three words: it stands before the last two."""
+    return F.concat(F.lit("* "), t["b"], F.lit(" "), t["c"])
+
+
+def signed(text: Column) -> Column:
+    """Values with a label and a sign before them, as candidates."""
+
+    def candidate(m: Column) -> Column:
+        value = F.regexp_extract(m["hit"], VALUE, 1)
+        return F.struct(F.lower(F.regexp_extract(m["hit"], LABEL, 1)).alias("label"), (m["end"] - F.length(value)).alias("start"), m["end"].alias("end"), value.alias("value"))
+
+    found = let(_joined(text), lambda t: matches(t, LABELLED, "context", 4))
+    return F.filter(F.transform(found, candidate).cast(CANDIDATE), lambda c: c["value"] != "")
+
+
+def worded(text: Column) -> Column:
+    """Words that are shaped like identifiers, once by the two words before them and once by the two after, as candidates."""
 
+    def candidate(label: Column, word: Column) -> Column:
+        start = word["start"] + F.length(word["hit"]) - F.length(F.regexp_replace(word["hit"], BEFORE, ""))
+        bare = _bare(word["hit"])
+        return F.struct(label.alias("label"), start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("value"))
 
-def beside_base(text: Column, base: Column) -> Column:
-    """(label, value_hash) of the words beside the base spans of a text."""
-    values = F.transform(base, lambda s: _joined(s["hit"]))
-    threes = F.coalesce(_threes(_words(text)), F.array().cast("array<struct<a:string,b:string,c:string>>"))
-    of = lambda k, i: F.transform(F.filter(threes, lambda t: F.array_contains(values, _bare(t[k]))), lambda t: F.struct(_beside(t["a"], t["b"], t["c"])[i]["label"].alias("label"), F.xxhash64(_bare(t[k])).alias("value_hash")))
-    return F.when(F.size(base) > 0, F.array_distinct(F.concat(of("c", 0), of("a", 1))))
+    low = lambda t: {k: F.lower(t[k]["hit"]) for k in "abc"}
+    third = lambda t: F.transform(F.filter(t, lambda x: x["c"]["hit"].rlike(SHAPE)), lambda x: candidate(_after(low(x)), x["c"]))
+    first = lambda t: F.transform(F.filter(t, lambda x: x["a"]["hit"].rlike(SHAPE)), lambda x: candidate(_ahead(low(x)), x["a"]))
+    words = let(_joined(text), lambda t: matches(t, WORD, "word", 5))
+    both = let(_threes(words), lambda t: F.concat(third(t), first(t))).cast(CANDIDATE)
+    return F.filter(both, lambda c: c["value"].rlike(SHAPE))
 
 
-def _small(labels: DataFrame) -> DataFrame:
-    return F.broadcast(labels) if labels.count() <= MAX_LABELS else labels
+def _none() -> Column:
+    return F.array().cast(CANDIDATE)
 
 
-def word_instances(rows: DataFrame, found: DataFrame, support: int) -> DataFrame | None:
-    """(label, value_hash, seed) of all words that stand where `support` different base values do, or None.
+def beside(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, value): all words of rows (text) that stand beside the given labels' words, in lower case, with repeats."""
+    after = lambda t, of: F.transform(F.filter(t, lambda x: of(_after(x))), lambda x: F.struct(_after(x).alias("label"), x["c"].alias("word")))
+    ahead = lambda t, of: F.transform(F.filter(t, lambda x: of(_ahead(x))), lambda x: F.struct(_ahead(x).alias("label"), x["a"].alias("word")))
+    said = lambda of: let(_threes(_words(F.lower("text"))), lambda t: F.concat(after(t, of), ahead(t, of)))
+    known = few_of(labels)
+    if known is None:
+        found = rows.select(F.inline(said(lambda x: F.lit(True)))).join(labels, "label", "left_semi")
+    else:
+        found = rows.select(F.inline(said(lambda x: x.isin(known))))
+    return found.select("label", _bare(F.col("word")).alias("value")).filter("value <> ''")
 
-    Labels are the two words before or after. Counted from the base spans first, so that the words of the corpus are
-    gone through only for labels that can be trusted.
+
+def few_of(labels: DataFrame, most: int | None = None) -> list[str] | None:
+    """The labels, if they are at most MAX_LABELS; their number is checked first."""
+    most = MAX_LABELS if most is None else most
+    return None if labels.count() > most else sorted(r.label for r in labels.select("label").collect())
+
+
+def evidence(rows: DataFrame, support: int, share: float) -> tuple[DataFrame, DataFrame, int]:
+    """The graph of patterns and instances: edges (label, value_hash, seed), the number of different words that speak
+    against each pattern of words (label, against), and the least support.
+
+    One pass over the texts finds what stands after labels and beside base entities; patterns of words are induced from
+    `support` different base entities on, and a second pass tells all that stands beside them.
     """
-    seeds = materialize(found.filter("beside is not null").select(F.inline("beside")).distinct())
-    labels = materialize(seeds.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("label"))
+    text = F.col("text")
+    candidate = lambda c, seed: F.struct(c["label"].alias("label"), F.xxhash64(F.lower(c["value"])).alias("value_hash"), seed.alias("seed"))
+    seeds = F.when(F.size(F.concat(*base_spans(text))) > 0, F.filter(worded(text), lambda c: _is_base(c["value"]))).otherwise(_none())
+    found = rows.select(F.inline(F.concat(F.transform(signed(text), lambda c: candidate(c, _is_base(c["value"]))), F.transform(seeds, lambda c: candidate(c, F.lit(True))))))
+    first = materialize(found.groupBy("label", "value_hash").agg(F.max("seed").alias("seed")))
+    values = first.filter("seed").agg(F.count_distinct("value_hash").alias("n")).first().n
+    least = max(support, math.ceil(share * values))
+    of_words = F.col("label").contains(" ")
+    labels = materialize(first.filter(of_words).groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("label"))
     if labels.isEmpty():
-        return None
-    threes = rows.select(F.inline(_threes(_words(F.col("text"))))).select("a", "c", F.inline(_beside(F.col("a"), F.col("b"), F.col("c"))))
-    said = threes.join(_small(labels), "label", "left_semi").select("label", F.xxhash64(_bare(F.when(F.col("last"), F.col("c")).otherwise(F.col("a")))).alias("value_hash")).distinct()
-    known = seeds.select("value_hash").distinct().withColumn("seed", F.lit(True))
-    return said.join(known, "value_hash", "left").select("label", "value_hash", F.coalesce("seed", F.lit(False)).alias("seed"))
-
-
-def word_values(rows: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, text_hash, value, start, end of the words beside trusted labels."""
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    near = rows.select("doc_id", "text_hash", F.inline(_threes(_words(F.col("text"))))).select("doc_id", "text_hash", F.inline(_beside(F.col("a"), F.col("b"), F.col("c"))))
-    texts = near.join(trusted, "label", "left_semi").select(F.col("doc_id").alias("n_id"), F.col("text_hash").alias("n_hash")).distinct()
-    some = rows.join(texts, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("text_hash") == F.col("n_hash")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    words = some.select("doc_id", "text_hash", F.inline(_threes(matches(_joined(F.col("text")), WORD, "word", 5))))
-    both = words.select("doc_id", "text_hash", "a", "c", F.inline(_beside(F.col("a.hit"), F.col("b.hit"), F.col("c.hit")))).join(trusted, "label", "left_semi")
-    word = both.select("doc_id", "text_hash", F.when(F.col("last"), F.col("c")).otherwise(F.col("a")).alias("w"))
-    start = F.col("w.start") + F.length("w.hit") - F.length(F.regexp_replace("w.hit", BEFORE, ""))
-    value = word.select("doc_id", "text_hash", _bare(F.col("w.hit")).alias("value"), start.alias("start")).filter("value <> ''")
-    return value.withColumn("end", F.col("start") + F.length("value"))
-
-
-def trusted_labels(instances: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """Labels whose values are personal data, from rows (label, value_hash, seed).
-
-    The bipartite graph of patterns (labels) and instances (values), its edges summed up first. Seeds score 1 and stay;
-    a pattern's confidence is its instances' mean score, with DOUBT instances of score 0 besides; another instance's
-    score is the best confidence of its patterns that is trusted. Each round's scores are written down.
+        return first.filter(~of_words), labels.withColumn("against", F.lit(0).cast("long")), least
+    shaped = F.col("value").rlike(SHAPE)
+    said = materialize(beside(rows, labels).groupBy("label", F.xxhash64("value").alias("value_hash")).agg(F.max(shaped).alias("shaped")))
+    against = said.filter("not shaped").groupBy("label").agg(F.count(F.lit(1)).alias("against"))
+    induced = first.filter(of_words).join(F.broadcast(labels) if labels.count() <= MAX_LABELS else labels, "label", "left_semi")
+    edges = first.filter(~of_words).unionByName(induced).unionByName(said.filter("shaped").select("label", "value_hash", F.lit(False).alias("seed")))
+    return edges, against, least
+
+
+def trusted_labels(edges: DataFrame, against: DataFrame, support: int, confidence: float = CONFIDENCE, settled: float = SETTLED, rounds: int = ROUNDS) -> DataFrame:
+    """Labels whose values are personal data, from the bipartite graph of patterns (labels) and instances (values).
+
+    Seeds score 1 and stay; a pattern's confidence is its instances' mean score, with DOUBT instances of score 0
+    besides, and with those words that speak against it; another instance's score is the best confidence of its patterns
+    that is trusted. Scores only rise, so the rounds go on until they have settled; each round is written down.
     """
-    edges = materialize(instances.groupBy("label", "value_hash").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
+    edges = materialize(edges.groupBy("label", "value_hash").agg(F.max("seed").alias("seed")))
     scores = edges.groupBy("value_hash").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    patterns = None
+    before = None
     for _ in range(rounds):
-        joined = edges.select("label", "value_hash").join(scores, "value_hash")
-        patterns = materialize(joined.groupBy("label").agg((F.sum("score") / (F.count(F.lit(1)) + DOUBT)).alias("confidence"), F.count(F.lit(1)).alias("support")))
-        good = patterns.filter((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("label", "confidence")
-        best = edges.join(good, "label", "left").groupBy("value_hash").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.max("confidence").alias("confidence"))
+        known = edges.select("label", "value_hash").join(scores, "value_hash").groupBy("label").agg(F.sum("score").alias("good"), F.count(F.lit(1)).alias("support"))
+        share = F.col("good") / (F.col("support") + F.coalesce("against", F.lit(0)) + DOUBT)
+        patterns = materialize(known.join(against, "label", "left").select("label", "support", share.alias("confidence")))
+        trusted = patterns.filter((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("label", "confidence")
+        if before is not None:
+            moved = patterns.join(before, "label").agg(F.max(F.col("confidence") - F.col("old")).alias("most")).first().most
+            if moved is None or moved <= settled:
+                return trusted.select("label")
+        before = patterns.select("label", F.col("confidence").alias("old"))
+        best = edges.join(trusted, "label", "left").groupBy("value_hash").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.max("confidence").alias("confidence"))
         scores = materialize(best.select("value_hash", F.greatest("seed", F.coalesce("confidence", F.lit(0.0))).alias("score")))
-    return patterns.filter((F.col("confidence") >= confidence) & (F.col("support") >= support)).select("label")
+    raise RuntimeError(f"the patterns' scores didn't settle in {rounds} rounds")
 
 
-def pii_spans(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, text_hash, base and all spans (arrays by start) of each row of docs."""
+def added_spans(text: Column, of_signs: Callable[[Column], Column] | None, of_words: Callable[[Column], Column] | None) -> Column:
+    """Candidates of a text whose label is trusted (told by the two functions) and that hold no base entity."""
+    found = []
+    if of_signs is not None:
+        found.append(F.filter(signed(text), lambda c: of_signs(c["label"])))
+    if of_words is not None:
+        # offsets are counted only in texts that have such words at all
+        said = F.exists(_threes(_words(F.lower(text))), lambda t: of_words(_after(t)) | of_words(_ahead(t)))
+        found.append(F.when(said, F.filter(worded(text), lambda c: of_words(c["label"]))).otherwise(_none()))
+    return F.filter(F.concat(*found) if found else _none(), lambda c: ~_is_base(c["value"]))
+
+
+def with_spans(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """docs with `__base` and `__spans` (base and added spans by start) of each row's text.
+
+    The trusted patterns go to all tasks as literals, and a last pass finds their values where the text is: no text is
+    shuffled. With more than MAX_LABELS of them all candidates are joined with the patterns, and found spans with docs.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    label = F.lower(F.regexp_extract(F.col("c.hit"), LABEL, 1))
-    searched = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.array_sort(F.concat(*base_spans(F.col("text")))).alias("base"))
-    found = materialize(searched.select("doc_id", "text_hash", "base", matches(_joined(F.col("text")), LABELLED, "context", 4).alias("labelled"), beside_base(F.col("text"), F.col("base")).alias("beside")))
-    keyed = found.filter(F.size("labelled") > 0).dropDuplicates(["doc_id", "text_hash"])
-    said = keyed.select("doc_id", "text_hash", "base", F.explode("labelled").alias("c")).select(
-        "doc_id", "text_hash", label.alias("label"), F.regexp_extract("c.hit", VALUE, 1).alias("value"), F.col("c.end").alias("end"), "base"
-    )
-    start = F.col("end") - F.length("value")
-    seed = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    values = materialize(said.filter("value <> ''").withColumn("start", start).withColumn("seed", seed).select("doc_id", "text_hash", "label", F.xxhash64("value").alias("value_hash"), "value", "start", "end", "seed"))
-    instances = values.select("label", "value_hash", "seed")
-    beside = word_instances(rows, found, support)
-    trusted = trusted_labels(instances if beside is None else instances.unionByName(beside), rounds, confidence, support)
-    trusted = _small(trusted)
-    at = ["doc_id", "text_hash", "value", "start", "end"]
-    added = values.filter("not seed").join(trusted, "label", "left_semi").select(*at)
-    if beside is not None and not trusted.filter("label like '% %'").isEmpty():
-        own = found.filter(F.size("base") > 0).select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash"), "base").dropDuplicates(["b_id", "b_hash"])
-        worded = word_values(rows, trusted).join(own, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")), "left")
-        added = added.unionByName(worded.filter(~F.coalesce(seed, F.lit(False))).select(*at)).dropDuplicates(["doc_id", "text_hash", "start", "end"])
-    span = F.struct("start", F.lit(4).alias("kind_no"), "end", F.lit("context").alias("kind"), F.col("value").alias("hit"))
-    fresh = added.groupBy("doc_id", "text_hash").agg(F.collect_list(span).alias("added"))
-    fresh = fresh.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), F.col("added").cast(f"array<{SPAN}>").alias("added"))
-    joined = found.select("doc_id", "text_hash", "base").join(fresh, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")), "left")
-    return joined.select("doc_id", "text_hash", "base", F.when(F.col("added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "added"))).alias("spans"))
-
-
-def find_pii(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    rows = docs.select(text.alias("text"))
+    edges, against, least = evidence(rows, support, share)
+    trusted = materialize(trusted_labels(edges, against, least, confidence))
+    based = docs.withColumn("__base", F.array_sort(F.concat(*base_spans(text))))
+    span = lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind_no"), c["end"].alias("end"), F.lit("context").alias("kind"), c["value"].alias("hit"))
+    known = few_of(trusted)
+    if known is not None:
+        signs, words = [x for x in known if " " not in x], [x for x in known if " " in x]
+        added = added_spans(text, (lambda x: x.isin(signs)) if signs else None, (lambda x: x.isin(words)) if words else None)
+        return based.withColumn("__added", F.array_distinct(F.transform(added, span)).cast(f"array<{SPAN}>")).withColumn("__spans", F.array_sort(F.concat("__base", "__added"))).drop("__added")
+    every = lambda x: F.lit(True)
+    texts = rows.select("text", F.xxhash64("text").alias("__hash"), F.sha1("text").alias("__sha"))
+    found = texts.select("__hash", "__sha", F.inline(added_spans(F.col("text"), every, every))).join(trusted, "label", "left_semi")
+    found = found.select("__hash", "__sha", F.explode(F.array(span({c: F.col(c) for c in ("start", "end", "value")}))).alias("s")).distinct()
+    found = materialize(found.groupBy("__hash", "__sha").agg(F.collect_list("s").cast(f"array<{SPAN}>").alias("__added")))
+    keyed = based.withColumns({"__hash": F.xxhash64(text), "__sha": F.sha1(text)})
+    joined = keyed.join(found, ["__hash", "__sha"], "left").withColumn("__spans", F.when(F.col("__added").isNull(), F.col("__base")).otherwise(F.array_sort(F.concat("__base", "__added"))))
+    return joined.drop("__hash", "__sha", "__added")
+
+
+def find_pii(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each document.
 
     Base spans always stay. Values with a label before them (`label: value`), and words with two words before or after
     them, whose label or two words are trusted, because most values beside them in the corpus are base entities, are
-    added as `context`. Two words count from `support` different base values on; blanks in a value stand between groups
-    of digits or brackets. Offsets are code points, end
-    exclusive. A null text is empty; repeated rows and null ids keep their rows (equal texts of one id have equal
-    spans); an empty table gives no rows; other columns are ignored.
+    added as `context`. Two words are a pattern from `support` different base entities on, and from `share` of all
+    different ones; words beside them must be shaped like identifiers; blanks in a value stand between groups of digits
+    or brackets. Offsets are code points, end exclusive. A null text is empty; repeated rows and null ids keep their
+    rows; texts of any length are searched whole; an empty table gives no rows; other columns are ignored.
     """
-    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    out = pii_spans(docs, rounds, confidence, support)
-    return out.select("doc_id", of("email"), of("ip"), of("card"), of("phone"), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    of = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    out = with_spans(docs.select(F.col("doc_id").cast("long"), F.col("text")), confidence, support, share)
+    return out.select("doc_id", of("email"), of("ip"), of("card"), of("phone"), F.sha2(told(F.col("__base")), 256).alias("base_sha256"), told(F.col("__spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def redact(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """docs, all rows and columns, with each span of personal data in text replaced by its kind in brackets.
 
-    Overlapping spans are replaced as one, by the first's kind. Rows without spans stay as they are.
+    Overlapping spans are replaced as one, by the first's kind. Rows without spans, null texts among them, stay as they
+    are, whatever other columns there are; an empty table stays empty. The pieces between the spans are joined once.
     """
-    spans = pii_spans(docs, rounds, confidence, support).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    keys = {"doc_id": "__pii_id", "text_hash": "__pii_hash", "spans": "__pii_spans"}
-    spans = spans.select(*[F.col(k).alias(v) for k, v in keys.items()])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__pii_id")) & (F.xxhash64(text) == F.col("__pii_hash")), "left")
-    none = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] > acc["at"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).otherwise(F.lit(""))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], gap, mark).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("__pii_spans", none, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    kept = [F.when(F.col("__pii_id").isNull() & F.col("__pii_hash").isNull(), F.col("text")).otherwise(done).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*kept)
+    text = F.col("text").cast("string")
+
+    def replaced(spans: Column) -> Column:
+        def pieces(until: Column, cut: Callable[[Column, Column], Column]) -> Column:
+            mark = lambda s, p: F.when(s["start"] >= p, F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+            gap = lambda s, p: F.when(s["start"] > p, cut(p, s["start"])).otherwise(F.lit(""))
+            each = F.zip_with(spans, F.slice(until, 1, F.size(spans)), lambda s, p: F.concat(gap(s, p), mark(s, p)))
+            return F.concat(F.array_join(each, ""), cut(F.element_at(until, -1), F.length(text).cast("bigint")))
+
+        # a substring is counted from the text's beginning: with many spans the text is cut into characters once
+        plain = lambda u: pieces(u, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+        cut_up = lambda u, chars: pieces(u, lambda a, b: F.array_join(F.slice(chars, (a + 1).cast("int"), (b - a).cast("int")), ""))
+        until = F.concat(F.array(F.lit(0).cast("bigint")), running(F.transform(spans, lambda s: s["end"]), F.greatest))
+        return let(until, lambda u: F.when(F.size(spans) > FOLD, let(F.split(text, ""), lambda chars: cut_up(u, chars))).otherwise(plain(u)))
+
+    out = with_spans(docs, confidence, support, share)
+    done = F.when(F.size("__spans") == 0, F.col("text")).otherwise(let(F.col("__spans"), replaced))
+    return out.select(*[done.alias("text") if c == "text" else F.col(c) for c in docs.columns])
