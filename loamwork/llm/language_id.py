@@ -19,6 +19,8 @@ SAMPLE_DOCS = 240
 SAMPLE_CHARS = 400
 #: Texts from this length on are learned first, shorter ones only where a language has too few of them.
 LONG_CHARS = 100
+#: Languages that may be learned; with more the column isn't one of languages, which is an error.
+MAX_LANGS = 1_000
 #: Texts are compressed in blocks of so many bytes: a long text must not become its own dictionary.
 BLOCK = 4_096
 LEVEL, MIN_MATCH = 6, 3
@@ -51,7 +53,10 @@ def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docs
         pool = pool.filter(~in_fold(F.col("doc_id"), 3, 1))
     share = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     pool = pool.filter(F.col("text").rlike("\\p{L}")).withColumns({"u": share(17), "short": F.length("text") < LONG_CHARS})
-    counts = {r.lang: (r.n_long, r.n_short) for r in pool.groupBy("lang").agg(F.count_if(~F.col("short")).alias("n_long"), F.count_if("short").alias("n_short")).collect()}
+    by = pool.groupBy("lang").agg(F.count_if(~F.col("short")).alias("n_long"), F.count_if("short").alias("n_short"))
+    counts = {r.lang: (r.n_long, r.n_short) for r in by.limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} different values of lang: these are no languages")
     if not counts:
         return {}
     through = lambda n: min(1.0, 3.0 * sample_docs / max(1, n))
@@ -59,6 +64,8 @@ def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docs
     below = F.when(F.col("short"), by_lang(lambda n_long, n_short: through(n_short) if n_long < sample_docs else 0.0)).otherwise(by_lang(lambda n_long, n_short: through(n_long)))
     place = F.floor(share(18) * F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     few = pool.filter(F.col("u") < below).select("lang", "short", "u", "doc_id", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("cut"))
+    # one row an id, however often it is repeated: what the driver gets is bounded by the sample
+    few = few.groupBy("lang", "short", "u", "doc_id").agg(F.min("cut").alias("cut"))
     found: dict[str, list] = {lang: [] for lang in counts}
     for r in few.collect():  # at most about three times the sample, of long texts and of short ones
         found[r.lang].append((r.short, r.u, r.doc_id, r.cut))
@@ -118,7 +125,8 @@ def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
 
 def keep_accepted(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows of docs, with all their columns, whose language is told by a wide enough margin; all rows where no
-    language was learned."""
+    language was learned, and else no null texts, empty ones and others without a letter. Repeated rows and null ids are
+    judged row by row, long texts whole; an empty table stays empty; columns may have any names."""
     if not model:
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(model)
