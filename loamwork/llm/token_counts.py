@@ -20,12 +20,17 @@ MEMORY = 600_000
 MEMORY_CHARS = 64
 
 
-def load_vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores, in the order of their ids, of a sentencepiece model file."""
+def load_vocabulary(path: str) -> list[tuple[str, float, str]]:
+    """Pieces, scores and kinds (normal, byte, other), in the order of their ids, of a sentencepiece model file.
+
+    Only normal pieces occur in texts: control, unknown and unused ones stand for no text, and byte pieces for unknown
+    characters, whatever their names look like.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    other = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+    return [(model.id_to_piece(i), model.get_score(i), "other" if other(i) else "byte" if model.is_byte(i) else "normal") for i in range(model.get_piece_size())]
 
 
 class CountViterbi:
@@ -38,13 +43,13 @@ class CountViterbi:
     unknowns count as one piece.
     """
 
-    def __init__(self, vocabulary: list[tuple[str, float]]):
-        self.bytes = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in vocabulary}
-        self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
+    def __init__(self, vocabulary: list[tuple[str, float, str]]):
+        self.bytes = sum(kind == "byte" for *_, kind in vocabulary) == 256
+        normal = [(piece, score) for piece, score, kind in vocabulary if piece and kind == "normal"]
+        self.unknown = min((s for _, s in normal), default=0.0) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
-        for piece, score in vocabulary:
-            if piece:
-                self.automaton.add_word(piece, (len(piece), score))
+        for piece, score in normal:
+            self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.memory: dict[str, tuple[int, float]] = {}
 
@@ -102,12 +107,12 @@ class CountViterbi:
         return n, total
 
 
-def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float, str]]) -> DataFrame:
     """doc_id, n_tokens, score of each whole text: the pieces and log score of its best unigram segmentation.
 
     Spaces are marks that begin a word, one is put before the text, and words are segmented on their own. A null or
-    empty text has 0 tokens; repeated rows and null ids keep their rows; an empty table gives no rows; other columns
-    are ignored. No shuffle; the vocabulary (a fixed file, a megabyte) is broadcast.
+    empty text has 0 tokens; texts of any length are counted whole; ties go by the rule above; repeated rows and null ids
+    keep their rows; an empty table gives no rows; other columns are ignored. No shuffle; the vocabulary (a fixed file, a megabyte) is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
