@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import materialize
 from loamwork.llm.spans import matches, told
 
-#: Parts of one credential lie so many code points apart at most, with no blank line between.
+#: Between parts of one credential lie so many code points at most, and no blank line.
 REACH = 240
 
 
@@ -77,21 +77,28 @@ def weak_spans(rows: DataFrame) -> DataFrame:
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     """Of rows (key columns, start, kind_no, end, kind), the weak ones whose complements lie in reach and in scope.
 
-    The interval join is a range frame over the parts of one scope (a stretch without a blank line) in order of their
-    start: how many identifiers, secrets and endpoints begin at most `reach` code points before or after. A weak secret
+    An interval join that asks whether there is a match: two parts of one scope (a stretch without a blank line) meet
+    where the gap between their intervals is at most `reach` code points. Of the parts that begin before this one, the
+    furthest end tells whether one of a kind reaches it; of those that begin after it, the nearest start does. So both
+    sides are running extremes in one sorted pass, and no pairs are made, however many parts a scope has. A weak secret
     needs an identifier or an endpoint, a run without a name an identifier, a weak identifier a secret or a run, an
     endpoint both.
     """
     text = ["doc_id", "text_hash"]
     in_text = Window.partitionBy(*text).orderBy("start", "kind_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scoped = parts.withColumn("scope", F.count_if(F.col("kind") == "blank").over(in_text)).filter("kind <> 'blank'")
-    near = Window.partitionBy(*text, "scope").orderBy("start").rangeBetween(-reach, reach)
-    here = lambda *kinds: F.count_if(F.col("kind").isin(*kinds)).over(near)
-    counted = scoped.withColumns({"ids": here("access", "weak_id"), "secrets": here("assign", "hex", "weak_secret", "weak_run"), "endpoints": here("endpoint")})
-    kind = F.col("kind")
-    return counted.filter(
-        (kind == "weak_secret") & ((F.col("ids") > 0) | (F.col("endpoints") > 0)) | (kind == "weak_run") & (F.col("ids") > 0) | (kind == "weak_id") & (F.col("secrets") > 0) | (kind == "endpoint") & (F.col("ids") > 0) & (F.col("secrets") > 0)
-    ).select(*text, "start", "kind_no", "end", "kind")
+    in_scope = Window.partitionBy(*text, "scope").orderBy("start")
+    earlier, later = in_scope.rangeBetween(Window.unboundedPreceding, Window.currentRow), in_scope.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+
+    def here(*kinds: str) -> Column:
+        of = F.col("kind").isin(*kinds)
+        before, after = F.max(F.when(of, F.col("end"))).over(earlier), F.min(F.when(of, F.col("start"))).over(later)
+        return F.coalesce(before >= F.col("start") - reach, F.lit(False)) | F.coalesce(after <= F.col("end") + reach, F.lit(False))
+
+    met = scoped.withColumns({"ids": here("access", "weak_id"), "secrets": here("assign", "hex", "weak_secret", "weak_run"), "endpoints": here("endpoint")})
+    kind, ids, secrets, endpoints = map(F.col, ("kind", "ids", "secrets", "endpoints"))
+    needs = (kind == "weak_secret") & (ids | endpoints) | (kind == "weak_run") & ids | (kind == "weak_id") & secrets | (kind == "endpoint") & ids & secrets
+    return met.filter(needs).select(*text, "start", "kind_no", "end", "kind")
 
 
 def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
@@ -100,7 +107,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     Base spans always stay; weak identifiers, weak secrets, unnamed runs and endpoints are added where they complete one another.
     Offsets are code points, end exclusive. A null text is empty; repeated rows and null ids keep their rows (equal
     texts of one id have equal spans); an empty table gives no rows; other columns are ignored. The texts are searched
-    once; only documents with weak candidates are shuffled, by text, as a row for each part.
+    once, whole, however long; only documents with weak candidates are shuffled, by text, as a row for each part.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
