@@ -5,16 +5,18 @@ bands whose ends are 1/t apart, so a similar pair lies in one band or in two nei
 tag of its own band and, where near enough, of the next. Under a tag with at most H differences
 
 - H <= 2: the whole set is one segment, indexed with all sets that H deletions leave;
-- H <= 7: the universe of shingles is hashed into (H + 1) / 2 segments. One of them differs in at most one shingle: each
-  is indexed with its one-deletion neighbourhood;
-- else into m = H + 1 + slack segments, of which slack + 1 at least are equal in both sets. A segment's key is the hash
+- H <= 7: the universe of shingles is hashed into (H + 2) / 2 + slack segments. In slack + 1 of them similar sets differ
+  in at most one shingle: each is indexed with its one-deletion neighbourhood;
+- else into H + 1 + slack segments, of which slack + 1 at least are equal in both sets. A segment's key is the hash
   of its part of the set. One-deletion neighbourhoods cost a key for every shingle, plain segments a key for every four
   or so, but are selective only in larger sets.
 
-Allocation by cost: a segment that is empty, or whose key turns out to join many sets that aren't similar, is not
-compared, as long as the set has at most `slack` of these: then one equal segment is left. Sets with more of them (most
-of them made of passages that many documents share) are compared among one another in an exact other way: by the first
-(1 - t) * size + 1 of their shingles, rarest first, of which similar sets share one. So nothing is dropped.
+Allocation by cost, set by set: a segment is left out where it can hold nothing that both sets have (it is empty, or one
+deletion empties it), and where one of its keys turns out to join many sets that aren't similar. A set may leave out
+`slack` segments: then one in which a similar set agrees is left, whatever that set leaves out. Sets that would have to
+leave out more (most of them made of passages that many documents share) are compared among one another in an exact other
+way: by the first (1 - t) * size + 1 of their shingles, rarest first, of which similar sets share one. So nothing is
+dropped.
 
 Candidates are verified exactly on whole texts. A key's sets are joined to the smallest of them, first in each map task
 and then over all, so that a group of near copies, however large, gives a number of candidates in proportion; only sets
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import materialize, slices
+from loamwork.llm.common import materialize, numbered_runs, slices
 
 WORDS = 5
 #: Percent of the union that the intersection must have.
@@ -42,9 +44,14 @@ PERCENT = 80
 HELD_KEYS = 1_500_000
 BUCKET_CHARS = 8_000_000
 MIN_BUCKETS = 64
+#: Buckets that one map task sends keys to; with more, keys go to so many groups of buckets first.
+COARSE = 16_384
+#: A key's code is its tag times this, and its segment where neighbourhoods of segments are indexed.
+SEGMENTS = 8
 #: Differences up to which one-deletion neighbourhoods are indexed.
 HALVED = 7
-#: Sets outside the largest component under a key that are compared with all its sets; with more, the key is unused.
+#: The cost that a key may have: sets outside its largest component, each compared with all its sets. Beyond it the
+#: segment is left out.
 OUTSIDERS = 16
 #: Ids that may be broadcast (8 MB).
 MAX_BROADCAST_IDS = 1_000_000
@@ -97,15 +104,17 @@ class Scheme:
         return self.differences(tag) <= HALVED
 
     def slack(self, tag: int) -> int:
-        return 0 if self.halved(tag) else math.ceil(0.15 * (self.differences(tag) + 1)) + 1
+        h = self.differences(tag)
+        return 0 if h <= 2 else 1 if self.halved(tag) else math.ceil(0.15 * (h + 1)) + 1
 
     def segments(self, tag: int) -> int:
         h = self.differences(tag)
-        return 1 if h <= 2 else (h + 2) // 2 if self.halved(tag) else h + 1 + self.slack(tag)
+        return 1 if h <= 2 else ((h + 2) // 2 if self.halved(tag) else h + 1) + self.slack(tag)
 
-    def keys(self, x: np.ndarray, tag: int) -> tuple[np.ndarray, int]:
-        """Keys of a set under a tag, and how many of its segments are unused because they are empty."""
-        h = self.differences(tag)
+    def keys(self, x: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Keys of a set under a tag, their codes, and how many of its segments can't be used because too little is in
+        them. What leaves nothing over is no key."""
+        h, code = self.differences(tag), np.uint16(tag * SEGMENTS)
         if h <= 2:
             total = np.add.reduce(x, keepdims=True)
             sums = [total]
@@ -114,7 +123,8 @@ class Scheme:
             if h == 2:
                 a, b = np.triu_indices(len(x), 1)
                 sums.append(total - x[a] - x[b])
-            return self.named(np.concatenate(sums), tag, np.uint64(0)), 0
+            every = self.named(np.concatenate(sums), tag, np.uint64(0))
+            return every, np.full(len(every), code), 0
         m = self.segments(tag)
         seg = (mixed(x ^ np.uint64(tag + 1)) >> S32) % np.uint64(m)
         seg = seg.astype(np.uint16) if m < 1 << 16 else seg
@@ -123,11 +133,11 @@ class Scheme:
         begin = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1))
         sums = np.add.reduceat(y, begin)
         if not self.halved(tag):
-            return self.named(sums, tag, seg[begin]), m - len(begin)
+            return self.named(sums, tag, seg[begin]), np.full(len(begin), code), m - len(begin)
         size = np.diff(np.concatenate((begin, [len(y)])))
-        none = np.setdiff1d(np.arange(m, dtype=np.uint64), seg[begin])
-        every = np.concatenate((sums, np.repeat(sums, size) - y, np.zeros(len(none), np.uint64)))
-        return self.named(every, tag, np.concatenate((seg[begin], seg, none))), 0
+        some = np.repeat(size > 1, size)
+        every, of = np.concatenate((sums, (np.repeat(sums, size) - y)[some])), np.concatenate((seg[begin], seg[some]))
+        return self.named(every, tag, of), code + of.astype(np.uint16), m - int((size > 1).sum())
 
     @staticmethod
     def named(sums: np.ndarray, tag: int, seg: np.ndarray) -> np.ndarray:
@@ -137,9 +147,62 @@ class Scheme:
 INDEX = "what int, doc_id long, n long, fp1 long, fp2 long, sketch binary, tag int, empty int, tag2 int, empty2 int, bucket int, key long, blob binary"
 
 
-def _index(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
-    """what 0: a document's size, fingerprints, sketch, tags and empty segments. what 1: a bucket's keys and documents.
-    what 2: documents that share a key in this task (key, doc_id, tag). what 3: candidates (doc_id, key: another)."""
+def _pack(key: np.ndarray, code: np.ndarray, doc: np.ndarray, whole: bool) -> bytes:
+    """Keys, codes and documents as bytes; of a key that is in its bucket 48 bits are enough."""
+    named = key.tobytes() if whole else key.astype(np.uint32).tobytes() + (key >> np.uint64(48)).astype(np.uint16).tobytes()
+    return named + code.tobytes() + doc.tobytes()
+
+
+def _unpack(blob: bytes, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width = 8 if whole else 6
+    n = len(blob) // (width + 10)
+    if whole:
+        key = np.frombuffer(blob, np.uint64, n)
+    else:
+        key = np.frombuffer(blob, np.uint32, n).astype(np.uint64) | np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(48)
+    return key, np.frombuffer(blob, np.uint16, n, width * n), np.frombuffer(blob, np.int64, n, (width + 2) * n)
+
+
+def _blobs(key: np.ndarray, code: np.ndarray, doc: np.ndarray, bucket: np.ndarray, whole: bool) -> tuple[np.ndarray, list[bytes]]:
+    """The buckets and what goes to each."""
+    order = np.lexsort((doc, bucket))
+    key, code, doc, bucket = key[order], code[order], doc[order], bucket[order]
+    begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return bucket[begin].astype(np.int32), [_pack(key[a:b], code[a:b], doc[a:b], whole) for a, b in zip(begin, np.r_[begin[1:], len(bucket)], strict=True)]
+
+
+def _bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key >> S32) % np.uint64(buckets)
+
+
+def _finer(buckets: int):
+    """Blobs of groups of buckets, sorted anew into their buckets, some keys at a time."""
+
+    def flush(held: list[bytes]) -> pa.RecordBatch:
+        key, code, doc = map(np.concatenate, zip(*(_unpack(b, True) for b in held), strict=True))
+        bucket, blobs = _blobs(key, code, doc, _bucket_of(key, buckets), False)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for batch in slices(batches):
+            for blob in batch.column(1).to_pylist():
+                held.append(blob)
+                size += len(blob) // 18
+                if size >= HELD_KEYS:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _index(docs: DataFrame, scheme: Scheme, buckets: int, coarse: int | None) -> DataFrame:
+    """what 0: a document's size, fingerprints, sketch, tags and unusable segments. what 1: the keys and documents of a
+    bucket, or of one of `coarse` groups of buckets. what 2: documents that share a key in this task (key, doc_id, tag:
+    the key's code). what 3: candidates (doc_id, key: another)."""
     fields = [f.split() for f in INDEX.split(", ")]
     arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(n, arrow[t]) for n, t in fields])
@@ -147,37 +210,32 @@ def _index(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
     def rows(n_rows: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(given[f], type=schema.field(f).type) if f in given else pa.nulls(n_rows, schema.field(f).type) for f in schema.names], schema=schema)
 
-    def flush(keys: list[np.ndarray], ids: list[int], tags: list[int]) -> Iterator[pa.RecordBatch]:
-        counts = [len(k) for k in keys]
-        key = np.concatenate(keys)
-        doc, tag = np.repeat(np.array(ids, np.int64), counts), np.repeat(np.array(tags, np.int32), counts)
+    def flush(keys: list[np.ndarray], codes: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
+        key, code = np.concatenate(keys), np.concatenate(codes)
+        doc = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
         order = np.lexsort((doc, key))
-        key, doc, tag = key[order], doc[order], tag[order]
+        key, doc, code = key[order], doc[order], code[order]
         again = np.r_[False, (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])]
-        key, doc, tag = key[~again], doc[~again], tag[~again]
-        bucket = (key >> S32) % np.uint64(buckets)
+        key, doc, code = key[~again], doc[~again], code[~again]
+        bucket = _bucket_of(key, buckets)
         first, shared, head = _runs(key)
         # 48 bits of a key and its bucket name it: what falls together by chance is told apart by the verification
         name = named_key(key, bucket)
         for i in range(0, int(shared.sum()), 50_000):
             part = slice(i, i + 50_000)
-            k, d, t = name[shared][part], doc[shared][part], tag[shared][part]
+            k, d, t = name[shared][part], doc[shared][part], code[shared][part].astype(np.int32)
             yield rows(len(k), what=np.full(len(k), 2, np.int32), key=k.view(np.int64), doc_id=d, tag=t)
         a, b = _stars(doc, shared, head)
         yield rows(len(a), what=np.full(len(a), 3, np.int32), doc_id=a, key=b)
         # of documents that share a key only the first goes on
-        key, doc, tag, bucket = key[first], doc[first], tag[first], bucket[first].astype(np.int64)
-        order = np.lexsort((doc, bucket))
-        key, doc, tag, bucket = key[order], doc[order], tag[order], bucket[order]
-        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        ends = np.r_[begin[1:], len(bucket)]
-        blobs = [key[a:b].astype(np.uint32).tobytes() + ((key[a:b] >> np.uint64(48)).astype(np.uint16)).tobytes() + tag[a:b].astype(np.uint8).tobytes() + doc[a:b].tobytes() for a, b in zip(begin, ends, strict=True)]
-        yield rows(len(blobs), what=np.full(len(blobs), 1, np.int32), bucket=bucket[begin].astype(np.int32), blob=blobs)
+        to = bucket[first] if coarse is None else bucket[first] % np.uint64(coarse)
+        numbers, blobs = _blobs(key[first], code[first], doc[first], to, coarse is not None)
+        yield rows(len(blobs), what=np.full(len(blobs), 1, np.int32), bucket=numbers, blob=blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
         ids: list[int] = []
-        tags: list[int] = []
         held = 0
         copies: dict[tuple[int, int], int] = {}
         for batch in slices(batches):
@@ -190,12 +248,12 @@ def _index(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
                 prints = _sum(x), _sum(mixed(x + M1))
                 twin = copies.setdefault(prints, doc_id) if mine else None
                 for t in mine:
-                    k, empty = scheme.keys(x, t)
+                    k, code, empty = scheme.keys(x, t)
                     empties.append(empty)
                     if twin == doc_id:
                         keys.append(k)
+                        codes.append(code)
                         ids.append(doc_id)
-                        tags.append(t)
                         held += len(k)
                 if twin != doc_id and mine:
                     twins.append((twin, doc_id))
@@ -204,14 +262,14 @@ def _index(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
                 for f, v in zip(out, (doc_id, len(x), *prints, sketch, *both[0], *both[1]), strict=True):
                     out[f].append(v)
                 if held >= HELD_KEYS:
-                    yield from flush(keys, ids, tags)
-                    keys, ids, tags, held = [], [], [], 0
+                    yield from flush(keys, codes, ids)
+                    keys, codes, ids, held = [], [], [], 0
                     copies.clear()
             if twins:
                 yield rows(len(twins), what=np.full(len(twins), 3, np.int32), doc_id=[a for a, _ in twins], key=[b for _, b in twins])
             yield rows(batch.num_rows, what=np.zeros(batch.num_rows, np.int32), **out)
         if held:
-            yield from flush(keys, ids, tags)
+            yield from flush(keys, codes, ids)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX)
 
@@ -240,23 +298,15 @@ def _stars(doc: np.ndarray, shared: np.ndarray, head: np.ndarray) -> tuple[np.nd
 
 def _bucket_shares(table: pa.Table) -> pa.Table:
     """Of one bucket's keys, those that several map tasks sent: (what 2, key, doc_id, tag) and candidates (what 3)."""
-    keys, docs, tags = [], [], []
     bucket = table.column("bucket")[0].as_py()
-    for chunk in table.column("blob").chunks:
-        for blob in chunk.to_pylist():
-            n = len(blob) // 15
-            low, high = np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.uint16, n, 4 * n)
-            keys.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(48))
-            tags.append(np.frombuffer(blob, np.uint8, n, 6 * n))
-            docs.append(np.frombuffer(blob, np.int64, n, 7 * n))
-    key, doc, tag = np.concatenate(keys), np.concatenate(docs), np.concatenate(tags)
+    key, tag, doc = map(np.concatenate, zip(*(_unpack(blob, False) for chunk in table.column("blob").chunks for blob in chunk.to_pylist()), strict=True))
     order = np.lexsort((doc, key))
     key, doc, tag = key[order], doc[order], tag[order]
     _, shared, head = _runs(key)
     name = named_key(key[shared], np.uint64(bucket)).view(np.int64)
     a, b = _stars(doc, shared, head)
     what = np.r_[np.full(len(name), 2), np.full(len(a), 3)].astype(np.int32)
-    other = np.r_[tag[shared], np.zeros(len(a), np.uint8)].astype(np.int32)
+    other = np.r_[tag[shared], np.zeros(len(a), np.uint16)].astype(np.int32)
     return pa.table([pa.array(what), pa.array(np.r_[name, b]), pa.array(np.r_[doc[shared], a]), pa.array(other)], ["what", "key", "doc_id", "tag"])
 
 
@@ -285,6 +335,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+
 class NgramJoin:
     """The join over one table of documents."""
 
@@ -293,25 +347,30 @@ class NgramJoin:
         self.docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         chars = self.docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
         buckets = max(MIN_BUCKETS, math.ceil(chars / BUCKET_CHARS))
-        index = materialize(_index(self.docs, self.scheme, buckets))
+        coarse = COARSE if buckets > COARSE else None
+        index = materialize(_index(self.docs, self.scheme, buckets, coarse))
         self.sizes = index.filter("what = 0").select("doc_id", "n", "fp1", "fp2", "sketch", "tag", "empty", "tag2", "empty2")
         sent = index.filter("what = 1").select("bucket", "blob")
+        if coarse:
+            sent = sent.repartition("bucket").mapInArrow(_finer(buckets), "bucket int, blob binary")
         over = materialize(sent.groupBy("bucket").applyInArrow(_bucket_shares, "what int, key long, doc_id long, tag int"))
         all_rows = index.select("what", "key", "doc_id", "tag").filter("what >= 2").unionByName(over)
-        #: (key, doc_id, tag) of keys that several documents have; the first of a map task may be there twice.
+        #: (key, doc_id, tag: code) of keys that several documents have; the first of a map task may be there twice.
         self.shares = all_rows.filter("what = 2").select("key", "doc_id", "tag")
         self.stars = all_rows.filter("what = 3").select(F.col("doc_id").alias("a"), F.col("key").alias("b"))
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """doc_id, text of the given ids (column doc_id, distinct)."""
-        return self.docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
+        return self.docs.join(_small(ids), "doc_id", "left_semi")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) the similar ones. Equal fingerprints (128 bits of the sets) are similar; the rest
         must be near in size and in their sketches (bins of shingles differ by less than the sets do), and are then
         compared as sets."""
         scheme, percent = self.scheme, self.scheme.percent
-        of = lambda x: self.sizes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "fp1", "fp2", "sketch")])
+        ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        sizes = materialize(self.sizes.join(_small(ids), "doc_id", "left_semi"))
+        of = lambda x: sizes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "fp1", "fp2", "sketch")])
         met = pairs.join(of("a"), "a").join(of("b"), "b")
         near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("n_a") > 0)
         equal = (F.col("n_a") == F.col("n_b")) & (F.col("fp1_a") == F.col("fp1_b")) & (F.col("fp2_a") == F.col("fp2_b"))
@@ -374,7 +433,7 @@ class NgramJoin:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids, counts)), pa.array(np.repeat(np.array(counts, np.int64), counts))], ["key", "doc_id", "n"])
 
         all_rows = materialize(self.texts(few).mapInArrow(run, "key long, doc_id long, n long"))
-        common = all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        common = materialize(all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
         # shingles that one set only has come first: their number is what the others leave of the set's size
         shared = all_rows.join(common, "key")
         in_set = Window.partitionBy("doc_id")
@@ -386,14 +445,15 @@ class NgramJoin:
         """Links and components with those among the sets `few`: first each key's sets against its smallest, of which
         the others are the likeliest to be similar, then those that aren't in one component yet."""
         keys = self.rarest(few)
-        heads = keys.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("head"))
+        # written down, so that the join's both sides are plain shuffles and a hot key can be split
+        heads = materialize(keys.groupBy("key").agg(F.min(F.struct("n", "doc_id")).alias("head")))
         near = 100 * F.col("head.n") >= self.scheme.percent * F.col("n")
         stars = self.ordered(keys.join(heads, "key").filter(near).select(F.col("head.doc_id").alias("x"), F.col("doc_id").alias("y")), "x", "y")
         links, found = self.with_links(links, found, stars)
         held = materialize(self.labelled(keys, found))
         parts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         main = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("n > top.n").select("key", F.col("top.component").alias("main"))
-        rows = materialize(held.join(main, "key"))
+        rows = materialize(held.join(materialize(main), "key"))
         outside = rows.filter("component <> main").alias("p")
         like = (100 * F.col("p.n") >= self.scheme.percent * F.col("q.n")) & (100 * F.col("q.n") >= self.scheme.percent * F.col("p.n"))
         # if this is the first shingle that both have, they can have no more than this and what stands behind it
@@ -419,20 +479,19 @@ class NgramJoin:
         parts = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), (F.min("doc_id") < F.max("doc_id")).alias("several"))
         largest = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"), F.bool_or("several").alias("several"))
         open_keys = largest.filter("components > 2 or components = 2 and several").select("key", F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("outside"))
-        used = materialize(held.join(open_keys, "key"))
-        # keys of neighbourhoods have no slack: they are always used
-        whole = [t for t in range(len(self.scheme.low) - 1) if self.scheme.halved(t)]
-        always = F.col("tag").isin(whole)
-        rows = used.filter((F.col("outside") <= OUTSIDERS) | always)
+        used = materialize(held.join(materialize(open_keys), "key"))
+        rows = used.filter(F.col("outside") <= OUTSIDERS)
         outside = rows.filter("component <> main").alias("p")
         met = outside.join(rows.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")))
         pairs = self.ordered(met.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")), "a", "b")
 
-        # sets with more unused segments than the slack
-        unused = used.filter((F.col("outside") > OUTSIDERS) & ~always).groupBy("doc_id", "tag").agg(F.count_distinct("key").alias("unused"))
-        entries = self.sizes.filter("doc_id is not null").select("doc_id", F.explode(F.array(F.struct("tag", "empty"), F.struct(F.col("tag2").alias("tag"), F.col("empty2").alias("empty")))).alias("e")).select("doc_id", "e.tag", "e.empty").filter(F.col("tag").isNotNull() & ~F.col("tag").isin(whole))
-        top = 1 + (entries.agg(F.max("tag").alias("t")).first().t or 0)
-        slack = F.array(*[F.lit(self.scheme.slack(t)) for t in range(top)])
+        # sets that leave out more segments than the slack; a plain segment has one key, a neighbourhood's is told by its code
+        tags = range(len(self.scheme.low) - 1)
+        tag_of, halved = F.floor(F.col("tag") / SEGMENTS).cast("int"), F.array(*[F.lit(self.scheme.halved(t)) for t in tags])
+        segment = F.when(halved[tag_of], F.col("tag").cast("long")).otherwise(F.col("key"))
+        unused = used.filter(F.col("outside") > OUTSIDERS).groupBy("doc_id", tag_of.alias("tag")).agg(F.count_distinct(segment).alias("unused"))
+        entries = self.sizes.filter("doc_id is not null").select("doc_id", F.explode(F.array(F.struct("tag", "empty"), F.struct(F.col("tag2").alias("tag"), F.col("empty2").alias("empty")))).alias("e")).select("doc_id", "e.tag", "e.empty").filter("tag is not null")
+        slack = F.array(*[F.lit(self.scheme.slack(t)) for t in tags])
         counted = entries.join(unused, ["doc_id", "tag"], "left").filter(F.col("empty") + F.coalesce("unused", F.lit(0)) > slack[F.col("tag")])
         few = materialize(counted.select("doc_id").distinct())
 
@@ -458,16 +517,30 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component.
 
-    Of rows with the same doc_id the one whose text is smallest stays; rows with a null doc_id stay.
+    Rows are judged by their texts: those that share an id, or have none, take part as rows of their own, behind all rows
+    with an id of their own, and of those with equal texts one stays. Texts without words, null or empty, link with
+    nothing and stay; texts of any length are compared whole; an empty table stays empty; columns may have any names.
     """
-    _, found = NgramJoin(docs, percent).run()
-    # found has the nodes that aren't the smallest of their component
-    left = docs.join(found.select(F.col("node").alias("__dup_node")), F.col("doc_id").cast("long") == F.col("__dup_node"), "left_anti")
-    twice = left.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("__twice")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__twice")
-    twice = materialize(twice)
-    if twice.isEmpty():
-        return left
-    same = F.col("doc_id").cast("long") == F.col("__twice")
-    order = Window.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("text").asc_nulls_last())
-    firsts = left.join(twice, same, "left_semi").withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
-    return left.join(twice, same, "left_anti").unionByName(firsts)
+    ids, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    twice = materialize(docs.filter("doc_id is not null").groupBy(ids.alias("__twice")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__twice"))
+    shared = docs.join(_small(twice), ids == F.col("__twice"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    worded = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    shared = shared.withColumns({"__id": ids, "__hash": F.xxhash64(text), "__sha": F.sha1(text)}).filter(worded)
+    kinds = materialize(shared.select("__id", "__hash", "__sha").distinct())
+    if kinds.isEmpty():
+        _, found = NgramJoin(docs, percent).run()
+        # found has the nodes that aren't the smallest of their component
+        return docs.join(found.select(F.col("node").alias("__node")), ids == F.col("__node"), "left_anti")
+    after = docs.agg(F.max(ids).alias("m")).first().m or 0
+    numbered = numbered_runs(kinds, [F.col("__id").asc_nulls_last(), F.col("__hash"), F.col("__sha")], {"__node": F.lit(1).cast("long")})
+    numbered = materialize(numbered.withColumn("__node", F.col("__node") + F.lit(after + 1)))
+    numbered = numbered.withColumnsRenamed({c: f"{c}_of" for c in ("__id", "__hash", "__sha")})
+    same = F.col("__id").eqNullSafe(F.col("__id_of")) & (F.col("__hash") == F.col("__hash_of")) & (F.col("__sha") == F.col("__sha_of"))
+    shared = materialize(shared.join(numbered, same).select(*docs.columns, "__node").dropDuplicates(["__node"]))
+    own = docs.filter("doc_id is not null").join(_small(twice), ids == F.col("__twice"), "left_anti").withColumn("__node", ids)
+    every = own.unionByName(shared)
+    _, found = NgramJoin(every.select(F.col("__node").alias("doc_id"), "text"), percent).run()
+    kept = every.join(found.select(F.col("node").alias("__gone")), F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns)
+    # rows without words that share an id or have none
+    bare = docs.filter("doc_id is null").unionByName(docs.join(_small(twice), ids == F.col("__twice"), "left_semi")).filter(~worded)
+    return kept.unionByName(bare)
