@@ -53,22 +53,28 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Archive records of the raw pages: page_id is the time of capture, its language edition the etag.
+    """Archive records of the raw pages: each is captured once in full and once as a not-modified answer.
 
-    Every third capture is read as a not-modified answer. The etag is that of the edition (the language in
-    the path), so that captures of one canonical url agree or differ.
+    The pages name no captures, so the second is made here: the same address in another spelling, half a thousand steps
+    after the first (of every seventh page before it, so that nothing is there yet). The etag is that of the edition
+    (the language in the path); some answers have another one, or none.
     """
-    head = F.md5(F.regexp_extract("url", "//[^/]+/([a-z]+)/", 1))
-    revisit = F.col("page_id") % 3 == 1
-    headers = F.create_map(F.lit("Date"), F.col("page_id").cast("string"), F.lit("ETag"), head, F.lit("Content-Length"), F.length("html").cast("string"))
-    # a page is captured under its host's address: the hosts are the urls that are fetched again and again
-    url = F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0)
-    return pages.select(F.col("page_id").alias("record_id"), url.alias("url"), F.col("page_id").alias("ts"), F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(F.col("page_id") % 2 == 0, head).alias("etag"), F.length("html").cast("string").alias("last_modified"), headers.alias("headers"))
+    two = pages.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("edition", F.md5(F.regexp_extract("url", "//[^/]+/([a-z]+)/", 1)))
+    n, again, size = F.col("page_id"), F.col("again") == 1, F.length("html").cast("string")
+    bare = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "^[a-z]+://(www\\.)?", "")
+    other = F.concat(F.lit("HTTP://WWW."), bare, F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_medium=feed#again"))
+    ts = 2 * n + F.when(again, F.when(n % 7 == 0, -1).otherwise(1_001)).otherwise(0)
+    etag = F.when(n % 2 == 0, F.when(again & (n % 6 == 0), "other").otherwise(F.col("edition")))
+    headers = F.create_map(F.lit("Date"), ts.cast("string"), F.lit("ETag"), F.col("edition"), F.lit("Content-Length"), F.when(again, "0").otherwise(size))
+    return two.select(
+        (2 * n + F.col("again")).alias("record_id"), F.when(again, other).otherwise(F.col("url")).alias("url"), ts.alias("ts"), F.when(again, "revisit").otherwise("response").alias("kind"),
+        etag.alias("etag"), F.when(~again | (n % 5 > 0), size).alias("last_modified"), headers.alias("headers"),
+    )
 
 
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resolve_revisits(page_records(read(spark, sf_dir, "pages")))
-    return out.withColumnRenamed("record_id", "page_id").withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "&"))
+    return out.withColumn("headers", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "&"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,11 +12,13 @@ dup as (select r, count(*) - count(distinct line) as n from (select r, unnest(st
 c as (select doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
   coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words from d left join dup using (r) left join cov using (r)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
-h as (select source, count(*) as n, count(*) filter (base_failed) as k from b group by 1),
-m as (select avg(k / n) as m, coalesce(var_samp(k / n), 0) as v from h),
-s as (select m, case when v > 0 then greatest(1.0, least(10000.0, m * (1 - m) / v - 1)) else 1.0 end as s from m),
-v as (select source as host, (k + m * s) / (n + s) as rate from h, s)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 as kept, round(rate, 6) as host_rate
+f as (select source, rule, (case when rule = 'short' then n_words < 50 else 100 * n_repeat_words > 50 * n_words end)::int as bad from b, (values ('short'), ('repeats')) x(rule)),
+h as (select source, rule, count(*)::double as n, sum(bad)::double as k from f group by 1, 2),
+m as (select rule, count(*)::double as h, sum(n) as n, sum(n * n) as nn, sum(k) / sum(n) as m, sum(k * k / n) as kk from h group by 1),
+o as (select rule, m, case when m * (1 - m) > 0 and n - nn / n - (h - 1) > 0 then ((kk - n * m * m) / (m * (1 - m)) - (h - 1)) / (n - nn / n - (h - 1)) else 0.0 end as rho from m),
+s as (select rule, m, 1 / least(0.5, greatest(1e-4, rho)) - 1 as s from o),
+v as (select source as host, max((k + m * s) / (n + s)) as worst, max(case when rule = 'short' then (k + m * s) / (n + s) end) as a, max(case when rule = 'repeats' then (k + m * s) / (n + s) end) as b from h join s using (rule) group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and worst <= 0.5 as kept, round(v.a, 6) as host_short_rate, round(v.b, 6) as host_repeats_rate
 from b join v on source is not distinct from host"""
 
 DECONTAMINATION = rf"""
@@ -50,13 +52,29 @@ c as (select doc_id, seeded, size, sum(greatest(0, least((b + 1) * 8, b4 + size)
 select x.doc_id, x.size, source_size, round(target, 6) as target, (quota // n * x.size + coalesce(part, 0))::bigint as taken from x left join c using (seeded)"""
 
 REVISITS = r"""
-with p as (select page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') as canonical, case when page_id % 2 = 0 then e end as etag, length(html)::varchar as lm, e, kind
-  from (select *, md5(regexp_extract(url, '//[^/]+/([a-z]+)/', 1)) as e, case when page_id % 3 = 1 then 'revisit' else 'response' end as kind from pages)),
-q as (select *, last_value(case when kind = 'response' then page_id end ignore nulls) over o as b_id from p window o as (partition by canonical order by page_id rows between unbounded preceding and 1 preceding)),
-j as (select q.*, b.etag as b_etag, b.lm as b_lm from q left join p b on b.page_id = b_id),
+with e as (select page_id as n, url, length(html)::varchar as size, md5(regexp_extract(url, '//[^/]+/([a-z]+)/', 1)) as edition from pages),
+r as (select 2 * n as record_id, n, url, 2 * n as ts, 'response' as kind, case when n % 2 = 0 then edition end as etag, size as lm, size as len, edition from e
+  union all select 2 * n + 1, n, 'HTTP://WWW.' || regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://(www\.)?', '') || case when contains(url, '?') then '&' else '?' end || 'utm_medium=feed#again',
+    2 * n + case when n % 7 = 0 then -1 else 1001 end, 'revisit', case when n % 2 = 0 then case when n % 6 = 0 then 'other' else edition end end, case when n % 5 > 0 then size end, '0', edition from e),
+b as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '(?i)^https?://(www\.)?', '') as bare from r),
+c as (select *, split_part(bare, '?', 1) as p, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(split_part(x, '=', 1), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)$'))) as q from b),
+u as (select *, regexp_replace(lower(regexp_extract(p, '^[^/]*')), ':(80|443)$', '') || regexp_replace(regexp_extract(p, '/.*$'), '/+$', '') || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end as canonical from c),
+l as (select *, last_value(case when kind = 'response' then record_id end ignore nulls) over (partition by canonical order by ts, record_id rows between unbounded preceding and 1 preceding) as b_id from u),
+j as (select l.*, x.etag as b_etag, x.lm as b_lm, x.len as b_len from l left join u x on x.record_id = b_id),
 s as (select *, case when kind = 'response' then 'full' when b_id is null then 'unresolved' when etag is not null and b_etag is not null then case when etag = b_etag then 'validated' else 'mismatch' end
-  when lm = b_lm then 'validated' else 'mismatch' end as status from j)
-select page_id, canonical, kind, case when kind = 'revisit' then b_id end as refers_to, status,
-  'content-length=' || case when status = 'validated' then b_lm else lm end || '&date=' || page_id || '&etag=' || e as headers from s"""
+  when lm is not null and b_lm is not null then case when lm = b_lm then 'validated' else 'mismatch' end else 'unchecked' end as status from j)
+select record_id, canonical, kind, case when kind = 'revisit' then b_id end as refers_to, status, 'content-length=' || case when status in ('validated', 'unchecked') then b_len else len end || '&date=' || ts || '&etag=' || edition as headers from s"""
 
-ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op10_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_revisits": REVISITS}
+#: The contract's columns of op6; n_links, the links that were needed to connect a group, is not for SQL to tell.
+COMPONENTS = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') as s from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from g group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as n_both from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * n_both >= 80 * (x.n + y.n - n_both)),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+m as (select a, min(b) as low from r group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id from d left join n using (doc_id) left join m on m.a = d.doc_id"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES,  "op10_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_revisits": REVISITS}

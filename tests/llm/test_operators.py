@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.llm import common, language_id, mixing, ngram_join, pii, quality_classifier, quality_rules, registry, revisits, secrets, spans, token_counts
-from loamwork.llm.decontamination import decontaminate
+from loamwork.llm import common, language_id, mixing, ngram_join, pii, quality_classifier, quality_rules, registry, revisits, secrets, spans, sql, token_counts
+from loamwork.llm.decontamination import decontaminate, keep_clean
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SPACES = "[^ \t\n\x0b\x0c\r]+"
@@ -72,15 +72,60 @@ def test_host_verdicts(spark):
     assert len(got) == len(rows)
     kept = {r.doc_id for r in got if r.kept}
     assert kept == {*range(100, 140), 201}
-    rates = {r.doc_id: r.host_rate for r in got}
+    rates = {r.doc_id: r.host_short_rate for r in got}
     assert rates[100] < 0.3 < rates[200] < rates[0] <= 0.9  # one document's rate stays near the mean of all hosts
+    assert {r.host_repeats_rate for r in got} == {0.0}
     salted = quality_rules.quality_rules(docs, max_broadcast=0)
     assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_prior_without_noise(spark):
+    rng = random.Random(3)
+    hosts = lambda n, size, rate: spark.createDataFrame([(str(i), size, sum(rng.random() < rate() for _ in range(size))) for i in range(n)], "host string, host_docs long, host_short long")
+    mean, strength = quality_rules.beta_prior(hosts(400, 1, lambda: 0.5), ["short"])["short"]
+    assert abs(mean - 0.5) < 0.1 and strength > 9_000  # one document a host: nothing tells them apart
+    assert quality_rules.beta_prior(hosts(300, 20, lambda: 0.3), ["short"])["short"][1] > 100  # all of one rate: noise alone
+    for a, b in ((2, 8), (1, 1)):
+        drawn = [(str(i), 40, sum(rng.random() < p for _ in range(40))) for i, p in enumerate(rng.betavariate(a, b) for _ in range(800))]
+        mean, strength = quality_rules.beta_prior(spark.createDataFrame(drawn, "host string, host_docs long, host_short long"), ["short"])["short"]
+        assert abs(mean - a / (a + b)) < 0.03 and abs(strength - a - b) < 0.2 * (a + b)
+    empty = quality_rules.quality_rules(table(spark, ["a"]).limit(0))
+    assert empty.count() == 0 and {r.kept for r in quality_rules.quality_rules(table(spark, [None, None])).collect()} == {False}
+    odd = spark.createDataFrame([(None, words(60, 1), None, None, 0), (3, words(60, 2), None, "h", 0), (3, words(60, 2), None, "h", 0)], SCHEMA)
+    assert sorted(str(r.doc_id) for r in quality_rules.quality_rules(odd).collect() if r.kept) == ["3", "3", "None"]
+
+
 # op 2
 
 
+def plain_language(text, model):
+    """The language whose dictionary gives the fewest bytes, one plain compressor call a block and language."""
+    import zstandard
+
+    raw, sizes = language_id.letters_of(text), {}
+    for lang, content in model.items():
+        params = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, source_size=language_id.BLOCK, dict_size=len(content), min_match=language_id.MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+        blocks = [raw[i : i + language_id.BLOCK] for i in range(0, len(raw), language_id.BLOCK)]
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary.precompute_compress(compression_params=params)
+        sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress(b)) for b in blocks)
+    first, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+    return first[1], (second[0] - first[0]) / first[0] >= language_id.MIN_MARGIN
+
+
+def test_language_against_plain_compressors(spark):
+    rng = random.Random(16)
+    parts = {"en": ["the", "ing", "th", "ed"], "de": ["sch", "ung", "ein", "en"], "fr": ["eau", "que", "ment", "en"]}
+    text = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=2)) for _ in range(n))
+    rows = [(i, text(lang := ("en", "de", "fr")[i % 3], rng.choice([1, 3, 40, 1_500])), lang, "s", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows + [(7, "x " * 50, "en", "s", 0)] * 200, SCHEMA).withColumns({c: F.lit("x") for c in ("lang_pred", "score", "cut", "u", "short")})
+    model = language_id.train(docs)
+    for r in language_id.language_id(docs).filter("doc_id <> 7").collect():
+        assert (r.lang_pred, r.accepted) == plain_language(rows[r.doc_id][1], model), r
+    with pytest.raises(ValueError):
+        language_id.train(spark.range(1_700).selectExpr("id as doc_id", "repeat('ab ', 50) as text", "cast(id as string) as lang"))
+
+
 def test_language(spark):
     rng = random.Random(6)
     parts = {"en": ["the", "ing", "wh", "th", "ed", "tion", "and"], "de": ["sch", "ung", "ein", "ch", "ver", "keit", "und"], "fr": ["eau", "que", "ment", "les", "oi", "é", "è"]}
@@ -131,7 +176,7 @@ def test_token_counts(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     vocabulary = token_counts.load_vocabulary(registry.VOCABULARY)
-    reference = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    reference = Tokenizer(models.Unigram([(piece, score) for piece, score, _ in vocabulary], unk_id=0, byte_fallback=True))
     reference.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always")
     texts = [*ODD, "Hello world, this is  text", " lead", "trail ", "日本語 ䷿䷾ x", "a\nb\n\nc", "▁x ▁▁ y", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
     got = by_id(token_counts.token_counts(table(spark, texts, extra=True), vocabulary))
@@ -140,12 +185,37 @@ def test_token_counts(spark):
 
 
 def test_viterbi_ties():
-    counter = token_counts.CountViterbi([("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0)])
+    counter = token_counts.CountViterbi([("<unk>", 0.0, "other"), ("▁", -1.0, "normal"), ("a", -1.0, "normal"), ("aa", -2.0, "normal"), ("▁a", -2.0, "normal")])
     # ▁|aa, ▁a|a and ▁|a|a all score -3: the last piece that starts first wins
     assert counter.word("aa") == (2, -3.0)
     assert counter.text("zz")[0] == 2  # ▁ and one unknown for both
 
 
+def plain_viterbi(word, vocabulary, unknown):
+    """Best score of all segmentations, by trying every cut."""
+    best = [0.0] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            piece = vocabulary.get(word[start:end], unknown if end - start == 1 else None)
+            if piece is not None and best[start] is not None and (best[end] is None or best[start] + piece > best[end]):
+                best[end] = best[start] + piece
+    return best[-1]
+
+
+def test_scores_and_special_pieces(spark):
+    rng = random.Random(12)
+    pieces = {"".join(rng.choices("abc▁", k=rng.randrange(1, 5))): -rng.randrange(1, 40) / 4 for _ in range(60)}
+    vocabulary = [("<unk>", 0.0, "other"), ("<s>", 0.0, "other"), ("<0x41>", 0.0, "byte"), *[(p, s, "normal") for p, s in pieces.items()]]
+    counter, unknown = token_counts.CountViterbi(vocabulary), min(pieces.values()) - token_counts.UNKNOWN_PENALTY
+    for _ in range(300):
+        text = "".join(rng.choices("abcd", k=rng.randrange(1, 12)))
+        assert abs(counter.word(text)[1] - plain_viterbi("▁" + text, pieces, unknown)) < 1e-9
+    assert counter.text("a<s>b")[1] < counter.text("ab")[1] + 2 * unknown  # the special piece's letters are unknown
+    rows = [(None, "ab", None, None, 0), (1, "ab", None, None, 0), (1, "ab", None, None, 0)]
+    got = token_counts.token_counts(spark.createDataFrame(rows, SCHEMA), vocabulary)
+    assert got.count() == 3 and len({r.n_tokens for r in got.collect()}) == 1 and token_counts.token_counts(got.selectExpr("doc_id", "'x' as text").limit(0), vocabulary).count() == 0
+
+
 # op 4
 
 
@@ -247,6 +317,39 @@ def test_linked_credentials(spark):
     assert got[4] == ["weak_id:0:10,assign:11:26"] and got[5] == ["access:14:34"]
 
 
+def plain_links(parts, reach):
+    kinds = {"ids": ("access", "weak_id"), "secrets": ("assign", "hex", "weak_secret", "weak_run"), "endpoints": ("endpoint",)}
+    blanks = [p[0] for p in parts if p[3] == "blank"]
+    scope = lambda p: sum(b <= p[0] for b in blanks)
+    out = []
+    for p in parts:
+        near = {k: any(q[3] in names and scope(q) == scope(p) and max(p[0], q[0]) - min(p[2], q[2]) <= reach for q in parts) for k, names in kinds.items()}
+        need = {"weak_secret": near["ids"] or near["endpoints"], "weak_run": near["ids"], "weak_id": near["secrets"], "endpoint": near["ids"] and near["secrets"]}
+        if need.get(p[3]):
+            out.append(p)
+    return out
+
+
+def test_interval_join(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for doc in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 25)):
+            start = rng.randrange(2_000)
+            parts.append((start, 1, start + rng.choice([3, 20, 300]), rng.choice(["access", "weak_id", "assign", "weak_secret", "weak_run", "endpoint", "endpoint", "blank"])))
+        rows += [(doc, 0, *p) for p in parts]
+        want[doc] = sorted(plain_links(parts, 60))
+    got = collections.defaultdict(list)
+    for r in secrets.linked(spark.createDataFrame(rows, "doc_id long, text_hash long, start long, kind_no int, end long, kind string"), 60).collect():
+        got[r.doc_id].append((r.start, r.kind_no, r.end, r.kind))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    text = "user=bob " + "x" * 260 + " pass: foobar99"  # far from start to start, near from end to start
+    long_run = f"token={'k' * 250} login: joe"
+    got = by_id(secrets.find_secrets(table(spark, [text, long_run])))
+    assert got[0].spans == "" and got[1].spans == f"assign:0:{len('token=') + 250},weak_id:{long_run.index('login')}:{len(long_run)}"
+
+
 def test_usual_pairs_are_linked(spark):
     key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
     long_id, long_key = "u" * 90, "k" * 90
@@ -384,7 +487,7 @@ def test_ngram_components(spark, monkeypatch, outsiders):
     monkeypatch.setattr(ngram_join, "OUTSIDERS", outsiders)
     monkeypatch.setattr(ngram_join, "HELD_KEYS", 2_000)
     passage = words(12, 99)
-    texts = [*[t for t in ODD if len(t or "") < 5_000], *near_copies(1, [5, 6, 8, 9, 12, 15, 20, 25, 30, 40, 60, 90, 150], 9, 3), *[passage + " " + words(8, i, 10**6) for i in range(40)], *[words(50, 7)] * 6]
+    texts = [*[t for t in ODD if len(t or "") < 250_000], *near_copies(1, [5, 6, 8, 9, 12, 15, 20, 25, 30, 40, 60, 90, 150], 9, 3), *[passage + " " + words(8, i, 10**6) for i in range(40)], *[words(50, 7)] * 6]
     random.Random(3).shuffle(texts)
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows] + [(None, texts[0], None, None, None), (5, texts[5], "en", "s", 0)], SCHEMA).repartition(3)
@@ -398,7 +501,50 @@ def test_ngram_components(spark, monkeypatch, outsiders):
             assert (r.component_id, r.n_shingles) == (want[r.doc_id], sizes[r.doc_id]), texts[r.doc_id] and texts[r.doc_id][:60]
     kept = ngram_join.keep_first(docs).collect()
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == sorted(i for i, c in want.items() if i == c)
-    assert sum(r.doc_id is None for r in kept) == 1 and ngram_join.keep_first(docs).columns == docs.columns
+    assert sum(r.doc_id is None for r in kept) == (not (texts[0] or "").split()) and ngram_join.keep_first(docs).columns == docs.columns
+
+
+def test_unrelated_short_texts_do_not_meet(spark):
+    """Pairs under one key grow with the documents, not with their square."""
+    made = []
+    for n in (1_500, 3_000):
+        docs = table(spark, [words(random.Random(i).choice([18, 22, 27]), 1_000 + i, 10**7) for i in range(n)])
+        join = ngram_join.NgramJoin(docs)
+        made.append(join.shares.count())
+        assert join.run()[0].isEmpty()
+    assert made[1] <= 0.002 * 3_000
+
+
+def test_many_buckets(spark, monkeypatch):
+    texts = near_copies(7, [20, 60, 200], 12, 2)
+    docs = table(spark, texts).repartition(3)
+    want, _ = plain_components(list(enumerate(texts)))
+    monkeypatch.setattr(ngram_join, "COARSE", 5)
+    monkeypatch.setattr(ngram_join, "HELD_KEYS", 700)
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()} == want
+
+
+def test_keep_first_by_texts(spark):
+    a, b, c = words(60, 1, 10**6), words(60, 2, 10**6), words(60, 3, 10**6)
+    rows = [(1, a, "x", "s", 0), (1, b, "y", "s", 0), (1, a, "x", "s", 0), (2, b, "z", "s", 0), (None, c, "n", "s", 0), (None, c, "n", "s", 0), (None, a + " x", "m", "s", 0), (3, None, "e", "s", 0), (3, None, "e", "s", 0), (None, "", "e", "s", 0), (4, words(30_000, 5, 10**6), "l", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({k: F.lit("own") for k in ("node", "key", "component", "n")})
+    kept = ngram_join.keep_first(docs)
+    got = sorted((str(r.doc_id), r.lang) for r in kept.collect())
+    assert got == sorted([("1", "x"), ("2", "z"), ("None", "n"), ("3", "e"), ("3", "e"), ("None", "e"), ("4", "l")]) and kept.columns == docs.columns
+    assert ngram_join.keep_first(docs.limit(0)).count() == 0
+
+
+def test_components_as_sql_tells_them(spark):
+    from pathlib import Path
+
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("no test tables here")
+    duckdb.sql(f"create or replace view documents as select * from '{path}'")
+    want = {r[0]: r[1:] for r in duckdb.sql(sql.COMPONENTS).fetchall()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(spark.read.parquet(path)).collect()} == want
 
 
 def test_ngram_empty(spark):
@@ -568,6 +714,12 @@ def plain_hits(text, items):
 def test_decontamination(spark, max_chars):
     items = [(1, words(14, 1, 50)), (2, "Short: Ünit"), (10, "short ünit"), (3, None), (4, "!!"), (None, "w1 w2"), (5, "w7"), (6, words(10, 2, 50))]
     texts = [*[t for t in ODD if len(t or "") < 5_000], "x " + words(14, 1, 50).upper().replace(" ", " -- ") + " y", "a SHORT,ünit. b", "shortünit", words(400, 3, 8), words(10, 2, 50) + " " + words(10, 2, 50), "short ünit short ünit", "€ short ünit short ünit"]
+    rng = random.Random(5)
+    items += [(20 + i, words(rng.randrange(8, 40), 50 + i, 3)) for i in range(6)]
+    for _ in range(12):  # pieces of items of 8 to 14 words, in texts of the same few words
+        w = rng.choice([t for _, t in items if t and len(t.split()) > 9]).split()
+        a = rng.randrange(max(1, len(w) - 8))
+        texts.append(f"{words(9, rng.randrange(99), 3)} {' '.join(w[a : a + rng.randrange(8, 15)])} {words(9, rng.randrange(99), 3)}")
     docs = table(spark, texts, extra=True)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontaminate(docs, bench, max_chars=max_chars))
@@ -577,5 +729,9 @@ def test_decontamination(spark, max_chars):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (n, hit, len(found), sha, hit > 0), (i, t and t[:50])
     at = texts.index("a SHORT,ünit. b")
     assert got[at].hit_spans == "2:12" and texts[at][2:12] == "SHORT,ünit"
+    clean = keep_clean(docs.withColumn("n_words", F.lit("own")), bench, max_chars=max_chars)
+    assert clean.columns == [*docs.columns, "n_words"] and {r.doc_id for r in clean.collect()} == {i for i in got if not got[i].contaminated}
     assert not any(r.contaminated for r in decontaminate(docs, bench.limit(0)).collect())
-    assert decontaminate(docs.limit(0), bench).count() == 0
+    assert decontaminate(docs.limit(0), bench, max_chars=max_chars).count() == 0
+    odd = spark.createDataFrame([(None, words(14, 1, 50), None, None, 0), (1, "x", None, None, 0), (1, "x", None, None, 0), (2, "z " * 50_000 + words(14, 1, 50), None, None, 0)], SCHEMA)
+    assert sorted((str(r.doc_id), r.n_hit) for r in decontaminate(odd, bench, max_chars=max_chars).collect()) == [("1", 0), ("1", 0), ("2", 14), ("None", 14)]
