@@ -34,6 +34,18 @@ def min_max(c: Column | str, by: list[str], constant: str = "one", lower: float
     return F.when(hi > lo, lower + (upper - lower) * (c - lo) / (hi - lo)).otherwise(flat)
 
 
+def min_max_table(df: DataFrame, names: list[str], constant: str = "one", lower: float = 0.0, upper: float = 1.0) -> DataFrame:
+    """Columns scaled to lower..upper over the whole table, by one row of statistics; constant columns as in min_max."""
+    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    flat = {"one": 1.0, "zero": 0.0, "middle": (lower + upper) / 2}[constant]
+    out = df
+    for c in names:
+        lo, hi = stats[f"lo_{c}"], stats[f"hi_{c}"]
+        scaled = lower + (upper - lower) * (F.col(c) - F.lit(lo)) / F.lit(hi - lo) if lo is not None and hi > lo else F.lit(flat)
+        out = out.withColumn(c, scaled)
+    return out
+
+
 def z_score(df: DataFrame, names: list[str], floor: float = 0.0, fill: float | None = None) -> DataFrame:
     """Columns centred and scaled by one row of statistics; a deviation at or under `floor` counts as 1."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_samp(c).alias(f"s_{c}") for c in names]).first()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +50,63 @@ def rolling_effect(df: DataFrame, time: str, outcome: str, exposure: str, window
     return sums.select((F.col("w") * step).cast("long").alias("start"), "centre", "n", F.when(F.col("n") >= min_n, F.col("slope")).alias("slope"))
 
 
+#: Rows of a block of a series whose signs are counted by one task, and values of a series.
+BLOCK, MAX_SERIES = 2_048, 20_000_000
+
+
+def sign_sum(df: DataFrame, order: str, value: str, block: int = BLOCK) -> int:
+    """Of all pairs in order, those that rise less those that fall, without making the pairs.
+
+    The series is merge-sorted: in each round neighbouring blocks are one group, in which the values of the later half
+    are placed among the sorted ones of the earlier half; a block is twice as long in each round, and a group's sorted
+    halves are numbers only. Rows that are equal in the order come in the order of their values.
+    """
+    ranked = df.filter(F.col(value).isNotNull() & F.col(order).isNotNull()).select(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    n = ranked.count()
+    if n > MAX_SERIES:
+        raise ValueError(f"[sign_sum] {n} values; {MAX_SERIES} at most, as the last two halves are one group")
+    if n < 2:
+        return 0
+    parts = max(1, -(-n // block))
+    # sorted runs of the series, numbered in its order
+    runs = ranked.repartitionByRange(parts, "o", "v").sortWithinPartitions("o", "v").withColumn("part", F.spark_partition_id()) if parts > 1 else ranked.coalesce(1).sortWithinPartitions("o", "v").withColumn("part", F.lit(0))
+
+    def inside(batches):
+        held = [(int(p), float(v)) for pdf in batches for p, v in zip(pdf["part"], pdf["v"], strict=True)]
+        if held:
+            x = np.array([v for _, v in held])
+            total = sum(int(np.sign(x[i + 1 :] - x[i]).sum()) for i in range(len(x) - 1))
+            yield pd.DataFrame({"part": [held[0][0]], "s": [total], "values": [np.sort(x).tolist()]})
+
+    blocks = runs.mapInPandas(inside, "part int, s long, values array<double>")
+    rows = {r.part: (r.s, np.array(r["values"])) for r in blocks.collect()} if parts == 1 else None
+    if rows is not None:
+        return sum(s for s, _ in rows.values())
+    total, now = 0, blocks.persist()
+    total += now.agg(F.sum("s").alias("s")).first().s
+    width = 1
+    while width < parts:
+
+        def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+            sides = {int(side): np.array(v) for side, v in zip(pdf["side"], pdf["values"], strict=True)}
+            a, b = sides.get(0, np.zeros(0)), sides.get(1, np.zeros(0))
+            s = int(np.searchsorted(a, b, "left").sum() - (len(a) - np.searchsorted(a, b, "right")).sum())
+            return pd.DataFrame({"part": [int(pdf["pair"].iloc[0])], "s": [s], "values": [np.sort(np.concatenate([a, b])).tolist()]})
+
+        now = now.withColumn("pair", F.floor(F.col("part") / 2).cast("int")).withColumn("side", F.col("part") % 2).groupBy("pair").applyInPandas(merged, "part int, s long, values array<double>").persist()
+        total += now.agg(F.sum("s").alias("s")).first().s
+        width *= 2
+    return int(total)
+
+
 def mann_kendall(df: DataFrame, order: str, value: str) -> dict:
-    """Trend statistic of a short series: S, tau, variance without ties' correction, z, p and direction."""
-    a = df.select(F.col(order).alias("o1"), F.col(value).alias("v1"))
-    b = df.select(F.col(order).alias("o2"), F.col(value).alias("v2"))
-    n = df.count()
-    s = a.join(b, F.col("o1") < F.col("o2")).agg(F.coalesce(F.sum(F.signum(F.col("v2") - F.col("v1"))), F.lit(0.0)).alias("s")).first().s
+    """Trend statistic of a series: S, tau, variance without ties' correction, z, p and direction. Under four values
+    there is no test."""
+    n, s = df.filter(F.col(value).isNotNull() & F.col(order).isNotNull()).count(), sign_sum(df, order, value)
     var = n * (n - 1) * (2 * n + 5) / 18
     z = 0.0 if s == 0 or var == 0 else (s - math.copysign(1, s)) / math.sqrt(var)
     p = normal_two_sided(z)
-    return {"n": n, "s": s, "tau": s / (n * (n - 1) / 2) if n > 1 else None, "var": var, "z": z, "p": p, "direction": "none" if p >= 0.05 else "up" if s > 0 else "down"}
+    return {"n": n, "s": s, "tau": s / (n * (n - 1) / 2) if n > 1 else None, "var": var, "z": z, "p": p if n >= 4 else None, "direction": "none" if n < 4 or p >= 0.05 else "up" if s > 0 else "down"}
 
 
 class Dag:

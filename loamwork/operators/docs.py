@@ -6,13 +6,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.functions.columns import col, node_label
-from loamwork.operators.graph import first_rows
+from loamwork.functions.columns import col
+from loamwork.operators.graph import JOINER, first_rows
 
 CLAIM = "struct<cause:string,effect:string,evidence:string,confidence:double>"
 
-#: Short forms of labels.
-SYNONYMS = {"map": "mean_annual_precipitation", "mat": "mean_annual_temperature", "soc": "soil_organic_carbon", "ndvi": "vegetation_index", "cec": "cation_exchange_capacity", "twi": "topographic_wetness_index"}
+#: Labels that mean the same when claims are matched.
+SYNONYMS = {
+    "map": "mean_annual_precipitation",
+    "mat": "mean_annual_temperature",
+    "tmean": "mean_annual_temperature",
+    "t2m": "mean_annual_temperature",
+    "rainfall": "precipitation",
+    "som": "soc",
+    "toc": "soc",
+    "corg": "soc",
+    "organic_carbon": "soc",
+    "bdod": "bulk_density",
+    "clay_content": "clay",
+    "sand_content": "sand",
+    "tree_cover": "vegetation",
+    "native_vegetation": "vegetation",
+    "forest_cover": "vegetation",
+}
 
 
 def normalise_corpus(df: DataFrame) -> DataFrame:
@@ -33,9 +49,12 @@ def dedupe_corpus(df: DataFrame, order: list[Column], doi: str = "doi", title: s
 
 
 def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, word, positions of each text split at single blanks."""
-    words = df.select(doc, F.posexplode(F.split(text, " ")).alias("pos", "word"))
-    return words.groupBy(doc, "word").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """doc, word, positions of each text split at single blanks. A text's words are sorted and cut into runs in place;
+    nothing is shuffled."""
+    words = F.array_sort(F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+    first = F.filter(F.transform("w_", lambda x, i: F.when((i == 0) | (F.get("w_", i - 1)["word"] != x["word"]), i)), lambda i: i.isNotNull())
+    runs = F.zip_with("f_", F.concat(F.slice("f_", 2, F.size("f_")), F.array(F.size("w_"))), lambda a, b: F.struct(F.get("w_", a)["word"].alias("word"), F.transform(F.slice("w_", a + 1, b - a), lambda x: x["pos"]).alias("positions")))
+    return df.withColumn("w_", words).withColumn("f_", first).select(doc, F.inline(runs))
 
 
 def from_inverted_index(index: DataFrame, doc: str) -> DataFrame:
@@ -54,9 +73,10 @@ def parse_claims(df: DataFrame, answer: str) -> DataFrame:
 
 
 def vote(claims: DataFrame, rule: str, weights: dict[str, float] | None = None, voters: int | None = None, key: list[str] | None = None) -> DataFrame:
-    """Edges on which voters agree; claims: voter, cause, effect, confidence, ord, and further key columns.
+    """Edges on which voters agree; claims: voter, cause, effect, evidence (if there is one), confidence, ord, and further
+    key columns.
 
-    Of each voter the first claim of an edge counts. majority: at least half of the voters; weighted: the weighted
+    Of each voter the first claim of an edge counts; its different pieces of evidence are joined in the claims' order. majority: at least half of the voters; weighted: the weighted
     confidences reach half of all weights; intersection: all voters.
     """
     key = key or []
@@ -64,16 +84,19 @@ def vote(claims: DataFrame, rule: str, weights: dict[str, float] | None = None,
     weight = F.lit(1.0) if not weights else F.coalesce(F.create_map(*[F.lit(x) for v, w in weights.items() for x in (v, w)])[F.col("voter")], F.lit(0.0))
     total = sum(weights.values()) if weights else float(n)
     firsts = first_rows(claims, [*map(F.col, key), F.col("voter"), F.col("cause"), F.col("effect")], [F.col("ord")])
+    said = F.col("evidence") if "evidence" in claims.columns else F.lit(None).cast("string")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("voter", "ord", said.alias("e")))), lambda x: x["e"])
     grouped = firsts.groupBy(*key, "cause", "effect").agg(
-        F.count(F.lit(1)).alias("n_voters"), F.avg("confidence").alias("mean_confidence"), F.sum(weight * F.col("confidence")).alias("weighted"), F.array_join(F.array_sort(F.collect_list("voter")), ",").alias("voters")
-    )
+        F.count(F.lit(1)).alias("n_voters"), F.avg("confidence").alias("mean_confidence"), F.sum(weight * F.col("confidence")).alias("weighted"),
+        F.array_join(F.array_sort(F.collect_list("voter")), JOINER).alias("voters"), F.array_join(F.array_distinct(F.array_compact(in_order)), JOINER).alias("evidence"),
+    )
     keep = {"majority": F.col("n_voters") >= -(-n // 2), "weighted": F.col("weighted") >= 0.5 * total, "intersection": F.col("n_voters") == n}[rule]
     return grouped.filter(keep)
 
 
 def canonical(c: Column | str) -> Column:
-    """A label for matching: like a node's, with short forms written out."""
-    x = node_label(col(c))
+    """A label for matching: lower case, blanks to one underscore, other signs (hyphens too) dropped, synonyms made one."""
+    x = F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(c))), "\\s+", "_"), "[^a-z0-9_]", "")
     return F.coalesce(F.create_map(*[F.lit(v) for kv in SYNONYMS.items() for v in kv])[x], x)
 
 

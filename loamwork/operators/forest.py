@@ -23,6 +23,10 @@ class QuantileForest:
         #: tree, leaf, y, weight: as many rows as training rows and trees, summed up by value
         self.leaves = rows.join(sizes, ["tree", "leaf"]).groupBy("tree", "leaf", "y_").agg(F.sum(1 / F.col("size")).alias("weight"))
 
+    @staticmethod
+    def assembled(df: DataFrame, names: list[str]) -> DataFrame:
+        return VectorAssembler(inputCols=names, outputCol="features_", handleInvalid="skip").transform(df)
+
     def _paths(self, df: DataFrame, keep: list[str]) -> DataFrame:
         scored = self.model.transform(df) if "features_" in df.columns else self.model.transform(self.assembler.transform(df))
         return scored.select(*keep, vector_to_array("leaves_").alias("path"))

@@ -49,30 +49,68 @@ def rename_nodes(claims: DataFrame, names: DataFrame) -> DataFrame:
     return out.filter("cause <> effect")
 
 
+#: Terms that may be sent to all tasks; more are joined by shuffles.
+MAX_TERMS = 100_000
+
+
+def _sent(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= MAX_TERMS else terms
+
+
+def _parts(c: str) -> Column:
+    """All runs of a label's underscore-separated words."""
+    words = F.split(c, "_")
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(i, F.size(words)), lambda j: F.array_join(F.slice(words, i, j - i + 1), "_")))))
+
+
+def _cuts(c: str, most: int) -> Column:
+    """`most` + 1 pieces of a text and where they may stand in one that is at most so many edits away: (piece, number)."""
+    n = most + 1
+    at = lambda k: F.floor(F.length(c) * k / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(F.substring(c, at(k) + 1, at(k + 1) - at(k)).alias("piece"), at(k).alias("place")))
+
+
+def near_terms(labels: DataFrame, terms: DataFrame, most: int) -> DataFrame:
+    """label, term, distance of all pairs at most `most` edits apart.
+
+    A term is cut into most + 1 pieces, of which so few edits leave one whole, moved by at most that many places: pairs
+    meet by equality of a piece and only then are compared. Terms too short to be cut meet all short labels by length.
+    """
+    words, known = labels.select("label").distinct(), terms.select("term").distinct()
+    long, short = known.filter(F.length("term") > most), known.filter(F.length("term") <= most)
+    pieces = _sent(long).select("term", F.length("term").alias("n"), F.inline(_cuts("term", most)))
+    sizes = long.select(F.length("term").alias("n")).distinct()
+    # for every length of a term that a label may have, the pieces that stand at the places it would be cut at
+    asked = words.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(most + 1), F.length("label") - most), F.length("label") + most))).join(_sent(sizes), "n", "left_semi")
+    cut = lambda k: F.floor(F.col("n") * k / (most + 1)).cast("int")
+    spots = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.transform(F.sequence(F.greatest(F.lit(0), cut(k) - most), cut(k) + most), lambda s: F.struct(F.substring("label", s + 1, cut(k + 1) - cut(k)).alias("piece"), cut(k).alias("place")))))
+    met = asked.select("label", "n", F.inline(F.array_distinct(spots))).join(pieces, ["n", "piece", "place"]).select("label", "term").distinct()
+    tiny = words.filter(F.length("label") <= 2 * most).join(_sent(short), F.abs(F.length("label") - F.length("term")) <= most).select("label", "term")
+    both = met.unionByName(tiny).distinct().withColumn("distance", F.levenshtein("label", "term", most))
+    return both.filter("distance >= 0")
+
+
 def align(labels: DataFrame, vocabulary: DataFrame, max_distance: int = 4) -> DataFrame:
     """label, target, method: equal terms first, then the longest term that is part of the label (or the other way
     round) at underscores, then the nearest by edit distance up to max_distance; ties by term.
 
-    Only labels that are left go to the next step. The vocabulary is a fixed list; substring and distance compare each
-    distinct label with it.
+    Only labels that are left go to the next step; each step is an equality of labels, of their parts, or of pieces.
     """
     words = labels.select("label").distinct()
     terms = vocabulary.select(F.col("term")).distinct()
     exact = words.join(terms, F.col("label") == F.col("term")).select("label", F.col("term").alias("target"), F.lit("exact").alias("method"))
     left = words.join(exact.select("label"), "label", "left_anti")
-    inside = lambda a, b: F.instr(F.concat(F.lit("_"), F.col(a), F.lit("_")), F.concat(F.lit("_"), F.col(b), F.lit("_"))) > 0
-    part = left.join(F.broadcast(terms), inside("label", "term") | inside("term", "label"))
-    part = part.groupBy("label").agg(F.min_by("term", F.struct(-F.length("term"), F.col("term"))).alias("target")).withColumn("method", F.lit("substring"))
+    inside = left.withColumn("part", F.explode(_parts("label"))).join(_sent(terms), F.col("part") == F.col("term")).select("label", "term")
+    around = left.join(_sent(terms).withColumn("part", F.explode(_parts("term"))), F.col("part") == F.col("label")).select("label", "term")
+    part = inside.unionByName(around).groupBy("label").agg(F.min_by("term", F.struct(-F.length("term"), F.col("term"))).alias("target")).withColumn("method", F.lit("substring"))
     rest = left.join(part.select("label"), "label", "left_anti")
-    near = rest.join(F.broadcast(terms), F.levenshtein("label", "term", max_distance) >= 0)
-    near = near.groupBy("label").agg(F.min_by("term", F.struct(F.levenshtein("label", "term"), F.col("term"))).alias("target")).withColumn("method", F.lit("edit_distance"))
+    near = near_terms(rest, terms, max_distance).groupBy("label").agg(F.min_by("term", F.struct("distance", "term")).alias("target")).withColumn("method", F.lit("edit_distance"))
     return exact.unionByName(part).unionByName(near)
 
 
 def nearest_term(labels: DataFrame, terms: DataFrame, max_distance: int = 4) -> DataFrame:
     """label, term, distance: the nearest term by edit distance, ties by term."""
-    met = labels.select("label").distinct().join(F.broadcast(terms.select("term").distinct()), F.levenshtein("label", "term", max_distance) >= 0)
-    return met.withColumn("distance", F.levenshtein("label", "term")).groupBy("label").agg(F.min(F.struct("distance", "term")).alias("b")).select("label", "b.term", "b.distance")
+    return near_terms(labels, terms, max_distance).groupBy("label").agg(F.min(F.struct("distance", "term")).alias("b")).select("label", "b.term", "b.distance")
 
 
 def graph_summary(edges: DataFrame) -> DataFrame:
@@ -112,6 +150,14 @@ def turtle(edges: DataFrame, base: str = "http://example.org/kg#") -> DataFrame:
 
 
 def first_rows(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key. Which one stays is fixed by the order, unlike with dropDuplicates."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("row_", F.row_number().over(w)).filter("row_ = 1").drop("row_")
+    """The first row of each key. Which one stays is fixed by the order, unlike with dropDuplicates; of rows that are
+    equal in it, by all columns.
+
+    A partial aggregate keeps one row a key in each task before anything is shuffled, so a key with very many rows is no
+    single task; and the key itself travels as two hashes (128 bits), however long it is.
+    """
+    names = [f"k{i}_" for i in range(len(key))]
+    text = F.concat_ws("\u0001", *[F.coalesce(k.cast("string"), F.lit("\u0000")) for k in key])
+    row = F.struct(*[F.struct(*order).alias("order_"), F.struct(*df.columns).alias("row_")])
+    firsts = df.select(F.xxhash64(text).alias(names[0]), F.hash(text, F.lit(1)).alias("k_h"), F.xxhash64(text, F.lit(2)).alias("k_x"), row.alias("r_")).groupBy(names[0], "k_h", "k_x").agg(F.min("r_").alias("r_"))
+    return firsts.select("r_.row_.*")

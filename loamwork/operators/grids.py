@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,16 +12,27 @@ from pyspark.sql import functions as F
 from loamwork.functions.columns import taper
 
 
-def synthetic_cube(spark: SparkSession, rows: int, cols: int, steps: int, gain: float = 0.02, loss: float = 0.01, seed: int = 1) -> DataFrame:
-    """t, row, col, elev, precip, soc: the store gains with rain and loses in proportion, never under 5. One cell's
-    series is a fold over its steps."""
-    u = lambda *k: F.pmod(F.xxhash64(*k, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+def synthetic_cube(spark: SparkSession, rows: int, cols: int, steps: int, gain: float = 0.03, loss: float = 0.015, noise: float = 0.2, seed: int = 1) -> DataFrame:
+    """t, row, col, elev, precip, soc (t from 1): rain with a season and a gradient to the east; the store gains with rain
+    and loses in proportion to itself and to rain over its mean, never under 5.
+
+    Draws are hashes of cell, step and seed. One cell's series is a fold over its steps.
+    """
+    u = lambda *k: (F.pmod(F.xxhash64(*k, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    normal = lambda *k: F.sqrt(-2 * F.log(u(*k, F.lit("a")))) * F.cos(2 * F.pi() * u(*k, F.lit("b")))
     cells = spark.range(rows * cols).select((F.col("id") % rows).cast("int").alias("row"), F.floor(F.col("id") / rows).cast("int").alias("col"))
-    cells = cells.withColumn("elev", 500 + 300 * F.sin(F.col("row") / rows * 3.0) + 50 * u("row", "col", F.lit(0)))
-    rain = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: 100 + 60 * F.sin(t * 0.5236) + 20 * u("row", "col", t + 1))
+    x, y = (-1 + 2 * F.col(c) / max(1, n - 1) for c, n in (("col", cols), ("row", rows)))
+    cells = cells.withColumn("elev", 100 + 40 * (x + y) + 15 * F.sin(4 * x) + 5 * normal(F.lit("elev"), "row", "col"))
+    season = lambda t: 90 + 80 * F.sin((t - 3) * (2 * math.pi / 12))
+    rain = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda t: F.greatest(F.lit(0.0), season(t) * (0.6 + 0.3 * (x + 1)) + 8 * normal(F.lit("rain"), "row", "col", t)))
     cells = cells.withColumn("p", rain)
-    series = F.aggregate("p", F.array((20 + F.col("elev") / 50).cast("double")), lambda a, p: F.concat(a, F.array(F.greatest(F.lit(5.0), F.element_at(a, -1) + gain * p - loss * F.element_at(a, -1) * p / 100))))
-    return cells.withColumn("s", series).select("row", "col", "elev", F.posexplode(F.arrays_zip(F.col("p").alias("precip"), F.slice("s", 2, steps).alias("soc"))).alias("t", "v")).select("t", "row", "col", "elev", "v.precip", "v.soc")
+    mean = cells.agg(F.avg(F.aggregate("p", F.lit(0.0), lambda a, v: a + v) / steps).alias("m")).first().m  # one row
+    start = F.greatest(F.lit(8.0), 20 + 0.03 * (F.col("elev") - 100) + normal(F.lit("start"), "row", "col"))
+    shocks = F.transform(F.slice("p", 1, steps - 1), lambda p, i: F.struct(p.alias("p"), (noise * normal(F.lit("shock"), "row", "col", i)).alias("e"))) if steps > 1 else F.array().cast("array<struct<p:double,e:double>>")
+    then = lambda a, s: F.greatest(F.lit(5.0), F.element_at(a, -1) + gain * s["p"] - loss * F.element_at(a, -1) * s["p"] / mean + s["e"])
+    series = F.aggregate(shocks, F.array(start), lambda a, s: F.concat(a, F.array(then(a, s))))
+    long = cells.withColumn("s", series).select("row", "col", "elev", F.posexplode(F.arrays_zip(F.col("p").alias("precip"), F.col("s").alias("soc"))).alias("t", "v"))
+    return long.select((F.col("t") + 1).alias("t"), "row", "col", "elev", "v.precip", "v.soc")
 
 
 def scaled(cube: DataFrame, names: list[str], floor: float = 1e-3) -> tuple[DataFrame, DataFrame]:

@@ -91,17 +91,22 @@ def leverage(df: DataFrame, pool: DataFrame, regressors: list[str]) -> DataFrame
     return pool.withColumn("leverage", lev).withColumn("reduction", F.col("leverage") / (1 + F.col("leverage")))
 
 
+def poisson_weight(key: Column, draw: Column, seed: int) -> Column:
+    """How often a key counts in a draw: Poisson(1), fixed by the key, the draw and the seed alone."""
+    u = (F.pmod(F.xxhash64(key, draw, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    steps, total = [], 0.0
+    for k in range(12):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(total)
+    return sum(((u > s).cast("double") for s in steps), F.lit(0.0))
+
+
 def bootstrap_effect(df: DataFrame, outcome: str, exposure: str, adjust: list[str], cluster: str, draws: int = 100, seed: int = 1) -> list[float]:
     """Slopes of a cluster bootstrap: every cluster counts a Poisson(1) number of times in each draw, all draws in one
     pass. A draw's weights depend on the cluster's name and the seed only."""
     names = [exposure, *adjust, outcome]
     rows = df.filter(finite(*[F.col(c).cast("double") for c in names]))
-    u = lambda d: (F.pmod(F.xxhash64(F.col(cluster), d, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps, total = [], 0.0
-    for k in range(12):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    weight = sum(((u(F.col("draw")) > s).cast("double") for s in steps), F.lit(0.0))
+    weight = poisson_weight(F.col(cluster), F.col("draw"), seed)
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
     # moments of each cluster first: the draws multiply small rows only
     by_cluster = rows.groupBy(cluster).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))])

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.functions.columns import finite, min_max, squared_distance
+from loamwork.functions.columns import finite, min_max_table
 
 #: Rows of a pool that the greedy loop keeps on the driver.
 MAX_POOL = 200_000
@@ -18,18 +18,43 @@ def complete(df: DataFrame, names: list[str]) -> DataFrame:
     return df.filter(finite(*[F.col(c).cast("double") for c in names]))
 
 
+#: Numbers of a block of chosen vectors that is sent to all tasks.
+BLOCK_NUMBERS = 1_000_000
+
+
 def distance_to_set(pool: DataFrame, chosen: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, distance of each pool row to the nearest of the chosen ones. The chosen set is what has been sampled: it is
-    counted, and broadcast as one array below a million values."""
-    n = chosen.count()
-    if n > 10_000:
-        raise ValueError(f"[distance_to_set] {n} chosen rows; cluster them first (10000 at most)")
-    vectors = [r[0] for r in chosen.select(vector).collect()]
-    near = F.array_min(F.array(*[squared_distance(vector, F.array(*map(F.lit, map(float, v)))) for v in vectors])) if len(vectors) <= 50 else None
-    if near is not None:
-        return pool.select(key, F.sqrt(near).alias("distance"))
-    other = F.broadcast(chosen.select(F.collect_list(vector).alias("all_")))
-    return pool.join(other).select(key, F.sqrt(F.array_min(F.transform("all_", lambda v: squared_distance(vector, v)))).alias("distance"))
+    """key, distance of each pool row to the nearest of the chosen ones, however many these are.
+
+    The chosen vectors come to the driver a block at a time and are sent to the tasks, which keep the least distance so
+    far in a column: no row is paired with a row in a join, and no shuffle is made. A set of one block is one pass.
+    """
+    out, held, size = pool.select(key, vector).withColumn("d_", F.lit(float("inf"))), [], 0
+    spark = pool.sparkSession
+
+    def nearer(rows: DataFrame, block: np.ndarray) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            for pdf in batches:
+                x = np.array(pdf[vector].tolist(), float) if len(pdf) else np.zeros((0, block.shape[1]))
+                least = pdf["d_"].to_numpy(float)
+                for i in range(0, len(x), 512):
+                    part = x[i : i + 512]
+                    # differences, not products: a vector is at distance 0 from itself
+                    for j in range(0, len(sent.value), 256):
+                        least[i : i + 512] = np.minimum(least[i : i + 512], np.sqrt(((part[:, None] - sent.value[None, j : j + 256]) ** 2).sum(axis=-1)).min(axis=1))
+                yield pdf.assign(d_=least)
+
+        return rows.mapInPandas(run, rows.schema)
+
+    for r in chosen.select(vector).toLocalIterator():
+        held.append([float(v) for v in r[0]])
+        size += len(r[0])
+        if size >= BLOCK_NUMBERS:
+            out, held, size = nearer(out, np.array(held)), [], 0
+    if held:
+        out = nearer(out, np.array(held))
+    return out.select(key, F.when(F.col("d_") < float("inf"), F.col("d_")).alias("distance"))
 
 
 def rank_by(df: DataFrame, score: Column, key: str, n: int | None = None) -> DataFrame:
@@ -103,24 +128,55 @@ def range_gate(pred: Column, low: Column, high: Column, safety: float = 1.5, cli
 
 def grid_priority(cells: DataFrame, gain: str, sd: str, n: int, rule: str = "scaled", among: DataFrame | None = None) -> DataFrame:
     """Cells (row, col) by gain, gain * sd, or the product of both scaled to 0..1; only those among the candidates."""
-    s = {"gain": F.col(gain), "product": F.col(gain) * F.col(sd), "scaled": min_max(gain, [], "zero") * min_max(sd, [], "zero")}[rule]
-    scored = cells.withColumn("score", s)
+    if rule == "scaled":
+        unit = min_max_table(cells.withColumns({"g_": F.col(gain), "s_": F.col(sd)}), ["g_", "s_"], "zero")
+        scored = unit.withColumn("score", F.col("g_") * F.col("s_")).drop("g_", "s_")
+    else:
+        scored = cells.withColumn("score", {"gain": F.col(gain), "product": F.col(gain) * F.col(sd)}[rule])
     if among is not None:
         scored = scored.join(among.select("row", "col").distinct(), ["row", "col"], "left_semi")
     return scored.orderBy(F.col("score").desc_nulls_last(), "col", "row").limit(n)
 
 
-def latin_design(df: DataFrame, key: str, names: list[str], n: int, seed: int = 1) -> DataFrame:
-    """n rows that cover the strata of each column: by stratum of the sum of ranks, the row of lowest seeded hash."""
-    whole = complete(df, names)
-    cuts = whole.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias(c) for c in names]).first()
+def latin_design(df: DataFrame, key: str, names: list[str], n: int, seed: int = 1, tries: int = 64) -> DataFrame:
+    """n rows that cover the n strata (quantile ranges) of each column as evenly as can be found.
 
-    def stratum(c: str) -> Column:
-        return F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda q: q < F.col(c))) if n > 1 else F.lit(0)
-
-    placed = whole.withColumn("s_", (sum(map(stratum, names), F.lit(0)) + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(n))) % n)
-    w = Window.partitionBy("s_").orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return placed.withColumn("r_", F.row_number().over(w)).filter("r_ = 1").drop("r_", "s_")
+    A row is the tuple of its strata; of each tuple that occurs, n rows of lowest seeded hash are candidates, so what
+    comes to the driver is bounded by the tuples, at most `tries` * n of them by hash. There rows are swapped as long as
+    the strata that no row is in become fewer. Fewer complete rows than n are an error.
+    """
+    whole = complete(df, names)
+    rows = whole.count()
+    if rows < n:
+        raise ValueError(f"[latin_design] {rows} complete rows for a design of {n}")
+    cuts = whole.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000).alias(c) for c in names]).first() if n > 1 else None
+    stratum = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda q: q < F.col(c))) if n > 1 else F.lit(0)
+    placed = whole.select(key, F.xxhash64(key, F.lit(seed)).alias("h_"), F.array(*map(stratum, names)).alias("s_"))
+    w = Window.partitionBy("s_").orderBy("h_", key)
+    firsts = placed.withColumn("r_", F.row_number().over(w)).filter(F.col("r_") <= n)
+    few = firsts.orderBy("r_", "h_", key).limit(max(n, tries * n)).collect()
+    strata, keys = np.array([r.s_ for r in few]), [r[key] for r in few]
+    rng = np.random.default_rng(seed)
+
+    def empty(chosen: list[int]) -> int:
+        return sum(n - len(set(strata[chosen, c].tolist())) for c in range(len(names)))
+
+    best = list(range(n))
+    least = empty(best)
+    for _ in range(tries * n):
+        if not least:
+            break
+        # take out a row whose strata others have as well, put in one that fills an empty stratum
+        counts = [np.bincount(strata[best, c], minlength=n) for c in range(len(names))]
+        worth = [sum(counts[c][strata[i, c]] == 1 for c in range(len(names))) for i in best]
+        out = int(rng.choice(np.flatnonzero(np.array(worth) == min(worth))))
+        rest = best[:out] + best[out + 1 :]
+        gains = sum((np.bincount(strata[rest, c], minlength=n)[strata[:, c]] == 0).astype(int) for c in range(len(names)))
+        gains[rest] = -1
+        new = [*rest, int(rng.choice(np.flatnonzero(gains == gains.max())))]
+        if empty(new) <= least:
+            best, least = new, empty(new)
+    return whole.filter(F.col(key).isin([keys[i] for i in best]))
 
 
 def learning_loop(labelled: DataFrame, pool: DataFrame, key: str, fit: Callable, query: Callable, oracle: Callable, budget: int, batch: int, stop_rmse: float | None = None) -> list[dict]:

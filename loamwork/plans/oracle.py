@@ -5,14 +5,12 @@ p as (select l_returnflag, l_extendedprice as y, l_quantity * u as f from lineit
   join (select l_returnflag, avg(l_extendedprice / l_quantity) as u from lineitem group by 1) using (l_returnflag))"""
 DRAWS = "dr as (select l_suppkey as query_id, l_extendedprice as value from lineitem), tr as (select s_suppkey as query_id, s_acctbal * 4 + 10000 as observed from supplier)"
 PICP = f"""with {DRAWS}, lv as (select round(0.05 * i, 2)::double as level from range(1, 20) t(i)),
-q as (select query_id, level, quantile_cont(value, list_value(0.0)) as z from dr, lv group by 1, 2),
 c as (select query_id, level, any_value(lo) as lo, any_value(hi) as hi from (
   select query_id, level,
     list_sort(v)[1 + floor((n - 1) * a)::int] + ((n - 1) * a - floor((n - 1) * a)) * (list_sort(v)[least(n, 2 + floor((n - 1) * a)::int)] - list_sort(v)[1 + floor((n - 1) * a)::int]) as lo,
     list_sort(v)[1 + floor((n - 1) * b)::int] + ((n - 1) * b - floor((n - 1) * b)) * (list_sort(v)[least(n, 2 + floor((n - 1) * b)::int)] - list_sort(v)[1 + floor((n - 1) * b)::int]) as hi
   from (select query_id, list(value) as v, count(*) as n from dr group by 1), (select level, round((1 - level) / 2, 6) as a, round(1 - (1 - level) / 2, 6) as b from lv)) group by 1, 2)
 select level, round(avg(case when observed between lo and hi then 1.0 else 0.0 end), 4) as picp, {{last}} from c join tr using (query_id) group by 1"""
-PICP = PICP.replace("\nq as (select query_id, level, quantile_cont(value, list_value(0.0)) as z from dr, lv group by 1, 2),", "")
 
 LABEL = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[-\\s]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_')"
 TRANS = """tr as (select * from (select lag(event_type) over (partition by user_id order by ts, event_id) as cause, event_type as effect,
@@ -26,10 +24,10 @@ VOTERS = """vt as (select doc_id // 40 as k, v as voter, source as cause, 'e' ||
   from documents, (values ('a', 1), ('b', 2), ('c', 3)) t(v, i)),
 fi as (select * from vt qualify row_number() over (partition by k, voter, cause, effect order by ord) = 1),
 g as (select k, cause, effect, count(*)::bigint as n_voters, round(avg(confidence), 4) as mean_confidence, sum(confidence * case voter when 'a' then 1.0 when 'b' then 2.0 else 0.5 end) as ws,
-  string_agg(voter, ',' order by voter) as voters from fi group by 1, 2, 3)
+  string_agg(voter, ' | ' order by voter) as voters from fi group by 1, 2, 3)
 select k, cause, effect, n_voters, mean_confidence, voters from g where """
 MATCH = """p as (select doc_id % 20 as abstract_id, 'node_' || (doc_id % 7) as cause, 'effect_' || quality as effect, count(*) as np from labels group by all),
-g as (select doc_id % 20 as abstract_id, 'node_' || (doc_id % 7) as cause, 'effect_' || greatest(quality, toxic) as effect, count(*) as ng from labels where doc_id % 3 <> 0 group by all),
+g as (select doc_id % 20 as abstract_id, 'node_' || (doc_id % 7) as cause, 'effect_' || greatest(quality, toxic) as effect, count(*) as ng from labels group by all),
 b as (select abstract_id, cause, effect, coalesce(np, 0) as np, coalesce(ng, 0) as ng from p full join g using (abstract_id, cause, effect)),
 m as (select abstract_id, cause, effect, o as outcome, (case o when 'tp' then least(np, ng) when 'fp' then greatest(np - ng, 0) else greatest(ng - np, 0) end)::bigint as n from b, (values ('tp'), ('fp'), ('fn')) t(o))"""
 GRID = "gr as (select p_size::bigint as row, substr(p_brand, 7, 2)::bigint as col, round(avg(p_retailprice), 4) as gain, round(coalesce(stddev_samp(p_retailprice), 0.0), 4) as sd from part group by 1, 2)"
@@ -40,19 +38,17 @@ SQL: dict[str, str] = {
     "metrics_by_flag": f"""with {PRED} select l_returnflag, count(*)::bigint as n, round(sqrt(avg((y - f) * (y - f))), 4) as rmse, round(avg(abs(y - f)), 4) as mae,
       round(1 - avg((y - f) * (y - f)) / var_pop(y), 4) as r2, round(avg(y - f), 4) as bias, round(avg(case when y between 0.8 * f and 1.2 * f then 1.0 else 0.0 end), 4) as picp,
       round(avg(0.4 * f + 20 * greatest(0.8 * f - y, 0) + 20 * greatest(y - 1.2 * f, 0)), 4) as interval_score from p group by 1""",
-    "ece_levels": """with q as (select p_brand, l as level, quantile_cont(p_retailprice, l) as q from part, (values (0.1), (0.25), (0.5), (0.75), (0.9)) t(l) where l = 0.1 group by 1, 2
+    "ece_levels": """with q as (select p_brand, 0.1 as level, quantile_cont(p_retailprice, 0.1) as q from part group by 1
       union all select p_brand, 0.25, quantile_cont(p_retailprice, 0.25) from part group by 1 union all select p_brand, 0.5, quantile_cont(p_retailprice, 0.5) from part group by 1
       union all select p_brand, 0.75, quantile_cont(p_retailprice, 0.75) from part group by 1 union all select p_brand, 0.9, quantile_cont(p_retailprice, 0.9) from part group by 1)
-      select level::double as level, round(avg(case when p_retailprice <= q then 1.0 else 0.0 end), 4) as share, round(abs(avg(case when p_retailprice <= q then 1.0 else 0.0 end) - level), 4) as gap from part join q using (p_brand) group by level""".replace(
-        "select p_brand, l as level, quantile_cont(p_retailprice, l) as q from part, (values (0.1), (0.25), (0.5), (0.75), (0.9)) t(l) where l = 0.1 group by 1, 2", "select p_brand, 0.1 as level, quantile_cont(p_retailprice, 0.1) as q from part group by 1"
-    ),
+      select level::double as level, round(avg(case when p_retailprice <= q then 1.0 else 0.0 end), 4) as share, round(abs(avg(case when p_retailprice <= q then 1.0 else 0.0 end) - level), 4) as gap from part join q using (p_brand) group by level""",
     "posterior_summary": f"""with {DRAWS} select query_id, count(*)::bigint as n_draws, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as sd,
       round(quantile_cont(value, 0.05), 4) as q05, round(quantile_cont(value, 0.5), 4) as q50, round(quantile_cont(value, 0.95), 4) as q95 from dr group by 1""",
     "crps_by_query": f"""with {DRAWS}, r as (select query_id, value, observed, row_number() over (partition by query_id order by value) as i, count(*) over (partition by query_id) as s from dr join tr using (query_id))
       select query_id, round(avg(abs(value - observed)) - sum((2 * i - s - 1) * value) / (any_value(s) * any_value(s)), 4) as crps from r group by 1""",
     "picp_mpiw": PICP.format(last="round(avg(hi - lo), 1) as mpiw"),
     "interval_reliability": PICP.format(last="round(avg(case when observed between lo and hi then 1.0 else 0.0 end) - level, 4) as gap"),
-    "minmax_constant_rules": """with s as (select p_partkey, p_retailprice as v, min(p_retailprice) over w as lo, max(p_retailprice) over w as hi from part where p_partkey % 7 > 0 or p_size > 25 window w as (partition by p_size))
+    "minmax_constant_rules": """with s as (select p_partkey, p_retailprice as v, min(p_retailprice) over w as lo, max(p_retailprice) over w as hi from part window w as (partition by p_size))
       select p_partkey, round(case when hi > lo then (v - lo) / (hi - lo) else 1.0 end, 6) as scaled_one, round(case when hi > lo then (v - lo) / (hi - lo) else 0.0 end, 6) as scaled_zero,
       round(case when hi > lo then (v - lo) / (hi - lo) else 0.5 end, 6) as scaled_middle from s""",
     "ols_slope_adjusted": """with m as (select l_returnflag, regr_slope(l_extendedprice, l_quantity) as naive, covar_pop(l_extendedprice, l_quantity) as yx, covar_pop(l_extendedprice, l_discount) as yw,
@@ -114,7 +110,7 @@ SQL: dict[str, str] = {
     "knn_weights": f"with {KNN} select src, dst, round(weight, 4) as weight from nw",
     "attention_softmax": f"""with {KNN}, sc as (select src, dst, ((src * 3 + dst * 5) % 11 - 5) / 2.0::double as s, weight from nw), lk as (select src, dst, (case when s > 0 then s else 0.2 * s end) * weight as e from sc)
       select src, dst, round(exp(e) / sum(exp(e)) over (partition by src), 4) as alpha from lk""",
-    "min_distance_select": """with ch as (select embedding as c from embeddings where label = 0 order by vec_id limit 20)
+    "min_distance_select": """with ch as (select embedding as c from embeddings where label = 0)
       select vec_id, round(min(list_distance(embedding::double[], c::double[])), 4) as distance from embeddings, ch group by 1 order by 2 desc, 1 limit 25""",
     "topk_priority": f"with {GRID} select row, col, round(gain * sd, 2) as score from gr order by gain * sd desc, col, row limit 25",
     "semi_join_candidates": f"with {GRID} select row, col, round(gain, 2) as score from gr where (row, col) in (select p_size, substr(p_brand, 7, 2)::bigint from part where p_retailprice % 10 < 1) order by gain desc, col, row limit 25",

@@ -69,7 +69,7 @@ def interval_reliability(spark: SparkSession, d: str) -> DataFrame:
 def minmax_constant_rules(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_size", F.col("p_retailprice").alias("v"))
     of = {r: C.min_max("v", ["p_size"], r) for r in ("one", "zero", "middle")}
-    return rounded(part.filter("p_partkey % 7 > 0 or p_size > 25").select("p_partkey", *[x.alias(f"scaled_{r}") for r, x in of.items()]), 6)
+    return rounded(part.select("p_partkey", *[x.alias(f"scaled_{r}") for r, x in of.items()]), 6)
 
 
 # linear effects
@@ -211,8 +211,8 @@ def vote_intersection(spark: SparkSession, d: str) -> DataFrame:
 
 def claim_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lb = table(spark, d, "labels")
-    p = lb.select((F.col("doc_id") % 20).alias("abstract_id"), F.concat(F.lit("Node "), (F.col("doc_id") % 7).cast("string")).alias("cause"), F.concat(F.lit("effect-"), F.col("quality").cast("string")).alias("effect"), F.col("doc_id").alias("ord"))
-    g = lb.filter("doc_id % 3 <> 0").select((F.col("doc_id") % 20).alias("abstract_id"), F.concat(F.lit("node_"), (F.col("doc_id") % 7).cast("string")).alias("cause"), F.concat(F.lit("effect_"), F.greatest("quality", "toxic").cast("string")).alias("effect"), F.col("doc_id").alias("ord"))
+    p = lb.select((F.col("doc_id") % 20).alias("abstract_id"), F.concat(F.lit("Node "), (F.col("doc_id") % 7).cast("string")).alias("cause"), F.concat(F.lit("Effect "), F.col("quality").cast("string")).alias("effect"), F.col("doc_id").alias("ord"))
+    g = lb.select((F.col("doc_id") % 20).alias("abstract_id"), F.concat(F.lit("node_"), (F.col("doc_id") % 7).cast("string")).alias("cause"), F.concat(F.lit("effect_"), F.greatest("quality", "toxic").cast("string")).alias("effect"), F.col("doc_id").alias("ord"))
     return p, g
 
 
@@ -281,7 +281,7 @@ def attention_softmax(spark: SparkSession, d: str) -> DataFrame:
 
 def min_distance_select(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    far = selection.distance_to_set(p, p.filter("label = 0").orderBy("vec_id").limit(20), "vec_id", "embedding")
+    far = selection.distance_to_set(p, p.filter("label = 0"), "vec_id", "embedding")
     return rounded(selection.rank_by(far.withColumn("d", F.round("distance", 4)), F.col("d"), "vec_id", 25).select("vec_id", F.col("score").alias("distance")), 4)
 
 

@@ -43,8 +43,8 @@ def paged_corpus(spark: SparkSession, fetch: Callable[[str, str], dict], queries
 
 
 def vocabulary_request(term: str, lang: str = "en", limit: int = 20) -> str:
-    """A SPARQL query for labels like a term."""
-    safe = term.replace("\\", "\\\\").replace('"', '\\"')
+    """A SPARQL query for labels like a term, whose underscores are blanks there."""
+    safe = term.replace("_", " ").replace("\\", "\\\\").replace('"', '\\"')
     return f'PREFIX skos: <http://www.w3.org/2004/02/skos/core#> SELECT ?c ?l WHERE {{ ?c skos:prefLabel ?l . FILTER(lang(?l) = "{lang}" && contains(lcase(str(?l)), lcase("{safe}"))) }} LIMIT {limit}'
 
 
