@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,55 +37,24 @@ CLASSES = _Classes()
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """Sorted distinct buckets of a text's n-grams: words, pairs of neighbouring words, threes of character classes in
-    a word, words' endings, and shapes of its form.
-
-    Indicators only. The shapes are coarse bins of the share of distinct words, distinct pairs, distinct lines, symbols,
-    capitals and of the length, one by one and in pairs, so that an empty text has some as well.
-    """
-    text = text or ""
-    words = text.split()
-    grams = {"w" + w.lower() for w in words} if len(words) < 4000 else {"w" + w.lower() for w in set(words)}
-    pairs = set(zip(words, words[1:], strict=False))
-    n = max(1, len(words))
-    lines = text.split("\n")
-    symbols = sum(map(text.count, "#*$%&|<>!"))
-    capitals = sum(w.isupper() and len(w) > 1 for w in words)
-    digits = sum(map(str.isdigit, words))
-    stops = {w[-2:] for w in set(words)}
-    form = [
-        f"length{int(math.log2(n))}",
-        f"distinct{int(20 * len(set(words)) / n)}",
-        f"pairs{int(20 * len(pairs) / n)}",
-        f"lines{int(10 * len(set(lines)) / max(1, len(lines)))}",
-        f"symbols{min(40, int(20 * symbols / n))}",
-        f"capitals{int(20 * capitals / n)}",
-        f"digits{int(20 * digits / n)}",
-        f"mean{min(30, int(sum(map(len, words)) / n))}",
-    ]
-    grams.update("f" + x for x in form)
-    grams.update("g" + a + b for a, b in zip(form, form[1:], strict=False))
-    grams.update("e" + x for x in stops)
-    grams.update(f"b{a} {b}".lower() for a, b in pairs)
-    grams.update("c" + s[i : i + 3] for s in {f"^{s}$" for s in text.translate(CLASSES).split()} for i in range(len(s) - 2))
+    """Sorted distinct buckets of a text's n-grams: words, pairs of neighbouring words, words' endings, threes of
+    character classes in a word, pairs of words' shapes (runs of one class as one letter), and which of three
+    neighbouring words are equal. Indicators only; a text without words has none."""
+    words = (text or "").split()
+    shapes = ["".join(k for k, _ in groupby(s)) for s in (text or "").translate(CLASSES).split()]
+    grams = {"w" + w.lower() for w in set(words)}
+    grams.update("e" + w[-2:] for w in set(words))
+    grams.update(f"b{a} {b}".lower() for a, b in set(zip(words, words[1:], strict=False)))
+    grams.update("c" + s[i : i + 3] for s in {f"^{s}$" for s in (text or "").translate(CLASSES).split()} for i in range(len(s) - 2))
+    grams.update(f"s{a} {b}" for a, b in set(zip(shapes, shapes[1:], strict=False)))
+    grams.update(f"q{a == b}{b == c}{a == c}" for a, b, c in zip(words, words[1:], words[2:], strict=False) if a == b or b == c or a == c)
     return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams), np.int64, len(grams)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, c: float = 0.1, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and log-count ratios of the linear hinge-loss model on indicators scaled by log-count ratios.
-
-    Dual coordinate descent: one dual variable a row, held to 0..C (C weighed by class), visited in seeded order; the
-    bias is a feature of every row.
-    """
-    y = np.where(labels > 0, 1.0, -1.0)
-    counts = np.full((2, buckets), SMOOTHING)
-    for x, label in zip(rows, labels, strict=True):
-        counts[int(label), x] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, buckets: int, rounds: int, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of the linear hinge-loss model by dual coordinate descent: one dual variable a
+    row, held to 0..cost, visited in seeded order; the bias is a feature of every row."""
     w, bias = np.zeros(buckets), 0.0
-    # rows have unit length but for the bias
-    values = [ratio[x] / max(1e-9, float(np.linalg.norm(ratio[x]))) for x in rows]
-    cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     alpha, norms = np.zeros(len(y)), np.array([float(v @ v) + 1.0 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
@@ -97,6 +67,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, c: f
                 w[x] += step * v
                 bias += step
                 alpha[i] = new
+    return w, bias, alpha
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, c: float = 0.1, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and log-count ratios of the model on indicators scaled by log-count ratios; rows have unit length
+    but for the bias, and their cost is weighed by class."""
+    y = np.where(labels > 0, 1.0, -1.0)
+    counts = np.full((2, buckets), SMOOTHING)
+    for x, label in zip(rows, labels, strict=True):
+        counts[int(label), x] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    values = [ratio[x] / max(1e-9, float(np.linalg.norm(ratio[x]))) for x in rows]
+    cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
+    w, bias, _ = descend(rows, values, y, cost, buckets, rounds, seed)
     mean = float(np.abs(w).sum()) / max(1, int((w != 0).sum()))
     return (1 - FITTED) * mean + FITTED * w, bias, ratio
 
@@ -139,8 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             made = [features(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["doc_id", "label", "x"])
 
-    rows = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary").collect()
-    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.x)))}.values(), key=lambda r: r.doc_id)
+    made = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary")
+    # one row an id, however often it is repeated: what the driver gets is bounded by the sample
+    rows = made.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("x").alias("x")).orderBy("doc_id").collect()
     xs = [np.frombuffer(r.x, np.int32).astype(np.int64) for r in rows]
     y = np.array([r.label for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
@@ -164,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of each document.
 
-    score is the calibrated share of label 1, also for null and empty texts (whose features are their form); without
-    labels of both kinds it is the labels' share, 0.5 without any. Repeated rows and null ids keep their rows (a null
+    score is the calibrated share of label 1, also for null and empty texts (which have no n-grams, so that the bias
+    alone speaks); without labels of both kinds it is the labels' share, 0.5 without any. Texts of any length count whole. Repeated rows and null ids keep their rows (a null
     id isn't held out and isn't learned from); repeated labels of a document count once, the higher; an empty table
     gives no rows; other columns are ignored. Scoring doesn't shuffle; the model (2 x 2^18 floats) is broadcast.
     """

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,31 @@ def test_word_order_and_shapes_are_features():
     assert of("ca0a") in same[1] - same[0] and of("ca00") in same[0] - same[1]
 
 
+def test_dual_descent_ends_at_the_optimum():
+    """What holds at the optimum of the hinge loss, row by row, and the same weights from the dual variables."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=60) > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 0.5, 1.5)
+    w, bias, alpha = quality_classifier.descend([np.arange(8)] * 60, list(x), y, cost, 8, 3_000)
+    assert np.allclose(w, (alpha * y) @ x) and np.isclose(bias, (alpha * y).sum())
+    margin = y * (x @ w + bias)
+    assert (margin[alpha < 1e-9] > 1 - 1e-3).all() and (margin[alpha > cost - 1e-9] < 1 + 1e-3).all()
+    inside = (alpha > 1e-6) & (alpha < cost - 1e-6)
+    assert inside.any() and np.abs(margin[inside] - 1).max() < 1e-3
+
+
+def test_quality_of_odd_texts(spark):
+    texts = [words(40, i) for i in range(60)] + ["## $$ ##"] * 60 + ODD
+    docs = table(spark, texts, extra=True).withColumns({c: F.lit("x") for c in ("label", "quality", "x", "predicted", "held_out")})
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = by_id(quality_classifier.quality_scores(docs, labels))
+    assert len(got) == len(texts) and got[119].score < 0.3 < got[59].score and all(0 <= r.score <= 1 for r in got.values())
+    assert got[120].score == got[121].score == got[122].score  # null, empty and blank: the bias alone
+    many = docs.union(docs.filter("doc_id = 3")).union(docs.filter("doc_id = 3"))
+    assert quality_classifier.quality_scores(many, labels).filter("doc_id = 3").select("score").distinct().count() == 1
+
+
 def test_quality_classifier(spark):
     rng = random.Random(8)
     rows, marks = [], []
