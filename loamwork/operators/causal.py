@@ -44,7 +44,7 @@ def rolling_effect(df: DataFrame, time: str, outcome: str, exposure: str, window
     starts = list(range(0, max(0, n_times - window) + 1, step))
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - (window - 1)) / step)).cast("int")
     last = F.least(F.lit(len(starts) - 1), F.floor(F.col("i") / step)).cast("int")
-    placed = df.join(F.broadcast(index), time).filter(first <= last).withColumn("w", F.explode(F.sequence(first, last)))
+    placed = df.join(F.broadcast(index) if n_times <= 100_000 else index, time).filter(first <= last).withColumn("w", F.explode(F.sequence(first, last)))
     x, y = F.col(exposure).cast("double"), F.col(outcome).cast("double")
     sums = placed.groupBy("w").agg(F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.min(F.when(F.col("i") == F.col("w") * step + window // 2, F.col(time))).alias("centre"))
     return sums.select((F.col("w") * step).cast("long").alias("start"), "centre", "n", F.when(F.col("n") >= min_n, F.col("slope")).alias("slope"))

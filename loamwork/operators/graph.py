@@ -136,8 +136,9 @@ def dag_text(edges: DataFrame, least: float = 0.7) -> DataFrame:
     return edges.filter(F.col("confidence") >= least).select(F.concat_ws(" -> ", "cause", "effect").alias("value")).distinct()
 
 
-def turtle(edges: DataFrame, base: str = "http://example.org/kg#") -> DataFrame:
-    """RDF Turtle lines (column value) of merged edges: a reified statement each."""
+def turtle(edges: DataFrame, base: str = "http://example.org/kg#", namespaces: dict[str, str] | None = None, metadata: dict[str, str] | None = None) -> DataFrame:
+    """RDF Turtle lines (column value) of merged edges: a reified statement each. Further prefixes, and statements about
+    the graph itself (predicate: text), may be given."""
     name = F.concat(F.lit("edge:"), curie("cause"), F.lit("__"), curie("effect"))
     sources = F.array_join(F.transform(F.split(F.coalesce("sources", F.lit("")), " \\| "), turtle_text), ", ")
     body = F.concat(
@@ -146,9 +147,28 @@ def turtle(edges: DataFrame, base: str = "http://example.org/kg#") -> DataFrame:
     )
     spark = edges.sparkSession
     head = ["@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .", "@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .", f"@prefix node: <{base}node/> .", f"@prefix edge: <{base}edge/> ."]
+    head += [f"@prefix {k}: <{v}> ." for k, v in (namespaces or {}).items()]
+    quoted = lambda t: '"' + t.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
+    head += [f"<{base}> {k} {quoted(v)} ." for k, v in (metadata or {}).items()]
     return spark.createDataFrame([(h,) for h in head], "value string").unionByName(edges.select(body.alias("value")))
 
 
+def annotated_turtle(records: DataFrame, order: list[Column | str], base: str = "http://example.org/kg#") -> DataFrame:
+    """RDF Turtle lines of annotated records (claims: cause, effect, polarity, confidence): a numbered statement for each
+    claim, in the records' order."""
+    from loamwork.operators.rows import numbered
+
+    lined = numbered(records, order, "record_").select("record_", F.posexplode("claims").alias("place_", "c"))
+    told = numbered(lined, ["record_", "place_"], "n_").select(
+        "n_",
+        F.concat(
+            F.format_string("edge:stmt_%06d", F.col("n_")), F.lit(" a rdf:Statement ; rdf:subject node:"), curie("c.cause"), F.lit(" ; rdf:predicate edge:causes ; rdf:object node:"), curie("c.effect"),
+            F.lit(" ; edge:polarity "), turtle_text("c.polarity"), F.lit(' ; edge:confidence "'), F.format_string("%.3f", F.coalesce("c.confidence", F.lit(0.0))), F.lit('"^^xsd:float .'),
+        ).alias("value"),
+    )
+    return told.orderBy("n_").select("value")
+
+
 def first_rows(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
     """The first row of each key. Which one stays is fixed by the order, unlike with dropDuplicates; of rows that are
     equal in it, by all columns.

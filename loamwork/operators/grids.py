@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.columns import taper
@@ -60,7 +60,7 @@ def round_robin_folds(df: DataFrame, cluster: str, order: str, folds: int = 5) -
     k = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(cluster))
     names = df.select(cluster).distinct().withColumn("k_", k)
     w = Window.partitionBy(cluster).orderBy(order)
-    return df.join(F.broadcast(names), cluster).withColumn("fold", (F.row_number().over(w) + F.col("k_") - 2) % folds + 1).drop("k_")
+    return df.join(F.broadcast(names) if names.count() <= 100_000 else names, cluster).withColumn("fold", (F.row_number().over(w) + F.col("k_") - 2) % folds + 1).drop("k_")
 
 
 def fold_summary(df: DataFrame, by: str, metrics: list[str]) -> DataFrame:
@@ -104,6 +104,44 @@ def assimilate(ensemble: DataFrame, observations: DataFrame, radius: float | Non
     return out.drop("gain"), out.groupBy("row", "col").agg(F.first("gain").alias("gain"), F.stddev_samp("value").alias("sd"))
 
 
+def cube_arrays(cube: DataFrame, static: list[str], moving: list[str], target: str, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, channels, height, width) and (steps, height, width) of a long table (t, row, col, ...): what a network of
+    grids is fitted on. Gaps are NaN; a cube over `most` cells is an error."""
+    n = cube.count()
+    if n > most:
+        raise ValueError(f"[cube_arrays] {n} cells; {most} at most")
+    pdf = cube.select("t", "row", "col", *static, *moving, target).toPandas()
+    t, r, c = (pd.factorize(pdf[x], sort=True) for x in ("t", "row", "col"))
+    grid = np.full((len(static) + len(moving) + 1, len(t[1]), len(r[1]), len(c[1])), np.nan)
+    for k, name in enumerate([*static, *moving, target]):
+        grid[k, t[0], r[0], c[0]] = pdf[name].to_numpy(float)
+    return grid[:-1].transpose(1, 0, 2, 3), grid[-1]
+
+
+def assimilate_steps(ensemble: DataFrame, observations: DataFrame, radius: float | None = None, seed: int = 1) -> DataFrame:
+    """The ensemble (member, row, col, value) after the observations (t, row, col, observed, sd) of each step in turn:
+    the state that goes on is the whole ensemble. Each step's is kept, as the next reads it several times."""
+    times = [r.t for r in observations.select("t").distinct().orderBy("t").collect()]
+    for i, t in enumerate(times):
+        ensemble = assimilate(ensemble, observations.filter(F.col("t") == F.lit(t)).drop("t"), radius, seed + i)[0].persist()
+    return ensemble
+
+
+def terrain_slope(cells: DataFrame, value: str, size: float = 1.0) -> DataFrame:
+    """cells (row, col, value) with `slope` in degrees, from the neighbours on either side; at an edge or gap from the
+    side that there is."""
+
+    def rise(by: str, along: str) -> Column:
+        w = Window.partitionBy(by).orderBy(along)
+        side = lambda f, step: F.when(f(along).over(w) == F.col(along) + step, f(value).over(w))
+        before, after = side(F.lag, -1), side(F.lead, 1)
+        whole = (after - before) / (2 * size)
+        return F.coalesce(whole, (after - F.col(value)) / size, (F.col(value) - before) / size, F.lit(0.0))
+
+    out = cells.withColumn("dx_", rise("row", "col")).withColumn("dy_", rise("col", "row"))
+    return out.withColumn("slope", F.degrees(F.atan(F.sqrt(F.col("dx_") ** 2 + F.col("dy_") ** 2)))).drop("dx_", "dy_")
+
+
 def taper_table(spark: SparkSession, radius: float, steps: int) -> DataFrame:
     d = spark.range(steps + 1).select((F.col("id") * (2.5 * radius / steps)).alias("distance"))
     return d.withColumn("taper", taper("distance", radius))

@@ -32,11 +32,13 @@ def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 4
         ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("k_").orderBy("distance", "dst"))).filter(F.col("rank") <= k)
         whole = 3 * size >= 3 * max(wide, high)  # one cell holds all
         full = ranked.groupBy("k_").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).filter((F.col("n") == k) & (F.lit(whole) | (F.col("far") <= size)))
-        part = ranked.join(full.select("k_"), "k_", "left_semi").select(F.col("k_").alias("src"), "dst", "distance", "rank")
+        full = full.select("k_").persist()
+        part = ranked.join(full, "k_", "left_semi").select(F.col("k_").alias("src"), "dst", "distance", "rank").persist()
         done = part if done is None else done.unionByName(part)
         if whole:
             break
-        todo = todo.join(full.select("k_"), "k_", "left_anti")
+        # kept, so that the next round doesn't compute this one again; a lost executor's part is computed anew
+        todo = todo.join(full, "k_", "left_anti").persist()
         if todo.isEmpty():
             break
         size *= 2

@@ -152,6 +152,27 @@ SQL: dict[str, str] = {
     "physics_gate": """select p_partkey from part where p_retailprice between 900 + p_size * 2.0::double - 0.25 * greatest(abs((950 + p_size * 4.0::double) - (900 + p_size * 2.0::double)), 1e-9)
       and 950 + p_size * 4.0::double + 0.25 * greatest(abs((950 + p_size * 4.0::double) - (900 + p_size * 2.0::double)), 1e-9)""",
     "annotation_checks": "select doc_id::varchar as abstract_id, (case when toxic = 0 then 0 else 1 end + case when quality = 1 then 0 else 1 end + case when doc_id % 4 / 2.0 between 0 and 1 then 0 else 1 end)::bigint as n_errors from labels",
+    "turtle_lines": f"""with {TRANS}, m as (select cause, effect, string_agg(distinct source, ' | ' order by source) as s, string_agg(distinct evidence, ' | ' order by evidence) as e, max(confidence) as c from tr where cause <> effect group by 1, 2),
+      v as (select 'edge:' || cause || '__' || effect || ' a rdf:Statement ; rdf:subject node:' || cause || ' ; rdf:predicate edge:causes ; rdf:object node:' || effect || ' ; edge:confidence "' || printf('%.6f', c)
+        || '"^^xsd:float ; edge:source "' || replace(s, ' | ', '", "') || '" ; edge:evidence "' || e || '" .' as line from m union all
+        select * from (values ('@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .'), ('@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .'), ('@prefix node: <http://example.org/kg#node/> .'), ('@prefix edge: <http://example.org/kg#edge/> .')))
+      select md5(line) as line_md5 from v""",
+    "covering_design": """with q as (select quantile_disc(s_acctbal, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as a, quantile_disc(s_nationkey, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as n from supplier)
+      select 8::bigint as n_rows, count(distinct len(list_filter(a, lambda x: x < s_acctbal)))::bigint as balance_ranges, count(distinct len(list_filter(n, lambda x: x < s_nationkey)))::bigint as nation_ranges from supplier, q""",
+    "profile_fits": "select s_suppkey, 0.0::double as sse from supplier",
+    "effect_sensitivity": """with m as (select count(*) as n, covar_pop(l_extendedprice, l_discount) as yd, covar_pop(l_extendedprice, l_quantity) as yq, covar_pop(l_discount, l_quantity) as dq, var_pop(l_discount) as dd, var_pop(l_quantity) as qq, var_pop(l_extendedprice) as yy from lineitem where l_returnflag = 'A'),
+      b as (select *, (yd * qq - yq * dq) / (dd * qq - dq * dq) as bd, (yq * dd - yd * dq) / (dd * qq - dq * dq) as bq from m),
+      t as (select n, bd / sqrt((yy - bd * yd - bq * yq) * n / (n - 3) * qq / (dd * qq - dq * dq) / n) as t from b)
+      select round(t, 4) as t, round(0.5 * (sqrt((t * t / (n - 3)) ** 2 + 4 * t * t / (n - 3)) - t * t / (n - 3)), 4) as rv from t""",
+    "edge_origins": f"""with {TRANS}, t as (select cause, effect, max(confidence) as c from tr where cause <> effect group by 1, 2) select cause, effect, case when c >= 0.994 then 'base' else 'graph' end as origin from t""",
+    "covariance_pairs": """select a, b, round(c * 1e4, 4) as covariance, n from (select 'l_quantity' as a, 'l_quantity' as b, var_pop(l_quantity) as c, count(*)::bigint as n from lineitem union all
+      select 'l_quantity', 'l_discount', covar_pop(l_quantity, l_discount), count(*) from lineitem union all select 'l_quantity', 'l_tax', covar_pop(l_quantity, l_tax), count(*) from lineitem union all
+      select 'l_discount', 'l_discount', var_pop(l_discount), count(*) from lineitem union all select 'l_discount', 'l_tax', covar_pop(l_discount, l_tax), count(*) from lineitem union all
+      select 'l_tax', 'l_tax', var_pop(l_tax), count(*) from lineitem)""",
+    "sample_priority": """with c as (select event_id % 6 as s, (user_id % 7)::bigint as row, (user_id // 7 % 5)::bigint as col, round(avg(value), 6) as v from events group by 1, 2, 3)
+      select row, col, round(stddev_samp(v), 4) as score from c group by 1, 2 order by stddev_samp(v) desc nulls last, row, col limit 10""",
+    "unit_table": "select p_partkey, round((p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ())::double, 6) as p_size, round((p_retailprice - min(p_retailprice) over ()) / (max(p_retailprice) over () - min(p_retailprice) over ()), 6) as p_retailprice from part",
+    "posterior_parts": f"""with {DRAWS} select query_id, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as epistemic_sd, 100.0::double as aleatoric_sd, round(sqrt(stddev_samp(value) ** 2 + 10000), 4) as total_sd from dr group by 1""",
     "dag_adjustment": """with m as (select covar_pop(l_extendedprice, l_quantity) as yx, covar_pop(l_extendedprice, l_discount) as yw, covar_pop(l_quantity, l_discount) as xw, var_pop(l_quantity) as xx, var_pop(l_discount) as ww from lineitem)
       select 'l_discount' as adjusted_for, round((yx * ww - yw * xw) / (xx * ww - xw * xw), 2) as effect from m""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions import columns as C
-from loamwork.operators import causal, docs, graph, grids, kernels, metrics, moments, neighbours, posterior, selection
+from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, metrics, moments, neighbours, posterior, selection, structure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,7 @@ def one_row(spark: SparkSession, **values) -> DataFrame:
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
     unit = li.groupBy("l_returnflag").agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
-    p = li.join(F.broadcast(unit), "l_returnflag").withColumn("predicted", F.col("l_quantity") * F.col("unit"))
+    p = li.join(unit, "l_returnflag").withColumn("predicted", F.col("l_quantity") * F.col("unit"))
     return p.select("l_returnflag", F.col("l_extendedprice").alias("observed"), "predicted", (0.8 * F.col("predicted")).alias("lower"), (1.2 * F.col("predicted")).alias("upper"))
 
 
@@ -39,7 +39,7 @@ def ece_levels(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_brand", "p_retailprice")
     levels = [0.1, 0.25, 0.5, 0.75, 0.9]
     q = part.groupBy("p_brand").agg(F.percentile("p_retailprice", F.array(*map(F.lit, levels))).alias("q"))
-    return rounded(metrics.calibration_error(part.join(F.broadcast(q), "p_brand"), "p_retailprice", "q", levels))
+    return rounded(metrics.calibration_error(part.join(q, "p_brand"), "p_retailprice", "q", levels))
 
 
 def supplier_draws(spark: SparkSession, d: str) -> DataFrame:
@@ -80,11 +80,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ols_slope_adjusted(spark: SparkSession, d: str) -> DataFrame:
-    rows = []
-    for flag in ("A", "N", "R"):
-        fit = moments.adjusted_effect(lines(spark, d).filter(F.col("l_returnflag") == flag), "y", "x", ["w1"])
-        rows.append((flag, float(fit["naive"]), float(fit["adjusted"])))
-    return rounded(spark.createDataFrame(rows, "l_returnflag string, naive double, adjusted double"), 3)
+    return rounded(moments.effects_by_group(lines(spark, d), "l_returnflag", "y", "x", ["w1"]), 3)
 
 
 def ols_by_group(spark: SparkSession, d: str) -> DataFrame:
@@ -501,7 +497,44 @@ def prototype_kernel(spark: SparkSession, d: str) -> DataFrame:
 
 def covering_design(spark: SparkSession, d: str) -> DataFrame:
     sup = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("n"))
-    return selection.latin_design(sup, "s_suppkey", ["s_acctbal", "n"], 8).select("s_suppkey")
+    design = selection.latin_design(sup, "s_suppkey", ["s_acctbal", "n"], 8).withColumn("chosen", F.lit(True))
+    # how many of the eight ranges of each column the eight rows lie in
+    cuts = sup.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / 8) for i in range(1, 8)]), 10_000).alias(c) for c in ("s_acctbal", "n")]).first()
+    stratum = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda q: q < F.col(c)))
+    return design.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(stratum("s_acctbal")).alias("balance_ranges"), F.count_distinct(stratum("n")).alias("nation_ranges"))
+
+
+def effect_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    r = structure.sensitivity_of_fit(lines(spark, d).filter("l_returnflag = 'A'"), "y", "w1", ["x"])
+    return one_row(spark, t=float(r["t"]), rv=float(r["rv"]))
+
+
+def edge_origins(spark: SparkSession, d: str) -> DataFrame:
+    t = transitions(spark, d).filter("cause <> effect")
+    return structure.origin_of_edges(t.filter("confidence >= 0.994"), t)
+
+
+def covariance_pairs(spark: SparkSession, d: str) -> DataFrame:
+    names = ["l_quantity", "l_discount", "l_tax"]
+    cov, n = structure.covariances(table(spark, d, "lineitem"), names)[0]
+    rows = [(names[i], names[j], float(cov[i, j]) * 1e4, int(n)) for i in range(3) for j in range(i, 3)]
+    return rounded(spark.createDataFrame(rows, "a string, b string, covariance double, n long"), 4)
+
+
+def sample_priority(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").select("event_id", "user_id", "value")
+    cells = ev.groupBy((F.col("event_id") % 6).alias("sample"), (F.col("user_id") % 7).alias("row"), (F.floor(F.col("user_id") / 7) % 5).alias("col")).agg(F.round(F.avg("value"), 6).alias("value"))
+    return rounded(active.query_samples(cells, 10), 4)
+
+
+def unit_table(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return rounded(C.min_max_table(part, ["p_size", "p_retailprice"]), 6)
+
+
+def posterior_parts(spark: SparkSession, d: str) -> DataFrame:
+    draws = supplier_draws(spark, d).withColumn("draw_id", F.lit(0))
+    return rounded(adapters.Posterior(draws, aleatoric=100.0).summary().select("query_id", "mean", "epistemic_sd", "aleatoric_sd", "total_sd"), 4)
 
 
 def synthetic_cube(spark: SparkSession, d: str) -> DataFrame:
@@ -516,5 +549,6 @@ ALL = [
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
     taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, resumable_ingest, turtle_lines, assimilated_cells, profile_fits, forest_quantiles, bootstrap_slope, greedy_selection,
     record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,
+    effect_sensitivity, edge_origins, covariance_pairs, sample_priority, unit_table, posterior_parts,
 ]
 

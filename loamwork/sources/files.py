@@ -58,6 +58,24 @@ def release(df: DataFrame, lines: DataFrame, metadata: dict, path: str) -> DataF
     return out
 
 
+def bundle(folder: str, out: str) -> dict[str, str]:
+    """A zip of a release's files on the driver, with a README that lists them; name and sha256 of each.
+
+    Spark writes the folder; what is bundled is small and local to the driver.
+    """
+    import hashlib
+    import zipfile
+    from pathlib import Path
+
+    files = sorted(p for p in Path(folder).rglob("part-*") if p.is_file())
+    sums = {str(p.relative_to(folder)): hashlib.sha256(p.read_bytes()).hexdigest() for p in files}
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in files:
+            z.write(p, str(p.relative_to(folder)))
+        z.writestr("README.md", "\n".join(["# Release", "", *[f"- `{n}` {s}" for n, s in sums.items()], ""]))
+    return sums
+
+
 def read_obo(spark: SparkSession, path: str) -> DataFrame:
     """id, name of the terms of an ontology file: stanzas apart by blank lines."""
     stanzas = spark.read.option("lineSep", "\n\n").text(path).filter(F.col("value").contains("[Term]"))

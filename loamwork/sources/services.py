@@ -97,6 +97,25 @@ def tile_cells(spark: SparkSession, layers: dict[str, Callable[[int, int], float
     return spark.range(rows).mapInPandas(run, "row int, col int, band string, value double")
 
 
+def unavailable(name: str) -> Callable:
+    """A source that is only named: asking it is an error that says so."""
+
+    def ask(*_args, **_kwargs):
+        raise NotImplementedSource(f"[{name}] this source needs an account and a client of its own\nHint: read its files and use tile_cells()")
+
+    return ask
+
+
+class NotImplementedSource(RuntimeError):
+    """Raised by sources that can't be read here."""
+
+
+def paged_request(query: str, cursor: str = "*", size: int = 200, first_year: int | None = None, last_year: int | None = None, contact: str | None = None) -> dict:
+    """Parameters of a page of a cursor-paged literature service."""
+    years = [f"from_publication_date:{first_year}-01-01"] * (first_year is not None) + [f"to_publication_date:{last_year}-12-31"] * (last_year is not None)
+    return {"search": query, "per-page": size, "cursor": cursor} | ({"filter": ",".join(years)} if years else {}) | ({"mailto": contact} if contact else {})
+
+
 def window(cells: DataFrame, row: int, col: int, size: int) -> DataFrame:
     """A square patch around a cell; with Parquet sorted by cell the predicate skips row groups."""
     half = size // 2

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,28 @@ def windowed_counts(events: DataFrame, ts: str, width: str = "1 hour", late: str
     return stamped.groupBy(F.window(ts, width), *(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *(by or []), "n", "total")
 
 
+def sequential_ensemble(events: DataFrame, key: str, value: str, noise: float = 1.0, members: int = 32, spread: float = 10.0, seed: int = 1) -> DataFrame:
+    """An ensemble per key, updated by each value in order of arrival (streaming only): the state is the members, the
+    first drawn with that spread around the first value; observations are perturbed, so that the spread stays right."""
+
+    def update(k: tuple, batches, state):
+        x, count = state.get if state.exists else ([], 0)
+        x = np.array(x)
+        for pdf in batches:
+            for v in pdf[value]:
+                rng = np.random.default_rng([seed, count])
+                if not len(x):
+                    x = v + spread * rng.normal(size=members)
+                var = float(x.var(ddof=1))
+                x = x + var / (var + noise**2) * (v + noise * rng.normal(size=members) - x)
+                count += 1
+        state.update((x.tolist(), count))
+        yield pd.DataFrame([(k[0], float(x.mean()), float(x.std(ddof=1)), count)], columns=[key, "mean", "sd", "n"])
+
+    kind = dict(events.dtypes)[key]
+    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, mean double, sd double, n long", "members array<double>, n long", "update", "NoTimeout")
+
+
 def sequential_mean(events: DataFrame, key: str, value: str, noise: float = 1.0) -> DataFrame:
     """A scalar filter per key, updated in order of arrival: state is mean and variance (streaming only)."""
 

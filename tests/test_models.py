@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.operators import active, adapters, benchmarks, causal, extraction, kernels, networks, profiles, selection, spatial, structure, vision
+from loamwork.operators import active, adapters, benchmarks, causal, docs, extraction, fermions, graph, grids, kernels, metrics, networks, profiles, rows, selection, spatial, structure, vision
 from loamwork.operators import autodiff as ad
 from loamwork.operators.autodiff import Var
 
@@ -386,3 +386,78 @@ def test_trend_without_pairs(spark):
     df = spark.createDataFrame(rows, "o long, v double").repartition(5)
     assert causal.sign_sum(df, "o", "v") == causal.sign_sum(df, "o", "v", 40) == want
     assert causal.mann_kendall(df.limit(0), "o", "v")["tau"] is None and causal.mann_kendall(df.filter("o < 3"), "o", "v")["p"] is None
+
+
+def test_rows(spark):
+    df = spark.createDataFrame([(i * 7 % 100, float(i)) for i in range(100)], "k int, v double").repartition(4)
+    got = {r.k: r.position for r in rows.numbered(df, ["k"], run_rows=13).collect()}
+    assert got == {k: k + 1 for k in range(100)}
+    other = spark.createDataFrame([(chr(97 + i),) for i in range(5)], "c string")
+    both = rows.side_by_side(df.filter("k < 5"), other, ["k"], ["c"])
+    assert {(r.k, r.c) for r in both.collect()} == set(enumerate("abcde"))
+    for bad in (df, other.limit(3)):
+        with pytest.raises(ValueError):
+            rows.side_by_side(df.filter("k < 5"), bad, ["k"], [bad.columns[0]])
+    holes = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.0)], "id int, x double")
+    kept = rows.carried_through(holes, "id", ["x"], lambda d: d.select("id", (F.col("x") * 2).alias("y")))
+    assert {r.id: r.y for r in kept.collect()} == {1: 4.0, 2: None, 3: 8.0}
+    wide = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0)], "a double, b double")
+    assert metrics.varying_columns(wide, ["a", "b"]) == ["a"]
+
+
+def test_fermions():
+    rng = np.random.default_rng(16)
+    one = rng.normal(size=(3, 3))
+    one = one + one.T
+    want = sorted(sum(e[i] for i in range(3) if mask >> i & 1) for e in [np.linalg.eigvalsh(one)] for mask in range(8))
+    two = np.zeros((3, 3, 3, 3))
+    for p in range(3):
+        for q in range(3):
+            if p != q:
+                two[p, q, q, p] = 0.7  # a repulsion of each pair
+    pairs = sorted(x + 0.7 * k * (k - 1) / 2 for k, x in ((bin(m).count("1"), sum(np.linalg.eigvalsh(one)[i] for i in range(3) if m >> i & 1)) for m in range(8)))
+    for kind in ("jordan_wigner", "parity", "bravyi_kitaev"):
+        assert np.allclose(fermions.spectrum(fermions.qubit_terms(one, kind=kind)), want), kind
+        assert np.allclose(fermions.spectrum(fermions.qubit_terms(one, two, kind=kind)), pairs), kind
+    assert fermions.qubit_terms(np.diag([2.0]), constant=1.0) == {"I": 2.0, "Z": -1.0}
+
+
+def test_graph_text_and_distances(spark):
+    records = spark.createDataFrame([(2, [("c", "d", "-", 0.25)]), (1, [("a", "b", "+", 0.5), ("a", "c", "+", None)])], "id int, claims array<struct<cause:string,effect:string,polarity:string,confidence:double>>")
+    lines = [r.value for r in graph.annotated_turtle(records, ["id"]).collect()]
+    assert [x.split(" ")[0] for x in lines] == ["edge:stmt_000001", "edge:stmt_000002", "edge:stmt_000003"] and '"0.250"^^xsd:float' in lines[2] and 'node:b ; edge:polarity "+"' in lines[0]
+    edges = spark.createDataFrame([("a", "b", "s", "e", 0.5, "t")], structure.EDGE_COLUMNS)
+    told = [r.value for r in graph.turtle(graph.merge_edges(edges), namespaces={"dc": "http://purl.org/dc/terms/"}, metadata={"dc:title": 'a "b"'}).collect()]
+    assert '<http://example.org/kg#> dc:title "a \\"b\\"" .' in told
+    pairs = spark.createDataFrame([("ab", "ba"), ("abc", "ca"), ("", "xy"), (None, "x")], "a string, b string")
+    assert [r.d for r in pairs.select(docs.transposing_distance("a", "b").alias("d")).collect()] == [1, 3, 2, None]
+    rng = np.random.default_rng(17)
+    names = sorted({"".join(rng.choice(list("abc_"), rng.integers(1, 9))) for _ in range(120)})
+    a, b = (spark.createDataFrame([(x,) for x in part], f"{c} string") for part, c in ((names[::2], "label"), (names[1::2], "term")))
+    for most in (1, 2, 4):
+        got = {(r.label, r.term, r.distance) for r in graph.near_terms(a, b, most).collect()}
+        assert got == {(x, y, d) for x in names[::2] for y in names[1::2] if (d := docs._distance(x, y)) <= most}
+    target = {r.label: r.target for r in graph.align(a, b, 2).collect()}
+    for x in names[::2]:
+        parts = [t for t in names[1::2] if f"_{t}_" in f"_{x}_" or f"_{x}_" in f"_{t}_"]
+        near = sorted((docs._distance(x, t), t) for t in names[1::2])
+        assert target.get(x) == (min(parts, key=lambda t: (-len(t), t)) if parts else near[0][1] if near[0][0] <= 2 else None), x
+
+
+def test_cubes(spark):
+    cube = grids.synthetic_cube(spark, 4, 5, 6)
+    x, y = grids.cube_arrays(cube, ["elev"], ["precip"], "soc")
+    assert x.shape == (6, 2, 4, 5) and y.shape == (6, 4, 5) and np.isfinite(x).all() and y.min() >= 5
+    rain = x[:, 1]
+    for t in range(1, 6):  # the store's recursion, but for the noise
+        want = y[t - 1] + 0.03 * rain[t - 1] - 0.015 * y[t - 1] * rain[t - 1] / rain.mean()
+        assert np.abs(np.maximum(5, want) - y[t]).max() < 1.2
+    with pytest.raises(ValueError):
+        grids.cube_arrays(cube, [], ["precip"], "soc", 10)
+    rng = np.random.default_rng(18)
+    ens = spark.createDataFrame([(m, r, 0, float(v)) for m in range(30) for r, v in enumerate(rng.normal(size=2))], "member int, row int, col int, value double")
+    obs = spark.createDataFrame([(t, 0, 0, 5.0, 0.5) for t in range(3)], "t int, row int, col int, observed double, sd double")
+    after = grids.assimilate_steps(ens, obs).filter("row = 0").agg(F.avg("value").alias("m"), F.stddev("value").alias("s")).first()
+    assert abs(after.m - 5) < 1 and after.s < 0.5
+    flat = spark.createDataFrame([(r, c, float(2 * c)) for r in range(3) for c in range(4)], "row int, col int, z double")
+    assert {round(r.slope, 6) for r in grids.terrain_slope(flat, "z").collect()} == {round(float(np.degrees(np.arctan(2))), 6)}

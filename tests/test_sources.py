@@ -75,3 +75,30 @@ def test_stream_resumes(spark, tmp_path):
     assert [(r.id, r.cause) for r in spark.read.parquet(out).collect()] == [(1, "a")]
     done = spark.createDataFrame([(1,)], "id int")
     assert [r.id for r in ingest.resume(spark.createDataFrame([(1,), (2,)], "id int"), done, "id").collect()] == [2]
+
+
+def test_bundle_and_requests(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, files.CLAIMS)
+    files.release(df, df.select(F.col("cause").alias("value")), {"title": "t"}, f"{tmp_path}/r")
+    sums = files.bundle(f"{tmp_path}/r", f"{tmp_path}/r.zip")
+    import zipfile
+
+    with zipfile.ZipFile(f"{tmp_path}/r.zip") as z:
+        assert set(z.namelist()) == {*sums, "README.md"} and len(sums) >= 3
+    asked = services.paged_request("soil", first_year=2001, last_year=2003, contact="a@b.org")
+    assert asked["filter"] == "from_publication_date:2001-01-01,to_publication_date:2003-12-31" and asked["cursor"] == "*"
+    with pytest.raises(services.NotImplementedSource):
+        services.unavailable("modis")("aoi")
+    assert 'lcase("organic carbon")' in services.vocabulary_request("organic_carbon")
+
+
+def test_streams_with_state(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "1.json").write_text("".join(f'{{"k":"{k}","v":{v}}}\n' for k, v in (("a", 10.0), ("a", 11.0), ("b", -3.0)) for _ in range(20)))
+    events = spark.readStream.schema("k string, v double").json(str(folder))
+    for name, made in (("mean", ingest.sequential_mean(events, "k", "v")), ("ensemble", ingest.sequential_ensemble(events, "k", "v"))):
+        q = made.writeStream.format("memory").queryName(f"seen_{name}").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/{name}").start()
+        q.awaitTermination()
+        got = {r.k: r["mean"] for r in spark.table(f"seen_{name}").collect()}
+        assert abs(got["a"] - 10.5) < 1 and abs(got["b"] + 3) < 0.5
