@@ -16,6 +16,9 @@ SLICE = 256
 #: Rows of a run that is numbered by one task.
 RUN_ROWS = 100_000
 
+#: Bytes of a row group of an intermediate table.
+ROW_GROUP_BYTES = 32 * 1024 * 1024
+
 #: Paths of the intermediate tables that are still there, in the order in which they were written.
 _written: list[str] = []
 
@@ -48,7 +51,8 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loamwork-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    # a writer holds a row group in memory: small ones, as rows here can be long
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES))
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     hadoop_path, files = _file_system(spark, path)
     files.deleteOnExit(hadoop_path)
@@ -101,10 +105,12 @@ def numbered_runs(df: DataFrame, order: list[Column], sums: dict[str, Column], r
 
 
 def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches to at most `size` rows, so that long texts are Python objects a few at a time."""
+    """Cut Arrow batches to at most `size` rows, so that long texts are Python objects a few at a time. What Arrow has
+    freed by then goes back to the system at the end, as the worker waits for its next task with it."""
     for batch in batches:
         for i in range(0, batch.num_rows, size):
             yield batch.slice(i, size)
+    pa.default_memory_pool().release_unused()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -689,6 +689,10 @@ def test_canonical_urls(spark):
     urls = ["HTTP://www.Ex.com:80/A/?b=2&utm_source=x&a=1#f", "https://ex.com/A?a=1&b=2", "https://ex.com/", "ex.com", None]
     got = [r.c for r in spark.createDataFrame([(u,) for u in urls], "u string").select(revisits.canonical_url(F.col("u")).alias("c")).collect()]
     assert got == ["ex.com/A?a=1&b=2", "ex.com/A?a=1&b=2", "ex.com", "ex.com", None]
+    long = "http://ex.com/" + "p/" * 20_000 + "?" + "&".join(f"k{i}={i}" for i in range(2_000))
+    twice = spark.createDataFrame([(1, long, 1, "response"), (2, long.replace("http://", "https://www.") + "#x", 2, "revisit"), (2, long, 2, "revisit"), (None, "", 3, "revisit")], "record_id long, url string, ts int, kind string")
+    rows = revisits.resolve_revisits(twice.withColumns({"etag": F.lit(None).cast("string"), "last_modified": F.lit(None).cast("string"), "headers": F.lit(None).cast("map<string,string>")})).collect()
+    assert sorted((str(r.record_id), r.status, str(r.refers_to)) for r in rows) == [("1", "full", "None"), ("2", "unchecked", "1"), ("2", "unchecked", "1"), ("None", "unresolved", "None")]
 
 
 @pytest.mark.parametrize("run_records", [4_096, 20])
