@@ -78,12 +78,16 @@ def update(model: ActiveModel, new: DataFrame) -> ActiveModel:
     return fit(model.labelled.unionByName(new.select(*model.labelled.columns)), model.target, model.names, model.coords, model.history, **model.config)
 
 
-def query(model: ActiveModel, pool: DataFrame, key: str, n: int = 5, strategy: str = "hybrid", alpha: float = 0.7, quantiles: tuple[float, float] = (0.1, 0.9), cost: str | None = None, cost_weight: float = 0.3, gate: Callable[[Column], Column] | None = None) -> list:
+def query(model: ActiveModel, pool: DataFrame, key: str, n: int = 5, strategy: str = "hybrid", alpha: float = 0.7, quantiles: tuple[float, float] = (0.1, 0.9), cost: str | None = None, cost_weight: float = 0.3, gate: Callable[[Column], Column] | None = None, base: tuple[float, float] | None = None) -> list:
     """Keys of the n rows to label next. Uncertainty is the width between two quantiles; gate(prediction) tells which
-    rows may be picked at all."""
-    if strategy == "cost" and cost is None:
-        raise ValueError("[query] the strategy 'cost' needs a cost column")
+    rows may be picked at all. The cost is a column, or the way from a base, for which the model knows the coordinates."""
     rows = complete(pool, model.names)
+    if base is not None and cost is None:
+        check_coords(pool, model.coords or [])
+        x, y = model.coords
+        rows, cost = rows.withColumn("cost_", F.sqrt((F.col(x) - base[0]) ** 2 + (F.col(y) - base[1]) ** 2)), "cost_"
+    if strategy == "cost" and cost is None:
+        raise ValueError("[query] the strategy 'cost' needs a cost column or a base")
     told = model.forest.quantiles(rows, key, list(quantiles))
     scored = rows.join(told.select(key, F.col("mean").alias("mean_"), (F.col("quantiles")[1] - F.col("quantiles")[0]).alias("width_")), key)
     if gate is not None:

@@ -42,7 +42,15 @@ class Posterior:
     def calibrate(self, truth: DataFrame, levels: list[float] = P.LEVELS) -> dict[str, DataFrame]:
         """Scores by query and coverage by level against truth (query_id, observed)."""
         coverage = P.interval_coverage(self.draws, truth, levels)
-        return {"crps": P.crps(self.draws, truth), "coverage": coverage, "reliability": P.reliability(coverage)}
+        means = self.draws.groupBy("query_id").agg(F.avg("value").alias("mean")).join(truth, "query_id")
+        rmse = means.agg(F.sqrt(F.avg((F.col("mean") - F.col("observed")) ** 2)).alias("point_rmse"))
+        return {"crps": P.crps(self.draws, truth), "coverage": coverage, "reliability": P.reliability(coverage), "point_rmse": rmse}
+
+    def overview(self, probs: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+        """name, least, median, most over the queries of mean, deviation and each quantile."""
+        names = ["mean", "sd", *map(P.quantile_name, probs)]
+        long = P.summary(self.draws, probs).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names])))
+        return long.groupBy("name").agg(F.min("v").alias("least"), F.median("v").alias("median"), F.max("v").alias("most"))
 
 
 @dataclass

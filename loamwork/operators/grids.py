@@ -63,6 +63,18 @@ def round_robin_folds(df: DataFrame, cluster: str, order: str, folds: int = 5) -
     return df.join(F.broadcast(names) if names.count() <= 100_000 else names, cluster).withColumn("fold", (F.row_number().over(w) + F.col("k_") - 2) % folds + 1).drop("k_")
 
 
+def spatial_clusters(df: DataFrame, x: str, y: str, k: int = 5, starts: int = 3, seed: int = 1) -> DataFrame:
+    """df with `cluster` 1..k by k-means on the coordinates: the best of some starts. Rows without coordinates have none."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    placed = VectorAssembler(inputCols=[x, y], outputCol="place_", handleInvalid="skip").transform(df)
+    models = [KMeans(featuresCol="place_", predictionCol="cluster_", k=k, seed=seed + i).fit(placed) for i in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    lost = df.filter(F.col(x).isNull() | F.isnan(x) | F.col(y).isNull() | F.isnan(y)).withColumn("cluster", F.lit(None).cast("int"))
+    return best.transform(placed).withColumn("cluster", F.col("cluster_") + 1).select(*df.columns, "cluster").unionByName(lost)
+
+
 def fold_summary(df: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_folds"), *[x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_sd"))])
 

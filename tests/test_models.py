@@ -212,7 +212,12 @@ def test_active_model(spark):
     assert np.allclose(trees.mean(axis=1), [mean[k] for k in keys], atol=1.5)
     assert len(set(active.query_joint_variance(model, pool, "id", 4))) == 4
     p = adapters.as_posterior(model, rows=pool, key="id", grid=9)
-    assert p.draws.count() == 180 and set(p.calibrate(pool.select(F.col("id").alias("query_id"), F.col("y").alias("observed")))) == {"crps", "coverage", "reliability"}
+    assert p.draws.count() == 180 and set(p.calibrate(pool.select(F.col("id").alias("query_id"), F.col("y").alias("observed")))) == {"crps", "coverage", "reliability", "point_rmse"}
+    assert {r.name for r in p.overview().collect()} == {"mean", "sd", "q05", "q50", "q95"} and p.calibrate(pool.select(F.col("id").alias("query_id"), F.col("y").alias("observed")))["point_rmse"].first().point_rmse < 5
+    model.coords = ["a", "b"]
+    assert len(active.query(model, pool, "id", 2, "cost", base=(0.0, 0.0))) == 2
+    with pytest.raises(ValueError):
+        active.query(model, pool, "id", 2, "cost")
     with pytest.raises(ValueError):
         adapters.as_posterior(model)
     with pytest.raises(ValueError):
@@ -459,5 +464,8 @@ def test_cubes(spark):
     obs = spark.createDataFrame([(t, 0, 0, 5.0, 0.5) for t in range(3)], "t int, row int, col int, observed double, sd double")
     after = grids.assimilate_steps(ens, obs).filter("row = 0").agg(F.avg("value").alias("m"), F.stddev("value").alias("s")).first()
     assert abs(after.m - 5) < 1 and after.s < 0.5
+    sites = spark.createDataFrame([(i, 10.0 * (i % 3) + 0.01 * i, 5.0 * (i % 3)) for i in range(30)] + [(99, None, 1.0)], "id int, x double, y double")
+    group = {r.id: r.cluster for r in grids.spatial_clusters(sites, "x", "y", 3).collect()}
+    assert group[99] is None and all((group[i] == group[j]) == (i % 3 == j % 3) for i in range(30) for j in range(30))
     flat = spark.createDataFrame([(r, c, float(2 * c)) for r in range(3) for c in range(4)], "row int, col int, z double")
     assert {round(r.slope, 6) for r in grids.terrain_slope(flat, "z").collect()} == {round(float(np.degrees(np.arctan(2))), 6)}

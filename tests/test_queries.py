@@ -45,3 +45,13 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
+
+
+def test_entry_without_what_the_training_data_operators_need():
+    import subprocess
+    import sys
+
+    told = "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), e.llm)"
+    out = subprocess.run([sys.executable, "-c", told], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
+    n, sql, llm = out.stdout.split()
+    assert (int(n), llm) == (len(CORE), "None") and 0 < int(sql) <= len(CORE), out.stderr
