@@ -173,6 +173,23 @@ SQL: dict[str, str] = {
       select row, col, round(stddev_samp(v), 4) as score from c group by 1, 2 order by stddev_samp(v) desc nulls last, row, col limit 10""",
     "unit_table": "select p_partkey, round((p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ())::double, 6) as p_size, round((p_retailprice - min(p_retailprice) over ()) / (max(p_retailprice) over () - min(p_retailprice) over ()), 6) as p_retailprice from part",
     "posterior_parts": f"""with {DRAWS} select query_id, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as epistemic_sd, 100.0::double as aleatoric_sd, round(sqrt(stddev_samp(value) ** 2 + 10000), 4) as total_sd from dr group by 1""",
+    "posterior_overview": f"""with {DRAWS}, s as (select avg(value) as mean, stddev_samp(value) as sd, quantile_cont(value, 0.05) as q05, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.95) as q95 from dr group by query_id),
+      u as (select 'mean' as name, mean as v from s union all select 'sd', sd from s union all select 'q05', q05 from s union all select 'q50', q50 from s union all select 'q95', q95 from s)
+      select name, round(min(v), 4) as least, round(median(v), 4) as median, round(max(v), 4) as most from u group by 1""",
+    "posterior_rmse": f"with {DRAWS}, m as (select query_id, avg(value) as m from dr group by 1) select round(sqrt(avg((m - observed) * (m - observed))), 4) as point_rmse from m join tr using (query_id)",
+    "numbered_orders": "select o_orderkey, row_number() over (order by o_orderdate, o_orderkey)::bigint as position from orders",
+    "side_by_side": "select n_nationkey::bigint as n_nationkey, name from (select n_nationkey, row_number() over (order by n_nationkey) as i from nation) join (select n_name as name, row_number() over (order by n_name) as i from nation) using (i)",
+    "annotated_lines": """select md5(printf('edge:stmt_%06d', row_number() over (order by doc_id)) || ' a rdf:Statement ; rdf:subject node:rain ; rdf:predicate edge:causes ; rdf:object node:soil_' || (doc_id % 3)
+      || ' ; edge:polarity "' || case when quality = 1 then '+' else '-' end || '" ; edge:confidence "' || printf('%.3f', doc_id % 4 / 4.0) || '"^^xsd:float .') as line_md5 from labels""",
+    "terrain_slopes": f"""with {GRID}, s as (select row, col, gain as g, case when lag(col) over a = col - 1 then lag(gain) over a end as w, case when lead(col) over a = col + 1 then lead(gain) over a end as e,
+      case when lag(row) over b = row - 1 then lag(gain) over b end as n, case when lead(row) over b = row + 1 then lead(gain) over b end as o from gr window a as (partition by row order by col), b as (partition by col order by row))
+      select row, col, round(degrees(atan(sqrt(coalesce((e - w) / 20, (e - g) / 10, (g - w) / 10, 0.0) ** 2 + coalesce((o - n) / 20, (o - g) / 10, (g - n) / 10, 0.0) ** 2))), 4) as slope from s""",
+    "prototype_kernel": f"""with {PTS}, p as (select label::bigint as l, avg(embedding[1]::double) as x, avg(embedding[2]::double) as y from embeddings group by 1),
+      e as (select l, case when max(x) over () > min(x) over () then pi() * (x - min(x) over ()) / (max(x) over () - min(x) over ()) else pi() / 2 end as a, case when max(y) over () > min(y) over () then pi() * (y - min(y) over ()) / (max(y) over () - min(y) over ()) else pi() / 2 end as b from p),
+      f as (select l, s::int as s, 2 * a * ((s & 1) - 0.5::double) + 2 * b * ((s >> 1) - 0.5::double) + 2 * (pi() - a) * (pi() - b) * (xor(s & 1, s >> 1) - 0.5::double) as t from e, range(4) r(s)),
+      h as (select f.l, f.s, f.t, sum((case when bit_count(f.s & g.s) % 2 = 1 then -1 else 1 end) * cos(g.t)) / 4 as re, sum((case when bit_count(f.s & g.s) % 2 = 1 then -1 else 1 end) * sin(g.t)) / 4 as im from f join f g on f.l = g.l group by 1, 2, 3),
+      z as (select l, s, cos(t) * re - sin(t) * im as re, sin(t) * re + cos(t) * im as im from h)
+      select a.l as i, b.l as j, round(sum(a.re * b.re + a.im * b.im) ** 2 + sum(a.re * b.im - a.im * b.re) ** 2, 5) as k from z a join z b on a.s = b.s and a.l > b.l group by 1, 2""",
     "dag_adjustment": """with m as (select covar_pop(l_extendedprice, l_quantity) as yx, covar_pop(l_extendedprice, l_discount) as yw, covar_pop(l_quantity, l_discount) as xw, var_pop(l_quantity) as xx, var_pop(l_discount) as ww from lineitem)
       select 'l_discount' as adjusted_for, round((yx * ww - yw * xw) / (xx * ww - xw * xw), 2) as effect from m""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions import columns as C
-from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, metrics, moments, neighbours, posterior, selection, structure
+from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, metrics, moments, neighbours, posterior, rows, selection, structure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -517,8 +517,8 @@ def edge_origins(spark: SparkSession, d: str) -> DataFrame:
 def covariance_pairs(spark: SparkSession, d: str) -> DataFrame:
     names = ["l_quantity", "l_discount", "l_tax"]
     cov, n = structure.covariances(table(spark, d, "lineitem"), names)[0]
-    rows = [(names[i], names[j], float(cov[i, j]) * 1e4, int(n)) for i in range(3) for j in range(i, 3)]
-    return rounded(spark.createDataFrame(rows, "a string, b string, covariance double, n long"), 4)
+    pairs = [(names[i], names[j], float(cov[i, j]) * 1e4, int(n)) for i in range(3) for j in range(i, 3)]
+    return rounded(spark.createDataFrame(pairs, "a string, b string, covariance double, n long"), 4)
 
 
 def sample_priority(spark: SparkSession, d: str) -> DataFrame:
@@ -537,6 +537,36 @@ def posterior_parts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(adapters.Posterior(draws, aleatoric=100.0).summary().select("query_id", "mean", "epistemic_sd", "aleatoric_sd", "total_sd"), 4)
 
 
+def posterior_overview(spark: SparkSession, d: str) -> DataFrame:
+    p = adapters.Posterior(supplier_draws(spark, d).withColumn("draw_id", F.lit(0)))
+    return rounded(p.overview(), 4)
+
+
+def posterior_rmse(spark: SparkSession, d: str) -> DataFrame:
+    p = adapters.Posterior(supplier_draws(spark, d).withColumn("draw_id", F.lit(0)))
+    return rounded(p.calibrate(supplier_truth(spark, d))["point_rmse"], 4)
+
+
+def numbered_orders(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return rows.numbered(o, ["o_orderdate", "o_orderkey"], run_rows=4_000).select("o_orderkey", F.col("position").cast("long").alias("position"))
+
+
+def side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return rounded(rows.side_by_side(n.select("n_nationkey"), n.select(F.col("n_name").alias("name")), ["n_nationkey"], ["name"]))
+
+
+def annotated_lines(spark: SparkSession, d: str) -> DataFrame:
+    claim = F.struct(F.lit("rain").alias("cause"), F.concat(F.lit("soil "), (F.col("doc_id") % 3).cast("string")).alias("effect"), F.when(F.col("quality") == 1, "+").otherwise("-").alias("polarity"), (F.col("doc_id") % 4 / 4.0).alias("confidence"))
+    records = table(spark, d, "labels").select("doc_id", F.array(claim).alias("claims"))
+    return graph.annotated_turtle(records, ["doc_id"]).select(F.md5("value").alias("line_md5"))
+
+
+def terrain_slopes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grids.terrain_slope(part_grid(spark, d).select("row", "col", "gain"), "gain", 10.0).select("row", "col", "slope"), 4)
+
+
 def synthetic_cube(spark: SparkSession, d: str) -> DataFrame:
     cube, _ = grids.scaled(grids.synthetic_cube(spark, 6, 6, 12), ["precip", "soc"])
     return rounded(cube, 5)
@@ -549,6 +579,7 @@ ALL = [
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
     taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, resumable_ingest, turtle_lines, assimilated_cells, profile_fits, forest_quantiles, bootstrap_slope, greedy_selection,
     record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,
-    effect_sensitivity, edge_origins, covariance_pairs, sample_priority, unit_table, posterior_parts,
+    effect_sensitivity, edge_origins, covariance_pairs, sample_priority, unit_table, posterior_parts, posterior_overview,
+    posterior_rmse, numbered_orders, side_by_side, annotated_lines, terrain_slopes,
 ]
 
