@@ -56,6 +56,8 @@ OUTSIDERS = 16
 #: Ids that may be broadcast (8 MB).
 MAX_BROADCAST_IDS = 1_000_000
 SKETCH = 256
+#: Pairs of one head that one task compares.
+HEAD_PAIRS = 64
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -367,7 +369,7 @@ class NgramJoin:
         """Of candidate pairs (a, b) the similar ones. Equal fingerprints (128 bits of the sets) are similar; the rest
         must be near in size and in their sketches (bins of shingles differ by less than the sets do), and are then
         compared as sets."""
-        scheme, percent = self.scheme, self.scheme.percent
+        percent = self.scheme.percent
         ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         sizes = materialize(self.sizes.join(_small(ids), "doc_id", "left_semi"))
         of = lambda x: sizes.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "fp1", "fp2", "sketch")])
@@ -388,28 +390,33 @@ class NgramJoin:
         ask = close.filter("not equal").select("a", "b")
         ids = materialize(ask.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         texts = materialize(self.texts(ids))
-        left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+        # a head's text is sent once for so many of its pairs, not for each: a large group has one head
+        heads = ask.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        dealt = materialize(ask.join(materialize(heads), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HEAD_PAIRS)).alias("part")))
+        first = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+        others = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
+        lined = first.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memory: dict[int, tuple[str, np.ndarray]] = {}
-
-            def of_doc(doc_id: int, text: str) -> np.ndarray:
-                known = memory.get(doc_id)
-                if known is None or known[0] != text:
-                    if len(memory) > 100:
-                        memory.clear()
-                    known = memory[doc_id] = (text, shingles(text))
-                return known[1]
-
+            now: tuple[int, int] | None = None
+            known: dict[tuple[int, int], np.ndarray] = {}
             for batch in slices(batches):
-                keep = []
-                for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    p, q = of_doc(a, x), of_doc(b, y)
-                    both = len(p) + len(q) - len(np.union1d(p, q))
-                    keep.append(100 * both >= scheme.percent * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-        same = ask.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+                found: list[tuple[int, int]] = []
+                for a, part, b, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    if (a, part) != now:
+                        now, known = (a, part), {}
+                    x = shingles(text)
+                    if b is None:  # rows with one id are one head, with all its different sets
+                        known[len(x), _sum(x)] = x
+                        continue
+                    for y in known.values():
+                        both = len(x) + len(y) - len(np.union1d(x, y))
+                        if 100 * both >= percent * (len(x) + len(y) - both):
+                            found.append((a, b))
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        same = lined.mapInArrow(compared, "a long, b long")
         return materialize(close.filter("equal").select("a", "b").unionByName(same).distinct())
 
     @staticmethod
