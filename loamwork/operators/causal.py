@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.columns import confounder_bias
+from loamwork.functions.storage import written
 from loamwork.functions.tails import normal_two_sided, t_quantile
 
 
@@ -82,7 +83,7 @@ def sign_sum(df: DataFrame, order: str, value: str, block: int = BLOCK) -> int:
     rows = {r.part: (r.s, np.array(r["values"])) for r in blocks.collect()} if parts == 1 else None
     if rows is not None:
         return sum(s for s, _ in rows.values())
-    total, now = 0, blocks.persist()
+    total, now = 0, written(blocks)
     total += now.agg(F.sum("s").alias("s")).first().s
     width = 1
     while width < parts:
@@ -93,7 +94,8 @@ def sign_sum(df: DataFrame, order: str, value: str, block: int = BLOCK) -> int:
             s = int(np.searchsorted(a, b, "left").sum() - (len(a) - np.searchsorted(a, b, "right")).sum())
             return pd.DataFrame({"part": [int(pdf["pair"].iloc[0])], "s": [s], "values": [np.sort(np.concatenate([a, b])).tolist()]})
 
-        now = now.withColumn("pair", F.floor(F.col("part") / 2).cast("int")).withColumn("side", F.col("part") % 2).groupBy("pair").applyInPandas(merged, "part int, s long, values array<double>").persist()
+        now = now.withColumn("pair", F.floor(F.col("part") / 2).cast("int")).withColumn("side", F.col("part") % 2).groupBy("pair").applyInPandas(merged, "part int, s long, values array<double>")
+        now = written(now)
         total += now.agg(F.sum("s").alias("s")).first().s
         width *= 2
     return int(total)

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.functions.storage import written
 
-def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 40) -> DataFrame:
+
+#: Points of the fullest cell at first; more make the cells smaller, as all points of a cell meet.
+MAX_CELL = 2_000
+
+
+def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 80) -> DataFrame:
     """src, dst, distance, rank: the k nearest others of each point by plain distance; ties by key.
 
-    Points fall into square cells of about 2k points; a point meets the 9 cells around it by an equi-join. It is done
-    when its k-th neighbour lies within one cell's width, as nothing nearer can be farther off. What isn't done goes on
-    with cells of twice the width, over all points.
+    Points fall into square cells of about 2k points, or smaller ones where a cluster would fill one; a point meets the 9
+    cells around it by an equi-join. It is done when its k-th neighbour lies within one cell's width, as nothing nearer
+    can be farther off. What isn't done, and no more, goes on with cells of twice the width, over all points.
     """
     pts = points.select(F.col(key).alias("k_"), F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")).filter("x_ is not null and y_ is not null")
     box = pts.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{c}") for c in ("x_", "y_") for n, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -22,7 +29,12 @@ def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 4
     k = min(k, box.n - 1)
     wide, high = max(box.hix_ - box.lox_, 1e-12), max(box.hiy_ - box.loy_, 1e-12)
     size = max(math.sqrt(wide * high * 2 * k / box.n), max(wide, high) / 1e6)
-    todo, done = pts, None
+    for _ in range(30):
+        full = pts.groupBy(F.floor(F.col("x_") / size), F.floor(F.col("y_") / size)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
+        if full <= max(MAX_CELL, 8 * k) or size / 2 <= max(wide, high) / 1e9:
+            break
+        size /= 4
+    todo, parts = pts, []
     for _ in range(rounds):
         cell = lambda c: F.floor(F.col(c) / size)
         cells = pts.select(F.col("k_").alias("dst"), F.col("x_").alias("dx"), F.col("y_").alias("dy"), cell("x_").alias("cx"), cell("y_").alias("cy"))
@@ -32,17 +44,16 @@ def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 4
         ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("k_").orderBy("distance", "dst"))).filter(F.col("rank") <= k)
         whole = 3 * size >= 3 * max(wide, high)  # one cell holds all
         full = ranked.groupBy("k_").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).filter((F.col("n") == k) & (F.lit(whole) | (F.col("far") <= size)))
-        full = full.select("k_").persist()
-        part = ranked.join(full, "k_", "left_semi").select(F.col("k_").alias("src"), "dst", "distance", "rank").persist()
-        done = part if done is None else done.unionByName(part)
+        # each round is written down: the next neither computes nor plans it again
+        part = written(ranked.join(full.select("k_"), "k_", "left_semi").select(F.col("k_").alias("src"), "dst", "distance", "rank"))
+        parts.append(part)
         if whole:
             break
-        # kept, so that the next round doesn't compute this one again; a lost executor's part is computed anew
-        todo = todo.join(full, "k_", "left_anti").persist()
+        todo = written(todo.join(part.select(F.col("src").alias("k_")).distinct(), "k_", "left_anti"))
         if todo.isEmpty():
             break
         size *= 2
-    return done
+    return reduce(DataFrame.unionByName, parts)
 
 
 def edge_weights(edges: DataFrame) -> DataFrame:

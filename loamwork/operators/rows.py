@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.functions.storage import written
+
 #: Rows of a run that one task numbers.
 RUN_ROWS = 200_000
 
@@ -13,7 +15,8 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "position", r
     """df with positions 1, 2, .. in the order. Sorted runs are numbered by themselves and moved by the sizes of the runs
     before them, of which there is a row each. The order must tell all rows apart, or equal rows may change places."""
     n = max(1, -(-df.count() // run_rows))
-    runs = (df.repartitionByRange(n, *order) if n > 1 else df.coalesce(1)).withColumn("run_", F.spark_partition_id()).persist()
+    runs = (df.repartitionByRange(n, *order) if n > 1 else df.coalesce(1)).withColumn("run_", F.spark_partition_id())
+    runs = written(runs)  # the runs must not be cut again differently
     sizes = runs.groupBy("run_").agg(F.count(F.lit(1)).alias("n_"))
     before = sizes.select("run_", F.coalesce(F.sum("n_").over(Window.orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b_"))
     inside = F.row_number().over(Window.partitionBy("run_").orderBy(*order))

@@ -214,6 +214,19 @@ def test_knn_is_brute_force(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in w.collect())
 
 
+def test_knn_in_clusters(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_CELL", 60)
+    rng = np.random.default_rng(19)
+    xy = np.vstack([1e-3 * rng.normal(size=(300, 2)), 100 * rng.uniform(size=(60, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, x double, y double")
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=-1))
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in neighbours.knn(df, "x", "y", "id", 4).collect():
+        got.setdefault(r.src, []).append(r.distance)
+    assert all(sorted(got[i]) == pytest.approx(list(np.sort(d[i])[:4])) for i in range(len(xy)))
+
+
 def test_attention(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (0, 2, -1.0)], "src int, dst int, s double")
     a = {r.dst: r.alpha for r in neighbours.attention(e, "s").collect()}
