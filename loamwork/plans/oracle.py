@@ -157,8 +157,8 @@ SQL: dict[str, str] = {
         || '"^^xsd:float ; edge:source "' || replace(s, ' | ', '", "') || '" ; edge:evidence "' || e || '" .' as line from m union all
         select * from (values ('@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .'), ('@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .'), ('@prefix node: <http://example.org/kg#node/> .'), ('@prefix edge: <http://example.org/kg#edge/> .')))
       select md5(line) as line_md5 from v""",
-    "covering_design": """with q as (select quantile_disc(s_acctbal, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as a, quantile_disc(s_nationkey, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as n from supplier)
-      select 8::bigint as n_rows, count(distinct len(list_filter(a, lambda x: x < s_acctbal)))::bigint as balance_ranges, count(distinct len(list_filter(n, lambda x: x < s_nationkey)))::bigint as nation_ranges from supplier, q""",
+    "covering_design": """with q as (select quantile_disc(c_acctbal, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as a, quantile_disc(c_nationkey, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as n from customer)
+      select 8::bigint as n_rows, count(distinct len(list_filter(a, lambda x: x < c_acctbal)))::bigint as balance_ranges, count(distinct len(list_filter(n, lambda x: x < c_nationkey)))::bigint as nation_ranges from customer, q""",
     "profile_fits": "select s_suppkey, 0.0::double as sse from supplier",
     "effect_sensitivity": """with m as (select count(*) as n, covar_pop(l_extendedprice, l_discount) as yd, covar_pop(l_extendedprice, l_quantity) as yq, covar_pop(l_discount, l_quantity) as dq, var_pop(l_discount) as dd, var_pop(l_quantity) as qq, var_pop(l_extendedprice) as yy from lineitem where l_returnflag = 'A'),
       b as (select *, (yd * qq - yq * dq) / (dd * qq - dq * dq) as bd, (yq * dd - yd * dq) / (dd * qq - dq * dq) as bq from m),

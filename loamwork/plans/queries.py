@@ -496,12 +496,12 @@ def prototype_kernel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def covering_design(spark: SparkSession, d: str) -> DataFrame:
-    sup = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("n"))
-    design = selection.latin_design(sup, "s_suppkey", ["s_acctbal", "n"], 8).withColumn("chosen", F.lit(True))
+    cu = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n"))
+    design = selection.latin_design(cu, "c_custkey", ["c_acctbal", "n"], 8).withColumn("chosen", F.lit(True))
     # how many of the eight ranges of each column the eight rows lie in
-    cuts = sup.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / 8) for i in range(1, 8)]), 10_000).alias(c) for c in ("s_acctbal", "n")]).first()
+    cuts = cu.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / 8) for i in range(1, 8)]), 10_000).alias(c) for c in ("c_acctbal", "n")]).first()
     stratum = lambda c: F.size(F.filter(F.array(*map(F.lit, cuts[c])), lambda q: q < F.col(c)))
-    return design.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(stratum("s_acctbal")).alias("balance_ranges"), F.count_distinct(stratum("n")).alias("nation_ranges"))
+    return design.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(stratum("c_acctbal")).alias("balance_ranges"), F.count_distinct(stratum("n")).alias("nation_ranges"))
 
 
 def effect_sensitivity(spark: SparkSession, d: str) -> DataFrame:
