@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +35,49 @@ class _Classes(dict):
 CLASSES = _Classes()
 
 
+#: Numbers of the classes, blanks 0, and the bucket of each three of them: ^ and $ are a word's ends.
+LETTERS = "^Aal0#"
+NUMBERS = np.array([LETTERS.index(chr(i)) if i and chr(i) in LETTERS[1:] else 0 for i in range(128)], np.int64)
+THREES = ["c" + LETTERS[i // 36] + LETTERS[i // 6 % 6] + ("$" if i % 6 == 0 else LETTERS[i % 6]) for i in range(216)]
+
+
+def _number(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass"))
+
+
+def _pairs(first: np.ndarray, second: np.ndarray, family: int, buckets: int) -> np.ndarray:
+    """Distinct buckets of pairs of numbers."""
+    x = (first * np.uint64(0x9E3779B97F4A7C15) + np.uint64(family)) * np.uint64(0xBF58476D1CE4E5B9) + second * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    return np.unique(((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(buckets))
+
+
 def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     """Sorted distinct buckets of a text's n-grams: words, pairs of neighbouring words, words' endings, threes of
     character classes in a word, pairs of words' shapes (runs of one class as one letter), and which of three
     neighbouring words are equal. Indicators only; a text without words has none."""
-    words = (text or "").split()
-    shapes = ["".join(k for k, _ in groupby(s)) for s in (text or "").translate(CLASSES).split()]
-    grams = {"w" + w.lower() for w in set(words)}
-    grams.update("e" + w[-2:] for w in set(words))
-    grams.update(f"b{a} {b}".lower() for a, b in set(zip(words, words[1:], strict=False)))
-    grams.update("c" + s[i : i + 3] for s in {f"^{s}$" for s in (text or "").translate(CLASSES).split()} for i in range(len(s) - 2))
-    grams.update(f"s{a} {b}" for a, b in set(zip(shapes, shapes[1:], strict=False)))
-    grams.update(f"q{a == b}{b == c}{a == c}" for a, b, c in zip(words, words[1:], words[2:], strict=False) if a == b or b == c or a == c)
-    return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams), np.int64, len(grams)))
+    line = (text or "").lower().split()
+    if not line:
+        return np.zeros(0, np.int64)
+    known = {w: _number(w) for w in set(line)}
+    low = np.fromiter(map(known.get, line), np.uint64, len(line))
+    out = [np.fromiter(known.values(), np.uint64, len(known)) % np.uint64(buckets), np.array([_number("e" + e) % buckets for e in {w[-2:] for w in known}], np.uint64)]
+    # classes of all characters at once, with a blank at either end
+    classes = np.frombuffer(text.translate(CLASSES).encode("utf-32-le", "surrogatepass"), np.uint32)
+    z = np.concatenate(([0], np.where(classes < 128, NUMBERS[classes & 127], 0), [0]))
+    threes = np.unique((z[:-2] * 36 + z[1:-1] * 6 + z[2:])[z[1:-1] > 0])
+    out.append(np.array([_number(THREES[i]) % buckets for i in threes], np.uint64))
+    y = z[np.concatenate(([True], z[1:] != z[:-1]))]
+    place = np.arange(len(y)) - np.maximum.accumulate(np.where(y == 0, np.arange(len(y)), 0))
+    spelled = (y * 131 + place).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    spelled = np.where(y > 0, (spelled ^ (spelled >> np.uint64(31))) * np.uint64(0x94D049BB133111EB), np.uint64(0))
+    shape = np.add.reduceat(spelled, np.flatnonzero(y[:-1] == 0))
+    out += [_pairs(low[:-1], low[1:], 1, buckets), _pairs(shape[:-1], shape[1:], 2, buckets)]
+    if len(line) > 2:
+        equal = (low[:-2] == low[1:-1]) * 4 + (low[1:-1] == low[2:]) * 2 + (low[:-2] == low[2:]) * 1
+        kinds = np.unique(equal[equal > 0]).astype(np.uint64)
+        out.append(_pairs(kinds, kinds, 3, buckets))
+    return np.unique(np.concatenate(out)).astype(np.int64)
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, buckets: int, rounds: int, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
