@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import materialize
-from loamwork.llm.spans import matches, told
+from loamwork.llm.spans import SPAN, let, matches, running, told
 
 #: Between parts of one credential lie so many code points at most, and no blank line.
 REACH = 240
@@ -55,9 +57,19 @@ def _bits(hit: Column) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 
-def _outside(found: Column, taken: Column) -> Column:
-    """The spans whose end, that is their value, no other span has."""
-    return F.filter(found, lambda w: ~F.exists(taken, lambda t: (t["start"] < w["end"]) & (t["end"] >= w["end"])))
+def _outside(found: Column, taken: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """The spans w of which keep(w, reach) holds, where reach is the furthest end of the taken spans that begin before w
+    ends. Both in one sorted line, so that many spans in a text are no pairs."""
+    span = lambda w: F.struct(*[w[f].alias(f) for f in ("start", "kind_no", "end", "kind", "hit")])
+    here = F.transform(found, lambda w: F.struct(w["end"].alias("at"), F.lit(0).alias("late"), span(w).alias("w"), F.lit(0).cast("bigint").alias("reach")))
+    there = F.transform(taken, lambda t: F.struct(t["start"].alias("at"), F.lit(1).alias("late"), span(t).alias("w"), t["end"].alias("reach")))
+
+    def told(line: Column) -> Column:
+        reached = F.zip_with(line, running(F.transform(line, lambda x: x["reach"]), F.greatest), lambda x, r: F.struct(x["w"].alias("w"), x["late"].alias("late"), r.alias("r")))
+        return F.transform(F.filter(reached, lambda x: (x["late"] == 0) & keep(x["w"], x["r"])), lambda x: x["w"])
+
+    # w ends before what begins there: it sorts first
+    return F.when((F.size(found) == 0) | (F.size(taken) == 0), found).otherwise(let(F.array_sort(F.concat(here, there)), told).cast(f"array<{SPAN}>"))
 
 
 def weak_spans(rows: DataFrame) -> DataFrame:
@@ -66,11 +78,12 @@ def weak_spans(rows: DataFrame) -> DataFrame:
     mixed = lambda h: h.rlike("[A-Za-z]") & (h.rlike("[0-9]") | h.rlike("[a-z][A-Z]"))
     runs = F.filter(F.filter(matches(text, RUN, "weak_run", 6), lambda s: mixed(s["hit"])), lambda s: _bits(s["hit"]) >= BITS)
     out = rows.withColumns({"w_secret": matches(text, WEAK_SECRET, "weak_secret", 4), "w_id": matches(text, WEAK_ID, "weak_id", 3), "w_end": matches(text, ENDPOINT, "endpoint", 5), "w_run": runs})
-    out = out.withColumn("w_secret", _outside(F.col("w_secret"), taken))
-    out = out.withColumn("w_id", _outside(F.col("w_id"), F.concat("base", "w_secret")))
-    out = out.withColumn("w_end", _outside(F.col("w_end"), F.concat("base", "w_secret", "w_id")))
-    named = F.concat("base", "w_secret", "w_id", "w_end")
-    out = out.withColumn("w_run", F.filter("w_run", lambda w: ~F.exists(named, lambda t: (t["start"] < w["end"]) & (t["end"] > w["start"]))))
+    # a named part counts if its end, that is its value, is in no other span; a run if it touches none
+    apart, free = lambda w, reach: reach < w["end"], lambda w, reach: reach <= w["start"]
+    out = out.withColumn("w_secret", _outside(F.col("w_secret"), taken, apart))
+    out = out.withColumn("w_id", _outside(F.col("w_id"), F.concat("base", "w_secret"), apart))
+    out = out.withColumn("w_end", _outside(F.col("w_end"), F.concat("base", "w_secret", "w_id"), apart))
+    out = out.withColumn("w_run", _outside(F.col("w_run"), F.concat("base", "w_secret", "w_id", "w_end"), free))
     return out.withColumn("weak", F.concat("w_id", "w_secret", "w_end", "w_run")).drop("w_id", "w_secret", "w_end", "w_run")
 
 

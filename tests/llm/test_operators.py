@@ -370,6 +370,8 @@ def test_interval_join(spark):
     for r in secrets.linked(spark.createDataFrame(rows, "doc_id long, text_hash long, start long, kind_no int, end long, kind string"), 60).collect():
         got[r.doc_id].append((r.start, r.kind_no, r.end, r.kind))
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    many = " ".join(f"user=bob{i} token=abcdefgh{i}" for i in range(3_000))  # no pairs of spans in a text
+    assert by_id(secrets.find_secrets(table(spark, [many])))[0].spans.count(",") == 5_999
     text = "user=bob " + "x" * 260 + " pass: foobar99"  # far from start to start, near from end to start
     long_run = f"token={'k' * 250} login: joe"
     got = by_id(secrets.find_secrets(table(spark, [text, long_run])))
