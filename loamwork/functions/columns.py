@@ -90,6 +90,7 @@ def confounder_bias(se: Column | float, df: Column | float, r2_outcome: Column,
 def taper(distance: Column | str, radius: float) -> Column:
     """Compactly supported fifth-order correlation: 1 at distance 0, 0 from two radii on."""
     z = col(distance) / radius
+    # fixed values: the published function's coefficients
     near = 1 - 5 / 3 * z**2 + 5 / 8 * z**3 + 1 / 2 * z**4 - 1 / 4 * z**5
     far = 4 - 5 * z + 5 / 3 * z**2 + 5 / 8 * z**3 - 1 / 2 * z**4 + 1 / 12 * z**5 - 2 / (3 * z)
     return F.greatest(F.lit(0.0), F.when(z <= 1, near).when(z <= 2, far).otherwise(F.lit(0.0)))
@@ -103,7 +104,7 @@ def depth_curve(depth: Column | str, y0: Column, y_inf: Column, rate: Column, de
 
 
 def noise_schedule(t: Column | str, steps: int, s: float = 0.008) -> Column:
-    """Cumulative signal share of the cosine schedule at step t."""
+    """Cumulative signal share of the cosine schedule at step t. The published offset 0.008 and bounds."""
     f = lambda x: F.cos((x / steps + s) / (1 + s) * math.pi / 2) ** 2
     return F.greatest(F.lit(1e-8), F.least(F.lit(0.9999), f(col(t)) / f(F.lit(0.0))))
 
