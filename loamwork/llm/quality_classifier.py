@@ -107,7 +107,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, c: f
     for x, label in zip(rows, labels, strict=True):
         counts[int(label), x] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [ratio[x] / max(1e-9, float(np.linalg.norm(ratio[x]))) for x in rows]
+    values = [(ratio[x] / max(1e-9, float(np.linalg.norm(ratio[x])))).astype(np.float32) for x in rows]
     cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
     w, bias, _ = descend(rows, values, y, cost, buckets, rounds, seed)
     mean = float(np.abs(w).sum()) / max(1, int((w != 0).sum()))
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     made = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary")
     # one row an id, however often it is repeated: what the driver gets is bounded by the sample
     rows = made.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("x").alias("x")).orderBy("doc_id").collect()
-    xs = [np.frombuffer(r.x, np.int32).astype(np.int64) for r in rows]
+    xs = [np.frombuffer(r.x, np.int32) for r in rows]  # the rows' own bytes, no copy
     y = np.array([r.label for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
