@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loamwork.llm import sql
 from loamwork.llm.common import read
 from loamwork.llm.decontamination import decontaminate
+from loamwork.llm.exact_dedup import exact_dedup
+from loamwork.llm.hard_negatives import mine
 from loamwork.llm.language_id import language_id
 from loamwork.llm.mixing import mix
 from loamwork.llm.ngram_join import ngram_components
@@ -19,6 +21,7 @@ from loamwork.llm.quality_rules import quality_rules
 from loamwork.llm.revisits import resolve_revisits
 from loamwork.llm.secrets import find_secrets
 from loamwork.llm.token_counts import load_vocabulary, token_counts
+from loamwork.llm.whitening import whiten
 
 #: Where the public tokenizers' files are; never copied.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -85,8 +88,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 get the next label; those whose vec_id is divisible by 100 are anchors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(read(spark, sf_dir, "embeddings").withColumn("label", label), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = [op1_quality_rules, op2_language_id, op3_token_counts, op4_quality_classifier, op5_secrets, op6_ngram_join, op7_pii, op8_mixing, op9_revisits, op10_decontamination]
+    own = [op1_quality_rules, op2_language_id, op3_token_counts, op4_quality_classifier, op5_secrets, op6_ngram_join, op7_pii, op8_mixing, op9_revisits, op10_decontamination, op11_hard_negatives, op12_whitening, op13_exact_dedup]
     return {f.__name__: f for f in own}
 
 

@@ -77,4 +77,19 @@ r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 m as (select a, min(b) as low from r group by 1)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id from d left join n using (doc_id) left join m on m.a = d.doc_id"""
 
-ORACLE: dict[str, str] = {"op1_quality_rules": QUALITY_RULES,  "op10_decontamination": DECONTAMINATION, "op8_mixing": MIXING, "op9_revisits": REVISITS}
+HARD_NEGATIVES = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda c: floor(256 * c::double)) as x from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.vec_id as anchor_id, r.vec_id as other_id, a.label = r.label as same, list_dot_product(a.x, r.x)::bigint as score from v a, v r where a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank, other_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5"""
+
+EXACT_DEDUP = f"""
+with d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256 from d"""
+
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": QUALITY_RULES, "op8_mixing": MIXING, "op9_revisits": REVISITS, "op10_decontamination": DECONTAMINATION, "op11_hard_negatives": HARD_NEGATIVES, "op13_exact_dedup": EXACT_DEDUP,
+}
