@@ -52,7 +52,8 @@ class Rotation:
 def fit_rotation(sample: np.ndarray, width: int) -> Rotation:
     """Principal axes of the sample, in falling order. Any orthogonal matrix gives exact results: the sample decides only
     how early a pair is discarded. Products are about the origin, so the axes are too."""
-    axes = np.linalg.svd(sample.astype(float), full_matrices=True)[2].T if len(sample) else np.eye(width)
+    # by way of the R factor, which has no more rows than columns
+    axes = np.linalg.svd(np.linalg.qr(sample.astype(float), mode="r"), full_matrices=True)[2].T if len(sample) else np.eye(width)
     cuts = sorted({max(1, round(width * s)) for s in STEPS})
     eps = np.finfo(float).eps
     return Rotation(axes, cuts, float(np.abs(axes.T @ axes - np.eye(width)).sum(1).max()) + 64 * width * eps)
