@@ -34,22 +34,21 @@ select doc_id, len(w)::bigint as n_words, coalesce(p.n, 0) as n_hit, coalesce(n.
 MIXING = rf"""
 with d as (select doc_id, source, len({WORDS})::bigint as size from documents),
 k as (select *, md5('mix-1:' || coalesce(doc_id::varchar, 'null-' || size) || ':' || row_number() over (partition by doc_id, source, size)) as seeded from d),
-w as (select *, 1 + (row_number() over (order by source asc nulls last) - 1) % 3 as weight from (select source, sum(size)::bigint as source_size from d group by 1)),
-l as (select *, sum(source_size) over () - coalesce(sum(3 * source_size) over o, 0) as ls, sum(weight) over () - coalesce(sum(weight) over o, 0) as lw from w
-  window o as (order by source_size / weight, source asc nulls last rows between unbounded preceding and 1 preceding)),
-v as (select ls, lw from l where ls * weight <= 3 * source_size * lw order by source_size / weight, ls, lw limit 1),
-t as (select source as ts, source_size, least((3 * source_size)::double, weight * (select ls from v)::bigint / (select lw from v)::bigint) as target from w),
-p as (select doc_id, source, size, seeded, source_size, target, ('0x' || substr(seeded, 1, 12))::bigint % greatest(1, ceil((select count(*) from d) / 500))::bigint as shard from k join t on source is not distinct from ts),
-g as (select shard, source, any_value(source_size) as ss, any_value(target) as target, ceil(sum(size) / 8)::bigint as blocks from p group by 1, 2),
-q as (select *, case when ss > 0 then target * blocks / ss else 0.0::double end as votes from g),
-z as (select shard as zs, round(list_sum(list(votes order by source asc nulls last)))::bigint as seats from q group by 1),
-r as (select shard, source, row_number() over (partition by shard order by votes / (2 * seat - 1) desc, source asc nulls last, seat) as rank from q, unnest(range(1, 3 * blocks + 1)) u(seat) where votes > 0),
-won as (select shard as ws, source as wo, count(*)::bigint as quota from r join z on shard = zs where rank <= seats group by 1, 2),
-x as (select p.*, coalesce(quota, 0) as quota, greatest(blocks, 1) as n, sum(size) over (partition by p.shard, p.source order by seeded, size rows unbounded preceding)::bigint - size as b4
-  from p join q on p.shard = q.shard and p.source is not distinct from q.source left join won on p.shard = ws and p.source is not distinct from wo),
-c as (select doc_id, seeded, size, sum(greatest(0, least((b + 1) * 8, b4 + size) - greatest(b * 8, b4))) as part from x, unnest(range(b4 // 8, (b4 + size - 1) // 8 + 1)) u(b)
-  where size > 0 and (b * ([2147483647, 2147483629, 2147483587, 2147483579][shard % 4 + 1] % n) + shard) % n < quota % n group by 1, 2, 3)
-select x.doc_id, x.size, source_size, round(target, 6) as target, (quota // n * x.size + coalesce(part, 0))::bigint as taken from x left join c using (seeded)"""
+w as (select *, row_number() over (order by source asc nulls last) - 1 as place, 1 + place % 3 as weight, ceil(source_size / 8)::bigint as blocks from (select source, sum(size)::bigint as source_size from d group by 1)),
+-- whichever sources are taken as capped, the others' share of what is left is no more than the level: the largest is it
+l as (select sum(source_size) over () - coalesce(sum(3 * source_size) over o, 0) as ls, sum(weight) over () - coalesce(sum(weight) over o, 0) as lw from w
+  window o as (order by source_size / weight, place rows between unbounded preceding and 1 preceding)),
+v as (select ls::bigint as ls, lw::bigint as lw from l order by ls / lw desc limit 1),
+t as (select w.*, least((3 * source_size)::double, weight * ls / lw) as target, case when source_size > 0 then target * blocks / source_size else 0.0::double end as votes from w, v),
+z as (select round(sum(round(votes, 6)::decimal(28, 6)))::bigint as seats from t),
+won as (select place as wp, count(*)::bigint as quota from (select place from t, unnest(range(1, 3 * blocks + 1)) u(seat) where votes > 0
+  qualify row_number() over (order by votes / (2 * seat - 1) desc, place, seat) <= (select seats from z)) group by 1),
+x as (select k.*, t.source_size, target, place, greatest(blocks, 1) as n, coalesce(quota, 0) as quota, coalesce(quota, 0) // n as passes, coalesce(quota, 0) % n as rest,
+  sum(size) over (partition by k.source order by seeded rows unbounded preceding)::bigint - size as b4 from k join t on k.source is not distinct from t.source left join won on place = wp),
+y as (select x.*, b, b // 4096 as s, s * 4096 as f, least(f + 4096, n) as e, e - f as m, e::hugeint * rest // n - f::hugeint * rest // n as q from x, unnest(range(b4 // 8, (b4 + size - 1) // 8 + 1)) u(b) where size > 0),
+c as (select seeded, sum(least((b + 1) * 8, b4 + size) - greatest(b * 8, b4)) as part from y
+  where ((b - f) * ([2654435761, 2246822519, 3266489917, 668265263, 374761393][(s + place) % 5 + 1] % m) + (s * 104729 + place * 7919) % m) % m < q group by 1)
+select x.doc_id, x.size, source_size, round(target, 6) as target, (passes * x.size + coalesce(part, 0))::bigint as taken from x left join c using (seeded)"""
 
 REVISITS = r"""
 with e as (select page_id as n, url, length(html)::varchar as size, md5(regexp_extract(url, '//[^/]+/([a-z]+)/', 1)) as edition from pages),
