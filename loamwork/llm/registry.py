@@ -48,7 +48,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(read(spark, sf_dir, "documents"))
+    return ngram_components(read(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ s as (select *, case when kind = 'response' then 'full' when b_id is null then '
   when lm is not null and b_lm is not null then case when lm = b_lm then 'validated' else 'mismatch' end else 'unchecked' end as status from j)
 select record_id, canonical, kind, case when kind = 'revisit' then b_id end as refers_to, status, 'content-length=' || case when status in ('validated', 'unchecked') then b_len else len end || '&date=' || ts || '&etag=' || edition as headers from s"""
 
-#: The contract's columns of op6; n_links, the links that were needed to connect a group, is not for SQL to tell.
+#: op6 without n_links: the links that were needed to connect a group are not for SQL to tell.
 COMPONENTS = rf"""
 with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
 g as (select distinct doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') as s from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) where len(w) > 0),
@@ -90,5 +90,5 @@ with d as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, row_number() over (partition by t order by doc_id desc nulls last) = 1 as kept, sha256(t) as text_sha256 from d"""
 
 ORACLE: dict[str, str] = {
-    "op1_quality_rules": QUALITY_RULES, "op8_mixing": MIXING, "op9_revisits": REVISITS, "op10_decontamination": DECONTAMINATION, "op11_hard_negatives": HARD_NEGATIVES, "op13_exact_dedup": EXACT_DEDUP,
+    "op1_quality_rules": QUALITY_RULES, "op6_ngram_join": COMPONENTS, "op8_mixing": MIXING, "op9_revisits": REVISITS, "op10_decontamination": DECONTAMINATION, "op11_hard_negatives": HARD_NEGATIVES, "op13_exact_dedup": EXACT_DEDUP,
 }
