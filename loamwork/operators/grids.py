@@ -80,13 +80,21 @@ def fold_summary(df: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_folds"), *[x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_sd"))])
 
 
-def assimilate(ensemble: DataFrame, observations: DataFrame, radius: float | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+#: Observations of one update, whose matrices are on the driver, and members.
+MAX_OBSERVATIONS, MAX_MEMBERS = 2_000, 2_000
+
+
+def assimilate(ensemble: DataFrame, observations: DataFrame, radius: float | None = None, seed: int = 1, perturb: bool = True) -> tuple[DataFrame, DataFrame]:
     """Stochastic ensemble Kalman update. ensemble: member, row, col, value; observations: row, col, observed, sd.
 
-    The members' values at the observed cells are a small matrix (members x observations) on the driver: observations
-    are few. Each cell's gain needs that matrix and its own members only, so cells are independent groups in Spark. With
-    a radius the gain is tapered by distance. Returns the analysis ensemble, and the gain's norm of each cell.
+    The members' values at the observed cells are a small matrix (members x observations) on the driver, within stated
+    limits; streaming.assimilation has the update by tile. Each cell's gain needs that matrix and its own members only,
+    so cells are independent groups in Spark. With a radius the gain is tapered by distance. Without `perturb` all
+    members see the observations as they are. Returns the analysis ensemble, and the gain's norm of each cell.
     """
+    n_obs, n_members = observations.count(), ensemble.agg(F.count_distinct("member").alias("n")).first().n
+    if n_obs > MAX_OBSERVATIONS or n_members > MAX_MEMBERS:
+        raise ValueError(f"[assimilate] {n_obs} observations and {n_members} members; at most {MAX_OBSERVATIONS} and {MAX_MEMBERS}\nHint: streaming.assimilation.batch_tiles goes tile by tile")
     obs = observations.select("row", "col", "observed", "sd").orderBy("col", "row").toPandas()
     at = ensemble.join(F.broadcast(observations.select("row", "col")), ["row", "col"], "left_semi").toPandas()
     wide = at.pivot_table(index="member", columns=["col", "row"], values="value").sort_index()
@@ -96,7 +104,7 @@ def assimilate(ensemble: DataFrame, observations: DataFrame, radius: float | Non
     n = len(hx)
     ha = hx - hx.mean(axis=0)
     inverse = np.linalg.inv(ha.T @ ha / (n - 1) + np.diag(obs.sd.to_numpy() ** 2))
-    noise = np.random.default_rng(seed).normal(size=hx.shape) * obs.sd.to_numpy()
+    noise = np.random.default_rng(seed).normal(size=hx.shape) * obs.sd.to_numpy() * perturb
     innovation = obs.observed.to_numpy() + noise - hx
     place = obs[["row", "col"]].to_numpy(float)
     sent = ensemble.sparkSession.sparkContext.broadcast((ha, inverse, innovation, place))

@@ -34,7 +34,30 @@ GRID = "gr as (select p_size::bigint as row, substr(p_brand, 7, 2)::bigint as co
 FOLDS = "fo as (select c_custkey, c_nationkey, c_acctbal, ((row_number() over (partition by c_nationkey order by c_custkey) + dense_rank() over (order by c_nationkey) - 2) % 5 + 1)::bigint as fold from customer)"
 TERM_ROWS = "(values ('standard'), ('large_brass'), ('promo_burnished_copper'), ('economy'), ('small_plated_tin'), ('medium_polished_steal'), ('copper'), ('nickle')) t(term)"
 
+TAPER = "greatest(0, case when {0} <= 1 then 1 - 5/3*{0}**2 + 5/8*{0}**3 + {0}**4/2 - {0}**5/4 when {0} <= 2 then 4 - 5*{0} + 5/3*{0}**2 + 5/8*{0}**3 - {0}**4/2 + {0}**5/12 - 2/(3*{0}) else 0 end)"
+
+
+def tile_step(name: str, before: str, n: int) -> str:
+    """Each tile's ensemble after its n-th observation."""
+    return f"""{name}s as (select e.*, value - avg(value) over (partition by tile, row, col) as dev from {before} e),
+{name}o as (select s.tile, s.member, s.value as h, s.dev as d, o.observed, o.row as orow, var_samp(s.value) over (partition by s.tile) + 0.25 as s from {name}s s join ob o on s.tile = o.tile and s.row = o.row and s.col = 2 and o.n = {n}),
+{name}k as (select tile, row, col, sum(s.dev * o.d) / (count(*) - 1) / any_value(o.s) as gain, sqrt((row - any_value(orow))**2 + (col - 2)**2) / 2.0 as z from {name}s s join {name}o o using (tile, member) group by 1, 2, 3),
+{name} as (select s.tile, s.member, s.row, s.col, s.value + (o.observed - o.h) * k.gain * {TAPER.format("k.z")} as value from {name}s s join {name}o o using (tile, member) join {name}k k on s.tile = k.tile and s.row = k.row and s.col = k.col)"""
+
+
 SQL: dict[str, str] = {
+    "assimilated_cells": f"""with ens as (select l_orderkey % 12 as member, l_partkey % 4 as row, l_suppkey % 4 as col, avg(l_quantity) as value from lineitem group by all),
+      a as (select *, value - avg(value) over (partition by row, col) as dev from ens),
+      o1 as (select member, value as h, dev as d from a where row = 2 and col = 3), o2 as (select member, value as h, dev as d from a where row = 0 and col = 1),
+      s as (select var_samp(o1.h) + 0.25 as s11, var_samp(o2.h) + 0.25 as s22, covar_samp(o1.h, o2.h) as s12 from o1 join o2 using (member)),
+      k as (select row, col, sum(a.dev * o1.d) / 11 as c1, sum(a.dev * o2.d) / 11 as c2, sqrt((row - 2)**2 + (col - 3)**2) / 2.0 as z1, sqrt(row**2 + (col - 1)**2) / 2.0 as z2 from a join o1 using (member) join o2 using (member) group by row, col),
+      g as (select row, col, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) * {TAPER.format("z1")} as g1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) * {TAPER.format("z2")} as g2 from k, s)
+      select row, col, round(avg(value + (30 - o1.h) * g1 + (20 - o2.h) * g2), 4) as mean, round(any_value(sqrt(g1 * g1 + g2 * g2)), 4) as gain, round(stddev_samp(value + (30 - o1.h) * g1 + (20 - o2.h) * g2), 4) as sd
+      from a join g using (row, col) join o1 using (member) join o2 using (member) group by row, col""",
+    "tile_steps": f"""with ens as (select l_returnflag as tile, l_orderkey % 12 as member, l_partkey % 3 as row, l_suppkey % 3 as col, avg(l_quantity) as value from lineitem group by all),
+      ob as (select l_returnflag as tile, l_linenumber as n, l_linenumber - 1 as row, avg(l_quantity) as observed from lineitem where l_linenumber <= 2 group by all),
+      {tile_step("one", "ens", 1)}, {tile_step("two", "one", 2)}
+      select tile, '2024-01-0' || n as t, row, col, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as sd, 1::bigint as n_obs from (select 1 as n, * from one union all select 2, * from two) group by all""",
     "metrics_by_flag": f"""with {PRED} select l_returnflag, count(*)::bigint as n, round(sqrt(avg((y - f) * (y - f))), 4) as rmse, round(avg(abs(y - f)), 4) as mae,
       round(1 - avg((y - f) * (y - f)) / var_pop(y), 4) as r2, round(avg(y - f), 4) as bias, round(avg(case when y between 0.8 * f and 1.2 * f then 1.0 else 0.0 end), 4) as picp,
       round(avg(0.4 * f + 20 * greatest(0.8 * f - y, 0) + 20 * greatest(y - 1.2 * f, 0)), 4) as interval_score from p group by 1""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import columns as C
 from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, metrics, moments, neighbours, posterior, rows, selection, structure
+from loamwork.streaming import assimilation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -393,8 +394,17 @@ def assimilated_cells(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select((F.col("l_orderkey") % 12).cast("int").alias("member"), F.pmod("l_partkey", F.lit(4)).cast("int").alias("row"), F.pmod("l_suppkey", F.lit(4)).cast("int").alias("col"), "l_quantity")
     ens = li.groupBy("member", "row", "col").agg(F.avg("l_quantity").alias("value"))
     obs = spark.createDataFrame([(2, 3, 30.0, 0.5), (0, 1, 20.0, 0.5)], "row int, col int, observed double, sd double")
-    analysis, _ = grids.assimilate(ens, obs, 2.0)
-    return rounded(analysis.groupBy("row", "col").agg(F.avg("value").alias("mean")), 4)
+    analysis, gain = grids.assimilate(ens, obs, 2.0, perturb=False)
+    return rounded(analysis.groupBy("row", "col").agg(F.avg("value").alias("mean")).join(gain, ["row", "col"]), 4)
+
+
+def tile_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Each return flag is a tile; what two kinds of lines hold on average is observed on two days."""
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("tile"), (F.col("l_orderkey") % 12).cast("int").alias("member"), (F.col("l_partkey") % 3).cast("int").alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col"), "l_quantity", "l_linenumber")
+    ens = li.groupBy("tile", "member", "row", "col").agg(F.avg("l_quantity").alias("value"))
+    day = F.make_date(F.lit(2024), F.lit(1), F.col("l_linenumber").cast("int"))
+    obs = li.filter("l_linenumber <= 2").groupBy("tile", "l_linenumber").agg(F.avg("l_quantity").alias("observed")).select("tile", day.cast("timestamp").alias("t"), (F.col("l_linenumber") - 1).cast("int").alias("row"), F.lit(2).alias("col"), "observed", F.lit(0.5).alias("sd"))
+    return rounded(assimilation.batch_tiles(obs, ens, 2.0, seed=None).withColumn("t", F.date_format("t", "yyyy-MM-dd")), 4)
 
 
 def profile_fits(spark: SparkSession, d: str) -> DataFrame:
@@ -577,7 +587,7 @@ ALL = [
     sensitivity_grid, rolling_effect, mann_kendall, leverage_topk, corpus_dedupe, label_normalise, edge_merge, edge_rank, edge_rename, align_cascade, align_edit_distance, vote_majority, vote_weighted,
     vote_intersection, claim_match_exact, claim_match_greedy, prf1, kappa, token_cost, json_claims, inverted_index_roundtrip, shd_edges, knn_graph, knn_weights, attention_softmax, min_distance_select,
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
-    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, resumable_ingest, turtle_lines, assimilated_cells, profile_fits, forest_quantiles, bootstrap_slope, greedy_selection,
+    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, profile_fits, forest_quantiles, bootstrap_slope, greedy_selection,
     record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,
     effect_sensitivity, edge_origins, covariance_pairs, sample_priority, unit_table, posterior_parts, posterior_overview,
     posterior_rmse, numbered_orders, side_by_side, annotated_lines, terrain_slopes,
