@@ -1,13 +1,16 @@
 """Streams with state against the same computed at once."""
 
 import datetime
-import os
+import http.server
+import json
+import threading
+import urllib.parse
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loamwork.sources import literature
 from loamwork.streaming import assimilation
 
 OBS = "tile string, t timestamp, row int, col int, observed double, sd double"
@@ -70,3 +73,93 @@ def test_a_tile_moves_to_what_is_observed(spark):
     exact = assimilation.moved(values, cells, np.array([0]), np.array([3.0]), np.array([1.0]), None, np.zeros((400, 1)))
     var = values[:, 0].var(ddof=1)
     assert np.allclose(exact[:, 0], values[:, 0] + var / (var + 1) * (3 - values[:, 0]))
+
+
+# literature service
+
+
+class Service(http.server.BaseHTTPRequestHandler):
+    """23 works of "soil", 4 of "clay", none of others, five a page; cursors are opaque. It breaks when asked to."""
+
+    sizes, broken, asked = {"soil": 23, "clay": 4}, set(), []
+
+    def do_GET(self):  # noqa: N802
+        asked = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlsplit(self.path).query).items()}
+        q, begin = asked["search"], 0 if asked["cursor"] == "*" else int(asked["cursor"].removeprefix("c-"))
+        Service.asked.append((q, begin))
+        if (q, begin) in Service.broken:
+            self.send_error(503)
+            return
+        n = Service.sizes.get(q, 0)
+        works = [{"id": f"https://w/{q}/{i}", "title": f"{q} {i}", "publication_year": 2000 + i, "doi": f"https://doi.org/10.1/{q.upper()}{i}", "abstract_inverted_index": {"of": [1], q: [0, 2]}} for i in range(begin, min(n, begin + 5))]
+        body = json.dumps({"results": works, "meta": {"next_cursor": f"c-{begin + 5}" if begin + 5 <= n else None}}).encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_args):
+        pass
+
+
+@pytest.fixture
+def service(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Service.broken, Service.asked = set(), []
+    literature.register(spark)
+    yield f"http://127.0.0.1:{server.server_port}/works"
+    server.shutdown()
+
+
+def options(url, *queries, **more):
+    return {"queries": json.dumps(queries), "url": url, "wait": "0", **more}
+
+
+def test_literature_table(spark, service):
+    table = spark.read.format("literature").options(**options(service, "soil", "clay", "none", "soil")).load()
+    rows = table.collect()
+    assert table.rdd.getNumPartitions() == 3  # a task for each query
+    assert sorted(r.url for r in rows) == sorted([f"https://w/soil/{i}" for i in range(23)] + [f"https://w/clay/{i}" for i in range(4)])
+    one = next(r for r in rows if r.title == "soil 7")
+    assert (one.query, one.source, one.abstract, one.year, one.doi) == ("soil", "https://w/soil/7", "soil of soil", 2007, "10.1/soil7")
+    few = spark.read.format("literature").options(**options(service, "soil", "clay", maxResults="7")).load()
+    assert {r.query: r["count"] for r in few.groupBy("query").count().collect()} == {"soil": 7, "clay": 4}
+    Service.asked.clear()
+    assert spark.read.format("literature").options(**options(service, "soil", "clay")).load().filter("query = 'clay'").count() == 4
+    assert {q for q, _ in Service.asked} == {"clay"}
+    with pytest.raises(Exception, match="503"):
+        Service.broken = {("soil", 10)}
+        spark.read.format("literature").options(**options(service, "soil", tries="2")).load().count()
+
+
+def test_literature_with_a_client(spark):
+    pages = {"*": (["a", "b"], "x"), "x": (["c"], None)}
+    literature.register(spark, lambda q, cursor: {"results": [{"title": t} for t in pages[cursor][0]], "meta": {"next_cursor": pages[cursor][1]}})
+    got = spark.read.format("literature").option("queries", '["q"]').load().collect()
+    assert [(r.source, r.title, r.abstract, r.year, r.doi, r.url) for r in got] == [(t, t, None, None, None, None) for t in "abc"]
+
+
+def test_literature_stream_goes_on_where_it_was_killed(spark, service, tmp_path):
+    """The service breaks twice, in the middle of a query; the stream is started again from its checkpoint, once with a
+    query more. Every record is there once, and pages that were read aren't asked for again."""
+
+    def start(*queries):
+        stream = spark.readStream.format("literature").options(**options(service, *queries, tries="1")).load()
+        return stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").option("path", f"{tmp_path}/out").trigger(processingTime="0 seconds").start()
+
+    def done():
+        return spark.read.parquet(f"{tmp_path}/out").count()
+
+    for broken in (("soil", 10), ("soil", 20)):
+        Service.broken = {broken}
+        query = start("soil")
+        with pytest.raises(Exception, match="503"):
+            query.awaitTermination(120)
+        assert done() == broken[1]
+    Service.broken, Service.asked = set(), []
+    query = start("soil", "clay")
+    query.processAllAvailable()
+    query.stop()
+    got = [r.url for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got) == sorted([f"https://w/soil/{i}" for i in range(23)] + [f"https://w/clay/{i}" for i in range(4)])
+    assert {a for a in Service.asked if a[0] == "soil"} <= {("soil", 15), ("soil", 20)}
