@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it (spark.checkpoint.dir); a temporary one only
     where all runs in this process and none is named."""
@@ -20,11 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder, read again; the files go when the application ends."""
+    """df as Parquet in the shared folder, read again; the files go with erased(), or else when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def erased(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave; nothing may read them any more."""
+    for df in tables:
+        place, files = _place(df.sparkSession, df._written_at)
+        files.delete(place, True)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.columns import col
-from loamwork.operators.graph import JOINER, first_rows
+from loamwork.functions.storage import written
+from loamwork.operators.graph import JOINER, first_rows, near_terms
+from loamwork.operators.matching import greedy_pairs
 
 CLAIM = "struct<cause:string,effect:string,evidence:string,confidence:double>"
 
@@ -109,59 +110,29 @@ def match_exact(predicted: DataFrame, gold: DataFrame, doc: str = "abstract_id")
     return out.filter("n > 0")
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
-
-
-def _transposing(a: str, b: str) -> int:
-    """Edit distance in which two neighbours that change places count once."""
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            best = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            now.append(best)
-        before, row = row, now
-    return row[-1]
-
-
-def transposing_distance(a: Column | str, b: Column | str) -> Column:
-    """Edit distance with transpositions, which the JVM's lacks; null if either is. Arrow batches."""
-
-    @F.pandas_udf("int")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None or t is None else _transposing(s, t) for s, t in zip(x, y, strict=True)], dtype="Int32")
-
-    return distance(col(a), col(b))
-
-
 def match_greedy(predicted: DataFrame, gold: DataFrame, doc: str = "abstract_id", slack: int = 2) -> DataFrame:
     """As match_exact, but a predicted claim, in order, takes the first free gold claim that is equal or whose ends are
-    `slack` edits away in all. A document's claims are few, so a group is a document."""
-    rows = predicted.select(F.col(doc).alias("doc"), F.lit("p").alias("side"), F.col("ord"), canonical("cause").alias("cause"), canonical("effect").alias("effect")).unionByName(
-        gold.select(F.col(doc).alias("doc"), F.lit("g").alias("side"), F.col("ord"), canonical("cause").alias("cause"), canonical("effect").alias("effect"))
-    )
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        golds = list(pdf[pdf.side == "g"][["cause", "effect"]].itertuples(index=False, name=None))
-        free, out = [True] * len(golds), []
-        for claim in pdf[pdf.side == "p"][["cause", "effect"]].itertuples(index=False, name=None):
-            hit = next((i for i, g in enumerate(golds) if free[i] and (g == claim or _distance(g[0], claim[0]) + _distance(g[1], claim[1]) <= slack)), None)
-            if hit is not None:
-                free[hit] = False
-            out.append((*claim, "fp" if hit is None else "tp"))
-        out += [(*g, "fn") for g, f in zip(golds, free, strict=True) if f]
-        return pd.DataFrame([(pdf.doc.iloc[0], *o) for o in out], columns=["doc", "cause", "effect", "outcome"])
-
-    return rows.groupBy("doc").applyInPandas(pair, f"doc {dict(predicted.dtypes)[doc]}, cause string, effect string, outcome string").withColumnRenamed("doc", doc)
+    `slack` edits away in all. Claims: doc, cause, effect, ord; of claims with one ord any order holds.
+
+    Labels that are near are found once, over all documents, and claims meet by equality of them; documents of any
+    number of claims are paired up in rounds. A claim without a document or an end meets none.
+    """
+    rows = lambda df: written(df.select(F.col(doc).alias("doc"), "ord", canonical("cause").alias("cause"), canonical("effect").alias("effect"), F.monotonically_increasing_id().alias("id")).withColumn("kind", F.struct("cause", "effect")))
+    p, g = rows(predicted), rows(gold)
+
+    def near(end: str) -> DataFrame:
+        found = near_terms(p.select(F.col(end).alias("label")).filter("label is not null"), g.select(F.col(end).alias("term")).filter("term is not null"), slack)
+        return found.select(F.col("label").alias(end), F.col("term").alias(f"g_{end}"), F.col("distance").alias(f"{end}_edits"))
+
+    kinds = p.select("doc", "cause", "effect").distinct().join(near("cause"), "cause").join(near("effect"), "effect").filter(F.col("cause_edits") + F.col("effect_edits") <= slack)
+    golds = g.select("doc", F.col("cause").alias("g_cause"), F.col("effect").alias("g_effect")).distinct()
+    kind = lambda c, e: F.struct(F.col(c).alias("cause"), F.col(e).alias("effect"))
+    edges = kinds.join(golds, ["doc", "g_cause", "g_effect"]).select("doc", kind("cause", "effect").alias("left_kind"), kind("g_cause", "g_effect").alias("right_kind"))
+    pairs = written(greedy_pairs(p.select("doc", "id", "ord", "kind"), g.select("doc", "id", "ord", "kind"), edges, "doc"))
+    told = lambda df, outcome: df.select(F.col("doc").alias(doc), "cause", "effect", outcome.alias("outcome"))
+    met = p.join(pairs.select(F.col("left_id").alias("id"), F.lit(True).alias("met")), "id", "left")
+    missed = g.join(pairs.select(F.col("right_id").alias("id")), "id", "left_anti")
+    return told(met, F.when(F.col("met"), "tp").otherwise("fp")).unionByName(told(missed, F.lit("fn")))
 
 
 def precision_recall(outcomes: DataFrame, by: str) -> DataFrame:

@@ -46,6 +46,18 @@ def tile_step(name: str, before: str, n: int) -> str:
 
 
 SQL: dict[str, str] = {
+    "claim_match_greedy": """with recursive l as (select doc_id % 20 as d, 'node_' || (doc_id % 7) as c, 'effect_' || quality as pe, 'effect_' || greatest(quality, toxic) as ge, row_number() over (partition by doc_id % 20 order by doc_id) as i from labels),
+      k as (select distinct p.c, p.pe, g.c as gc, g.ge from (select distinct c, pe from l) p, (select distinct c, ge from l) g where levenshtein(p.c, g.c) + levenshtein(pe, ge) <= 2),
+      w as (select p.d, p.i, list(g.i order by g.i) as wants from l p join k on p.c = k.c and p.pe = k.pe join l g on g.d = p.d and g.c = k.gc and g.ge = k.ge group by 1, 2),
+      m(d, i, taken, hit) as (select d, 0::bigint, []::bigint[], null::bigint from l group by d union all
+        select m.d, m.i + 1, case when h is null then taken else list_append(taken, h) end, h from (select m.d, m.i, taken, list_filter(coalesce(w.wants, []), lambda x: not list_contains(taken, x))[1] as h from m join l on l.d = m.d and l.i = m.i + 1 left join w on w.d = m.d and w.i = m.i + 1) m)
+      select l.d as abstract_id, l.c as cause, pe as effect, case when hit is null then 'fp' else 'tp' end as outcome from l join m using (d, i)
+      union all select d, c, ge, 'fn' from l where not exists (select 1 from m where m.d = l.d and m.hit = l.i)""",
+    # the engine's distance lets a swapped pair be edited again, which no pair here needs
+    "swapped_labels": f"""with l as (select distinct label from (select {LABEL.format("p_type")} as label from part)),
+      s as (select substr(label, 1, 2) || substr(label, 4, 1) || substr(label, 3, 1) || substr(label, 5) as t, length(label) as n from l),
+      t as (select distinct case when n > 20 then left(t, length(t) - 1) else t end as term from s)
+      select label, term, damerau_levenshtein(label, term) as distance from l, t where damerau_levenshtein(label, term) <= 2""",
     "assimilated_cells": f"""with ens as (select l_orderkey % 12 as member, l_partkey % 4 as row, l_suppkey % 4 as col, avg(l_quantity) as value from lineitem group by all),
       a as (select *, value - avg(value) over (partition by row, col) as dev from ens),
       o1 as (select member, value as h, dev as d from a where row = 2 and col = 3), o2 as (select member, value as h, dev as d from a where row = 0 and col = 1),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions import columns as C
-from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, metrics, moments, neighbours, posterior, rows, selection, structure
+from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, matching, metrics, moments, neighbours, posterior, rows, selection, structure
 from loamwork.streaming import assimilation
 
 
@@ -221,6 +221,14 @@ def claim_match_greedy(spark: SparkSession, d: str) -> DataFrame:
     return docs.match_greedy(*claim_sets(spark, d))
 
 
+def swapped_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of parts against the same with two neighbours swapped and, of the longer ones, a letter lost."""
+    labels = part_labels(spark, d).select("label").distinct()
+    swapped = F.concat(F.substring("label", 1, 2), F.substring("label", 4, 1), F.substring("label", 3, 1), F.substr("label", F.lit(5)))
+    terms = labels.select(F.when(F.length("label") > 20, F.left(swapped, F.length(swapped) - 1)).otherwise(swapped).alias("term"))
+    return rounded(matching.near_labels(labels, terms, 2))
+
+
 def prf1(spark: SparkSession, d: str) -> DataFrame:
     out = docs.precision_recall(docs.match_exact(*claim_sets(spark, d)), "abstract_id")
     return rounded(out.withColumn("abstract_id", F.coalesce("abstract_id", F.lit(-1))), 4)
@@ -585,7 +593,7 @@ def synthetic_cube(spark: SparkSession, d: str) -> DataFrame:
 ALL = [
     metrics_by_flag, ece_levels, posterior_summary, crps_by_query, picp_mpiw, interval_reliability, minmax_constant_rules, ols_slope_adjusted, ols_by_group, iv_2sls, iv_first_stage_f, iv_sargan,
     sensitivity_grid, rolling_effect, mann_kendall, leverage_topk, corpus_dedupe, label_normalise, edge_merge, edge_rank, edge_rename, align_cascade, align_edit_distance, vote_majority, vote_weighted,
-    vote_intersection, claim_match_exact, claim_match_greedy, prf1, kappa, token_cost, json_claims, inverted_index_roundtrip, shd_edges, knn_graph, knn_weights, attention_softmax, min_distance_select,
+    vote_intersection, claim_match_exact, claim_match_greedy, swapped_labels, prf1, kappa, token_cost, json_claims, inverted_index_roundtrip, shd_edges, knn_graph, knn_weights, attention_softmax, min_distance_select,
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
     taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, profile_fits, forest_quantiles, bootstrap_slope, greedy_selection,
     record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,

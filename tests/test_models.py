@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamwork.operators import active, adapters, benchmarks, causal, docs, extraction, fermions, graph, grids, kernels, metrics, networks, profiles, rows, selection, spatial, structure, vision
+from loamwork.operators import active, adapters, benchmarks, causal, extraction, fermions, graph, grids, kernels, metrics, networks, profiles, rows, selection, spatial, structure, vision
 from loamwork.operators import autodiff as ad
 from loamwork.operators.autodiff import Var
+from tests.test_matching import edits
 
 
 def numeric(f, x, eps=1e-6):
@@ -434,18 +435,16 @@ def test_graph_text_and_distances(spark):
     edges = spark.createDataFrame([("a", "b", "s", "e", 0.5, "t")], structure.EDGE_COLUMNS)
     told = [r.value for r in graph.turtle(graph.merge_edges(edges), namespaces={"dc": "http://purl.org/dc/terms/"}, metadata={"dc:title": 'a "b"'}).collect()]
     assert '<http://example.org/kg#> dc:title "a \\"b\\"" .' in told
-    pairs = spark.createDataFrame([("ab", "ba"), ("abc", "ca"), ("", "xy"), (None, "x")], "a string, b string")
-    assert [r.d for r in pairs.select(docs.transposing_distance("a", "b").alias("d")).collect()] == [1, 3, 2, None]
     rng = np.random.default_rng(17)
     names = sorted({"".join(rng.choice(list("abc_"), rng.integers(1, 9))) for _ in range(120)})
     a, b = (spark.createDataFrame([(x,) for x in part], f"{c} string") for part, c in ((names[::2], "label"), (names[1::2], "term")))
     for most in (1, 2, 4):
         got = {(r.label, r.term, r.distance) for r in graph.near_terms(a, b, most).collect()}
-        assert got == {(x, y, d) for x in names[::2] for y in names[1::2] if (d := docs._distance(x, y)) <= most}
+        assert got == {(x, y, d) for x in names[::2] for y in names[1::2] if (d := edits(x, y)) <= most}
     target = {r.label: r.target for r in graph.align(a, b, 2).collect()}
     for x in names[::2]:
         parts = [t for t in names[1::2] if f"_{t}_" in f"_{x}_" or f"_{x}_" in f"_{t}_"]
-        near = sorted((docs._distance(x, t), t) for t in names[1::2])
+        near = sorted((edits(x, t), t) for t in names[1::2])
         assert target.get(x) == (min(parts, key=lambda t: (-len(t), t)) if parts else near[0][1] if near[0][0] <= 2 else None), x
 
 
