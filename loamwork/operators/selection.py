@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.columns import finite, min_max_table
+from loamwork.functions.storage import erased, written
 
-#: Rows of a pool that the greedy loop keeps on the driver.
-MAX_POOL = 200_000
+#: Rows of a pool that the driver holds of the highest scores, and of the farthest ones, to pick several in a pass.
+HELD = 512
 
 
 def complete(df: DataFrame, names: list[str]) -> DataFrame:
@@ -22,13 +23,13 @@ def complete(df: DataFrame, names: list[str]) -> DataFrame:
 BLOCK_NUMBERS = 1_000_000
 
 
-def distance_to_set(pool: DataFrame, chosen: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, distance of each pool row to the nearest of the chosen ones, however many these are.
+def distance_to_set(pool: DataFrame, chosen: DataFrame, key: str, vector: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, distance of each pool row to the nearest of the chosen ones, however many these are; and the columns of keep.
 
     The chosen vectors come to the driver a block at a time and are sent to the tasks, which keep the least distance so
     far in a column: no row is paired with a row in a join, and no shuffle is made. A set of one block is one pass.
     """
-    out, held, size = pool.select(key, vector).withColumn("d_", F.lit(float("inf"))), [], 0
+    out, held, size = pool.select(*dict.fromkeys([key, vector, *keep])).withColumn("d_", F.lit(float("inf"))), [], 0
     spark = pool.sparkSession
 
     def nearer(rows: DataFrame, block: np.ndarray) -> DataFrame:
@@ -54,7 +55,7 @@ def distance_to_set(pool: DataFrame, chosen: DataFrame, key: str, vector: str) -
             out, held, size = nearer(out, np.array(held)), [], 0
     if held:
         out = nearer(out, np.array(held))
-    return out.select(key, F.when(F.col("d_") < float("inf"), F.col("d_")).alias("distance"))
+    return out.select(key, *keep, F.when(F.col("d_") < float("inf"), F.col("d_")).alias("distance"))
 
 
 def rank_by(df: DataFrame, score: Column, key: str, n: int | None = None) -> DataFrame:
@@ -63,39 +64,92 @@ def rank_by(df: DataFrame, score: Column, key: str, n: int | None = None) -> Dat
     return out.limit(n) if n else out
 
 
-def greedy_batch(pool: DataFrame, key: str, names: list[str], uncertainty: str, n: int, labelled: DataFrame | None = None, strategy: str = "hybrid", alpha: float = 0.7, cost: str | None = None, cost_weight: float = 0.3) -> list:
+def _euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(axis=1))
+
+
+def _unit(d: np.ndarray | float, low: float, high: float):
+    """d scaled to 0..1 between the pool's least and largest; 1 for all where these are one or there is no distance yet."""
+    return (d - low) / (high - low) if np.isfinite(high) and high > low else np.ones_like(d, dtype=float)
+
+
+def greedy_batch(
+    pool: DataFrame, key: str, names: list[str], uncertainty: str, n: int, labelled: DataFrame | None = None, strategy: str = "hybrid", alpha: float = 0.7, cost: str | None = None, cost_weight: float = 0.3, held: int = HELD
+) -> list:
     """Keys of n rows picked one by one: uncertainty, diverse, hybrid (alpha u + (1 - alpha) d) or cost (hybrid less the
     weighted cost). d is the distance, in z-scores of pool and labelled rows, to the nearest labelled or picked row,
-    scaled to 0..1 in every round. The pool is the candidates' list and must fit MAX_POOL."""
-    cols = [key, *names, uncertainty, *([cost] if cost else [])]
-    pool = complete(pool, [c for c in cols if c != key])
-    if pool.count() > MAX_POOL:
-        raise ValueError(f"[greedy_batch] the pool has over {MAX_POOL} rows; rank and cut it first")
-    p = pool.select(*cols).orderBy(key).toPandas()
-    x = p[names].to_numpy(float)
-    lab = complete(labelled, names).select(*names).toPandas().to_numpy(float) if labelled is not None else np.zeros((0, len(names)))
-    both = np.vstack([x, lab])
-    sd = both.std(axis=0, ddof=1) if len(both) > 1 else np.ones(len(names))
-    sd[~(sd > 0)] = 1
-    x, lab = (x - both.mean(axis=0)) / sd, (lab - both.mean(axis=0)) / sd
-
-    def unit(v: np.ndarray) -> np.ndarray:
-        return (v - v.min()) / (v.max() - v.min()) if len(v) and v.max() > v.min() else np.ones(len(v))
-
-    u = unit(p[uncertainty].to_numpy(float))
-    c = unit(p[cost].to_numpy(float)) if cost else np.zeros(len(p))
-    d = np.full(len(p), np.inf)
-    for row in lab:
-        d = np.minimum(d, np.sqrt(((x - row) ** 2).sum(axis=1)))
-    picked: list[int] = []
-    for _ in range(min(n, len(p))):
-        far = unit(d) if np.isfinite(d).all() else np.ones(len(p))
-        s = {"uncertainty": u, "diverse": far, "hybrid": alpha * u + (1 - alpha) * far, "cost": alpha * u + (1 - alpha) * far - cost_weight * c}[strategy].copy()
-        s[picked] = -np.inf
-        i = int(np.argmax(s))
-        picked.append(i)
-        d = np.minimum(d, np.sqrt(((x - x[i]) ** 2).sum(axis=1)))
-    return [p[key].iloc[i] for i in picked]
+    scaled to 0..1 in every round; ties go by key.
+
+    The pool may be of any size: its rows keep their least distance so far in a column. A pass updates it by the picks
+    since the last one, and brings the `held` rows of the highest scores and the farthest ones to the driver. Of these
+    further picks are made there, as long as no other row can be better: distances only become less, so that another
+    row's score is bounded by its last one and the change of scale. Only then is there another pass; each makes a pick
+    at least.
+    """
+    pool = complete(pool, [*names, uncertainty, *([cost] if cost else [])])
+    z_of = lambda df: df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    known = complete(labelled, names) if labelled is not None else None
+    both = z_of(pool) if known is None else z_of(pool).unionByName(z_of(known))
+    spread = both.agg(*[f(c).alias(f"{t}_{c}") for c in names for t, f in (("m", F.avg), ("s", F.stddev_samp))]).first()  # one row
+    sd = {c: spread[f"s_{c}"] if spread[f"s_{c}"] and spread[f"s_{c}"] > 0 else 1.0 for c in names}
+    z = F.array(*[(F.col(c).cast("double") - F.lit(spread[f"m_{c}"])) / F.lit(sd[c]) for c in names])
+    parts = {"u_": F.col(uncertainty).cast("double"), "c_": F.col(cost).cast("double") if cost else F.lit(0.0)}
+    ends = pool.select(*[v.alias(k) for k, v in parts.items()]).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{t}{c}") for c in parts for t, f in (("lo", F.min), ("hi", F.max))]).first()  # one row
+    scaled = {k: (v - F.lit(ends[f"lo{k}"])) / F.lit(ends[f"hi{k}"] - ends[f"lo{k}"]) if ends.n and ends[f"hi{k}"] > ends[f"lo{k}"] else F.lit(1.0) for k, v in parts.items()}
+    u, c = scaled["u_"], scaled["c_"]
+    fixed, weight = {"uncertainty": (u, 0.0), "diverse": (F.lit(0.0), 1.0), "hybrid": (alpha * u, 1 - alpha), "cost": (alpha * u - cost_weight * c, 1 - alpha)}[strategy]
+    rows = pool.select(key, z.alias("z_"), fixed.alias("fixed_"))
+    if known is not None and not known.isEmpty():
+        rows = distance_to_set(rows, known.select(z.alias("z_")), key, "z_", ("z_", "fixed_")).withColumnRenamed("distance", "d_")
+    else:
+        rows = rows.withColumn("d_", F.lit(float("inf")))
+    table = written(rows.select(key, "z_", "fixed_", "d_").withColumn("taken_", F.lit(False)))
+
+    def nearer(df: DataFrame, new: list[tuple]) -> DataFrame:
+        keys, points = {k for k, _ in new}, [p for _, p in new]
+
+        def run(batches):
+            for pdf in batches:
+                x, d = np.array(pdf["z_"].tolist(), float).reshape(len(pdf), len(names)), pdf["d_"].to_numpy(float)
+                for p in points:
+                    d = np.minimum(d, _euclid(x, p))
+                yield pdf.assign(d_=d, taken_=pdf["taken_"] | pdf[key].isin(keys))
+
+        return df.mapInPandas(run, df.schema)
+
+    picked, new = [], []
+    total = min(n, ends.n)
+    while len(picked) < total:
+        if new:
+            table, old, new = written(nearer(table, new)), table, []
+            erased(old)
+        span = table.agg(F.min("d_").alias("lo"), F.max("d_").alias("hi")).first()  # one row
+        unit = (F.col("d_") - span.lo) / (span.hi - span.lo) if np.isfinite(span.hi) and span.hi > span.lo else F.lit(1.0)
+        free = table.filter(~F.col("taken_")).withColumn("score_", F.col("fixed_") + F.lit(weight) * unit)
+        best = free.orderBy(F.col("score_").desc(), F.col(key)).limit(held).collect()
+        far = free.orderBy(F.col("d_").desc(), F.col(key)).limit(held).collect()
+        # no row that stays away has a score over `least` or a distance over `near`
+        least, near = (best[-1].score_, far[-1].d_) if len(best) == held else (-np.inf, 0.0)
+        rows_of = {r[key]: r for r in [*best, *far]}
+        keys = sorted(rows_of)
+        x, d, f = np.array([rows_of[k].z_ for k in keys], float), np.array([rows_of[k].d_ for k in keys], float), np.array([rows_of[k].fixed_ for k in keys], float)
+        out, low, high = np.zeros(len(keys), bool), span.lo, span.hi
+        while len(picked) < total and not out.all():
+            score = np.where(out, -np.inf, f + weight * _unit(d, low, high))
+            i = int(np.argmax(score))
+            if new:
+                gains = [float(_unit(np.array(v), low, high) - _unit(np.array(v), span.lo, span.hi)) for v in (span.lo, near)]
+                if least > -np.inf and not score[i] > least + weight * max(0.0, *gains):
+                    break
+            picked.append(keys[i])
+            new.append((keys[i], x[i]))
+            out[i] = True
+            d = np.minimum(d, _euclid(x, x[i]))
+            low, high = 0.0, float(d.max())
+            if least > -np.inf and not high >= near:
+                break  # the largest distance may be elsewhere
+    erased(table)
+    return picked
 
 
 def joint_variance_batch(predictions: np.ndarray, noise: float, n: int) -> list[int]:

@@ -45,7 +45,19 @@ def tile_step(name: str, before: str, n: int) -> str:
 {name} as (select s.tile, s.member, s.row, s.col, s.value + (o.observed - o.h) * k.gain * {TAPER.format("k.z")} as value from {name}s s join {name}o o using (tile, member) join {name}k k on s.tile = k.tile and s.row = k.row and s.col = k.col)"""
 
 
+def pick_step(k: int) -> str:
+    """The k-th pick by uncertainty and distance, and the distances after it."""
+    far = f"case when isfinite(max(d) over ()) and max(d) over () > min(d) over () then (d - min(d) over ()) / (max(d) over () - min(d) over ()) else 1.0 end"
+    return f"""s{k} as materialized (select *, case when taken then -1e9 else 0.7 * u + 0.3 * ({far}) end as score from d{k}),
+p{k} as materialized (select s_suppkey as pk, a as pa, b as pb, taken as over from s{k} order by score desc, s_suppkey limit 1),
+d{k + 1} as materialized (select s_suppkey, a, b, u, least(d, sqrt((a - pa) * (a - pa) + (b - pb) * (b - pb))) as d, taken or s_suppkey = pk as taken from d{k}, p{k})"""
+
+
 SQL: dict[str, str] = {
+    "greedy_selection": f"""with d0 as materialized (select s_suppkey, (s_acctbal - avg(s_acctbal) over ()) / stddev_samp(s_acctbal) over () as a, (s_nationkey - avg(s_nationkey) over ()) / stddev_samp(s_nationkey) over () as b,
+        (abs(s_acctbal) - min(abs(s_acctbal)) over ()) / (max(abs(s_acctbal)) over () - min(abs(s_acctbal)) over ()) as u, 'inf'::double as d, false as taken from supplier),
+      {", ".join(map(pick_step, range(10)))}
+      {" union all ".join(f"select {k}::bigint as pick, pk as s_suppkey from p{k} where not over" for k in range(10))}""",
     "claim_match_greedy": """with recursive l as (select doc_id % 20 as d, 'node_' || (doc_id % 7) as c, 'effect_' || quality as pe, 'effect_' || greatest(quality, toxic) as ge, row_number() over (partition by doc_id % 20 order by doc_id) as i from labels),
       k as (select distinct p.c, p.pe, g.c as gc, g.ge from (select distinct c, pe from l) p, (select distinct c, ge from l) g where levenshtein(p.c, g.c) + levenshtein(pe, ge) <= 2),
       w as (select p.d, p.i, list(g.i order by g.i) as wants from l p join k on p.c = k.c and p.pe = k.pe join l g on g.d = p.d and g.c = k.gc and g.ge = k.ge group by 1, 2),

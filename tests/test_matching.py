@@ -1,10 +1,11 @@
-"""Near labels and one-to-one matching against plain versions."""
+"""Near labels, one-to-one matching and greedy batches against plain versions."""
 
 import random
 
+import numpy as np
 import pytest
 
-from loamwork.operators import docs, matching
+from loamwork.operators import docs, matching, selection
 
 
 def edits(a, b, swaps=False):
@@ -77,3 +78,52 @@ def test_greedy_matching_of_equal_claims_takes_few_rounds(spark, monkeypatch):
     assert rounds.count(["at", "to"]) == 2  # the second finds nothing left
     assert docs.match_greedy(p.limit(0), p).groupBy("outcome").count().collect()[0]["count"] == 500
     assert docs.match_greedy(p.limit(0), p.limit(0)).count() == 0
+
+
+def plain_batch(rows, labelled, n, strategy, alpha=0.7, cost_weight=0.3):
+    """The whole pool at once; rows: key, a, b, u, c."""
+    unit = lambda v: (v - v.min()) / (v.max() - v.min()) if np.isfinite(v).all() and v.max() > v.min() else np.ones(len(v))
+    rows = sorted(rows)
+    x = np.array([r[1:3] for r in rows], float)
+    both = np.vstack([x, np.array(labelled, float).reshape(-1, 2)])
+    sd = both.std(axis=0, ddof=1)
+    sd[~(sd > 0)] = 1
+    x, lab = (x - both.mean(axis=0)) / sd, (both[len(x) :] - both.mean(axis=0)) / sd
+    u, c = unit(np.array([r[3] for r in rows])), unit(np.array([r[4] for r in rows]))
+    d, picked = np.full(len(x), np.inf), []
+    for row in lab:
+        d = np.minimum(d, np.sqrt(((x - row) ** 2).sum(axis=1)))
+    for _ in range(min(n, len(x))):
+        far = unit(d)
+        s = {"uncertainty": u, "diverse": far, "hybrid": alpha * u + (1 - alpha) * far, "cost": alpha * u + (1 - alpha) * far - cost_weight * c}[strategy].copy()
+        s[picked] = -np.inf
+        picked.append(int(np.argmax(s)))
+        d = np.minimum(d, np.sqrt(((x - x[picked[-1]]) ** 2).sum(axis=1)))
+    return [rows[i][0] for i in picked]
+
+
+POOL = "k int, a double, b double, u double, c double"
+
+
+@pytest.mark.parametrize("strategy", ["uncertainty", "diverse", "hybrid", "cost"])
+def test_greedy_batch_equals_the_whole_pool(spark, monkeypatch, strategy):
+    """With few rows held, most picks need bounds or another pass."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), *map(float, rng.normal(size=2)), float(rng.random()), float(rng.random())) for i in rng.permutation(400)]
+    passes, keep = [], selection.written
+    monkeypatch.setattr(selection, "written", lambda df: passes.append(1) or keep(df))
+    pool = spark.createDataFrame(rows + [(900, None, 1.0, 9.0, 0.0)], POOL).repartition(5)
+    labelled = [(0.0, 0.0), (1.0, 1.0)]
+    known = spark.createDataFrame(labelled, "a double, b double")
+    more = {"strategy": strategy, "cost": "c" if strategy == "cost" else None}
+    assert selection.greedy_batch(pool, "k", ["a", "b"], "u", 30, known, held=24, **more) == plain_batch(rows, labelled, 30, strategy)
+    assert len(passes) < 20  # several picks a pass
+    assert selection.greedy_batch(pool, "k", ["a", "b"], "u", 6, held=3, **more) == plain_batch(rows, [], 6, strategy)
+
+
+def test_greedy_batch_of_few_and_equal_rows(spark):
+    rows = [(i, 1.0, 2.0, 3.0, 0.0) for i in range(5)] + [(9, 4.0, 2.0, 3.0, 0.0)]
+    pool = spark.createDataFrame(rows, POOL)
+    for strategy in ("hybrid", "diverse"):
+        assert selection.greedy_batch(pool, "k", ["a", "b"], "u", 9, strategy=strategy, held=2) == plain_batch(rows, [], 9, strategy)
+    assert selection.greedy_batch(pool.limit(0), "k", ["a", "b"], "u", 3) == []
