@@ -36,6 +36,15 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place, files = _place(spark, path)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def erased(*tables: DataFrame) -> None:
     """Deletes tables that written() gave; nothing may read them any more."""
     for df in tables:

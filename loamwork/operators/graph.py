@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.columns import curie, node_label, turtle_text
+from loamwork.functions.storage import erased, written
+from loamwork.operators.quantiles import quantiles
 
 JOINER = " | "
 
@@ -116,8 +118,35 @@ def nearest_term(labels: DataFrame, terms: DataFrame, max_distance: int = 4) ->
 def graph_summary(edges: DataFrame) -> DataFrame:
     """Nodes, edges, distinct sources and the spread of confidence."""
     nodes = edges.select(F.col("cause").alias("n")).union(edges.select("effect")).distinct().agg(F.count(F.lit(1)).alias("n_nodes"))
-    one = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("source").alias("n_sources"), *[F.percentile("confidence", F.lit(p)).alias(f"confidence_{round(100 * p)}") for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    return nodes.join(one)
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    spread = quantiles(edges, [], "confidence", probs).select(*[F.col("q")[i].alias(f"confidence_{round(100 * p)}") for i, p in enumerate(probs)])
+    one = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("source").alias("n_sources"))
+    return nodes.join(one).join(spread)
+
+
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """The edges (cause, effect) that lie on a cycle, or on a way from one cycle to another; none if and only if the
+    graph has no cycle.
+
+    A node without causes, or without effects, is on no such way: its edges are taken away, and then those of the nodes
+    that have become so, in rounds from both sides at once. A round is two semi-joins by node, written down; the one
+    before is deleted. Rounds are at most half the longest way that leads into or out of a cycle. Self-loops are cycles;
+    edges without an end are none.
+    """
+    left = written(edges.select("cause", "effect").filter("cause is not null and effect is not null").distinct())
+    n = left.count()
+    while n:
+        fed, feeding = left.select(F.col("effect").alias("cause")).distinct(), left.select(F.col("cause").alias("effect")).distinct()
+        now = written(left.join(fed, "cause", "left_semi").join(feeding, "effect", "left_semi").select("cause", "effect"))
+        erased(left)
+        left, before, n = now, n, now.count()
+        if n == before:
+            break
+    return left
+
+
+def acyclic(edges: DataFrame) -> bool:
+    return cycle_edges(edges).isEmpty()
 
 
 def hamming(a: DataFrame, b: DataFrame) -> DataFrame:

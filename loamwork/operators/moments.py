@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.functions.columns import finite
+from loamwork.functions.storage import written
 from loamwork.functions.tails import chi_square_upper, f_upper, t_quantile
+from loamwork.operators.rows import numbered
 
 MAX_COLUMNS = 200
 
@@ -71,12 +73,25 @@ def effects_by_group(df: DataFrame, by: str, outcome: str, exposure: str, adjust
     return rows.mapInPandas(solve, f"`{by}` {dict(df.dtypes)[by]}, naive double, adjusted double")
 
 
+def _first_stage(m: np.ndarray, n: int, at: dict[str, int], exposure: str, instruments: list[str], covariates: list[str]) -> dict:
+    """The F test from a moment matrix that has all columns."""
+    y = at[exposure]
+
+    def rss(names: list[str]) -> float:
+        x = [0, *[at[c] for c in names]]
+        return float(m[y, y] - m[x, y] @ np.linalg.solve(m[np.ix_(x, x)], m[x, y]))
+
+    q, df = len(instruments), n - len(covariates) - len(instruments) - 1
+    full, reduced = rss([*covariates, *instruments]), rss(covariates)
+    f = (reduced - full) / q / (full / df)
+    return {"f": f, "p": f_upper(f, q, df), "partial_r2": (reduced - full) / reduced, "weak": f < 10}
+
+
 def first_stage(df: DataFrame, exposure: str, instruments: list[str], covariates: list[str]) -> dict:
-    """F test of the instruments in the exposure's regression; weak below 10."""
-    full, reduced = ols(df.filter(finite(*instruments)), exposure, [*covariates, *instruments]), ols(df.filter(finite(*instruments)), exposure, covariates)
-    q = len(instruments)
-    f = (reduced["rss"] - full["rss"]) / q / (full["rss"] / full["df"])
-    return {"f": f, "p": f_upper(f, q, full["df"]), "partial_r2": (reduced["rss"] - full["rss"]) / reduced["rss"], "weak": f < 10}
+    """F test of the instruments in the exposure's regression, from one moment matrix; weak below 10."""
+    names = [*covariates, *instruments, exposure]
+    m, n = cross_moments(df, names)
+    return _first_stage(m, n, {c: i + 1 for i, c in enumerate(names)}, exposure, instruments, covariates)
 
 
 def two_stage(df: DataFrame, outcome: str, exposure: str, instruments: list[str], covariates: list[str] | None = None) -> dict:
@@ -99,7 +114,7 @@ def two_stage(df: DataFrame, outcome: str, exposure: str, instruments: list[str]
     effect = float(beta[-1])
     return {
         "effect": effect, "se": se, "low": effect - 1.96 * se, "high": effect + 1.96 * se, "n": n, "df": n - len(x),
-        "first_stage": first_stage(df, exposure, instruments, covariates), "sargan": j if df_over else None, "sargan_df": df_over, "sargan_p": chi_square_upper(j, df_over) if df_over else None,
+        "first_stage": _first_stage(m, n, at, exposure, instruments, covariates), "sargan": j if df_over else None, "sargan_df": df_over, "sargan_p": chi_square_upper(j, df_over) if df_over else None,
     }
 
 
@@ -122,17 +137,32 @@ def poisson_weight(key: Column, draw: Column, seed: int) -> Column:
     return sum(((u > s).cast("double") for s in steps), F.lit(0.0))
 
 
+def resampled(df: DataFrame, cluster: str, draws: int, seed: int = 1) -> DataFrame:
+    """draw, the cluster, times: in each draw as many clusters as there are, drawn with replacement; those that were not
+    drawn have no row, so that times sum to the number of clusters in every draw.
+
+    A pick is a hash of the seed, the draw and its number, so that picks are counted where they are made, whatever the
+    partitions; clusters are numbered in their order. A missing cluster is none.
+    """
+    index = written(numbered(df.filter(F.col(cluster).isNotNull()).select(cluster).distinct(), [cluster], "k_"))
+    n = index.count()
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("draw").cast("string"), (F.col("id") % max(1, n)).cast("string")))
+    share = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    picks = df.sparkSession.range(draws * n).withColumn("draw", F.floor(F.col("id") / max(1, n)))
+    counts = picks.select("draw", (F.floor(share * n) + 1).alias("k_")).groupBy("draw", "k_").agg(F.count(F.lit(1)).alias("times"))
+    return counts.join(index, "k_").select("draw", cluster, "times")
+
+
 def bootstrap_effect(df: DataFrame, outcome: str, exposure: str, adjust: list[str], cluster: str, draws: int = 100, seed: int = 1) -> list[float]:
-    """Slopes of a cluster bootstrap: every cluster counts a Poisson(1) number of times in each draw, all draws in one
-    pass. A draw's weights depend on the cluster's name and the seed only."""
+    """Slopes of a cluster bootstrap: each draw takes as many whole clusters as there are, with replacement. Rows are
+    read once, for the moments of each cluster; draws weigh these."""
     names = [exposure, *adjust, outcome]
     rows = df.filter(finite(*[F.col(c).cast("double") for c in names]))
-    weight = poisson_weight(F.col(cluster), F.col("draw"), seed)
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in names]]
-    # moments of each cluster first: the draws multiply small rows only
-    by_cluster = rows.groupBy(cluster).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))])
-    long = by_cluster.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w_", weight)
-    sums = long.groupBy("draw").agg(*[F.sum(F.col("w_") * F.col(f"s{i}_{j}")).alias(f"s{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    by_cluster = rows.groupBy(cluster).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs])
+    times = resampled(df, cluster, draws, seed)
+    sums = times.join(by_cluster, cluster).groupBy("draw").agg(*[F.sum(F.col("times") * F.col(f"s{i}_{j}")).alias(f"s{i}_{j}") for i, j in pairs])
     out = []
     k = len(cols) - 1
     for r in sums.orderBy("draw").collect():  # one small row a draw

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.operators.quantiles import quantiles
+
 LEVELS = [round(0.05 * i, 2) for i in range(1, 20)]
 
 
@@ -25,8 +27,9 @@ def from_gaussian(df: DataFrame, query_id: str, mean: str, sd: str, draws: int =
 
 
 def summary(draws: DataFrame, probs: tuple[float, ...] = (0.05, 0.5, 0.95), query: str = "query_id", value: str = "value") -> DataFrame:
-    """Mean, sd (n - 1) and exact quantiles of each query."""
-    return draws.groupBy(query).agg(F.count(value).alias("n_draws"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), *[F.percentile(value, F.lit(p)).alias(quantile_name(p)) for p in probs])
+    """Mean, sd (n - 1) and exact quantiles of each query, which may have any number of draws."""
+    out = quantiles(draws, [query], value, list(probs), [F.count(value).alias("n_draws"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")])
+    return out.select(query, "n_draws", "mean", "sd", *[F.col("q")[i].alias(quantile_name(p)) for i, p in enumerate(probs)])
 
 
 def split_variance(draws: DataFrame, aleatoric: Column | float = 0.0) -> DataFrame:
@@ -49,7 +52,7 @@ def interval_coverage(draws: DataFrame, truth: DataFrame, levels: list[float] =
     from one aggregate of the draws."""
     probs = sorted({round(p, 6) for level in levels for p in ((1 - level) / 2, 1 - (1 - level) / 2)})
     at = {p: i for i, p in enumerate(probs)}
-    cut = draws.groupBy(query).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("q")).join(truth, query)
+    cut = quantiles(draws, [query], value, probs).join(truth, query)
     bounds = [(level, F.col("q")[at[round((1 - level) / 2, 6)]], F.col("q")[at[round(1 - (1 - level) / 2, 6)]]) for level in levels]
     rows = cut.select(observed, F.inline(F.array(*[F.struct(F.lit(level).alias("level"), lo.alias("lo"), hi.alias("hi")) for level, lo, hi in bounds])))
     return rows.groupBy("level").agg(F.avg(F.col(observed).between(F.col("lo"), F.col("hi")).cast("double")).alias("picp"), F.avg(F.col("hi") - F.col("lo")).alias("mpiw"))

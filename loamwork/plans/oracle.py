@@ -58,6 +58,24 @@ SQL: dict[str, str] = {
         (abs(s_acctbal) - min(abs(s_acctbal)) over ()) / (max(abs(s_acctbal)) over () - min(abs(s_acctbal)) over ()) as u, 'inf'::double as d, false as taken from supplier),
       {", ".join(map(pick_step, range(10)))}
       {" union all ".join(f"select {k}::bigint as pick, pk as s_suppkey from p{k} where not over" for k in range(10))}""",
+    "session_events": """with e as (select user_id, ts::timestamp as ts, value, case when ts::timestamp < lag(ts::timestamp) over (partition by user_id order by ts) + interval 6 hour then 0 else 1 end as fresh from events),
+      s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from e)
+      select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 6 hour, '%Y-%m-%d %H:%M:%S') as "end", count(*)::bigint as n, round(sum(value), 3) as total from s group by user_id, s""",
+    "cycle_edges": """with recursive e as (select 'n' || c_custkey as cause, 'n' || (c_custkey * 2 % (select max(c_custkey) + 1 from customer)) as effect from customer),
+      r(a, b) as (select cause, effect from e union select r.a, e.effect from r join e on r.b = e.cause), c as (select a as n from r where a = b),
+      fed as (select n from c union select b from r join c on a = n), feeding as (select n from c union select a from r join c on b = n)
+      select cause, effect from e where cause in (select n from fed) and effect in (select n from feeding)""",
+    "snapshot_merges": f"""with {TRANS} select cause, effect, count(*)::bigint as n_claims, string_agg(distinct source, ' | ' order by source) as sources, string_agg(distinct evidence, ' | ' order by evidence) as evidence,
+      round(max(confidence), 6) as confidence, max("timestamp") as "timestamp" from tr where cause <> effect group by 1, 2""",
+    "resampled_orders": """with c as (select o_custkey, row_number() over (order by o_custkey) - 1 as k from (select distinct o_custkey from orders)), n as (select count(*) as n from c),
+      p as (select draw, floor(('0x' || substr(md5('7:' || draw || ':' || i), 1, 12))::bigint / 281474976710656.0 * n)::bigint as k from n, range(3) d(draw), range(n) t(i))
+      select draw, o_custkey, count(*)::bigint as times from p join c using (k) group by 1, 2""",
+    "bootstrap_slope": """with c as (select c_nationkey, row_number() over (order by c_nationkey) - 1 as k from (select distinct c_nationkey from customer)), n as (select count(*) as n from c),
+      p as (select draw, floor(('0x' || substr(md5('1:' || draw || ':' || i), 1, 12))::bigint / 281474976710656.0 * n)::bigint as k from n, range(50) d(draw), range(n) t(i)),
+      w as (select draw, c_nationkey, count(*) as w from p join c using (k) group by 1, 2),
+      s as (select draw, sum(w) as sw, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy from w join (select c_nationkey, c_acctbal as y, (c_custkey % 13)::double as x from customer) using (c_nationkey) group by 1)
+      select draw, round((sw * sxy - sx * sy) / (sw * sxx - sx * sx), 5) as slope from s""",
+    "price_quantiles": f"""select l_returnflag, count(*)::bigint as n, {", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) as q{i}" for i, p in enumerate((0.0, 0.05, 0.5, 0.999, 1.0)))} from lineitem group by 1""",
     "claim_match_greedy": """with recursive l as (select doc_id % 20 as d, 'node_' || (doc_id % 7) as c, 'effect_' || quality as pe, 'effect_' || greatest(quality, toxic) as ge, row_number() over (partition by doc_id % 20 order by doc_id) as i from labels),
       k as (select distinct p.c, p.pe, g.c as gc, g.ge from (select distinct c, pe from l) p, (select distinct c, ge from l) g where levenshtein(p.c, g.c) + levenshtein(pe, ge) <= 2),
       w as (select p.d, p.i, list(g.i order by g.i) as wants from l p join k on p.c = k.c and p.pe = k.pe join l g on g.d = p.d and g.c = k.gc and g.ge = k.ge group by 1, 2),
@@ -206,7 +224,7 @@ SQL: dict[str, str] = {
       select md5(line) as line_md5 from v""",
     "covering_design": """with q as (select quantile_disc(c_acctbal, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as a, quantile_disc(c_nationkey, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) as n from customer)
       select 8::bigint as n_rows, count(distinct len(list_filter(a, lambda x: x < c_acctbal)))::bigint as balance_ranges, count(distinct len(list_filter(n, lambda x: x < c_nationkey)))::bigint as nation_ranges from customer, q""",
-    "profile_fits": "select s_suppkey, 0.0::double as sse from supplier",
+    "profile_fits": "select s_suppkey, 20.0::double + s_suppkey % 7 as y0, 3.0::double as y_inf, round(0.03 + 0.01 * (s_suppkey % 3), 3)::double as rate, 0.01::double as decay from supplier",
     "effect_sensitivity": """with m as (select count(*) as n, covar_pop(l_extendedprice, l_discount) as yd, covar_pop(l_extendedprice, l_quantity) as yq, covar_pop(l_discount, l_quantity) as dq, var_pop(l_discount) as dd, var_pop(l_quantity) as qq, var_pop(l_extendedprice) as yy from lineitem where l_returnflag = 'A'),
       b as (select *, (yd * qq - yq * dq) / (dd * qq - dq * dq) as bd, (yq * dd - yd * dq) / (dd * qq - dq * dq) as bq from m),
       t as (select n, bd / sqrt((yy - bd * yd - bq * yq) * n / (n - 3) * qq / (dd * qq - dq * dq) / n) as t from b)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import columns as C
 from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, matching, metrics, moments, neighbours, posterior, rows, selection, structure
+from loamwork.operators.quantiles import quantiles
 from loamwork.streaming import assimilation
 
 
@@ -39,10 +40,17 @@ def metrics_by_flag(spark: SparkSession, d: str) -> DataFrame:
 def ece_levels(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_brand", "p_retailprice")
     levels = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = part.groupBy("p_brand").agg(F.percentile("p_retailprice", F.array(*map(F.lit, levels))).alias("q"))
+    q = quantiles(part, ["p_brand"], "p_retailprice", levels)
     return rounded(metrics.calibration_error(part.join(q, "p_brand"), "p_retailprice", "q", levels))
 
 
+def price_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of prices by flag: groups so large that they are counted in parts."""
+    li = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    out = quantiles(li, ["l_returnflag"], "l_extendedprice", [0.0, 0.05, 0.5, 0.999, 1.0], [F.count(F.lit(1)).alias("n")], held=500)
+    return rounded(out.select("l_returnflag", "n", *[F.col("q")[i].alias(f"q{i}") for i in range(5)]))
+
+
 def supplier_draws(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_extendedprice").alias("value"))
 
@@ -387,6 +395,32 @@ def window_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), 3)
 
 
+def session_events(spark: SparkSession, d: str) -> DataFrame:
+    from loamwork.streaming.ingest import session_totals
+
+    out = session_totals(table(spark, d, "events"), "ts", "6 hours", by=["user_id"])
+    return rounded(out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n", "total"), 3)
+
+
+def cycle_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Customers that name the one of twice their number: chains that run into cycles."""
+    cu = table(spark, d, "customer").select("c_custkey")
+    n = cu.agg(F.max("c_custkey").alias("m"))
+    edges = cu.join(F.broadcast(n)).select(F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("cause"), F.concat(F.lit("n"), (F.col("c_custkey") * 2 % (F.col("m") + 1)).cast("string")).alias("effect"))
+    return graph.cycle_edges(edges)
+
+
+def snapshot_merges(spark: SparkSession, d: str) -> DataFrame:
+    """The claims of the event stream, merged into a snapshot a third at a time."""
+    from loamwork.functions.storage import scratch
+    from loamwork.sources import snapshots
+
+    claims, root = transitions(spark, d), scratch(spark, "graph")
+    for k in range(3):
+        snapshots.merge(claims.filter(F.pmod(F.xxhash64("source", "evidence"), F.lit(3)) == k), root, parts=8)
+    return rounded(snapshots.load(spark, root), 6)
+
+
 def resumable_ingest(spark: SparkSession, d: str) -> DataFrame:
     from loamwork.streaming.ingest import resume
 
@@ -416,12 +450,16 @@ def tile_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Curves fitted to depths with a little noise give back what the rows were made of."""
     from loamwork.operators.profiles import fit_profiles
 
-    z = F.array(*[F.lit(float(x)) for x in (0, 5, 15, 30, 60, 100)])
-    sup = table(spark, d, "supplier").select("s_suppkey", F.explode(z).alias("depth"), (F.abs("s_acctbal") / 500 + 20).alias("y0"))
-    rows = sup.select("s_suppkey", "depth", C.depth_curve("depth", F.col("y0"), F.lit(3.0), F.lit(0.05), F.lit(0.02)).alias("y"))
-    return rounded(fit_profiles(rows, "s_suppkey", "depth", "y").select("s_suppkey", "sse"), 1)
+    z = F.array(*[F.lit(float(x)) for x in (0, 3, 6, 10, 15, 22, 30, 45, 60, 80, 100, 140)])
+    y0, rate = 20.0 + F.col("s_suppkey") % 7, 0.03 + 0.01 * (F.col("s_suppkey") % 3)
+    sup = table(spark, d, "supplier").select("s_suppkey", y0.alias("y0"), rate.alias("rate"), F.explode(z).alias("depth"))
+    noise = 1e-4 * F.sin(F.col("s_suppkey") * 12.9898 + F.col("depth") * 78.233)
+    rows = sup.select("s_suppkey", "depth", (C.depth_curve("depth", F.col("y0"), F.lit(3.0), F.col("rate"), F.lit(0.01)) + noise).alias("y"))
+    fits = fit_profiles(rows, "s_suppkey", "depth", "y")
+    return fits.select("s_suppkey", F.round("y0", 1).alias("y0"), F.round("y_inf", 1).alias("y_inf"), F.round("rate", 3).alias("rate"), F.round("decay", 3).alias("decay"))
 
 
 def forest_quantiles(spark: SparkSession, d: str) -> DataFrame:
@@ -435,7 +473,12 @@ def forest_quantiles(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_slope(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_nationkey", F.col("c_acctbal").alias("y"), (F.col("c_custkey") % 13).cast("double").alias("x"))
     draws = moments.bootstrap_effect(rows, "y", "x", [], "c_nationkey", 50)
-    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(draws)], "draw long, slope double"), 6)
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(draws)], "draw long, slope double"), 5)
+
+
+def resampled_orders(spark: SparkSession, d: str) -> DataFrame:
+    """How often each customer's orders are taken in three draws."""
+    return moments.resampled(table(spark, d, "orders"), "o_custkey", 3, seed=7)
 
 
 def greedy_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -595,7 +638,7 @@ ALL = [
     sensitivity_grid, rolling_effect, mann_kendall, leverage_topk, corpus_dedupe, label_normalise, edge_merge, edge_rank, edge_rename, align_cascade, align_edit_distance, vote_majority, vote_weighted,
     vote_intersection, claim_match_exact, claim_match_greedy, swapped_labels, prf1, kappa, token_cost, json_claims, inverted_index_roundtrip, shd_edges, knn_graph, knn_weights, attention_softmax, min_distance_select,
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
-    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, profile_fits, forest_quantiles, bootstrap_slope, greedy_selection,
+    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, session_events, cycle_edges, snapshot_merges, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, price_quantiles, profile_fits, forest_quantiles, bootstrap_slope, resampled_orders, greedy_selection,
     record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,
     effect_sensitivity, edge_origins, covariance_pairs, sample_priority, unit_table, posterior_parts, posterior_overview,
     posterior_rmse, numbered_orders, side_by_side, annotated_lines, terrain_slopes,

@@ -38,6 +38,19 @@ def windowed_counts(events: DataFrame, ts: str, width: str = "1 hour", late: str
     return stamped.groupBy(F.window(ts, width), *(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *(by or []), "n", "total")
 
 
+def session_totals(events: DataFrame, ts: str, gap: str = "30 minutes", late: str = "2 hours", by: list[str] | None = None) -> DataFrame:
+    """Counts and sums per session: events of a key with less than `gap` from one to the next; the same plan for batch
+    and stream.
+
+    In a stream an event that comes late, but within the watermark, joins the session that it touches, and one between
+    two sessions makes them one; a session is told once the watermark has passed its end. Sessions are merged where their
+    rows are before they are shuffled, so that a key with very many events sends few rows.
+    """
+    stamped = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    grouped = stamped.groupBy(F.session_window(ts, gap), *(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return grouped.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *(by or []), "n", "total")
+
+
 def sequential_ensemble(events: DataFrame, key: str, value: str, noise: float = 1.0, members: int = 32, spread: float = 10.0, seed: int = 1) -> DataFrame:
     """An ensemble per key, updated by each value in order of arrival (streaming only): the state is the members, the
     first drawn with that spread around the first value; observations are perturbed, so that the spread stays right."""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamwork.sources import literature
-from loamwork.streaming import assimilation
+from loamwork.streaming import assimilation, ingest
 
 OBS = "tile string, t timestamp, row int, col int, observed double, sd double"
 NOON = datetime.datetime(2024, 1, 1, 12)
@@ -75,6 +75,25 @@ def test_a_tile_moves_to_what_is_observed(spark):
     assert np.allclose(exact[:, 0], values[:, 0] + var / (var + 1) * (3 - values[:, 0]))
 
 
+def test_sessions_with_late_events(spark, tmp_path):
+    """Late events extend a session, and make two of them one; those behind the watermark don't count."""
+    folder, schema = f"{tmp_path}/in", "k string, ts timestamp, value double"
+    one = [("a", at(0), 1.0), ("a", at(40), 2.0), ("b", at(5), 1.0)]
+    two = [("a", at(20), 4.0), ("b", at(70), 8.0)]  # between a's two sessions
+    three = [("b", at(60), 16.0), ("z", at(400), 0.0)]
+    late = [("a", at(10), 99.0), ("z", at(800), 0.0)]
+    for rows in (one, two, three, late):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        events = spark.readStream.schema(schema).parquet(folder)
+        totals = ingest.session_totals(events, "ts", "30 minutes", "1 hour", ["k"])
+        query = totals.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").option("path", f"{tmp_path}/out").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").filter("k <> 'z'").collect()))
+    batch = ingest.session_totals(spark.createDataFrame(one + two + three, schema), "ts", "30 minutes", by=["k"])
+    assert got == sorted(map(tuple, batch.filter("k <> 'z'").collect()))
+    assert got == sorted([(at(0), at(70), "a", 3, 7.0), (at(5), at(35), "b", 1, 1.0), (at(60), at(100), "b", 2, 24.0)])
+
+
 # literature service
 
 
