@@ -39,12 +39,12 @@ def in_fold(doc_id, k: int, fold: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % k == fold, F.lit(False))
 
 
-def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docs: int = SAMPLE_DOCS, holdout: bool = True) -> dict[str, bytes]:
+def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docs: int = SAMPLE_DOCS, holdout: bool = True, sample_chars: int | None = SAMPLE_CHARS) -> dict[str, bytes]:
     """Raw-content dictionaries by language.
 
     A bounded, seeded sample: of each language the `sample_docs` documents lowest by hash of their id (folds of
-    the held-out third never), of each `SAMPLE_CHARS` characters from a place that its id's hash gives, so that common
-    headers don't make up a dictionary. Texts under `LONG_CHARS` characters fill up the sample of a language that has
+    the held-out third never), of each `sample_chars` characters (all, if it is None) from a place that its id's hash gives,
+    so that common headers don't make up a dictionary. Texts under `LONG_CHARS` characters fill up the sample of a language that has
     fewer than `sample_docs` longer ones. Two passes: counts by language, then a hash threshold that lets about three
     times as many through, so that no task sees a language's rows together.
     """
@@ -62,8 +62,9 @@ def train(docs: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_docs
     through = lambda n: min(1.0, 3.0 * sample_docs / max(1, n))
     by_lang = lambda of: F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, of(*n))])[F.col("lang")]
     below = F.when(F.col("short"), by_lang(lambda n_long, n_short: through(n_short) if n_long < sample_docs else 0.0)).otherwise(by_lang(lambda n_long, n_short: through(n_long)))
-    place = F.floor(share(18) * F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    few = pool.filter(F.col("u") < below).select("lang", "short", "u", "doc_id", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("cut"))
+    place = F.floor(share(18) * F.greatest(F.length("text") - F.lit(sample_chars or 0) + 1, F.lit(1))).cast("int") + 1
+    cut = F.col("text") if sample_chars is None else F.substring("text", place, F.lit(sample_chars))
+    few = pool.filter(F.col("u") < below).select("lang", "short", "u", "doc_id", cut.alias("cut"))
     # one row an id, however often it is repeated: what the driver gets is bounded by the sample
     few = few.groupBy("lang", "short", "u", "doc_id").agg(F.min("cut").alias("cut"))
     found: dict[str, list] = {lang: [] for lang in counts}

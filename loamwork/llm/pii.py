@@ -21,7 +21,7 @@ PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 #: A blank between groups of digits, and what stands for it while words are told apart: as long, but not a blank.
 BETWEEN, JOINED = "(?<=[0-9)])\\x20(?=[0-9(])", "\u00a0"
 #: A label before a value: one of the contexts from which patterns are induced. The other is two words beside a value.
-LABELLED = "(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]{1,23}\\x20?[:=#]\\x20?[\"']?[A-Za-z0-9+(][A-Za-z0-9@._+()/\u00a0-]{4,}+"
+LABELLED = "(?<![A-Za-z0-9_])[A-Za-z][A-Za-z_]++\\x20?[:=#]\\x20?[\"']?[A-Za-z0-9+(][A-Za-z0-9@._+()/\u00a0-]{4,}+"
 #: What a word has around it that is not of its value; a bracket that opens a group of digits is.
 BEFORE, AFTER = "^(?:[\\[{<\"']|\\((?![0-9]))++", "[.,;:!?)\\]}>\"']++$"
 WORD = "\\S++"
@@ -29,11 +29,11 @@ LABEL, VALUE = "^([A-Za-z_]+)", "[:=#]\\x20?[\"']?(.*)$"
 #: What a word that stands beside words must have to be an identifier; all other words there speak against the pattern.
 SHAPE = "[0-9@_]|[A-Za-z]\\.[A-Za-z]"
 
-#: A pattern is trusted from this confidence on, and from so many different instances: at least SUPPORT, and SHARE of
-#: all different base values, so that the same contexts count in a corpus of any size.
+#: A pattern is trusted from this confidence on, and from so many different instances. SHARE asks besides for a part of
+#: all different base values; it is none, so that what is trusted doesn't hang on how much else there is.
 CONFIDENCE = 0.7
 SUPPORT = 5
-SHARE = 0.001
+SHARE = 0.0
 #: Scores have settled when no pattern's confidence moves by more than this; beyond so many rounds it is an error.
 SETTLED, ROUNDS = 0.001, 30
 #: What a pattern without evidence has: so many instances of score 0.
@@ -250,8 +250,8 @@ def find_pii(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUP
 
     Base spans always stay. Values with a label before them (`label: value`), and words with two words before or after
     them, whose label or two words are trusted, because most values beside them in the corpus are base entities, are
-    added as `context`. Two words are a pattern from `support` different base entities on, and from `share` of all
-    different ones; words beside them must be shaped like identifiers; blanks in a value stand between groups of digits
+    added as `context`. A label may be of any length. Two words are a pattern from `support` different base entities on
+    (and from `share` of all different ones, if it is over 0); words beside them must be shaped like identifiers; blanks in a value stand between groups of digits
     or brackets. Offsets are code points, end exclusive. A null text is empty; repeated rows and null ids keep their
     rows; texts of any length are searched whole; an empty table gives no rows; other columns are ignored.
     """

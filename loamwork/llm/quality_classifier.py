@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import slices
+from loamwork.llm.common import materialize, slices
 from loamwork.llm.language_id import in_fold
 
-#: Labelled rows that are fitted at most, and hash buckets of n-grams: the bounds of the model.
-SAMPLE_ROWS = 12_000
+#: Labelled rows that are fitted at most, bytes of their features, and hash buckets of n-grams: the bounds of the model.
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 128 * 1024 * 1024
 BUCKETS = 1 << 18
 SMOOTHING = 1.0
 #: Share of the fitted weight in a weight; the rest is the mean size, which leaves the n-gram its plain log-count vote.
@@ -134,8 +135,9 @@ def platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-6), b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float, np.ndarray, float, float]:
-    """Fitted on at most `sample_rows` labelled rows outside the held-out fifth, lowest by a hash of their id.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float, np.ndarray, float, float]:
+    """Fitted on at most `sample_rows` labelled rows outside the held-out fifth, lowest by a hash of their id, and on at
+    most `sample_bytes` of their features (of very long texts fewer rows).
 
     Which rows: the labels are counted, and those under a hash threshold that lets about the bound through are joined
     with their texts. Their features are made by the executors; the driver gets sparse rows only.
@@ -154,7 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     made = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x binary")
     # one row an id, however often it is repeated: what the driver gets is bounded by the sample
-    rows = made.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("x").alias("x")).orderBy("doc_id").collect()
+    made = materialize(made.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("x").alias("x")).withColumn("h", F.xxhash64("doc_id", F.lit(29))))
+    sizes = made.select("doc_id", "h", F.octet_length("x").alias("n")).orderBy("h", "doc_id").collect()  # at most sample_rows
+    last = max((r for r, n in zip(sizes, accumulate(s.n for s in sizes), strict=True) if n <= sample_bytes), key=lambda r: (r.h, r.doc_id), default=None)
+    within = (F.col("h") < last.h) | (F.col("h") == last.h) & (F.col("doc_id") <= last.doc_id) if last else F.lit(False)
+    rows = made.filter(within).orderBy("doc_id").collect()
     xs = [np.frombuffer(r.x, np.int32) for r in rows]  # the rows' own bytes, no copy
     y = np.array([r.label for r in rows], np.int64)
     if not len(y) or y.min() == y.max():

@@ -11,8 +11,8 @@ from loamwork.llm.common import materialize
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't identify a page.
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid)$"
-#: Records of a range partition, about.
-RUN_RECORDS = 4_096
+#: Records of a range partition, about; of few records it is less, down to LEAST, so that all cores have one.
+RUN_RECORDS, LEAST = 200_000, 4_096
 
 
 def canonical_url(url: Column) -> Column:
@@ -52,7 +52,8 @@ def resolve_revisits(records: DataFrame, run_records: int = RUN_RECORDS) -> Data
     )
     known = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
     usable = base.filter(known)
-    n = max(1, base.count() // run_records)
+    total, cores = base.count(), records.sparkSession.sparkContext.defaultParallelism
+    n = max(1, total // run_records, min(2 * cores, total // LEAST))
     # the range partitions are written down with their numbers: what follows doesn't depend on cutting them again
     runs = materialize(usable.repartitionByRange(n, "canonical", "ts", "record_id", "kind").withColumn("run", F.spark_partition_id()))
     response = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "headers"))

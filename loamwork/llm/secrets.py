@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamwork.llm.common import materialize
 from loamwork.llm.spans import SPAN, let, matches, running, told
 
-#: Between parts of one credential lie so many code points at most, and no blank line.
+#: Between parts of one credential lie so many code points at most, and no blank line. None: a paragraph alone decides.
 REACH = 240
 
 
@@ -51,10 +51,16 @@ def base_spans(text: Column) -> list[Column]:
 
 
 def _bits(hit: Column) -> Column:
-    """Shannon entropy of a text's characters."""
-    chars, n = F.filter(F.split(hit, ""), lambda c: c != ""), F.length(hit).cast("double")
-    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    return F.aggregate(each, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    """Shannon entropy of a text's characters, by one fold over them in order: equal ones are runs."""
+    part = lambda k: k * F.log2(k)
+    start = F.struct(F.lit("").alias("last"), F.lit(1.0).alias("k"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, c: Column) -> Column:
+        same = a["last"] == c
+        return F.struct(c.alias("last"), F.when(same, a["k"] + 1.0).otherwise(F.lit(1.0)).alias("k"), F.when(same, a["sum"]).otherwise(a["sum"] + part(a["k"])).alias("sum"))
+
+    n = F.length(hit).cast("double")
+    return F.log2(n) - F.aggregate(F.array_sort(F.split(hit, "")), start, step, lambda a: a["sum"] + part(a["k"])) / n
 
 
 def _outside(found: Column, taken: Column, keep: Callable[[Column, Column], Column]) -> Column:
@@ -87,17 +93,17 @@ def weak_spans(rows: DataFrame) -> DataFrame:
     return out.withColumn("weak", F.concat("w_id", "w_secret", "w_end", "w_run")).drop("w_id", "w_secret", "w_end", "w_run")
 
 
-def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Of rows (key columns, start, kind_no, end, kind), the weak ones whose complements lie in reach and in scope.
+def linked(parts: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """Of rows (doc_id, text_hash, text_sha, start, kind_no, end, kind), the weak ones whose complements lie in reach and in scope.
 
     An interval join that asks whether there is a match: two parts of one scope (a stretch without a blank line) meet
-    where the gap between their intervals is at most `reach` code points. Of the parts that begin before this one, the
+    where the gap between their intervals is at most `reach` code points (any, if it is None). Of the parts that begin before this one, the
     furthest end tells whether one of a kind reaches it; of those that begin after it, the nearest start does. So both
     sides are running extremes in one sorted pass, and no pairs are made, however many parts a scope has. A weak secret
     needs an identifier or an endpoint, a run without a name an identifier, a weak identifier a secret or a run, an
     endpoint both.
     """
-    text = ["doc_id", "text_hash"]
+    text, reach = ["doc_id", "text_hash", "text_sha"], 1 << 40 if reach is None else reach
     in_text = Window.partitionBy(*text).orderBy("start", "kind_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scoped = parts.withColumn("scope", F.count_if(F.col("kind") == "blank").over(in_text)).filter("kind <> 'blank'")
     in_scope = Window.partitionBy(*text, "scope").orderBy("start")
@@ -114,24 +120,25 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     return met.filter(needs).select(*text, "start", "kind_no", "end", "kind")
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each document.
 
-    Base spans always stay; weak identifiers, weak secrets, unnamed runs and endpoints are added where they complete one another.
+    Base spans always stay; weak identifiers, weak secrets, unnamed runs and endpoints are added where they complete one
+    another: in one paragraph, with at most `reach` code points between them.
     Offsets are code points, end exclusive. A null text is empty; repeated rows and null ids keep their rows (equal
     texts of one id have equal spans); an empty table gives no rows; other columns are ignored. The texts are searched
     once, whole, however long; only documents with weak candidates are shuffled, by text, as a row for each part.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    searched = weak_spans(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_sort(F.concat(*base_spans(F.col("text")))).alias("base"), "text"))
+    searched = weak_spans(rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.unhex(F.sha1("text")).alias("text_sha"), F.array_sort(F.concat(*base_spans(F.col("text")))).alias("base"), "text"))
     some = F.size("weak") > 0
     slim = F.transform("base", lambda s: F.struct(s["start"], s["kind_no"], s["end"], s["kind"]))
     parts = F.when(some, F.transform(F.concat("base", "weak", matches(F.col("text"), BLANK, "blank", 7)), lambda s: F.struct(s["start"], s["kind_no"], s["end"], s["kind"])))
-    found = materialize(searched.select("doc_id", "text_hash", slim.alias("base"), parts.alias("parts")))
-    added = linked(found.filter("parts is not null").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline("parts")), reach)
-    added = added.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "kind_no", "end", "kind")).alias("added")).withColumnsRenamed({"doc_id": "a_id", "text_hash": "a_hash"})
-    joined = found.select("doc_id", "text_hash", "base").join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")), "left")
+    found = materialize(searched.select("doc_id", "text_hash", "text_sha", slim.alias("base"), parts.alias("parts")))
+    added = linked(found.filter("parts is not null").dropDuplicates(["doc_id", "text_hash", "text_sha"]).select("doc_id", "text_hash", "text_sha", F.inline("parts")), reach)
+    added = added.groupBy("doc_id", "text_hash", "text_sha").agg(F.collect_list(F.struct("start", "kind_no", "end", "kind")).alias("added")).withColumnsRenamed({"doc_id": "a_id", "text_hash": "a_hash", "text_sha": "a_sha"})
+    joined = found.select("doc_id", "text_hash", "text_sha", "base").join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_hash") == F.col("a_hash")) & (F.col("text_sha") == F.col("a_sha")), "left")
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return joined.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))).alias("spans"))
 

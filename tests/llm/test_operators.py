@@ -271,6 +271,15 @@ def test_quality_classifier(spark):
     assert {r.score for r in quality_classifier.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_sample_is_bounded_in_bytes(spark):
+    docs = table(spark, [words(60, i) if i % 2 else "## $$ " * 60 for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    every, few, none = (quality_classifier.train(docs, labels, sample_bytes=n) for n in (1 << 27, 20_000, 0))
+    learned = lambda model: int((model[2] != np.median(model[2])).sum())
+    assert learned(every) > learned(few) > 0 == learned(none)
+    assert quality_classifier.margin(quality_classifier.features(words(60, 999)), *few[:3]) > quality_classifier.margin(quality_classifier.features("## $$ " * 60), *few[:3])
+
+
 # op 5 and 7
 
 
@@ -364,10 +373,10 @@ def test_interval_join(spark):
         for _ in range(rng.randrange(1, 25)):
             start = rng.randrange(2_000)
             parts.append((start, 1, start + rng.choice([3, 20, 300]), rng.choice(["access", "weak_id", "assign", "weak_secret", "weak_run", "endpoint", "endpoint", "blank"])))
-        rows += [(doc, 0, *p) for p in parts]
+        rows += [(doc, 0, b"", *p) for p in parts]
         want[doc] = sorted(plain_links(parts, 60))
     got = collections.defaultdict(list)
-    for r in secrets.linked(spark.createDataFrame(rows, "doc_id long, text_hash long, start long, kind_no int, end long, kind string"), 60).collect():
+    for r in secrets.linked(spark.createDataFrame(rows, "doc_id long, text_hash long, text_sha binary, start long, kind_no int, end long, kind string"), 60).collect():
         got[r.doc_id].append((r.start, r.kind_no, r.end, r.kind))
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
     many = " ".join(f"user=bob{i} token=abcdefgh{i}" for i in range(3_000))  # no pairs of spans in a text
@@ -392,6 +401,29 @@ def test_usual_pairs_are_linked(spark):
     assert [got[i].spans for i in (5, 6, 7)] == ["", "", ""]
 
 
+def test_limits_of_secrets_and_contexts(spark):
+    """A paragraph alone decides without a reach; entropy is the plain one's; labels may have any length."""
+    text = "user=bob " + "x " * 3_000 + "pass: foobar99"
+    assert by_id(secrets.find_secrets(table(spark, [text])))[0].spans == ""
+    assert by_id(secrets.find_secrets(table(spark, [text, text.replace("pass", "\n\npass")]), reach=None))[0].spans == f"weak_id:0:8,weak_secret:{len(text) - 14}:{len(text)}"
+    runs = ["a", "ab", "aabbb", "AbC" * 40, words(30, 1).replace(" ", "/"), "é😀é"]
+    got = [r.b for r in spark.createDataFrame([(i, t) for i, t in enumerate(runs)], "i int, t string").orderBy("i").select(secrets._bits(F.col("t")).alias("b")).collect()]
+    plain = lambda t: -sum(k / len(t) * np.log2(k / len(t)) for k in collections.Counter(t).values())
+    assert np.allclose(got, [plain(t) for t in runs])
+    long = f"customer_{'primary_' * 20}email_address"
+    docs = table(spark, [f"{long}: a{i}@b{i}.com there" for i in range(8)] + [f"{long}: bob_at_home there", f"{long}x: bob_at_home there"])
+    found = by_id(pii.find_pii(docs))
+    assert found[8].spans == f"context:{len(long) + 2}:{len(long) + 13}" and found[9].spans == ""
+    million = "k" * 1_000_000
+    assert [by_id(find(table(spark, [million + "=" + million])))[0].spans for find in (secrets.find_secrets, pii.find_pii)] == ["", ""]
+
+
+def test_what_is_trusted_does_not_hang_on_the_corpus_size(spark):
+    cases = [f"x mail me at a{i}@b.org ok" for i in range(6)] + ["x mail me at bob_1 ok"]
+    more = [f"y{i} z{i} c{i}@d.org v{i} w{i}" for i in range(3_000)]
+    assert [by_id(pii.find_pii(table(spark, cases + rest)))[6].spans for rest in ([], more)] == ["context:13:18"] * 2
+
+
 def test_contexts_are_learned(spark):
     texts = [f"hello email: a{i}@b{i}.com there" for i in range(12)] + ["hello email: bob_at_home there", "hello order: bob_at_home2", "email: bob_at_home", None, "note: 12345678 x", "note: abcdefgh x"]
     docs = table(spark, texts)
