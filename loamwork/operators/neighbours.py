@@ -15,18 +15,21 @@ from loamwork.functions.storage import written
 MAX_CELL = 2_000
 
 
-def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 80) -> DataFrame:
-    """src, dst, distance, rank: the k nearest others of each point by plain distance; ties by key.
+def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 80, among: DataFrame | None = None, same: bool = False) -> DataFrame:
+    """src, dst, distance, rank: the k nearest others of each point by plain distance, of the points `among` if they are
+    given; ties by key. With `same` a point of the other table that has its key is one of the others.
 
     Points fall into square cells of about 2k points, or smaller ones where a cluster would fill one; a point meets the 9
     cells around it by an equi-join. It is done when its k-th neighbour lies within one cell's width, as nothing nearer
     can be farther off. What isn't done, and no more, goes on with cells of twice the width, over all points.
     """
-    pts = points.select(F.col(key).alias("k_"), F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")).filter("x_ is not null and y_ is not null")
-    box = pts.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}{c}") for c in ("x_", "y_") for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not box.n or box.n < 2:
+    placed = lambda df: df.select(F.col(key).alias("k_"), F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_")).filter("x_ is not null and y_ is not null")
+    asking = placed(points)
+    pts = asking if among is None else placed(among)
+    box = (pts if among is None else pts.withColumn("of_", F.lit(1)).unionByName(asking.withColumn("of_", F.lit(0)))).agg(F.count(F.lit(1) if among is None else F.when(F.col("of_") == 1, 1)).alias("n"), *[f(c).alias(f"{n}{c}") for c in ("x_", "y_") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not box.n or among is None and box.n < 2:
         return pts.limit(0).select(F.col("k_").alias("src"), F.col("k_").alias("dst"), F.col("x_").alias("distance"), F.lit(0).alias("rank"))
-    k = min(k, box.n - 1)
+    k = min(k, box.n - 1 if among is None else box.n)
     wide, high = max(box.hix_ - box.lox_, 1e-12), max(box.hiy_ - box.loy_, 1e-12)
     size = max(math.sqrt(wide * high * 2 * k / box.n), max(wide, high) / 1e6)
     for _ in range(30):
@@ -34,13 +37,14 @@ def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 8
         if full <= max(MAX_CELL, 8 * k) or size / 2 <= max(wide, high) / 1e9:
             break
         size /= 4
-    todo, parts = pts, []
+    todo, parts = asking, []
+    other = F.lit(True) if same else F.col("k_") != F.col("dst")
     for _ in range(rounds):
         cell = lambda c: F.floor(F.col(c) / size)
         cells = pts.select(F.col("k_").alias("dst"), F.col("x_").alias("dx"), F.col("y_").alias("dy"), cell("x_").alias("cx"), cell("y_").alias("cy"))
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         asked = todo.select("k_", "x_", "y_", F.explode(around).alias("o")).select("k_", "x_", "y_", (cell("x_") + F.col("o.i")).alias("cx"), (cell("y_") + F.col("o.j")).alias("cy"))
-        met = asked.join(cells, ["cx", "cy"]).filter("k_ <> dst").withColumn("distance", F.sqrt((F.col("x_") - F.col("dx")) ** 2 + (F.col("y_") - F.col("dy")) ** 2))
+        met = asked.join(cells, ["cx", "cy"]).filter(other).withColumn("distance", F.sqrt((F.col("x_") - F.col("dx")) ** 2 + (F.col("y_") - F.col("dy")) ** 2))
         ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("k_").orderBy("distance", "dst"))).filter(F.col("rank") <= k)
         whole = 3 * size >= 3 * max(wide, high)  # one cell holds all
         full = ranked.groupBy("k_").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).filter((F.col("n") == k) & (F.lit(whole) | (F.col("far") <= size)))

@@ -96,6 +96,12 @@ SQL: dict[str, str] = {
       g as (select row, col, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) * {TAPER.format("z1")} as g1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) * {TAPER.format("z2")} as g2 from k, s)
       select row, col, round(avg(value + (30 - o1.h) * g1 + (20 - o2.h) * g2), 4) as mean, round(any_value(sqrt(g1 * g1 + g2 * g2)), 4) as gain, round(stddev_samp(value + (30 - o1.h) * g1 + (20 - o2.h) * g2), 4) as sd
       from a join g using (row, col) join o1 using (member) join o2 using (member) group by row, col""",
+    "aligned_bands": """with src as (select 'price' as band, 1.0::double as size, p_size - 1 as row, p_partkey % 40 as col, sqrt(avg(p_retailprice)) as v from part group by all
+        union all select 'balance', 2.0::double, c_nationkey, c_custkey % 20, sqrt(avg(c_acctbal) + 1000) from customer group by all),
+      t as (select r as row, c as col, 50.0 - (r + 0.5) * 0.8 as y, (c + 0.5) * 0.8 as x from range(63) a(r), range(50) b(c)),
+      f as (select t.row, t.col, band, v, (50.0 - y) / size - 0.5 as fy, x / size - 0.5 as fx, s.row as sr, s.col as sc from t, src s where y > 0 and x < 40 and abs((50.0 - y) / size - 0.5 - s.row) < 1 and abs(x / size - 0.5 - s.col) < 1),
+      w as (select row, col, band, v, (1 - abs(fy - sr)) * (1 - abs(fx - sc)) as w from f)
+      select row, col, band, round(sum(w * v) / sum(w), 6) as value from w group by all""",
     "tile_steps": f"""with ens as (select l_returnflag as tile, l_orderkey % 12 as member, l_partkey % 3 as row, l_suppkey % 3 as col, avg(l_quantity) as value from lineitem group by all),
       ob as (select l_returnflag as tile, l_linenumber as n, l_linenumber - 1 as row, avg(l_quantity) as observed from lineitem where l_linenumber <= 2 group by all),
       {tile_step("one", "ens", 1)}, {tile_step("two", "one", 2)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions import columns as C
-from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, matching, metrics, moments, neighbours, posterior, rows, selection, structure
+from loamwork.operators import active, adapters, causal, docs, graph, grids, kernels, matching, metrics, moments, neighbours, posterior, rasters, rows, selection, structure
 from loamwork.operators.quantiles import quantiles
 from loamwork.streaming import assimilation
 
@@ -440,6 +440,14 @@ def assimilated_cells(spark: SparkSession, d: str) -> DataFrame:
     return rounded(analysis.groupBy("row", "col").agg(F.avg("value").alias("mean")).join(gain, ["row", "col"]), 4)
 
 
+def aligned_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of parts and balances of customers, rasters of different cells over one area, on a third grid."""
+    part = table(spark, d, "part").groupBy((F.col("p_size") - 1).cast("int").alias("row"), (F.col("p_partkey") % 40).cast("int").alias("col")).agg(F.sqrt(F.avg("p_retailprice")).alias("value"))
+    cu = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("int").alias("row"), (F.col("c_custkey") % 20).cast("int").alias("col")).agg(F.sqrt(F.avg("c_acctbal") + 1000).alias("value"))
+    bands = {"price": (part, rasters.Grid(0.0, 50.0, 1.0, 1.0, 50, 40)), "balance": (cu, rasters.Grid(0.0, 50.0, 2.0, 2.0, 25, 20))}
+    return rounded(rasters.align(bands, 0.8)[0], 6)
+
+
 def tile_steps(spark: SparkSession, d: str) -> DataFrame:
     """Each return flag is a tile; what two kinds of lines hold on average is observed on two days."""
     li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("tile"), (F.col("l_orderkey") % 12).cast("int").alias("member"), (F.col("l_partkey") % 3).cast("int").alias("row"), (F.col("l_suppkey") % 3).cast("int").alias("col"), "l_quantity", "l_linenumber")
@@ -638,7 +646,7 @@ ALL = [
     sensitivity_grid, rolling_effect, mann_kendall, leverage_topk, corpus_dedupe, label_normalise, edge_merge, edge_rank, edge_rename, align_cascade, align_edit_distance, vote_majority, vote_weighted,
     vote_intersection, claim_match_exact, claim_match_greedy, swapped_labels, prf1, kappa, token_cost, json_claims, inverted_index_roundtrip, shd_edges, knn_graph, knn_weights, attention_softmax, min_distance_select,
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
-    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, session_events, cycle_edges, snapshot_merges, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, price_quantiles, profile_fits, forest_quantiles, bootstrap_slope, resampled_orders, greedy_selection,
+    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, session_events, cycle_edges, snapshot_merges, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, aligned_bands, price_quantiles, profile_fits, forest_quantiles, bootstrap_slope, resampled_orders, greedy_selection,
     record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,
     effect_sensitivity, edge_origins, covariance_pairs, sample_priority, unit_table, posterior_parts, posterior_overview,
     posterior_rmse, numbered_orders, side_by_side, annotated_lines, terrain_slopes,

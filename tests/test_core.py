@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions import columns as C
 from loamwork.functions import tails
-from loamwork.operators import causal, docs, graph, grids, kernels, metrics, moments, neighbours, neural, posterior, profiles, selection, spatial
+from loamwork.operators import causal, docs, graph, grids, kernels, metrics, moments, neighbours, neural, posterior, profiles, rasters, selection, spatial
 
 
 def one(df):
@@ -324,3 +324,19 @@ def test_spatial_and_neural():
     src, dst = np.repeat(np.arange(30), 2), rng.integers(0, 30, 60)
     g = neural.GraphNet(rng.normal(size=(30, 4)), src, dst, np.full(60, 0.5))
     assert np.isfinite(g.predict(rng.normal(size=30), np.arange(20))).all()
+
+
+def test_rasters_align(spark):
+    fine, coarse = rasters.Grid(0.0, 4.0, 1.0, 1.0, 4, 4), rasters.Grid(1.0, 4.0, 2.0, 2.0, 2, 2)
+    plane = spark.createDataFrame([(r, c, float(10 * r + c)) for r in range(4) for c in range(4)], "row int, col int, value double")
+    assert rasters.template([fine, coarse], 0.5) == rasters.Grid(0.0, 4.0, 0.5, 0.5, 8, 10)
+    same = rasters.resample(plane, fine, fine).collect()
+    assert len(same) == 16 and all(r.value == 10 * r.row + r.col for r in same)
+    half = {(r.row, r.col): r.value for r in rasters.resample(plane, fine, rasters.Grid(0.0, 4.0, 0.5, 0.5, 8, 8)).collect()}
+    assert half[3, 3] == pytest.approx(10 * 1.25 + 1.25) and half[0, 0] == 0 and half[7, 7] == 33 and half[0, 3] == pytest.approx(1.25)  # edges hold the nearest
+    gap = rasters.resample(plane.filter("row <> 1 or col <> 1"), fine, rasters.Grid(0.0, 4.0, 0.5, 0.5, 8, 8)).collect()
+    got = {(r.row, r.col): r.value for r in gap}
+    assert got[3, 3] == pytest.approx((3 * 12 + 3 * 21 + 22) / 7)  # of (1, 2), (2, 1) and (2, 2)
+    bands, grid = rasters.align({"a": (plane, fine), "b": (plane.filter("row < 2 and col < 2"), coarse)}, 1.0, method="near")
+    rows = {(r.band, r.row, r.col): r.value for r in bands.collect()}
+    assert grid.cols == 5 and rows["b", 3, 4] == 11 and ("b", 0, 0) not in rows and ("a", 0, 4) not in rows and rows["a", 2, 3] == 23
