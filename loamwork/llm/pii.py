@@ -38,6 +38,8 @@ SHARE = 0.0
 SETTLED, ROUNDS = 0.001, 30
 #: What a pattern without evidence has: so many instances of score 0.
 DOUBT = 1.0
+#: Texts that are looked at first for words that speak against patterns.
+FIRST_LOOK = 20_000
 #: Patterns that may be sent to all tasks as literals; more are joined.
 MAX_LABELS = 10_000
 
@@ -136,10 +138,12 @@ def _none() -> Column:
     return F.array().cast(CANDIDATE)
 
 
-def beside(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, value): all words of rows (text) that stand beside the given labels' words, in lower case, with repeats."""
-    after = lambda t, of: F.transform(F.filter(t, lambda x: of(_after(x))), lambda x: F.struct(_after(x).alias("label"), x["c"].alias("word")))
-    ahead = lambda t, of: F.transform(F.filter(t, lambda x: of(_ahead(x))), lambda x: F.struct(_ahead(x).alias("label"), x["a"].alias("word")))
+def beside(rows: DataFrame, labels: DataFrame, shaped: bool) -> DataFrame:
+    """(label, value): the words of rows (text) that stand beside the given labels' words and are shaped like identifiers,
+    or those that are not; in lower case, with repeats."""
+    fits = lambda w: w.rlike(SHAPE) if shaped else ~w.rlike(SHAPE)
+    after = lambda t, of: F.transform(F.filter(t, lambda x: fits(x["c"]) & of(_after(x))), lambda x: F.struct(_after(x).alias("label"), x["c"].alias("word")))
+    ahead = lambda t, of: F.transform(F.filter(t, lambda x: fits(x["a"]) & of(_ahead(x))), lambda x: F.struct(_ahead(x).alias("label"), x["a"].alias("word")))
     said = lambda of: let(_threes(_words(F.lower("text"))), lambda t: F.concat(after(t, of), ahead(t, of)))
     known = few_of(labels)
     if known is None:
@@ -155,12 +159,14 @@ def few_of(labels: DataFrame, most: int | None = None) -> list[str] | None:
     return None if labels.count() > most else sorted(r.label for r in labels.select("label").collect())
 
 
-def evidence(rows: DataFrame, support: int, share: float) -> tuple[DataFrame, DataFrame, int]:
+def evidence(rows: DataFrame, support: int, share: float, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame, int]:
     """The graph of patterns and instances: edges (label, value_hash, seed), the number of different words that speak
     against each pattern of words (label, against), and the least support.
 
     One pass over the texts finds what stands after labels and beside base entities; patterns of words are induced from
-    `support` different base entities on, and a second pass tells all that stands beside them.
+    `support` different base entities on. A second pass tells all identifiers beside them, which are few. Most patterns
+    have very many other words beside them: a first look at some texts already shows more than all their identifiers
+    could outweigh, whatever else there is, and these can't be trusted. For the rest a third pass counts all other words.
     """
     text = F.col("text")
     candidate = lambda c, seed: F.struct(c["label"].alias("label"), F.xxhash64(F.lower(c["value"])).alias("value_hash"), seed.alias("seed"))
@@ -173,12 +179,17 @@ def evidence(rows: DataFrame, support: int, share: float) -> tuple[DataFrame, Da
     labels = materialize(first.filter(of_words).groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("label"))
     if labels.isEmpty():
         return first.filter(~of_words), labels.withColumn("against", F.lit(0).cast("long")), least
-    shaped = F.col("value").rlike(SHAPE)
-    said = materialize(beside(rows, labels).groupBy("label", F.xxhash64("value").alias("value_hash")).agg(F.max(shaped).alias("shaped")))
-    against = said.filter("not shaped").groupBy("label").agg(F.count(F.lit(1)).alias("against"))
-    induced = first.filter(of_words).join(F.broadcast(labels) if labels.count() <= MAX_LABELS else labels, "label", "left_semi")
-    edges = first.filter(~of_words).unionByName(induced).unionByName(said.filter("shaped").select("label", "value_hash", F.lit(False).alias("seed")))
-    return edges, against, least
+    few = lambda of: F.broadcast(of) if of.count() <= MAX_LABELS else of
+    different = lambda texts, of, shaped: beside(texts, of, shaped).select("label", F.xxhash64("value").alias("value_hash")).distinct()
+    counted = lambda words: words.groupBy("label").agg(F.count(F.lit(1)).alias("against"))
+    induced = first.filter(of_words).join(few(labels), "label", "left_semi")
+    said = materialize(induced.unionByName(different(rows, labels, True).withColumn("seed", F.lit(False))).groupBy("label", "value_hash").agg(F.max("seed").alias("seed")))
+    # any sample gives the same result: what it shows is there, so that no pattern goes that could be trusted
+    some = rows.filter(F.rand(5) < FIRST_LOOK / max(1, rows.count()))
+    most = said.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(counted(different(some, labels, False)), "label", "left")
+    open_ = materialize(most.filter(F.col("n") >= confidence * (F.col("n") + F.coalesce("against", F.lit(0)) + DOUBT)).select("label"))
+    against = materialize(counted(different(rows, open_, False)))
+    return first.filter(~of_words).unionByName(said.join(few(open_), "label", "left_semi")), against, least
 
 
 def trusted_labels(edges: DataFrame, against: DataFrame, support: int, confidence: float = CONFIDENCE, settled: float = SETTLED, rounds: int = ROUNDS) -> DataFrame:
@@ -226,7 +237,7 @@ def with_spans(docs: DataFrame, confidence: float = CONFIDENCE, support: int = S
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(text.alias("text"))
-    edges, against, least = evidence(rows, support, share)
+    edges, against, least = evidence(rows, support, share, confidence)
     trusted = materialize(trusted_labels(edges, against, least, confidence))
     based = docs.withColumn("__base", F.array_sort(F.concat(*base_spans(text))))
     span = lambda c: F.struct(c["start"].alias("start"), F.lit(4).alias("kind_no"), c["end"].alias("end"), F.lit("context").alias("kind"), c["value"].alias("hit"))
