@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.columns import confounder_bias
-from loamwork.functions.storage import written
+from loamwork.functions.storage import erased, written
 from loamwork.functions.tails import normal_two_sided, t_quantile
 
 
+def confounded(cases: DataFrame, effect: float, se: float, df: float) -> DataFrame:
+    """cases (r2_outcome, r2_exposure: a confounder's partial R2 with either) with the bias and the adjusted effect."""
+    bias = confounder_bias(se, df, F.col("r2_outcome"), F.col("r2_exposure"))
+    return cases.withColumn("bias", bias).withColumn("adjusted", F.lit(effect) - math.copysign(1, effect) * F.col("bias"))
+
+
 def sensitivity_grid(spark: SparkSession, effect: float, se: float, df: float, size: int = 51, r2_max: float = 0.5) -> DataFrame:
     """Bias and adjusted effect on a grid of partial R2 with outcome and exposure. The cells are counted, not joined."""
     step = r2_max / (size - 1)
     grid = spark.range(size * size).select((F.floor(F.col("id") / size) * step).alias("r2_outcome"), ((F.col("id") % size) * step).alias("r2_exposure"))
-    bias = confounder_bias(se, df, F.col("r2_outcome"), F.col("r2_exposure"))
-    return grid.withColumn("bias", bias).withColumn("adjusted", F.lit(effect) - math.copysign(1, effect) * F.col("bias"))
+    return confounded(grid, effect, se, df)
 
 
 def robustness_summary(effect: float, se: float, df: float, q: float = 1.0, alpha: float = 0.05) -> dict:
@@ -56,21 +61,28 @@ BLOCK, MAX_SERIES = 2_048, 20_000_000
 
 
 def sign_sum(df: DataFrame, order: str, value: str, block: int = BLOCK) -> int:
-    """Of all pairs in order, those that rise less those that fall, without making the pairs.
+    return signs(df, order, value, block)[1]
+
+
+def signs(df: DataFrame, order: str, value: str, block: int = BLOCK) -> tuple[int, int]:
+    """The number of values, and of all pairs in order those that rise less those that fall, without making the pairs.
 
-    The series is merge-sorted: in each round neighbouring blocks are one group, in which the values of the later half
+    A series of one block comes to the driver. A longer one is merge-sorted: in each round neighbouring blocks are one group, in which the values of the later half
     are placed among the sorted ones of the earlier half; a block is twice as long in each round, and a group's sorted
     halves are numbers only. Rows that are equal in the order come in the order of their values.
     """
     ranked = df.filter(F.col(value).isNotNull() & F.col(order).isNotNull()).select(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
+    few = ranked.limit(block + 1).collect()  # one look tells whether that is all
+    if len(few) <= block:
+        x = np.array([v for _, v in sorted((r.o, r.v) for r in few)])
+        return len(x), sum(int(np.sign(x[i + 1 :] - x[i]).sum()) for i in range(len(x) - 1))
+    ranked = written(ranked)
     n = ranked.count()
     if n > MAX_SERIES:
         raise ValueError(f"[sign_sum] {n} values; {MAX_SERIES} at most, as the last two halves are one group")
-    if n < 2:
-        return 0
     parts = max(1, -(-n // block))
     # sorted runs of the series, numbered in its order
-    runs = ranked.repartitionByRange(parts, "o", "v").sortWithinPartitions("o", "v").withColumn("part", F.spark_partition_id()) if parts > 1 else ranked.coalesce(1).sortWithinPartitions("o", "v").withColumn("part", F.lit(0))
+    runs = ranked.repartitionByRange(parts, "o", "v").sortWithinPartitions("o", "v").withColumn("part", F.spark_partition_id())
 
     def inside(batches):
         held = [(int(p), float(v)) for pdf in batches for p, v in zip(pdf["part"], pdf["v"], strict=True)]
@@ -80,12 +92,10 @@ def sign_sum(df: DataFrame, order: str, value: str, block: int = BLOCK) -> int:
             yield pd.DataFrame({"part": [held[0][0]], "s": [total], "values": [np.sort(x).tolist()]})
 
     blocks = runs.mapInPandas(inside, "part int, s long, values array<double>")
-    rows = {r.part: (r.s, np.array(r["values"])) for r in blocks.collect()} if parts == 1 else None
-    if rows is not None:
-        return sum(s for s, _ in rows.values())
     total, now = 0, written(blocks)
+    erased(ranked)
     total += now.agg(F.sum("s").alias("s")).first().s
-    width = 1
+    width, last = 1, now
     while width < parts:
 
         def merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -95,16 +105,19 @@ def sign_sum(df: DataFrame, order: str, value: str, block: int = BLOCK) -> int:
             return pd.DataFrame({"part": [int(pdf["pair"].iloc[0])], "s": [s], "values": [np.sort(np.concatenate([a, b])).tolist()]})
 
         now = now.withColumn("pair", F.floor(F.col("part") / 2).cast("int")).withColumn("side", F.col("part") % 2).groupBy("pair").applyInPandas(merged, "part int, s long, values array<double>")
-        now = written(now)
+        now, before = written(now), last
+        erased(before)
+        last = now
         total += now.agg(F.sum("s").alias("s")).first().s
         width *= 2
-    return int(total)
+    erased(now)
+    return n, int(total)
 
 
 def mann_kendall(df: DataFrame, order: str, value: str) -> dict:
     """Trend statistic of a series: S, tau, variance without ties' correction, z, p and direction. Under four values
     there is no test."""
-    n, s = df.filter(F.col(value).isNotNull() & F.col(order).isNotNull()).count(), sign_sum(df, order, value)
+    n, s = signs(df, order, value)
     var = n * (n - 1) * (2 * n + 5) / 18
     z = 0.0 if s == 0 or var == 0 else (s - math.copysign(1, s)) / math.sqrt(var)
     p = normal_two_sided(z)

@@ -60,8 +60,9 @@ def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 def from_inverted_index(index: DataFrame, doc: str) -> DataFrame:
     """Texts again: words in the order of their positions, gaps dropped."""
-    rows = index.select(doc, "word", F.explode("positions").alias("pos"))
-    return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"))
+    # a text's words are gathered before they are shuffled, and laid out in place
+    placed = F.transform(F.collect_list(F.struct("word", "positions")), lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("pos"), e["word"].alias("word"))))
+    return index.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.flatten(placed)), lambda x: x["word"]), " ").alias("text"))
 
 
 def parse_claims(df: DataFrame, answer: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,10 @@ def rename_nodes(claims: DataFrame, names: DataFrame) -> DataFrame:
 MAX_TERMS = 100_000
 
 
-def _sent(terms: DataFrame) -> DataFrame:
-    return F.broadcast(terms) if terms.count() <= MAX_TERMS else terms
+def _sent(terms: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What is no larger than the terms is broadcast, if these are few: they are counted once."""
+    few = terms.count() <= MAX_TERMS
+    return lambda df: F.broadcast(df) if few else df
 
 
 def _parts(c: str) -> Column:
@@ -78,16 +82,16 @@ def near_terms(labels: DataFrame, terms: DataFrame, most: int) -> DataFrame:
     A term is cut into most + 1 pieces, of which so few edits leave one whole, moved by at most that many places: pairs
     meet by equality of a piece and only then are compared. Terms too short to be cut meet all short labels by length.
     """
-    words, known = labels.select("label").distinct(), terms.select("term").distinct()
+    words, known, sent = labels.select("label").distinct(), terms.select("term").distinct(), _sent(terms)
     long, short = known.filter(F.length("term") > most), known.filter(F.length("term") <= most)
-    pieces = _sent(long).select("term", F.length("term").alias("n"), F.inline(_cuts("term", most)))
+    pieces = sent(long).select("term", F.length("term").alias("n"), F.inline(_cuts("term", most)))
     sizes = long.select(F.length("term").alias("n")).distinct()
     # for every length of a term that a label may have, the pieces that stand at the places it would be cut at
-    asked = words.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(most + 1), F.length("label") - most), F.length("label") + most))).join(_sent(sizes), "n", "left_semi")
+    asked = words.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(most + 1), F.length("label") - most), F.length("label") + most))).join(sent(sizes), "n", "left_semi")
     cut = lambda k: F.floor(F.col("n") * k / (most + 1)).cast("int")
     spots = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.transform(F.sequence(F.greatest(F.lit(0), cut(k) - most), cut(k) + most), lambda s: F.struct(F.substring("label", s + 1, cut(k + 1) - cut(k)).alias("piece"), cut(k).alias("place")))))
     met = asked.select("label", "n", F.inline(F.array_distinct(spots))).join(pieces, ["n", "piece", "place"]).select("label", "term").distinct()
-    tiny = words.filter(F.length("label") <= 2 * most).join(_sent(short), F.abs(F.length("label") - F.length("term")) <= most).select("label", "term")
+    tiny = words.filter(F.length("label") <= 2 * most).join(sent(short), F.abs(F.length("label") - F.length("term")) <= most).select("label", "term")
     both = met.unionByName(tiny).distinct().withColumn("distance", F.levenshtein("label", "term", most))
     return both.filter("distance >= 0")
 
@@ -98,14 +102,16 @@ def align(labels: DataFrame, vocabulary: DataFrame, max_distance: int = 4) -> Da
 
     Only labels that are left go to the next step; each step is an equality of labels, of their parts, or of pieces.
     """
-    words = labels.select("label").distinct()
-    terms = vocabulary.select(F.col("term")).distinct()
+    # both are used in every step
+    words = written(labels.select("label").distinct())
+    terms = written(vocabulary.select(F.col("term")).distinct())
+    sent = _sent(terms)
     exact = words.join(terms, F.col("label") == F.col("term")).select("label", F.col("term").alias("target"), F.lit("exact").alias("method"))
     left = words.join(exact.select("label"), "label", "left_anti")
-    inside = left.withColumn("part", F.explode(_parts("label"))).join(_sent(terms), F.col("part") == F.col("term")).select("label", "term")
-    around = left.join(_sent(terms).withColumn("part", F.explode(_parts("term"))), F.col("part") == F.col("label")).select("label", "term")
+    inside = left.withColumn("part", F.explode(_parts("label"))).join(sent(terms), F.col("part") == F.col("term")).select("label", "term")
+    around = left.join(sent(terms).withColumn("part", F.explode(_parts("term"))), F.col("part") == F.col("label")).select("label", "term")
     part = inside.unionByName(around).groupBy("label").agg(F.min_by("term", F.struct(-F.length("term"), F.col("term"))).alias("target")).withColumn("method", F.lit("substring"))
-    rest = left.join(part.select("label"), "label", "left_anti")
+    rest = written(left.join(part.select("label"), "label", "left_anti"))
     near = near_terms(rest, terms, max_distance).groupBy("label").agg(F.min_by("term", F.struct("distance", "term")).alias("target")).withColumn("method", F.lit("edit_distance"))
     return exact.unionByName(part).unionByName(near)
 

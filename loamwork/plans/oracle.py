@@ -134,8 +134,8 @@ SQL: dict[str, str] = {
       e as (select *, (ax*(bb*ay - ab*zy) + bx*(aa*zy - ab*ay)) / (ax*(bb*ax - ab*bx) + bx*(aa*bx - ab*ax)) as t from p),
       r as (select *, ay - t*ax as ea, zy - t*bx as eb, yy - 2*t*xy + t*t*xx as rss from e)
       select 1::bigint as sargan_df, round(n * (ea*(bb*ea - ab*eb) + eb*(aa*eb - ab*ea)) / d / rss, 4) as sargan from r""",
-    "sensitivity_grid": """select r2_outcome, r2_exposure, round(b, 6) as bias, round(1.0 - b, 6) as adjusted from (
-      select round(i * 0.01::double, 6) as r2_outcome, round(j * 0.01::double, 6) as r2_exposure, 0.5 * sqrt((i * 0.01::double) * (j * 0.01::double) / (1 - j * 0.01::double)) * sqrt(100.0::double) as b from range(51) a(i), range(51) b(j))""",
+    "sensitivity_grid": """select l_discount as r2_outcome, l_tax as r2_exposure, n, round(b, 6) as bias, round(1.0 - b, 6) as adjusted from (
+      select l_discount, l_tax, count(*)::bigint as n, 0.5 * sqrt(l_discount * l_tax / (1 - l_tax)) * sqrt(100.0::double) as b from lineitem group by 1, 2)""",
     "rolling_effect": """with dy as (select ts::date as day, value as y, (user_id % 17)::double as x from events), ix as (select day, row_number() over (order by day) - 1 as i from (select distinct day from dy)),
       st as (select unnest(range(0, greatest(0, (select count(*) from ix) - 12) + 1, 3)) as s)
       select s::bigint as start, min(case when i = s + 6 then day end) as centre, count(*)::bigint as n, round(case when count(*) >= 10 then regr_slope(y, x) end, 4) as slope from dy join ix using (day) join st on i between s and s + 11 group by s""",
@@ -198,10 +198,9 @@ SQL: dict[str, str] = {
     "rbf_gram": """with e as (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from embeddings), p as (select label, i, avg(v) as v from e group by 1, 2)
       select a.label::bigint as i, b.label::bigint as j, round(exp(-0.5 * sum((a.v - b.v) ** 2)), 5) as k from p a join p b on a.i = b.i and a.label < b.label group by 1, 2""",
     "kernel_1qubit": "select vec_id, round(cos(embedding[1]::double - embedding[2]::double) ** 2, 6) as k from embeddings",
-    "cosine_schedule": "select t::bigint as t, round(greatest(1e-8, least(0.9999, cos((t / 50.0 + 0.008) / 1.008 * pi() / 2) ** 2 / cos(0.008 / 1.008 * pi() / 2) ** 2)), 6) as alphabar from range(51) r(t)",
+    "cosine_schedule": "select p_partkey, p_size::bigint as t, round(greatest(1e-8, least(0.9999, cos((p_size / 50.0 + 0.008) / 1.008 * pi() / 2) ** 2 / cos(0.008 / 1.008 * pi() / 2) ** 2)), 6) as alphabar from part",
     "profile_closed_form": "select p_partkey, z::double as depth, round(100 + (p_retailprice - 100) * exp(-(0.05 * (1 - exp(-(p_size / 1000.0) * z)) / (p_size / 1000.0))), 3) as y from part, (values (0.0::double), (5), (15), (30), (60), (100)) t(z)",
-    "taper_gaspari_cohn": """select round(d, 9) as distance, round(greatest(0, case when z <= 1 then 1 - 5/3*z**2 + 5/8*z**3 + z**4/2 - z**5/4 when z <= 2 then 4 - 5*z + 5/3*z**2 + 5/8*z**3 - z**4/2 + z**5/12 - 2/(3*z) else 0 end), 9) as taper
-      from (select i * 0.05::double as d, i * 0.025::double as z from range(101) t(i))""",
+    "taper_gaspari_cohn": f"""select c_custkey, round(d, 9) as distance, round({TAPER.format("z")}, 9) as taper from (select c_custkey, abs(c_acctbal) / 2000 as d, abs(c_acctbal) / 4000 as z from customer)""",
     "zscore_features": "select s_suppkey, round((s_acctbal - avg(s_acctbal) over ()) / stddev_samp(s_acctbal) over (), 5) as s_acctbal from supplier",
     "robustness_values": "select s_suppkey, round(0.5 * (sqrt(f * f + 4 * f) - f), 6) as rv from (select s_suppkey, (abs(s_acctbal / 1000) ** 2) / 100 as f from supplier)",
     "graph_stats": f"""with {TRANS}, t as (select * from tr where cause <> effect), n as (select count(*)::bigint as n_nodes from (select cause from t union select effect from t))

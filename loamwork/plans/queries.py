@@ -113,7 +113,10 @@ def iv_sargan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sensitivity_grid(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(causal.sensitivity_grid(spark, 1.0, 0.5, 100), 6)
+    """Discounts and taxes of the lines stand for a confounder's shares."""
+    cases = table(spark, d, "lineitem").select(F.col("l_discount").alias("r2_outcome"), F.col("l_tax").alias("r2_exposure"))
+    out = causal.confounded(cases.groupBy("r2_outcome", "r2_exposure").agg(F.count(F.lit(1)).alias("n")), 1.0, 0.5, 100)
+    return rounded(out, 6)
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
@@ -361,8 +364,8 @@ def kernel_1qubit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_schedule(spark: SparkSession, d: str) -> DataFrame:
-    steps = spark.range(51).select(F.col("id").alias("t"))
-    return rounded(steps.select("t", C.noise_schedule("t", 50).alias("alphabar")), 6)
+    steps = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("t"))
+    return rounded(steps.select("p_partkey", "t", C.noise_schedule("t", 50).alias("alphabar")), 6)
 
 
 def profile_closed_form(spark: SparkSession, d: str) -> DataFrame:
@@ -372,7 +375,8 @@ def profile_closed_form(spark: SparkSession, d: str) -> DataFrame:
 
 
 def taper_gaspari_cohn(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(grids.taper_table(spark, 2.0, 100), 9)
+    cu = table(spark, d, "customer").select("c_custkey", (F.abs("c_acctbal") / 2000).alias("distance"))
+    return rounded(cu.withColumn("taper", C.taper("distance", 2.0)), 9)
 
 
 def zscore_features(spark: SparkSession, d: str) -> DataFrame:
@@ -637,7 +641,9 @@ def terrain_slopes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synthetic_cube(spark: SparkSession, d: str) -> DataFrame:
-    cube, _ = grids.scaled(grids.synthetic_cube(spark, 6, 6, 12), ["precip", "soc"])
+    """A cell for each supplier, by region of its nation's number; columns as z-scores."""
+    n = table(spark, d, "supplier").count()
+    cube, _ = grids.scaled(grids.synthetic_cube(spark, 5, max(1, -(-n // 5)), 12), ["precip", "soc"])
     return rounded(cube, 5)
 
 
