@@ -72,9 +72,11 @@ def released(spark: SparkSession):
         kept.add(_written[-1])
         return out
 
-    yield keep
-    for path in [p for p in _written[first:] if p not in kept]:
-        delete(spark, path)
+    try:
+        yield keep
+    finally:  # also of a stage that has failed
+        for path in [p for p in _written[first:] if p not in kept]:
+            delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -213,7 +213,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
     A null or empty text is clean; repeated rows and null ids are judged row by row; an empty table stays empty. Columns
     may have any names but n_words, hit_runs and hit_items, which are set aside while the texts are scanned.
     """
-    aside = {c: f"__{c}" for c in ("n_words", "hit_runs", "hit_items") if c in docs.columns}
+    free = "_" * (1 + max(map(len, docs.columns)))  # no column begins like that
+    aside = {c: free + c for c in ("n_words", "hit_runs", "hit_items") if c in docs.columns}
     rows = docs.withColumnsRenamed(aside).withColumn("text", F.col("text").cast("string"))
     clean = scanned(rows, benchmark, window, max_chars).filter(F.size("hit_runs") == 0).drop("n_words", "hit_runs", "hit_items")
     return clean.withColumnsRenamed({v: k for k, v in aside.items()}).select(*[F.col(c).cast(t).alias(c) if c == "text" else F.col(c) for c, t in docs.dtypes])

@@ -823,8 +823,8 @@ def test_decontamination(spark, max_chars):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256, got[i].contaminated) == (n, hit, len(found), sha, hit > 0), (i, t and t[:50])
     at = texts.index("a SHORT,ünit. b")
     assert got[at].hit_spans == "2:12" and texts[at][2:12] == "SHORT,ünit"
-    clean = keep_clean(docs.withColumn("n_words", F.lit("own")), bench, max_chars=max_chars)
-    assert clean.columns == [*docs.columns, "n_words"] and {r.doc_id for r in clean.collect()} == {i for i in got if not got[i].contaminated}
+    clean = keep_clean(docs.withColumns({"n_words": F.lit("own"), "__n_words": F.lit("own")}), bench, max_chars=max_chars)
+    assert clean.columns == [*docs.columns, "n_words", "__n_words"] and {r.doc_id for r in clean.collect()} == {i for i in got if not got[i].contaminated}
     assert not any(r.contaminated for r in decontaminate(docs, bench.limit(0)).collect())
     assert decontaminate(docs.limit(0), bench, max_chars=max_chars).count() == 0
     odd = spark.createDataFrame([(None, words(14, 1, 50), None, None, 0), (1, "x", None, None, 0), (1, "x", None, None, 0), (2, "z " * 50_000 + words(14, 1, 50), None, None, 0)], SCHEMA)
