@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.columns import taper
-from loamwork.functions.storage import written
+from loamwork.functions.storage import erased, written
 
 
 def synthetic_cube(spark: SparkSession, rows: int, cols: int, steps: int, gain: float = 0.03, loss: float = 0.015, noise: float = 0.2, seed: int = 1) -> DataFrame:
@@ -143,8 +143,12 @@ def assimilate_steps(ensemble: DataFrame, observations: DataFrame, radius: float
     """The ensemble (member, row, col, value) after the observations (t, row, col, observed, sd) of each step in turn:
     the state that goes on is the whole ensemble. Each step's is written down, as the next reads it several times."""
     times = [r.t for r in observations.select("t").distinct().orderBy("t").collect()]
+    before = None
     for i, t in enumerate(times):
         ensemble = written(assimilate(ensemble, observations.filter(F.col("t") == F.lit(t)).drop("t"), radius, seed + i)[0])
+        if before is not None:
+            erased(before)
+        before = ensemble
     return ensemble
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.functions.storage import written
+from loamwork.functions.storage import erased, written
 
 
 #: Points of the fullest cell at first; more make the cells smaller, as all points of a cell meet.
@@ -53,7 +53,9 @@ def knn(points: DataFrame, x: str, y: str, key: str, k: int = 8, rounds: int = 8
         parts.append(part)
         if whole:
             break
-        todo = written(todo.join(part.select(F.col("src").alias("k_")).distinct(), "k_", "left_anti"))
+        todo, before = written(todo.join(part.select(F.col("src").alias("k_")).distinct(), "k_", "left_anti")), todo
+        if before is not asking:
+            erased(before)
         if todo.isEmpty():
             break
         size *= 2
