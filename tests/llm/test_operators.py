@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -271,6 +272,50 @@ def test_quality_classifier(spark):
     assert {r.score for r in quality_classifier.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_features(text, buckets=quality_classifier.BUCKETS):
+    """The buckets of a text's n-grams, one n-gram after the other."""
+    mask, number = (1 << 64) - 1, lambda g: zlib.crc32(g.encode("utf-8", "surrogatepass"))
+    line, out = (text or "").lower().split(), set()
+
+    def pair(a, b, family):
+        x = ((a * 0x9E3779B97F4A7C15 + family) * 0xBF58476D1CE4E5B9 + b * 0x94D049BB133111EB) & mask
+        x ^= x >> 29
+        return ((x * 0xBF58476D1CE4E5B9 & mask) >> 33) % buckets
+
+    kind = lambda c: 0 if c.isspace() else "^Aal0#".index("A" if c.isupper() else "a" if c.islower() else "l" if c.isalpha() else "0" if c.isdigit() else "#")
+    for w in line:
+        out |= {number(w) % buckets, number("e" + w[-2:]) % buckets}
+    shapes = []
+    for w in (text or "").split():
+        z = [kind(c) for c in w]
+        for a, b, c in zip([0, *z], z, [*z[1:], 0], strict=False):
+            out.add(number("c" + "^Aal0#"[a] + "^Aal0#"[b] + ("$" if c == 0 else "^Aal0#"[c])) % buckets)
+        runs, total = [k for i, k in enumerate(z) if i == 0 or z[i - 1] != k], 0
+        for i, k in enumerate(runs, 1):
+            x = (k * 131 + i) * 0x9E3779B97F4A7C15 & mask
+            total += (x ^ (x >> 31)) * 0x94D049BB133111EB
+        shapes.append(total & mask)
+    out |= {pair(number(a), number(b), 1) for a, b in zip(line, line[1:], strict=False)} | {pair(a, b, 2) for a, b in zip(shapes, shapes[1:], strict=False)}
+    for a, b, c in zip(line, line[1:], line[2:], strict=False):
+        equal = 4 * (a == b) + 2 * (b == c) + (a == c)
+        if equal:
+            out.add(pair(equal, equal, 3))
+    return sorted(out)
+
+
+def test_quality_scores_equal_a_plain_scorer(spark):
+    texts = [words(40, i) for i in range(60)] + ["## $$ ##", "Ab1 ab ab AB! 12a", "x y x y x", "É ñ Ö 😀 a😀b"] * 15 + ODD
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    w, bias, ratio, a, b = quality_classifier.train(docs, labels)
+    got = by_id(quality_classifier.quality_scores(docs, labels))
+    for i, t in enumerate(texts):
+        x = plain_features(t)
+        norm = sum(float(ratio[k]) ** 2 for k in x) ** 0.5
+        z = sum(float(w[k]) * float(ratio[k]) for k in x) / max(1e-9, norm) + bias
+        assert abs(got[i].score - 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))) < 1e-4, (i, (t or "")[:40])
+
+
 def test_quality_sample_is_bounded_in_bytes(spark):
     docs = table(spark, [words(60, i) if i % 2 else "## $$ " * 60 for i in range(200)])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
