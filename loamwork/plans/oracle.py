@@ -58,6 +58,8 @@ SQL: dict[str, str] = {
         (abs(s_acctbal) - min(abs(s_acctbal)) over ()) / (max(abs(s_acctbal)) over () - min(abs(s_acctbal)) over ()) as u, 'inf'::double as d, false as taken from supplier),
       {", ".join(map(pick_step, range(10)))}
       {" union all ".join(f"select {k}::bigint as pick, pk as s_suppkey from p{k} where not over" for k in range(10))}""",
+    "sliding_event_totals": """select strftime(time_bucket(interval 2 hour, ts::timestamp) - k * interval 2 hour, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*)::bigint as n, round(sum(value), 3) as total
+      from events, range(3) t(k) group by 1, 2""",
     "session_events": """with e as (select user_id, ts::timestamp as ts, value, case when ts::timestamp < lag(ts::timestamp) over (partition by user_id order by ts) + interval 6 hour then 0 else 1 end as fresh from events),
       s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from e)
       select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 6 hour, '%Y-%m-%d %H:%M:%S') as "end", count(*)::bigint as n, round(sum(value), 3) as total from s group by user_id, s""",

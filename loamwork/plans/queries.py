@@ -399,6 +399,13 @@ def window_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total"), 3)
 
 
+def sliding_event_totals(spark: SparkSession, d: str) -> DataFrame:
+    from loamwork.streaming.ingest import windowed_counts
+
+    out = windowed_counts(table(spark, d, "events"), "ts", "6 hours", by=["event_type"], slide="2 hours")
+    return rounded(out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total"), 3)
+
+
 def session_events(spark: SparkSession, d: str) -> DataFrame:
     from loamwork.streaming.ingest import session_totals
 
@@ -652,7 +659,7 @@ ALL = [
     sensitivity_grid, rolling_effect, mann_kendall, leverage_topk, corpus_dedupe, label_normalise, edge_merge, edge_rank, edge_rename, align_cascade, align_edit_distance, vote_majority, vote_weighted,
     vote_intersection, claim_match_exact, claim_match_greedy, swapped_labels, prf1, kappa, token_cost, json_claims, inverted_index_roundtrip, shd_edges, knn_graph, knn_weights, attention_softmax, min_distance_select,
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
-    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, session_events, cycle_edges, snapshot_merges, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, aligned_bands, price_quantiles, profile_fits, forest_quantiles, bootstrap_slope, resampled_orders, greedy_selection,
+    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, sliding_event_totals, session_events, cycle_edges, snapshot_merges, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, aligned_bands, price_quantiles, profile_fits, forest_quantiles, bootstrap_slope, resampled_orders, greedy_selection,
     record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,
     effect_sensitivity, edge_origins, covariance_pairs, sample_priority, unit_table, posterior_parts, posterior_overview,
     posterior_rmse, numbered_orders, side_by_side, annotated_lines, terrain_slopes,

@@ -32,10 +32,11 @@ def stream_claims(spark: SparkSession, folder: str, schema: str, extract: Callab
     return query
 
 
-def windowed_counts(events: DataFrame, ts: str, width: str = "1 hour", late: str = "2 hours", by: list[str] | None = None) -> DataFrame:
-    """Counts and sums per event-time window with a watermark; the same plan for batch and stream."""
+def windowed_counts(events: DataFrame, ts: str, width: str = "1 hour", late: str = "2 hours", by: list[str] | None = None, slide: str | None = None) -> DataFrame:
+    """Counts and sums per event-time window with a watermark; the same plan for batch and stream. With `slide` windows
+    begin that often and overlap: an event is counted in each that it is in."""
     stamped = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return stamped.groupBy(F.window(ts, width), *(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *(by or []), "n", "total")
+    return stamped.groupBy(F.window(ts, width, slide), *(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *(by or []), "n", "total")
 
 
 def session_totals(events: DataFrame, ts: str, gap: str = "30 minutes", late: str = "2 hours", by: list[str] | None = None) -> DataFrame:
