@@ -14,9 +14,6 @@ from loamwork.operators.forest import QuantileForest
 from loamwork.operators.selection import complete, greedy_batch, joint_variance_batch
 from loamwork.operators.spatial import site_variance
 
-#: Rows of a pool whose predictions by tree come to the driver.
-MAX_POOL = 50_000
-
 
 def check_coords(df: DataFrame, coords: list[str]) -> None:
     """Exactly two coordinate columns, both there."""
@@ -95,14 +92,11 @@ def query(model: ActiveModel, pool: DataFrame, key: str, n: int = 5, strategy: s
     return greedy_batch(scored, key, model.names, "width_", n, model.labelled, strategy, alpha, cost, cost_weight)
 
 
-def tree_predictions(model: ActiveModel, pool: DataFrame, key: str) -> tuple[list, np.ndarray]:
-    """Keys and a matrix (row x tree) of the leaves' means, from a join of rows and leaves; the pool is bounded."""
-    if pool.count() > MAX_POOL:
-        raise ValueError(f"[tree_predictions] the pool has over {MAX_POOL} rows; rank and cut it first")
+def tree_predictions(model: ActiveModel, pool: DataFrame, key: str) -> DataFrame:
+    """key, trees: the leaves' means of each row by tree, from a join of rows and leaves."""
     means = model.forest.leaves.groupBy("tree", "leaf").agg((F.sum(F.col("y_") * F.col("weight")) / F.sum("weight")).alias("m"))
     rows = model.forest._leaves(complete(pool, model.names), [key]).join(means, ["tree", "leaf"])
-    lines = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tree", "m"))).alias("t")).orderBy(key).collect()
-    return [r[key] for r in lines], np.array([[s.m for s in r.t] for r in lines])
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", "m"))), lambda s: s["m"]).alias("trees"))
 
 
 def noise_variance(model: ActiveModel) -> float:
@@ -116,10 +110,7 @@ def query_joint_variance(model: ActiveModel, pool: DataFrame, key: str, n: int =
     if gate is not None:
         scored = model.forest.model.transform(QuantileForest.assembled(complete(pool, model.names), model.names))
         pool = pool.join(scored.filter(gate(F.col("prediction"))).select(key), key, "left_semi")
-    keys, trees = tree_predictions(model, pool, key)
-    if not keys:
-        return []
-    return [keys[i] for i in joint_variance_batch(trees, noise_variance(model) if noise is None else noise, n)]
+    return joint_variance_batch(tree_predictions(model, pool, key), key, "trees", noise_variance(model) if noise is None else noise, n)
 
 
 def loop(labelled: DataFrame, pool: DataFrame, target: str, names: list[str], key: str, oracle: Callable[[DataFrame], DataFrame], budget: int = 30, batch: int = 5, stop_rmse: float | None = None, progress: Callable[[int, int], None] | None = None, **query_args) -> ActiveModel:

@@ -152,22 +152,61 @@ def greedy_batch(
     return picked
 
 
-def joint_variance_batch(predictions: np.ndarray, noise: float, n: int) -> list[int]:
-    """Rows of (pool x members) picked by the greatest variance given those picked, by an incremental Cholesky."""
-    a = (predictions - predictions.mean(axis=1, keepdims=True)) / np.sqrt(max(1, predictions.shape[1] - 1))
-    var = (a**2).sum(axis=1) + noise
-    factors: list[np.ndarray] = []
-    picked: list[int] = []
-    for _ in range(min(n, len(a))):
-        s = var.copy()
-        s[picked] = -np.inf
-        i = int(np.argmax(s))
-        cov = a @ a[i]
-        cov[i] += noise
-        col = (cov - sum((f * f[i] for f in factors), np.zeros(len(a)))) / np.sqrt(max(var[i], 1e-12))
-        factors.append(col)
-        var = np.maximum(var - col**2, 1e-12)
-        picked.append(i)
+def joint_variance_batch(pool: DataFrame, key: str, predictions: str, noise: float, n: int, held: int = HELD) -> list:
+    """Keys of n rows, each of the greatest variance given those before it; predictions: an array of the members' answers
+    a row, all of one length; ties go by key.
+
+    A row's variance given the picks is its own less the squares of its entries in an incremental Cholesky factor, which
+    it keeps in an array. The pool may be of any size: a pass brings the `held` rows of the greatest variances to the
+    driver, where picks go on as long as the best is over all that stayed away, since variances only become less. Then
+    the next pass gives all rows their entries of the new picks.
+    """
+    mean = F.aggregate("p_", F.lit(0.0), lambda a, v: a + v) / F.size("p_")
+    rows = pool.select(key, F.col(predictions).cast("array<double>").alias("p_")).filter(F.size("p_") > 0)
+    away = F.transform("p_", lambda v: (v - F.col("mean_")) / F.sqrt(F.greatest(F.lit(1), F.size("p_") - 1)))
+    rows = rows.withColumn("mean_", mean).select(key, away.alias("a_"))
+    rows = rows.withColumn("v_", F.aggregate("a_", F.lit(0.0), lambda s, v: s + v * v) + F.lit(float(noise)))
+    table = written(rows.withColumns({"f_": F.array().cast("array<double>"), "taken_": F.lit(False)}))
+
+    def entries(a: np.ndarray, f: np.ndarray, pick: tuple) -> np.ndarray:
+        """What each row has in the pick's column of the factor."""
+        _, of, before, v = pick
+        return (a @ of - f[:, : len(before)] @ before) / np.sqrt(max(v, 1e-12))
+
+    def told(df: DataFrame, new: list[tuple]) -> DataFrame:
+        keys = {p[0] for p in new}
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    a, f, v = np.array(pdf["a_"].tolist(), float), np.array(pdf["f_"].tolist(), float).reshape(len(pdf), -1), pdf["v_"].to_numpy(float)
+                    for p in new:
+                        c = entries(a, f, p)
+                        f, v = np.column_stack([f, c]), np.maximum(v - c**2, 1e-12)
+                    yield pdf.assign(f_=f.tolist(), v_=v, taken_=pdf["taken_"] | pdf[key].isin(keys))
+
+        return df.mapInPandas(run, df.schema)
+
+    picked, new = [], []
+    total = min(n, table.count())
+    while len(picked) < total:
+        if new:
+            table, old, new = written(told(table, new)), table, []
+            erased(old)
+        top = table.filter(~F.col("taken_")).orderBy(F.col("v_").desc(), F.col(key)).limit(held).collect()
+        least = top[-1].v_ if len(top) == held else -np.inf
+        top = sorted(top, key=lambda r: r[key])
+        a, f, v = np.array([r.a_ for r in top], float), np.array([r.f_ for r in top], float).reshape(len(top), -1), np.array([r.v_ for r in top], float)
+        while len(picked) < total:
+            i = int(np.argmax(v))
+            if v[i] == -np.inf or new and least > -np.inf and not v[i] > least:
+                break
+            new.append((top[i][key], a[i], f[i], float(v[i])))
+            picked.append(top[i][key])
+            c = entries(a, f, new[-1])
+            f, v = np.column_stack([f, c]), np.where(np.isfinite(v), np.maximum(v - c**2, 1e-12), v)
+            v[i] = -np.inf
+    erased(table)
     return picked
 
 

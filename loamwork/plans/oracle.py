@@ -53,6 +53,12 @@ p{k} as materialized (select s_suppkey as pk, a as pa, b as pb, taken as over fr
 d{k + 1} as materialized (select s_suppkey, a, b, u, least(d, sqrt((a - pa) * (a - pa) + (b - pb) * (b - pb))) as d, taken or s_suppkey = pk as taken from d{k}, p{k})"""
 
 
+def joint_step(k: int) -> str:
+    """The k-th row of the greatest variance given those before, and the variances after it."""
+    return f"""p{k} as materialized (select k as pk, a as pa, f as pf, v as pv, taken as over from j{k} order by taken, v desc, k limit 1),
+j{k + 1} as materialized (select k, a, list_append(f, c) as f, greatest(v - c * c, 1e-12) as v, taken or k = pk as taken, pk from (select *, (list_dot_product(a, pa) - {"list_dot_product(f, pf)" if k else "0"}) / sqrt(pv) as c from (select k, a, f, v, taken from j{k}), p{k}))"""
+
+
 SQL: dict[str, str] = {
     "greedy_selection": f"""with d0 as materialized (select s_suppkey, (s_acctbal - avg(s_acctbal) over ()) / stddev_samp(s_acctbal) over () as a, (s_nationkey - avg(s_nationkey) over ()) / stddev_samp(s_nationkey) over () as b,
         (abs(s_acctbal) - min(abs(s_acctbal)) over ()) / (max(abs(s_acctbal)) over () - min(abs(s_acctbal)) over ()) as u, 'inf'::double as d, false as taken from supplier),
@@ -78,6 +84,11 @@ SQL: dict[str, str] = {
       s as (select draw, sum(w) as sw, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy from w join (select c_nationkey, c_acctbal as y, (c_custkey % 13)::double as x from customer) using (c_nationkey) group by 1)
       select draw, round((sw * sxy - sx * sy) / (sw * sxx - sx * sx), 5) as slope from s""",
     "price_quantiles": f"""select l_returnflag, count(*)::bigint as n, {", ".join(f"round(quantile_cont(l_extendedprice, {p}), 4) as q{i}" for i, p in enumerate((0.0, 0.05, 0.5, 0.999, 1.0)))} from lineitem group by 1""",
+    "joint_picks": f"""with m as (select l_partkey % 60 as k, l_linenumber, avg(l_extendedprice / 1000) as m from lineitem where l_linenumber <= 4 group by 1, 2),
+      g as (select k, list((m - mu) / sqrt(3) order by l_linenumber) as a from (select *, avg(m) over (partition by k) as mu, count(*) over (partition by k) as n from m) where n = 4 group by k),
+      j0 as materialized (select k, a, []::double[] as f, list_dot_product(a, a) + 0.01 as v, false as taken from g),
+      {", ".join(map(joint_step, range(6)))}
+      {" union all ".join(f"select {k}::bigint as pick, pk as k from p{k} where not over" for k in range(6))}""",
     "claim_match_greedy": """with recursive l as (select doc_id % 20 as d, 'node_' || (doc_id % 7) as c, 'effect_' || quality as pe, 'effect_' || greatest(quality, toxic) as ge, row_number() over (partition by doc_id % 20 order by doc_id) as i from labels),
       k as (select distinct p.c, p.pe, g.c as gc, g.ge from (select distinct c, pe from l) p, (select distinct c, ge from l) g where levenshtein(p.c, g.c) + levenshtein(pe, ge) <= 2),
       w as (select p.d, p.i, list(g.i order by g.i) as wants from l p join k on p.c = k.c and p.pe = k.pe join l g on g.d = p.d and g.c = k.gc and g.ge = k.ge group by 1, 2),

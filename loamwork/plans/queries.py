@@ -506,6 +506,15 @@ def greedy_selection(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, int(k)) for i, k in enumerate(picked)], "pick long, s_suppkey long")
 
 
+def joint_picks(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of parts whose mean prices by line number vary most together."""
+    li = table(spark, d, "lineitem").select(F.pmod("l_partkey", F.lit(60)).alias("k"), "l_linenumber", "l_extendedprice").filter("l_linenumber <= 4")
+    means = li.groupBy("k", "l_linenumber").agg(F.avg(F.col("l_extendedprice") / 1000).alias("m"))
+    rows = means.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "m"))), lambda s: s["m"]).alias("p")).filter(F.size("p") == 4)
+    picked = selection.joint_variance_batch(rows, "k", "p", 0.01, 6)
+    return spark.createDataFrame([(i, int(k)) for i, k in enumerate(picked)], "pick long, k long")
+
+
 # small operators of the pillars
 
 
@@ -659,7 +668,7 @@ ALL = [
     sensitivity_grid, rolling_effect, mann_kendall, leverage_topk, corpus_dedupe, label_normalise, edge_merge, edge_rank, edge_rename, align_cascade, align_edit_distance, vote_majority, vote_weighted,
     vote_intersection, claim_match_exact, claim_match_greedy, swapped_labels, prf1, kappa, token_cost, json_claims, inverted_index_roundtrip, shd_edges, knn_graph, knn_weights, attention_softmax, min_distance_select,
     topk_priority, semi_join_candidates, lag_mass_balance, gap_fill_linear, topsoil_first_row, fold_round_robin, cv_summary, rbf_gram, kernel_1qubit, cosine_schedule, profile_closed_form,
-    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, sliding_event_totals, session_events, cycle_edges, snapshot_merges, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, aligned_bands, price_quantiles, profile_fits, forest_quantiles, bootstrap_slope, resampled_orders, greedy_selection,
+    taper_gaspari_cohn, zscore_features, robustness_values, graph_stats, window_event_counts, sliding_event_totals, session_events, cycle_edges, snapshot_merges, resumable_ingest, turtle_lines, assimilated_cells, tile_steps, aligned_bands, price_quantiles, profile_fits, forest_quantiles, bootstrap_slope, resampled_orders, greedy_selection, joint_picks,
     record_hashes, dag_lines, curie_names, median_scale, monthly_means, points_in_polygon, quality_range, top_values, physics_gate, annotation_checks, dag_adjustment, prototype_kernel, covering_design, synthetic_cube,
     effect_sensitivity, edge_origins, covariance_pairs, sample_priority, unit_table, posterior_parts, posterior_overview,
     posterior_rmse, numbered_orders, side_by_side, annotated_lines, terrain_slopes,

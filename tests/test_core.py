@@ -240,8 +240,8 @@ def test_selection(spark):
     pool = spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(12)], "id long, a double, u double")
     assert selection.greedy_batch(pool, "id", ["a"], "u", 3, strategy="uncertainty")[0] == 2
     assert set(selection.greedy_batch(pool, "id", ["a"], "u", 2, strategy="diverse")) == {0, 11}
-    p = np.array([[0.0, 10.0, 0.0], [0.1, 10.1, 0.0], [5.0, 5.0, -5.0]])
-    assert selection.joint_variance_batch(p, 0.01, 2) == [1, 2]
+    p = spark.createDataFrame([(0, [0.0, 10.0, 0.0]), (1, [0.1, 10.1, 0.0]), (2, [5.0, 5.0, -5.0])], "id long, p array<double>")
+    assert selection.joint_variance_batch(p, "id", "p", 0.01, 2) == [1, 2]
     assert selection.latin_design(pool, "id", ["a"], 4).count() == 4
     vectors = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 4.0])], "id long, v array<double>")
     assert [r.distance for r in selection.distance_to_set(vectors, vectors.limit(1), "id", "v").orderBy("id").collect()] == [0, 5]

@@ -127,3 +127,28 @@ def test_greedy_batch_of_few_and_equal_rows(spark):
     for strategy in ("hybrid", "diverse"):
         assert selection.greedy_batch(pool, "k", ["a", "b"], "u", 9, strategy=strategy, held=2) == plain_batch(rows, [], 9, strategy)
     assert selection.greedy_batch(pool.limit(0), "k", ["a", "b"], "u", 3) == []
+
+
+def plain_joint(p, noise, n):
+    """The next row is the one whose joint covariance with those before has the largest determinant."""
+    a = (p - p.mean(axis=1, keepdims=True)) / np.sqrt(max(1, p.shape[1] - 1))
+    cov, picked = a @ a.T + noise * np.eye(len(p)), []
+    while len(picked) < min(n, len(p)):
+        left = [i for i in range(len(p)) if i not in picked]
+        gain = [np.linalg.slogdet(cov[np.ix_([*picked, i], [*picked, i])])[1] for i in left]
+        picked.append(left[int(np.argmax(np.round(gain, 9)))])
+    return picked
+
+
+def test_joint_variance_equals_the_determinants(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    p = rng.normal(size=(150, 9)) * np.exp(rng.normal(size=(150, 1)))
+    passes, keep = [], selection.written
+    monkeypatch.setattr(selection, "written", lambda df: passes.append(1) or keep(df))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(p)] + [(999, [])], "k int, p array<double>").repartition(5)
+    want = plain_joint(p, 0.05, 20)
+    assert selection.joint_variance_batch(df, "k", "p", 0.05, 20, held=12) == want and len(passes) < 15
+    assert selection.joint_variance_batch(df, "k", "p", 0.05, 20) == want
+    assert selection.joint_variance_batch(df, "k", "p", 0.05, 5, held=1) == want[:5]
+    assert selection.joint_variance_batch(df.limit(0), "k", "p", 0.05, 3) == []
+    assert sorted(selection.joint_variance_batch(df.filter("k < 4"), "k", "p", 0.05, 9)) == [0, 1, 2, 3]

@@ -207,7 +207,8 @@ def test_active_model(spark):
     pool = df.filter("id >= 100")
     gated = active.query(model, pool, "id", 3, "uncertainty", gate=lambda p: p < 0)
     assert len(gated) <= 3
-    keys, trees = active.tree_predictions(model, pool, "id")
+    told = active.tree_predictions(model, pool, "id").orderBy("id").collect()
+    keys, trees = [r.id for r in told], np.array([r.trees for r in told])
     assert trees.shape == (20, 5) and keys == list(range(100, 120))
     mean = {r.id: r["mean"] for r in model.forest.quantiles(pool, "id", [0.5]).collect()}
     assert np.allclose(trees.mean(axis=1), [mean[k] for k in keys], atol=1.5)
