@@ -204,9 +204,12 @@ def _blocks(anchors: DataFrame, width: int) -> Iterator[DataFrame]:
         yield dealt.filter(F.col("block") == b)
 
 
-def _held(block: DataFrame, width: int) -> Anchors:
-    """A block on the driver, which sends it to all tasks."""
-    batch = block.select("vec_id", "row_id", "label", "x").orderBy("row_id").toArrow().combine_chunks().to_batches()[0]
+def _held(block: DataFrame, width: int) -> Anchors | None:
+    """A block on the driver, which sends it to all tasks; None if the hash has dealt it no row."""
+    rows = block.select("vec_id", "row_id", "label", "x").orderBy("row_id").toArrow()
+    if not rows.num_rows:
+        return None
+    batch = rows.combine_chunks().to_batches()[0]
     vec_id, row_id, label, x = _columns(batch, width)
     return Anchors(row_id, vec_id, label, x, [])
 
@@ -245,6 +248,8 @@ def mine(vectors: DataFrame, is_anchor: Column, column: str = "embedding", scale
     paths = []
     for block in _blocks(rows.filter("is_anchor"), width):
         held = _held(block, width)
+        if held is None:
+            continue
         found: dict[int, list[tuple[int | None, int]]] = {}
         # at most `top` rows of each anchor of the block
         for r in _first(_search(rows, held, rotation, width, True, top, least, most), top).orderBy("row_id", "rank").toLocalIterator():

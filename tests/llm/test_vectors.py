@@ -62,6 +62,9 @@ def test_negatives_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(hard_negatives, "BLOCK_BYTES", 8 * 24 * 10)  # blocks of ten anchors
     monkeypatch.setattr(hard_negatives, "PAIRS", 1 << 10)
     assert mined(vectors(spark, rows).repartition(3)) == want
+    few = [(100 * i, v, y) for i, (_, v, y) in enumerate(rows[:8])]
+    monkeypatch.setattr(hard_negatives, "BLOCK_BYTES", 8 * 24)  # as many blocks as anchors: some get none
+    assert mined(vectors(spark, few)) == plain_negatives(few)
 
 
 def test_negatives_ties_and_odd_rows(spark):
