@@ -84,7 +84,9 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], also
     for t in found:
         picked = picked.unionByName(t)
     values = written(picked.groupBy("g_").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of")))
-    line = lambda p: F.when(low(p) == high(p), F.col("of")[low(p)]).otherwise((high(p) - position(p)) * F.col("of")[low(p)] + (position(p) - low(p)) * F.col("of")[high(p)])
+    # between equal values the line is that value, to the last bit: rounding may put the weighted sum under it
+    level = lambda p: (low(p) == high(p)) | (F.col("of")[low(p)] == F.col("of")[high(p)])
+    line = lambda p: F.when(level(p), F.col("of")[low(p)]).otherwise((high(p) - position(p)) * F.col("of")[low(p)] + (position(p) - low(p)) * F.col("of")[high(p)])
     q = values.join(large, "g_").select("g_", F.array(*[line(p) for p in probs]).alias("q"))
     others = df.withColumn("g_", g).join(sent(large.select("g_")), "g_", "left_semi").groupBy("g_").agg(*also, F.count(F.lit(1)).alias("rows_")).drop("rows_")
     names = [F.col("g_")[b].alias(b) for b in by]
