@@ -49,20 +49,32 @@ def dedupe_corpus(df: DataFrame, order: list[Column], doi: str = "doi", title: s
     return kept.unionByName(keyed.filter("key_ is null")).drop("key_")
 
 
-def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, word, positions of each text split at single blanks. A text's words are sorted and cut into runs in place;
-    nothing is shuffled."""
+def with_index(df: DataFrame, text: str, name: str = "index") -> DataFrame:
+    """df with the inverted index of each text split at single blanks: an array of word and positions, null of a null
+    text. A text's words are sorted and cut into runs in place; nothing is shuffled."""
     words = F.array_sort(F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
     first = F.filter(F.transform("w_", lambda x, i: F.when((i == 0) | (F.get("w_", i - 1)["word"] != x["word"]), i)), lambda i: i.isNotNull())
     runs = F.zip_with("f_", F.concat(F.slice("f_", 2, F.size("f_")), F.array(F.size("w_"))), lambda a, b: F.struct(F.get("w_", a)["word"].alias("word"), F.transform(F.slice("w_", a + 1, b - a), lambda x: x["pos"]).alias("positions")))
-    return df.withColumn("w_", words).withColumn("f_", first).select(doc, F.inline(runs))
+    return df.withColumn("w_", words).withColumn("f_", first).withColumn(name, runs).drop("w_", "f_")
+
+
+def text_of(index: Column | str) -> Column:
+    """The text of an array of word and positions: words in the order of their positions, gaps dropped; null of none."""
+    placed = F.transform(col(index), lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("pos"), e["word"].alias("word"))))
+    return F.when(F.size(col(index)) > 0, F.array_join(F.transform(F.array_sort(F.flatten(placed)), lambda x: x["word"]), " "))
+
+
+def inverted_index(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc, word, positions of each text: the rows of with_index."""
+    return with_index(df, text, "i_").select(doc, F.inline("i_"))
 
 
 def from_inverted_index(index: DataFrame, doc: str) -> DataFrame:
-    """Texts again: words in the order of their positions, gaps dropped."""
+    """Texts again from rows of doc, word, positions, which are shuffled to their document; text_of takes an index that
+    is still one row a document."""
     # a text's words are gathered before they are shuffled, and laid out in place
-    placed = F.transform(F.collect_list(F.struct("word", "positions")), lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("pos"), e["word"].alias("word"))))
-    return index.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.flatten(placed)), lambda x: x["word"]), " ").alias("text"))
+    gathered = index.groupBy(doc).agg(F.collect_list(F.struct("word", "positions")).alias("i_"))
+    return gathered.select(doc, text_of("i_").alias("text"))
 
 
 def parse_claims(df: DataFrame, answer: str) -> DataFrame:

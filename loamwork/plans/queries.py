@@ -266,7 +266,7 @@ def json_claims(spark: SparkSession, d: str) -> DataFrame:
 
 def inverted_index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
-    back = docs.from_inverted_index(docs.inverted_index(t, "doc_id", "text"), "doc_id")
+    back = docs.with_index(t, "text").select("doc_id", docs.text_of("index").alias("text"))
     return back.select("doc_id", F.md5("text").alias("text_md5"))
 
 

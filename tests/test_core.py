@@ -1,5 +1,6 @@
 """Exact small cases of the operators."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from loamwork.functions import columns as C
 from loamwork.functions import tails
 from loamwork.operators import causal, docs, graph, grids, kernels, metrics, moments, neighbours, neural, posterior, profiles, rasters, selection, spatial
+from loamwork.plans import queries
 
 
 def one(df):
@@ -154,6 +156,21 @@ def test_dedupe_and_index(spark):
     assert one(docs.from_inverted_index(docs.inverted_index(text, "id", "text"), "id")).text == "A B  A C"
 
 
+def test_index_of_one_row_a_document(spark, tmp_path):
+    # ids may be repeated, texts null, empty, of blanks or of one word; no word leaves its row
+    texts = ["A B  A C", "", " ", "a", None, "b\na b", "é e " * 500, " ".join(map(str, range(2000)))]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.inverted_index_roundtrip(spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted((i // 2, hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(texts) if t is not None)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    index = docs.with_index(df, "text")
+    assert [tuple(x) for x in index.first()["index"]] == [("", [2]), ("A", [0, 3]), ("B", [1]), ("C", [4])]
+    assert sorted(str(r.t) for r in index.select(docs.text_of("index").alias("t")).collect()) == sorted(map(str, texts))
+    given = spark.createDataFrame([([("C", [4]), ("A", [0]), ("B", [2])],), ([],), (None,)], "i array<struct<word:string,positions:array<int>>>")
+    assert [r.t for r in given.select(docs.text_of("i").alias("t")).collect()] == ["A B C", None, None]
+
+
 def test_claims_and_votes(spark):
     df = spark.createDataFrame([(1, 'x {"claims":[{"cause":" Rain ","effect":"SOC","confidence":0.5},{"cause":"a","effect":"A"}]} y'), (2, "no json"), (3, None)], "id int, answer string")
     assert [(r.id, r.cause, r.effect) for r in docs.parse_claims(df, "answer").collect()] == [(1, "rain", "soc")]
